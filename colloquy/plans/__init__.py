@@ -1,0 +1,16 @@
+"""Queries over the tables, grouped by subject."""
+
+from __future__ import annotations
+
+from .registry import Registry
+
+
+def all_plans() -> Registry:
+    """Every registered query of the core."""
+    from . import data_quality
+
+    whole = Registry()
+    for module in (data_quality,):
+        for name, f in module.registry.queries.items():
+            whole.query(name, module.registry.sql.get(name))(f)
+    return whole
