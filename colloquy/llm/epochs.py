@@ -49,7 +49,8 @@ def uniform(key: Column, counter: int = 0) -> Column:
 
 def scheduled_rate(epoch: Column, first: float = FIRST_RATE, decay: float = DECAY, least: float = LEAST_RATE) -> Column:
     """The frozen rate of an epoch by the schedule; a null epoch has the least rate."""
-    return F.coalesce(F.greatest(F.lit(least), F.lit(first) * F.pow(F.lit(decay), F.greatest(epoch, F.lit(1)) - 1)), F.lit(least))
+    rate = F.greatest(F.lit(least), F.lit(first) * F.pow(F.lit(decay), F.greatest(epoch, F.lit(1)) - 1))
+    return F.when(epoch.isNull(), F.lit(least)).otherwise(rate)
 
 
 def first_seen(records: DataFrame, id_column: str, epoch_column: str) -> DataFrame:
