@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,19 +65,18 @@ def dyadic_runs(start: np.ndarray, end: np.ndarray, bits: int = TILE_BITS) -> tu
     return low[at], high[np.append(at[1:], len(low)) - 1]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _tile_runs(spans: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _tile_runs(spans: pa.Array) -> pa.Array:
     """Per tile: spans and runs are numbers start << _SHIFT | end, local to the tile."""
-    if not len(spans):
-        return pd.Series([], dtype=object)
-    sizes = spans.map(len).to_numpy()
-    flat = np.concatenate([np.asarray(x, np.int64) for x in spans])
+    sizes = np.diff(spans.offsets.to_numpy())
+    flat = spans.flatten().to_numpy(zero_copy_only=False)
     base = np.repeat(np.arange(len(spans), dtype=np.int64) << TILE_BITS, sizes)
     low, high = dyadic_runs(base + (flat >> _SHIFT), base + (flat & _MASK))
     tile = low >> TILE_BITS
     local = tile << TILE_BITS
     packed = (low - local) << _SHIFT | (high - local)
-    return pd.Series(np.split(packed, np.searchsorted(tile, np.arange(1, len(spans)))))
+    offsets = np.searchsorted(tile, np.arange(len(spans) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))
 
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
