@@ -1,14 +1,16 @@
 """Template residue, filler, error pages and script notices in documents.
 
-1. Texts are split into units (lines, and sentences within them). Equal units are counted
-   once for the whole corpus.
+1. Texts are split into lines, and equal lines are handled once for the whole corpus: they
+   are split into units, the sentences within them.
 2. A prefix tree of fixed depth groups units: by evidence signature, token count and the
    first ``DEPTH`` tokens with numbers and slots masked. In each leaf, the token that most
    units hold at a position is constant, others are ``*``: that is the leaf's template.
 3. Each template is classified once, and its verdict goes to all units of its leaf; units
    of condemned leaves are checked once more as they stand.
 4. Slots that nobody filled, such as ``{{owner}}`` or ``[INSERT DATE]``, are looked for in
-   the text of every document by themselves.
+   every distinct line by themselves.
+
+Verdicts go from units to lines and from lines to documents.
 """
 
 from __future__ import annotations
@@ -155,24 +157,39 @@ def _has_slot(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: bool(t) and has_slot(t))
 
 
+#: What a line with a slot must hold, for the JVM: Python looks at these lines only.
+_SLOT_HINT = (
+    r"\{\{|\$\{|#\{|%%|%\(|<%|@@|__[A-Za-z]|[\[{<(«【（][^\]})>»】）]{0,40}(?i:"
+    + "|".join(sorted(SLOT_NOUNS | SLOT_ASKS)) + "|" + SLOT_ASKS_ZH.pattern + ")"
+)
+_BREAKS = r"[\n\r\u2028\u2029\u0085]+"
+#: List marks, numbers, agenda heads and speaker labels before what a line says.
+_HEADS = (
+    r"^[\s*•·>\-–—→]*(?:\d{1,2}[.)]\s+(?=[^\W\d]))?(?:[^:|\d]{3,30} \(\d[\d.]* min\):\s*)?"
+    r"(?:<v [^>]*>|\[?[Ss]peaker[_ ]?\d+\]?\s*[:|]?\s*|\p{Lu}[\p{L}.'’]+(?: \p{Lu}?[\p{L}'’]+)?\s*(?:[:|]|\s[=–—-])\s+)?"
+)
+
+
 def tidy(text: Column) -> Column:
-    """Without invisible characters; white space but line ends as one space."""
-    return F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"[^\S\n\r\u2028\u2029\u0085]+|\p{Zs}+", " ")
+    """Without invisible characters; white space but line ends as one space. Single spaces
+    are left alone, which saves rewriting every text."""
+    return F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r" *[\t\u000b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000][ \t\u000b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]*| {2,}", " ")
 
 
-def units_of(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per unit of each text: doc_id, unit. Units are lower case, without list
-    marks and labels, numbers as ``#``."""
-    lines = F.split(tidy(F.col(text)), r"[\n\r\u2028\u2029\u0085]+")
-    rows = documents.where(F.col(text).isNotNull()).select("doc_id", F.explode(lines).alias("line"))
-    line = F.regexp_replace("line", r"^[\s*•·>\-–—→]+|\s+$", "")
-    line = F.regexp_replace(line, r"^\d{1,2}[.)]\s+(?=[^\W\d])", "")
-    line = F.regexp_replace(line, r"^[^:|\d]{3,30} \(\d[\d.]* min\):\s*", "")
-    line = F.regexp_replace(line, r"^(?:<v [^>]*>|\[?[Ss]peaker[_ ]?\d+\]?\s*[:|]?\s*|\p{Lu}[\p{L}.'’]+(?: \p{Lu}?[\p{L}'’]+)?\s*(?:[:|]|\s[=–—-])\s+)", "")
-    rows = rows.select("doc_id", F.explode(F.split(line, r"(?<=[.!?…])\s+|(?<=[。！？])")).alias("unit"))
-    unit = F.regexp_replace(F.lower(F.trim("unit")), r"\d+(?:[.,]\d+)*", "#")
-    unit = F.regexp_replace(unit, r"\b(?:client-side )?(?:java ?script|js|scripts?|scripting)\b", "javascript")  # one token for the tree
-    return rows.select("doc_id", unit.alias("unit")).where(F.length("unit") > 2)
+def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and line, one row per line that is not blank."""
+    rows = documents.where(F.col(text).isNotNull()).select("doc_id", F.explode(F.split(tidy(F.col(text)), _BREAKS)).alias("line"))
+    return rows.where(F.length(F.trim("line")) > 2)
+
+
+def line_units(lines: DataFrame) -> DataFrame:
+    """Adds ``unit``, one row per unit of each line: sentences in lower case, without list marks
+    and labels, numbers as ``#``, names of scripts as one token."""
+    said = F.regexp_replace("line", _HEADS, "")
+    rows = lines.select("*", F.explode(F.split(said, r"(?<=[.!?…])\s+|(?<=[。！？])")).alias("_s"))
+    unit = F.regexp_replace(F.lower(F.trim("_s")), r"\d+(?:[.,]\d+)*", "#")
+    unit = F.regexp_replace(unit, r"\b(?:client-side )?(?:java ?script|js|scripts?|scripting)\b", "javascript")
+    return rows.select(*lines.columns, unit.alias("unit")).where(F.length("unit") > 2)
 
 
 def _signature(unit: Column) -> Column:
@@ -202,12 +219,17 @@ def mined_templates(units: DataFrame) -> DataFrame:
     return shape.groupBy("path").agg(F.array_join(words, " ").alias("template"), F.max("u").alias("units"), F.max("all").alias("copies"))
 
 
-def condemned_units(documents: DataFrame) -> DataFrame:
-    """Distinct units that are filler, error or script notices: unit, verdict."""
-    distinct = units_of(documents).groupBy("unit").agg(F.count(F.lit(1)).alias("copies"))
-    bad = mined_templates(distinct).withColumn("verdict", _verdict("template")).where(F.col("verdict").isNotNull()).select("path", F.col("verdict").alias("leaf_verdict"))
-    members = with_leaf(distinct).join(bad, "path").select("unit")
-    return members.withColumn("verdict", _verdict("unit")).where(F.col("verdict").isNotNull())
+def condemned_lines(documents: DataFrame) -> DataFrame:
+    """Distinct lines with residue: line, reason; a line may have several reasons."""
+    distinct = lines_of(documents).groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+    units = line_units(distinct)
+    counted = units.groupBy("unit").agg(F.sum("copies").alias("copies"))
+    bad = mined_templates(counted).withColumn("verdict", _verdict("template")).where(F.col("verdict").isNotNull()).select("path")
+    members = with_leaf(counted).join(bad, "path").select("unit")
+    condemned = members.withColumn("reason", _verdict("unit")).where(F.col("reason").isNotNull())
+    found = units.join(condemned, "unit").select("line", "reason")
+    slots = distinct.where(F.col("line").rlike(_SLOT_HINT)).where(_has_slot("line")).select("line", F.lit("slot").alias("reason"))
+    return found.unionByName(slots).distinct()
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -217,14 +239,8 @@ def residue(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts hold none. Repeated texts each count. Only doc_id and text
     are read. Documents are not cut: all lines of a text are seen.
     """
-    found = units_of(documents).join(condemned_units(documents), "unit").select("doc_id", F.col("verdict").alias("reason"))
-    slots = (
-        documents.where(F.col("text").rlike(r"[{}\[\]<>()%@«»【】（）]|__"))
-        .select("doc_id", tidy(F.col("text")).alias("text"))
-        .where(_has_slot("text"))
-        .select("doc_id", F.lit("slot").alias("reason"))
-    )
-    return found.unionByName(slots).groupBy("doc_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    found = lines_of(documents).join(condemned_lines(documents), "line")
+    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
