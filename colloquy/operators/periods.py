@@ -21,11 +21,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 TILE_BITS = 20
 _SHIFT = TILE_BITS + 1
 _MASK = (1 << _SHIFT) - 1
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting, as hashing is slower here)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ``known``."""
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
 def dyadic_runs(start: np.ndarray, end: np.ndarray, bits: int = TILE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Runs covered by the half-open intervals [start, end), none of which crosses a
     multiple of 2**bits. Runs are sorted and broken at multiples of 2**bits."""
@@ -35,14 +50,14 @@ def dyadic_runs(start: np.ndarray, end: np.ndarray, bits: int = TILE_BITS) -> tu
         low, high = -((-start) >> level), end >> level
         open_ = low < high
         if level == bits:
-            blocks.append(np.unique(low[open_]))
+            blocks.append(_distinct(low[open_]))
         else:
-            blocks.append(np.unique(np.concatenate([low[open_ & (low & 1 == 1)], high[open_ & (high & 1 == 1)] - 1])) if open_.any() else none)
+            blocks.append(_distinct(np.concatenate([low[open_ & (low & 1 == 1)], high[open_ & (high & 1 == 1)] - 1])) if open_.any() else none)
     # a block under an ancestor adds nothing
     for level in range(bits):
         for above in range(level + 1, bits + 1):
             if len(blocks[level]) and len(blocks[above]):
-                blocks[level] = blocks[level][~np.isin(blocks[level] >> (above - level), blocks[above])]
+                blocks[level] = blocks[level][~_among(blocks[level] >> (above - level), blocks[above])]
     # two siblings are their parent
     for level in range(bits):
         own = blocks[level]
@@ -52,7 +67,7 @@ def dyadic_runs(start: np.ndarray, end: np.ndarray, bits: int = TILE_BITS) -> tu
                 keep = np.ones(len(own), bool)
                 keep[first] = keep[first + 1] = False
                 blocks[level] = own[keep]
-                blocks[level + 1] = np.union1d(blocks[level + 1], own[first] >> 1)
+                blocks[level + 1] = _distinct(np.concatenate([blocks[level + 1], own[first] >> 1]))
     low = np.concatenate([b << level for level, b in enumerate(blocks)])
     high = np.concatenate([(b + 1) << level for level, b in enumerate(blocks)])
     order = np.argsort(low, kind="stable")
@@ -117,6 +132,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
         .agg(F.collect_list(F.shiftleft(low, _SHIFT).bitwiseOR(high)).alias("_spans"))
         .select(*names, "_t", _tile_runs("_spans").alias("_runs"))
     )
+    tiles = cut_lineage(tiles)  # read several times below, made once
     # Tiles wholly inside a long interval: aligned spans, by tile number.
     whole = (
         spans.where(F.col("_last") - F.col("_first") > 1)
@@ -155,13 +171,12 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn("_reach", F.max("e").over(before)).withColumn("_t0", F.lag("_t").over(order))
     edges = edges.withColumn("_new", F.col("_reach").isNull() | (F.col("_reach") < F.col("s"))).withColumn("_island", F.sum(F.col("_new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A period of the edges and the gap before it, if it isn't one within a tile.
     joined = edges.groupBy(*names, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("_new"), F.struct("_reach", "s", "_t", "_t0"))).alias("_f"))
-    between = joined.where(F.col("_f._reach").isNotNull() & ~F.coalesce(F.col("_f._t") == F.col("_f._t0"), F.lit(False)))
-    out = (
-        rows.where("kind <> 'edge'").select(*names, "kind", "s", "e")
-        .unionByName(joined.select(*names, F.lit("period").alias("kind"), "s", "e"))
-        .unionByName(between.select(*names, F.lit("gap").alias("kind"), F.col("_f._reach").alias("s"), F.col("_f.s").alias("e")))
-    )
+    gap = F.col("_f._reach").isNotNull() & ~F.coalesce(F.col("_f._t") == F.col("_f._t0"), F.lit(False))
+    both = F.array(F.when(gap, kind("gap", F.col("_f._reach"), F.col("_f.s"))), kind("period", F.col("s"), F.col("e")))
+    crossing = joined.select(*names, F.inline(F.filter(both, lambda x: x.isNotNull())))
+    out = rows.where("kind <> 'edge'").select(*names, "kind", "s", "e").unionByName(crossing)
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "kind", F.col("s").alias("start"), F.col("e").alias("end"))
 
 
