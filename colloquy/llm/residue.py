@@ -1,7 +1,8 @@
 """Template residue, filler, error pages and script notices in documents.
 
-1. Texts are split into lines, and equal lines are handled once for the whole corpus: they
-   are split into units, the sentences within them.
+1. Texts are split into lines. Lines without a word, sign or repetition that some rule needs
+   cannot be condemned and go no further. Equal lines are handled once for the whole corpus:
+   they are split into units, the sentences within them.
 2. A prefix tree of fixed depth groups units: by evidence signature, token count and the
    first ``DEPTH`` tokens with numbers and slots masked. In each leaf, the token that most
    units hold at a position is constant, others are ``*``: that is the leaf's template.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 #: Tokens of a unit that are levels of the prefix tree.
 DEPTH = 5
 #: A position is constant if one token holds at least this share of its leaf.
@@ -162,6 +165,16 @@ _SLOT_HINT = (
     r"\{\{|\$\{|#\{|%%|%\(|<%|@@|__[A-Za-z]|[\[{<(«【（][^\]})>»】）]{0,40}(?i:"
     + "|".join(sorted(SLOT_NOUNS | SLOT_ASKS)) + "|" + SLOT_ASKS_ZH.pattern + ")"
 )
+#: What a line must hold for any rule on its units: a superset of ERROR, SCRIPTS, FILLER,
+#: REPEATED and ALL_ONE, word by word.
+_EVIDENCE = (
+    r"(?i)error|erreur|fehler|status|http|bad request|unauthori|payment required|forbidden|not found|not allowed|time-?out|timed out|\bgone\b|too many|not implemented|bad gateway|unavailable"
+    r"|denied|refus|verweigert|denegado|permission|berechtigung|autorisation|access|expire|expir|abgelaufen|caducad|server|serveur|servidor|could ?n[o']|can ?n?[o'’]t|does not exist|(?:find|load|display|open) th"
+    r"|removed|available|introuvable|gefunden|encontrada|went wrong|rate limited|not respond|was reset|exception|traceback|\(\w[\w.]*:\d|<h"
+    r"|服务|页面|访问|请求|会话|script|\bjs\b|browser|human|启用|开启|打开|需要"
+    r"|lorem|text|title|content|descri|paragraph|click to|heading|placeholder|dummy|sample|filler|sentence|replace|(?:type|add|enter|insert) (?:an?|your)\b|your|此处|占位|示例|点击"
+    r"|(?<![^\s\p{P}])([^\s\p{P}]{2,20})(?:[\s\p{P}]+\1){2,}(?![^\s\p{P}])"
+)
 _BREAKS = r"[\n\r\u2028\u2029\u0085]+"
 #: List marks, numbers, agenda heads and speaker labels before what a line says.
 _HEADS = (
@@ -177,19 +190,20 @@ def tidy(text: Column) -> Column:
 
 
 def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and line, one row per line that is not blank."""
+    """doc_id, line and key (its md5), one row per line that is not blank."""
     rows = documents.where(F.col(text).isNotNull()).select("doc_id", F.explode(F.split(tidy(F.col(text)), _BREAKS)).alias("line"))
-    return rows.where(F.length(F.trim("line")) > 2)
+    return rows.where(F.length(F.trim("line")) > 2).withColumn("key", F.md5("line"))
 
 
 def line_units(lines: DataFrame) -> DataFrame:
-    """Adds ``unit``, one row per unit of each line: sentences in lower case, without list marks
-    and labels, numbers as ``#``, names of scripts as one token."""
+    """key, copies and unit, one row per unit of each line: sentences in lower case, without
+    list marks and labels, numbers as ``#``, names of scripts as one token. The line itself is
+    not carried along, which a very long one would not survive."""
     said = F.regexp_replace("line", _HEADS, "")
-    rows = lines.select("*", F.explode(F.split(said, r"(?<=[.!?…])\s+|(?<=[。！？])")).alias("_s"))
+    rows = lines.select("key", "copies", F.explode(F.split(said, r"(?<=[.!?…])\s+|(?<=[。！？])")).alias("_s"))
     unit = F.regexp_replace(F.lower(F.trim("_s")), r"\d+(?:[.,]\d+)*", "#")
     unit = F.regexp_replace(unit, r"\b(?:client-side )?(?:java ?script|js|scripts?|scripting)\b", "javascript")
-    return rows.select(*lines.columns, unit.alias("unit")).where(F.length("unit") > 2)
+    return rows.select("key", "copies", unit.alias("unit")).where(F.length("unit") > 2)
 
 
 def _signature(unit: Column) -> Column:
@@ -219,16 +233,21 @@ def mined_templates(units: DataFrame) -> DataFrame:
     return shape.groupBy("path").agg(F.array_join(words, " ").alias("template"), F.max("u").alias("units"), F.max("all").alias("copies"))
 
 
-def condemned_lines(documents: DataFrame) -> DataFrame:
-    """Distinct lines with residue: line, reason; a line may have several reasons."""
-    distinct = lines_of(documents).groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+def candidate_lines(documents: DataFrame) -> DataFrame:
+    """Lines that hold what some rule or slot needs: doc_id, line, key."""
+    return lines_of(documents).where(F.col("line").rlike(_EVIDENCE) | F.col("line").rlike(_SLOT_HINT))
+
+
+def condemned_lines(candidates: DataFrame) -> DataFrame:
+    """Keys of distinct lines with residue, and reasons; a line may have several."""
+    distinct = candidates.groupBy("key", "line").agg(F.count(F.lit(1)).alias("copies"))
     units = line_units(distinct)
     counted = units.groupBy("unit").agg(F.sum("copies").alias("copies"))
     bad = mined_templates(counted).withColumn("verdict", _verdict("template")).where(F.col("verdict").isNotNull()).select("path")
     members = with_leaf(counted).join(bad, "path").select("unit")
     condemned = members.withColumn("reason", _verdict("unit")).where(F.col("reason").isNotNull())
-    found = units.join(condemned, "unit").select("line", "reason")
-    slots = distinct.where(F.col("line").rlike(_SLOT_HINT)).where(_has_slot("line")).select("line", F.lit("slot").alias("reason"))
+    found = units.join(condemned, "unit").select("key", "reason")
+    slots = distinct.where(F.col("line").rlike(_SLOT_HINT)).where(_has_slot("line")).select("key", F.lit("slot").alias("reason"))
     return found.unionByName(slots).distinct()
 
 
@@ -239,7 +258,8 @@ def residue(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts hold none. Repeated texts each count. Only doc_id and text
     are read. Documents are not cut: all lines of a text are seen.
     """
-    found = lines_of(documents).join(condemned_lines(documents), "line")
+    candidates = cut_lineage(candidate_lines(documents))
+    found = candidates.select("doc_id", "key").join(condemned_lines(candidates), "key")
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 

@@ -43,6 +43,15 @@ def test_documents(spark):
     assert clean.columns == df.columns and clean.count() == len(texts) - len(got)
 
 
+def test_evidence_covers_the_rules(spark):
+    """A line that some rule condemns is a candidate."""
+    lines = [t for t in BAD] + ["asdf, asdf, asdf", "blah blah blah", "at viewer.Render.run(Render.java:88)", "Sorry, we could not load that transcript", "请求已超时", "gateway time-out", "Verify that you are human", "Accès refusé", "Add a title"]
+    kept = {r["line"] for r in rs.candidate_lines(docs(spark, lines)).collect()}
+    assert [t for t in lines if t not in kept] == []
+    units = {r["key"]: 1 for r in rs.condemned_lines(rs.candidate_lines(docs(spark, lines))).collect()}
+    assert len(units) == len(lines)
+
+
 def test_rare_lines_in_a_crowded_leaf(spark):
     texts = [f"HTTP {400 + i % 20} - {w} Gateway" for i, w in enumerate(["Round", "Square", "Large", "Bad"] * 30)]
     got = {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()}
