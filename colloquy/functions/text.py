@@ -1,4 +1,5 @@
-"""Text normalisers and token functions as Column expressions, without Python workers.
+"""Text normalisers and token functions as Column expressions, without Python workers but
+for ``casefolded``.
 
 Null in, null out unless a docstring says otherwise. Regular expressions are Java's; where
 word characters are meant in the Unicode sense, ``(?U)`` says so.
@@ -6,8 +7,12 @@ word characters are meant in the Unicode sense, ``(?U)`` says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 HYPHENS = "‐‑‒–—−_"
@@ -169,3 +174,47 @@ def md5_draw(n: Column, *parts: Column) -> Column:
     """A number in 0 .. n - 1 from the md5 of the parts joined by colons."""
     number = F.conv(F.substr(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), F.lit(1), F.lit(8)), 16, 10).cast("long")
     return F.pmod(number, n)
+
+
+def lexemes(text: Column) -> Column:
+    """Term candidates of a text: array of (surface, kind). ``strict``: an acronym of two
+    capitals or more, or letters mixed with digits; ``name_like``: three letters or more with
+    one capital in front, not at the start of a sentence. Notes in braces are not there."""
+    plain = F.regexp_replace(text, r"\{[^}]*\}", " ")
+    tokens = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}'\-]*|[.!?]"), F.lit(0))
+
+    def kind(t: Column, i: Column) -> Column:
+        starts = (i == 0) | F.get(tokens, i - 1).isin(".", "!", "?")
+        strict = t.rlike(r"^\p{Lu}{2,}$") | (t.rlike(r"\p{L}") & t.rlike(r"\p{N}"))
+        name = t.rlike(r"^\p{Lu}\p{Ll}{2,}$") & ~starts
+        return F.struct(t.alias("surface"), F.when(strict, "strict").when(name, "name_like").alias("kind"))
+
+    return F.filter(F.transform(tokens, kind), lambda x: x["kind"].isNotNull())
+
+
+def term_kinds(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per key and surface; a surface that is strict anywhere is strict."""
+    found = rows.select(*keys, F.inline(lexemes(F.col(text))))
+    return found.groupBy(*keys, "surface").agg(F.max(F.col("kind") == "strict").alias("_s"), F.count(F.lit(1)).alias("n")).select(*keys, "surface", F.when(F.col("_s"), "strict").otherwise("name_like").alias("kind"), "n")
+
+
+@F.pandas_udf(T.StringType())
+def casefolded(texts: pd.Series) -> pd.Series:
+    """Compatibility-normalised, case-folded and squeezed: what no built-in function does."""
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+
+# Contractions that are written out.
+CONTRACTIONS = {
+    "can't": "cannot", "won't": "will not", "n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am", "let's": "let us", "it's": "it is", "that's": "that is", "what's": "what is", "there's": "there is", "i'd": "i would",
+}
+
+
+def spoken_form(text: Column) -> Column:
+    """For word error rates: contractions written out (a short table of its own), punctuation as
+    blanks, single letters spelled apart written together, lower case."""
+    out = F.regexp_replace(F.lower(text), "’", "'")
+    for short, full in CONTRACTIONS.items():
+        out = F.regexp_replace(out, (r"\b" if short[0].isalpha() and short != "n't" else "") + short + r"\b", full)
+    out = squeezed(F.regexp_replace(out, r"(?U)[^\w\s]", " "))
+    return F.regexp_replace(out, r"(?<=\b[a-z]) (?=[a-z]\b)", "")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .overlaps import overlap_join
 from .periods import speaking_periods
 
@@ -150,14 +151,25 @@ def error_rate(missed: Column, false_alarm: Column, confusion: Column, total: Co
 
 
 def meeting_scores(segments: DataFrame, conventions: tuple[tuple[str, int, bool], ...] = (("full", 0, False), ("forgiving", 250, True))) -> DataFrame:
-    """Per meeting and convention (name, collar, overlap skipped): times and ``der``."""
-    periods = side_periods(segments)
+    """Per meeting and convention (name, collar, overlap skipped): times and ``der``.
+
+    Conventions with a collar share one; all are summed over the same elementary intervals
+    in one pass. A meeting has a row for each convention, of zeros where nothing is scored."""
+    collars = {c for _, c, _ in conventions if c}
+    if len(collars) > 1:
+        raise ValueError("conventions with different collars need a sweep each")
+    periods = cut_lineage(side_periods(segments))  # read for the mapping and for the sweep
     matched = matched_spans(periods, speaker_mapping(speaker_overlap(periods)))
-    parts = None
+    elements = elementary(periods, matched, max(collars, default=0))
+    r, h, m, ms = (F.col(c) for c in ("n_ref", "n_hyp", "n_match", "ms"))
+    kinds = {"total_ms": r, "missed_ms": F.greatest(r - h, F.lit(0)), "false_alarm_ms": F.greatest(h - r, F.lit(0)), "confusion_ms": F.least(r, h) - m, "correct_ms": m}
+    sums, cells = [], []
     for name, collar, skip in conventions:
-        rows = error_times(elementary(periods, matched, collar), skip).withColumn("convention", F.lit(name))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.withColumn("der", error_rate(F.col("missed_ms"), F.col("false_alarm_ms"), F.col("confusion_ms"), F.col("total_ms")))
+        scored = (F.col("n_collar") == 0 if collar else F.lit(True)) & (r <= 1 if skip else F.lit(True))
+        sums += [F.coalesce(F.sum(F.when(scored, x * ms)), F.lit(0)).alias(f"{name}_{k}") for k, x in kinds.items()]
+        cells.append(F.struct(F.lit(name).alias("convention"), *[F.col(f"{name}_{k}").alias(k) for k in kinds]))
+    rows = elements.groupBy("meeting_id").agg(*sums).select("meeting_id", F.inline(F.array(*cells)))
+    return rows.withColumn("der", error_rate(F.col("missed_ms"), F.col("false_alarm_ms"), F.col("confusion_ms"), F.col("total_ms")))
 
 
 def pooled(scores: DataFrame) -> DataFrame:
@@ -170,8 +182,8 @@ def pooled(scores: DataFrame) -> DataFrame:
 def jaccard_errors(segments: DataFrame) -> DataFrame:
     """Per meeting the unweighted mean over reference speakers of one minus the Jaccard index
     with the mapped speaker; 1.0 for an unmapped one."""
-    periods = side_periods(segments)
-    overlap = speaker_overlap(periods)
+    periods = cut_lineage(side_periods(segments))
+    overlap = cut_lineage(speaker_overlap(periods))
     mapping = speaker_mapping(overlap)
     length = periods.groupBy("meeting_id", "side", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("ms"))
     ref = length.where("side = 'ref'").select("meeting_id", F.col("speaker").alias("ref_speaker"), F.col("ms").alias("r_ms"))

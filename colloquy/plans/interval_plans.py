@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diarization, overlaps, slicing
 from ..operators.periods import rounded_ms
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import lines
 from .data_quality import _PERIODS
 from .registry import Registry
@@ -76,7 +76,7 @@ def jaccard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT lo.meeting_id, lo.moment AS "at", least(lo.moment - lo.h, hi.h - hi.moment) AS distance FROM lo JOIN hi USING (meeting_id, moment)""",
 )
 def boundary_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _periods(spark, sf_dir).select("meeting_id", "side", F.explode(F.array("s", "e")).alias("at"))
+    points = cut_lineage(_periods(spark, sf_dir).select("meeting_id", "side", F.explode(F.array("s", "e")).alias("at")))
     side = lambda x: points.where(F.col("side") == x).drop("side")
     return overlaps.nearest(side("ref"), side("hyp"), "meeting_id", "at")
 

@@ -85,6 +85,14 @@ def test_miners(spark):
     assert one(spark, text.tag_runs(F.col("a"), F.col("b")), a=["x", "the", "cat", "y", "z"], b=["O", "B", "I", "O", "B"]) == ["the cat", "z"]
 
 
+def test_terms_and_forms(spark):
+    df = spark.createDataFrame([(1, "Anna met Tom. The X2 plan, NASA {Bob} said Tom"), (2, "tom"), (3, None)], "id int, t string")
+    got = {(r["id"], r["surface"]): (r["kind"], r["n"]) for r in text.term_kinds(df, ["id"], "t").collect()}
+    assert got == {(1, "Tom"): ("name_like", 2), (1, "X2"): ("strict", 1), (1, "NASA"): ("strict", 1)}
+    assert one(spark, text.casefolded("t"), t="  Straße Ｘ\u00a0y ") == "strasse x y"
+    assert one(spark, text.spoken_form(F.col("t")), t="I can't, it's A B C; we've 2") == "i cannot it is abc we have 2"
+
+
 def test_folds_and_draws(spark):
     import hashlib
 
