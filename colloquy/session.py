@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +32,29 @@ def build_session(app: str = "colloquy", cores: str = "*", shuffle_partitions: i
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once a context, so that a cluster needs no copy
+    of it. The archive is staged on the driver only; Spark hands it out."""
+    context = spark.sparkContext
+    if getattr(context, "_colloquy_shipped", False):
+        return
+    context._colloquy_shipped = True
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="colloquy-package-")) / "colloquy.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data directory."""
+    """One table of a data directory; the package goes to the workers with the first one."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
