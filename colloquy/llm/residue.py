@@ -17,6 +17,7 @@ Verdicts go from units to lines and from lines to documents.
 from __future__ import annotations
 
 import re
+from http import HTTPStatus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,14 +89,23 @@ def has_slot(text: str) -> bool:
     return False
 
 
-_STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|(?:page |resource |file )?not found|method not allowed|request time-?out|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|unavailable for legal reasons|(?:page|resource) (?:gone|unavailable))"
+#: Phrases of error status codes, from the standard library, and other wordings of them.
+_PHRASES = sorted(
+    {x.phrase.lower().replace("'", "['’]") for x in HTTPStatus if x >= 400}
+    | set("request entity too large,request-uri too long,unprocessable entity,requested range not satisfiable,service temporarily unavailable,request time-?out,gateway time-?out,unauthori[sz]ed".split(","))
+    | set("page not found,resource not found,file not found,page gone,resource gone,page unavailable,resource unavailable".split(",")),
+    key=lambda x: (-len(x), x),
+)
+_STATUS = "(?:" + "|".join(_PHRASES) + ")"
+#: Without a code, a single word is a message only if it says nothing else.
+_BARE = "(?:" + "|".join(x for x in _PHRASES if " " in x or x in ("forbidden", "unauthori[sz]ed", "unauthorized")) + ")"
 _SCRIPT = r"(?:java ?script|\bjs\b|\bscripts?\b|\bscripting\b)"
 #: Whole units, in lower case, with numbers as #.
 ERROR = re.compile(
-    rf"^(?:http(?:/#)?|status|error|erreur|fehler)?\W*#\W*{_STATUS}\b"
+    rf"^(?:http(?:/#)?|status|error|erreur|fehler)\W*#\W*{_STATUS}\b|^#\W*{_BARE}\b|^#\W*{_STATUS}\W*(?:$|(?:please|try|go|return|contact|reload|back)\b)"
     r"|^(?:http )?(?:error|status|erreur|fehler) ?(?:code)?:? ?#\W*$"
     r"|^(?:http )?(?:erreur|fehler|error) # ?[:–-] ?\S"
-    rf"|^{_STATUS}\W*#?\W*(?:$|(?:please|try|go|return|contact|reload|back)\b)|^#\W*that['’]s an error|^that['’]s an error\W*$"
+    rf"|^{_STATUS}\W*#\W*$|^{_BARE}\W*#?\W*(?:$|(?:please|try|go|return|contact|reload|back)\b)|^#\W*that['’]s an error|^that['’]s an error\W*$"
     r"|^(?:access denied|accès refusé|zugriff verweigert|acceso denegado)\W*$"
     r"|^(?:you|sie|vous) (?:don['’]t|do not|haben keine|n['’]avez pas).{0,12}(?:permission|berechtigung|autorisation|access)"
     r"|^(?:your|ihre|votre|su) (?:session|sitzung|sesión) (?:has expired|ist abgelaufen|a expiré|ha caducado|ha expirado)"
@@ -168,7 +178,7 @@ _SLOT_HINT = (
 #: What a line must hold for any rule on its units: a superset of ERROR, SCRIPTS, FILLER,
 #: REPEATED and ALL_ONE, word by word.
 _EVIDENCE = (
-    r"(?i)error|erreur|fehler|status|http|bad request|unauthori|payment required|forbidden|not found|not allowed|time-?out|timed out|\bgone\b|too many|not implemented|bad gateway|unavailable"
+    r"(?i)error|erreur|fehler|status|http|" + "|".join(_PHRASES) + r"|not found|not allowed|time-?out|timed out|\bgone\b|too many|bad gateway|unavailable"
     r"|denied|refus|verweigert|denegado|permission|berechtigung|autorisation|access|expire|expir|abgelaufen|caducad|server|serveur|servidor|could ?n[o']|can ?n?[o'’]t|does not exist|(?:find|load|display|open) th"
     r"|removed|available|introuvable|gefunden|encontrada|went wrong|rate limited|not respond|was reset|exception|traceback|\(\w[\w.]*:\d|<h"
     r"|服务|页面|访问|请求|会话|script|\bjs\b|browser|human|启用|开启|打开|需要"

@@ -11,10 +11,10 @@ NO_SLOTS = ['The template field "{{client_name}}" will be renamed', "{x | x > 0}
 BAD = ["404 Not Found", "HTTP 502 - Bad Gateway", "Status: 408 Request Timeout", "ERROR 502", "Access Denied", "Zugriff verweigert. Ihre Sitzung ist abgelaufen.", "Erreur 503 : service momentanément indisponible.", "429. That's an error.",
        "Oops! We can't find the page you are looking for.", "java.lang.IllegalStateException: renderer failed", '{"error": {"code": 503, "message": "x"}}', "页面不存在。", "Please enable JavaScript to view this transcript.", "This viewer requires scripts.",
        "Enable cookies and JavaScript, then refresh.", "Bitte aktivieren Sie JavaScript in Ihrem Browser, um das Protokoll anzuzeigen.", "To continue, switch on JS in your browser settings.", "Lorem ipsum vexil orbum", "xxx xxx xxx xxx xxx xxx", "Click to add title",
-       "Your text here. Your text here.", "此处为占位文字。", "请启用浏览器的JavaScript功能", "Heading 2", "Anna: 500 Internal Server Error", "We met. 404 Not Found"]
+       "Your text here. Your text here.", "此处为占位文字。", "请启用浏览器的JavaScript功能", "Heading 2", "Anna: 500 Internal Server Error", "We met. 404 Not Found", "507 Insufficient Storage", "Insufficient Storage (507)", "HTTP 423 - Locked", "Unprocessable Entity", "Gone (410)"]
 GOOD = ["Page 404 of the binder was not found in the archive.", "Error rates dropped to 500 per million.", "We discussed whether the viewer may require JavaScript; legal agreed.", "so users without scripts get a blank page, that was the complaint",
         "The mock-up still showed lorem ipsum and nobody noticed.", "She asked why access was denied to the office.", "for everyone who gets 'service unavailable' in town", "Someone typed 'test test test' into the field.", "Menu", "Search",
-        "Placeholder names in the forms, such as 'Your Name', should be grey.", "The internal server had an error on Monday, the minutes were typed by hand", "no no no wait", "um um um", "The script was read aloud.", "Problems", "10 10 10 10 10 10"]
+        "Placeholder names in the forms, such as 'Your Name', should be grey.", "The internal server had an error on Monday, the minutes were typed by hand", "no no no wait", "um um um", "The script was read aloud.", "Problems", "Conflict", "Locked", "12 locked doors were found", "10 10 10 10 10 10"]
 
 
 @pytest.mark.parametrize("text", SLOTS)
