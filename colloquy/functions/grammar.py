@@ -78,3 +78,11 @@ def answers(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     rows = df.where(F.col(text).isNotNull()).select(*keys, lines.alias("_l"), strict.alias("_s"), abstains.alias("_a"), found.alias("answers"))
     mode = F.when((F.size("_s") > 0) | F.col("_a"), "strict").when(F.size("answers") > 0, "lenient").otherwise("failed")
     return rows.select(*keys, "answers", ((F.size("answers") == 0) & F.col("_a")).alias("abstained"), mode.alias("mode"))
+
+
+def section_texts(bullets: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Bullets (key, section, body and the order columns) of several replies as one text per
+    section, in order, a line each: key, section, n, text."""
+    item = F.struct(*order, "body")
+    rows = bullets.groupBy(key, "section").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("_b"))
+    return rows.select(key, "section", "n", F.array_join(F.transform("_b", lambda x: x["body"]), "\n").alias("text"))

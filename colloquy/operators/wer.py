@@ -168,3 +168,39 @@ def lcs_length(a: Column, b: Column) -> Column:
         return F.when(F.size(b) == 0, zero).otherwise(filled)
 
     return F.element_at(F.aggregate(a, zero, next_row), -1)
+
+
+Segment = tuple[float, float, list[str]]
+
+
+def tcp_errors(ref: list[list[Segment]], hyp: list[list[Segment]], collar: float = 5.0) -> int:
+    """Time-constrained ``cp_errors``: streams of segments (start, end, words) in order of their
+    starts; words are timed by their length, and only words within the collar may be aligned."""
+
+    def timed(stream: list[Segment]) -> tuple[list[str], list[tuple[float, float]]]:
+        own = sorted(stream, key=lambda s: s[:2])
+        return [w for s in own for w in s[2]], [t for s in own for t in word_times(*s)]
+
+    a, b = [timed(s) for s in ref], [timed(s) for s in hyp]
+    n = max(len(a), len(b))
+    if not n:
+        return 0
+    none: tuple[list[str], list] = ([], [])
+    cost = np.zeros((n, n))
+    for i in range(n):
+        for j in range(n):
+            (x, tx), (y, ty) = a[i] if i < len(a) else none, b[j] if j < len(b) else none
+            cost[i, j] = distance(x, y, within_collar(tx, ty, collar)) if x and y else len(x) + len(y)
+    pairs = assignment(cost.max() + 1 - cost)
+    return int(sum(cost[i, j] for i, j in pairs))
+
+
+def confusion_cost(speaker_aware: Column, speaker_free: Column) -> Column:
+    """What wrong speakers cost: the difference of two error counts on the same pair."""
+    return speaker_aware - speaker_free
+
+
+def slice_outcome(ref_words: Column, hyp_words: Column, cells: Column) -> Column:
+    """How a slice is scored, first that holds: ``no_reference`` (null score), ``no_hypothesis``
+    (1.0), ``refused`` (the search is too large) or ``scored``."""
+    return F.when(ref_words == 0, "no_reference").when(hyp_words == 0, "no_hypothesis").when(cells > MOST_CELLS, "refused").otherwise("scored")

@@ -156,3 +156,21 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.rttm_lines(rows.where("end_s - start_s >= 0.001"), "file", "start_s", "end_s", "speaker")  # shorter ones have no length in a line
     back = lines.parse_rttm(made.select("value"))
     return back.groupBy("file_id", F.round(F.col("start_s") * 1000).cast("long").alias("onset_ms")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.query(
+    "slice_words",
+    f"""WITH {_TURNS_MS}, said AS (SELECT uniq_id, turn_index, min(reference_text) AS x FROM score_turns GROUP BY ALL), w AS (SELECT tt.uniq_id, s2, e2, len(regexp_extract_all(lower(x), '[a-z0-9]+')) AS n FROM tt JOIN said USING (uniq_id, turn_index) WHERE s2 < e2 AND length(trim(x)) > 0),
+    k AS (SELECT *, unnest(range(s2 // 90000, (e2 - 1) // 90000 + 1)) AS slice_no FROM w)
+    SELECT uniq_id, slice_no, count(*) AS turns, CAST(sum(n) AS BIGINT) AS words, CAST(sum(least(e2, (slice_no + 1) * 90000) - greatest(s2, slice_no * 90000)) AS BIGINT) AS ms FROM k GROUP BY ALL""",
+)
+def slice_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference words of each 90 s slice: times are clipped to the slice, texts are not, so a
+    turn over an edge counts its words on both sides."""
+    said = table(spark, sf_dir, "score_turns").groupBy("uniq_id", "turn_index").agg(F.min("reference_text").alias("x")).where(F.length(F.trim("x")) > 0)
+    rows = _turns_ms(spark, sf_dir).where("s2 < e2").join(said, ["uniq_id", "turn_index"])
+    rows = rows.withColumn("slice_no", F.explode(F.sequence(F.floor(F.col("s2") / 90_000), F.floor((F.col("e2") - 1) / 90_000))))
+    s = F.col("slice_no") * 90_000
+    ms = F.least("e2", s + 90_000) - F.greatest("s2", s)
+    words = F.size(F.regexp_extract_all(F.lower("x"), F.lit("[a-z0-9]+"), F.lit(0)))
+    return rows.groupBy("uniq_id", "slice_no").agg(F.count(F.lit(1)).alias("turns"), F.sum(words).alias("words"), F.sum(ms).alias("ms"))

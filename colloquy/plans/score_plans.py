@@ -157,3 +157,30 @@ def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of scenarios; reads no table."""
     grid = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.03, 0.05, 0.08)])).alias("mde")).select("mde", F.explode(F.array(F.lit(0.2), F.lit(0.3))).alias("discordance"))
     return grid.withColumn("mentions", statistics.paired_size(F.col("mde"), F.col("discordance"), F.lit(1.5)))
+
+
+@registry.query(
+    "paired_dialogues",
+    _KEPT
+    + """, v AS (SELECT arm, uniq_id, sum(wer_errors) / nullif(sum(wer_tokens), 0) AS x FROM m1 GROUP BY ALL), a AS (SELECT uniq_id, x FROM v WHERE arm = 'd0-global'), b AS (SELECT uniq_id, x FROM v WHERE arm = 'd1-speaker')
+    SELECT uniq_id, round(b.x - a.x, 6) AS gap, a.x IS NULL OR b.x IS NULL AS dropped FROM a FULL JOIN b USING (uniq_id)""",
+)
+def paired_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of the arms' word error rates per dialogue; dialogues without both are marked."""
+    v = messages(spark, sf_dir).groupBy("arm", "uniq_id").agg(F.try_divide(F.sum("wer_errors").cast("double"), F.sum("wer_tokens").cast("double")).alias("x"))
+    a, b = (v.where(F.col("arm") == arm).select("uniq_id", F.col("x").alias(n)) for arm, n in zip(ARMS, "ab"))
+    rows = a.join(b, "uniq_id", "full")
+    return rows.select("uniq_id", F.round(F.col("b") - F.col("a"), 6).alias("gap"), (F.col("a").isNull() | F.col("b").isNull()).alias("dropped"))
+
+
+@registry.query(
+    "prevalence",
+    _KEPT
+    + """, d AS (SELECT uniq_id, count_if(carry_total > 0) > 0 AS usable, count_if(carry_hits > 0) > 0 AS positive FROM m1 GROUP BY uniq_id)
+    SELECT count(*) AS dialogues, count_if(usable) AS usable, count_if(usable AND positive) AS positive, round(count_if(usable AND positive) / nullif(count_if(usable), 0), 6) AS share FROM d""",
+)
+def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues in which a term could be carried, and in which one was."""
+    per = messages(spark, sf_dir).groupBy("uniq_id").agg((F.count_if(F.col("carry_total") > 0) > 0).alias("u"), (F.count_if(F.col("carry_hits") > 0) > 0).alias("p"))
+    both = F.count_if(F.col("u") & F.col("p"))
+    return per.agg(F.count(F.lit(1)).alias("dialogues"), F.count_if("u").alias("usable"), both.alias("positive"), scoring.ratio(both, F.count_if("u")).alias("share"))

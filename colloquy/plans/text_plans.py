@@ -169,3 +169,14 @@ def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = ref.where(number(F.col("speaker_id")).isNotNull()).select("session", number(F.col("speaker_id")).cast("int").alias("speaker"), F.col("turn_index").alias("ordinal"), text.word_tokens(F.col("reference_text")).alias("words"))
     hyp = asked.where(number(F.col("speaker")).isNotNull()).select(F.col("request_id").alias("session"), number(F.col("speaker")).cast("int").alias("speaker"), F.col("seg_ord").alias("ordinal"), text.word_tokens(F.col("text")).alias("words"))
     return wer.cp_wer(ref.where("words is not null").distinct(), hyp.where("words is not null").distinct())
+
+
+@registry.query(
+    "repeated_terms",
+    f"WITH {TURNS}, w AS (SELECT uniq_id, unnest(list_filter(string_split(said, ' '), lambda x: regexp_full_match(x, '[a-z]{{4,}}'))) AS term FROM t WHERE said IS NOT NULL) SELECT uniq_id, term, count(*) AS n FROM w WHERE term NOT IN ('that', 'this', 'with', 'from', 'have', 'they', 'were', 'will', 'what') GROUP BY ALL HAVING count(*) >= 2",
+)
+def repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-case words of four letters or more, no stop words, that a dialogue says twice."""
+    words = turns(spark, sf_dir).select("uniq_id", F.explode(F.filter(F.split("said", " "), lambda x: x.rlike("^[a-z]{4,}$"))).alias("term"))
+    kept = words.where(~F.col("term").isin("that", "this", "with", "from", "have", "they", "were", "will", "what"))
+    return kept.groupBy("uniq_id", "term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")

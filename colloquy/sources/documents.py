@@ -119,3 +119,27 @@ def lock_breaks(files: DataFrame, expected: DataFrame, tolerance: int = 4_096) -
     rows = expected.select("name", F.col("bytes").alias("expected")).join(files.select("name", "bytes"), "name", "full")
     state = F.when(F.col("bytes").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.abs(F.col("bytes") - F.col("expected")) > tolerance, "size")
     return rows.withColumn("problem", state).where(F.col("problem").isNotNull())
+
+
+@F.pandas_udf(T.BinaryType())
+def wave_slice(content: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    """PCM wave files cut to [start, end) seconds, clipped to the file; null where a file is no
+    wave or nothing is left."""
+
+    def cut(data: bytes | None, a: float, b: float) -> bytes | None:
+        try:
+            with wave.open(io.BytesIO(data)) as w:
+                rate = w.getframerate()
+                first, last = max(0, round(a * rate)), min(w.getnframes(), round(b * rate))
+                if last <= first:
+                    return None
+                w.setpos(first)
+                out = io.BytesIO()
+                with wave.open(out, "wb") as o:
+                    o.setparams(w.getparams())
+                    o.writeframes(w.readframes(last - first))
+                return out.getvalue()
+        except (wave.Error, EOFError, TypeError, ValueError):
+            return None
+
+    return pd.Series([cut(c, a, b) for c, a, b in zip(content, start, end)], dtype=object)

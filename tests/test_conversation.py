@@ -157,6 +157,18 @@ def test_word_errors():
     assert wer.word_times(0, 4, ["ab", "cd"]) == [(0, 2.0), (2.0, 4.0)]
 
 
+def test_time_constrained_errors():
+    ref = [[(0.0, 2.0, ["a", "b"])], [(3.0, 4.0, ["c"])]]
+    assert wer.tcp_errors(ref, [[(3.0, 4.0, ["c"])], [(0.0, 2.0, ["a", "b"])]]) == 0
+    assert wer.tcp_errors(ref, [[(60.0, 62.0, ["a", "b"])], [(3.0, 4.0, ["c"])]]) == 4  # right words, wrong time
+    assert wer.tcp_errors([], [[(0.0, 1.0, ["x"])]]) == 1 and wer.tcp_errors([], []) == 0
+
+
+def test_slice_outcomes(spark):
+    df = spark.createDataFrame([(0, 3, 1.0), (2, 0, 1.0), (2, 2, 3e9), (2, 2, 5.0)], "r int, h int, c double")
+    assert [r["o"] for r in df.select(wer.slice_outcome(F.col("r"), F.col("h"), F.col("c")).alias("o")).collect()] == ["no_reference", "no_hypothesis", "refused", "scored"]
+
+
 def test_speaker_word_errors(spark):
     ref = spark.createDataFrame([("s", 0, 1, ["b"]), ("s", 0, 0, ["a"]), ("s", 1, 2, ["c"]), ("t", 0, 0, ["x"])], "session string, speaker int, ordinal int, words array<string>")
     hyp = spark.createDataFrame([("s", 5, 0, ["c"]), ("s", 6, 0, ["a", "b"]), ("u", 1, 0, ["y"])], ref.schema)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators.carry import carry_accounting
-from colloquy.sources import documents, lines, standoff
+from colloquy.functions import grammar
+from colloquy.sources import documents, lines, manifests, standoff
 from colloquy.streaming import episodes
 
 NITE = 'xmlns:nite="http://nite.sourceforge.net/"'
@@ -124,6 +125,42 @@ def test_archives_and_audio(spark, tmp_path):
     assert {r["name"]: r["problem"] for r in documents.lock_breaks(got, expected).collect()} == {"a.wav": "size", "b.wav": "unexpected", "c.wav": "missing"}
 
 
+def test_slices_of_audio(spark):
+    data = io.BytesIO()
+    with wave.open(data, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(1_000), w.writeframes(b"\1\0" * 3_000)
+    rows = [(data.getvalue(), 0.5, 1.5), (data.getvalue(), 2.5, 9.0), (data.getvalue(), 5.0, 6.0), (b"x", 0.0, 1.0), (None, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "c binary, a double, b double").select(documents.wave_slice("c", "a", "b").alias("s"))
+    assert [r["n"] for r in df.select(documents.wave_seconds("s").alias("n")).collect()] == [1.0, 0.5, None, None, None]
+
+
+def test_manifests(spark, tmp_path):
+    path = str(tmp_path / "m.json")
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
+    made = manifests.write_manifest(df, path, "v1")
+    assert manifests.load_manifest(path, "v1") == made and [r["k"] for r in made["rows"]] == ["a", "b"]
+    assert manifests.content_hash({"b": 1, "a": "é"}) == __import__("hashlib").sha256(b'{"a":"\\u00e9","b":1}').hexdigest()
+    with pytest.raises(FileExistsError):
+        manifests.write_manifest(df, path, "v1")
+    with pytest.raises(ValueError, match="version"):
+        manifests.load_manifest(path, "v2")
+    text = (tmp_path / "m.json").read_text()
+    (tmp_path / "m.json").write_text(text.replace('"n": 2', '"n": 3'))
+    with pytest.raises(ValueError, match="hashed"):
+        manifests.load_manifest(path, "v1")
+    (tmp_path / "m.json").write_text('{"a": 1, "a": 2}')
+    with pytest.raises(ValueError, match="twice"):
+        manifests.load_manifest(path, "v1")
+    files = spark.createDataFrame([("a.wav",)], "name string")
+    assert [r["k"] for r in manifests.missing_files(df, "k", files, "{id}.wav").collect()] == ["b"]
+
+
+def test_section_texts(spark):
+    rows = [("m", "ACTIONS", 1, 0, "second"), ("m", "ACTIONS", 0, 1, "first b"), ("m", "ACTIONS", 0, 0, "first a"), ("m", "PROBLEMS", 0, 0, "p")]
+    df = spark.createDataFrame(rows, "meeting string, section string, seq int, n int, body string")
+    assert {r["section"]: (r["n"], r["text"]) for r in grammar.section_texts(df, "meeting", ["seq", "n"]).collect()} == {"ACTIONS": (3, "first a\nfirst b\nsecond"), "PROBLEMS": (1, "p")}
+
+
 def test_episode_stream_equals_batch(spark, tmp_path):
     units = [(m, p, "s", w) for m in ("m", "n") for p, words in enumerate(("ab", "bc", "", "cad")) for w in words]
     batch = spark.createDataFrame(units, "meeting string, position bigint, speaker string, surface string")
