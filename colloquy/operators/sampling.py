@@ -18,6 +18,17 @@ def capped(df: DataFrame, identifier: str, seed: str, most: int) -> DataFrame:
     return df.withColumn("_d", draw(seed, F.col(identifier))).orderBy("_d", identifier).limit(most).drop("_d")
 
 
+def hashed_head(df: DataFrame, column: str, most: int, rows: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of a column, out of about ``rows``.
+
+    A threshold on the hash leaves some twice as many before anything is sorted, so that no
+    partition sends its own ``most`` rows to the driver. Ties are by the column."""
+    scale = 1 << 20
+    share = min(scale, -(-2 * most * scale // max(rows, 1)))
+    digest = F.xxhash64(F.lit("head"), F.col(column))
+    return df.where(F.pmod(digest, F.lit(scale)) < share).orderBy(digest, column).limit(most)
+
+
 def derangement(ids: DataFrame, identifier: str, seed: str, within: list[str]) -> DataFrame:
     """A partner for each id that is not itself: the next in hash order of its group, the
     first for the last. Groups of one have no partner (null)."""

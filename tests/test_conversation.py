@@ -229,6 +229,13 @@ def test_samples_do_not_depend_on_partitions(spark):
         assert sum(r["m"] for r in kept) >= 20 and sum(r["m"] for r in kept) - max(kept, key=lambda r: r["upto"])["m"] < 20
 
 
+def test_hashed_head(spark):
+    df = spark.createDataFrame([(f"t{i}",) for i in range(5_000)], "t string")
+    one, two = (sorted(r["t"] for r in sampling.hashed_head(d, "t", 40, 5_000).collect()) for d in (df.coalesce(1), df.repartition(9)))
+    assert one == two and len(one) == 40
+    assert sampling.hashed_head(df, "t", 40, 10).count() == 40 and sampling.hashed_head(df.limit(0), "t", 4, 0).count() == 0
+
+
 def test_faults(spark):
     rows = [("ok", "a", 0, 0.0, 1.0), ("ok", "a", 1, 1.0, 2.0), ("zero", "a", 0, 0.0, 0.0), ("pair", "a", 0, 1.0, 2.0), ("pair", "b", 1, 1.0, 2.0), ("back", "a", 0, 5.0, 6.0), ("back", "a", 1, 1.0, 2.0), ("rev", "a", 0, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "s string, who string, n int, a double, b double")
