@@ -19,14 +19,15 @@ def capped(df: DataFrame, identifier: str, seed: str, most: int) -> DataFrame:
 
 
 def hashed_head(df: DataFrame, column: str, most: int, rows: int) -> DataFrame:
-    """The ``most`` rows with the least hashes of a column, out of about ``rows``.
+    """The ``most`` distinct values of a column with the least hashes, out of about ``rows``.
 
-    A threshold on the hash leaves some twice as many before anything is sorted, so that no
-    partition sends its own ``most`` rows to the driver. Ties are by the column."""
+    A threshold on the hash leaves some twice as many before anything is shuffled or sorted,
+    so that no partition sends its own ``most`` values to the driver, and repeated values do
+    not crowd out others. Of much repeated columns the result may be smaller."""
     scale = 1 << 20
     share = min(scale, -(-2 * most * scale // max(rows, 1)))
     digest = F.xxhash64(F.lit("head"), F.col(column))
-    return df.where(F.pmod(digest, F.lit(scale)) < share).orderBy(digest, column).limit(most)
+    return df.where(F.pmod(digest, F.lit(scale)) < share).select(column).distinct().orderBy(digest, column).limit(most)
 
 
 def derangement(ids: DataFrame, identifier: str, seed: str, within: list[str]) -> DataFrame:
