@@ -25,7 +25,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carry.term_units(rows, F.col("uniq_id"), F.col("turn_index"), F.col("speaker"), F.regexp_extract_all(F.lower("said"), F.lit(TERMS), F.lit(0)))
 
 
-@registry.query("carry_census", _CENSUS + " SELECT meeting, count_if(kind = 'exclusive') AS exclusive, count_if(kind = 'global_only') AS global_only, count_if(kind = 'new') AS new, count_if(kind = 'shared') AS shared FROM c GROUP BY meeting")
+@registry.query("carry_census", _CENSUS + " SELECT meeting, count(*) FILTER (WHERE kind = 'exclusive') AS exclusive, count(*) FILTER (WHERE kind = 'global_only') AS global_only, count(*) FILTER (WHERE kind = 'new') AS new, count(*) FILTER (WHERE kind = 'shared') AS shared FROM c GROUP BY meeting")
 def carry_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carry.census_counts(carry.census(units(spark, sf_dir)))
 
@@ -33,7 +33,7 @@ def carry_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     "carry_supply",
     _CENSUS
-    + """, m AS (SELECT meeting, count_if(kind = 'exclusive') AS n FROM c GROUP BY meeting), s AS (SELECT surface, count(*) AS k FROM c WHERE kind = 'exclusive' GROUP BY surface), v AS (SELECT list_sort(list(n)) AS l FROM m)
+    + """, m AS (SELECT meeting, count(*) FILTER (WHERE kind = 'exclusive') AS n FROM c GROUP BY meeting), s AS (SELECT surface, count(*) AS k FROM c WHERE kind = 'exclusive' GROUP BY surface), v AS (SELECT list_sort(list(n)) AS l FROM m)
     SELECT (SELECT count(*) FROM m) AS meetings, (SELECT CAST(sum(n) AS BIGINT) FROM m) AS units, l[CAST(round_even((len(l) - 1) * 0.25, 0) AS INT) + 1] AS q1, l[CAST(round_even((len(l) - 1) * 0.5, 0) AS INT) + 1] AS median,
       l[CAST(round_even((len(l) - 1) * 0.75, 0) AS INT) + 1] AS q3, round(coalesce((SELECT max(k) FROM s) / (SELECT sum(n) FROM m), 0.0), 6) AS max_share FROM v""",
 )
@@ -45,7 +45,7 @@ _BINS = f"""WITH {TURNS}, b AS (SELECT uniq_id, turn_index, CAST(floor(min(start
 u AS (SELECT DISTINCT t.uniq_id AS meeting, b.bin AS position, coalesce(t.speaker, '') AS speaker, unnest(regexp_extract_all(lower(t.said), '{TERMS}')) AS surface FROM t JOIN b USING (uniq_id, turn_index))"""
 
 
-@registry.query("carry_census_bins", _BINS + _CENSUS[len(_UNITS) :] + " SELECT meeting, count_if(kind = 'exclusive') AS exclusive, count_if(kind = 'global_only') AS global_only, count_if(kind = 'new') AS new, count_if(kind = 'shared') AS shared FROM c GROUP BY meeting")
+@registry.query("carry_census_bins", _BINS + _CENSUS[len(_UNITS) :] + " SELECT meeting, count(*) FILTER (WHERE kind = 'exclusive') AS exclusive, count(*) FILTER (WHERE kind = 'global_only') AS global_only, count(*) FILTER (WHERE kind = 'new') AS new, count(*) FILTER (WHERE kind = 'shared') AS shared FROM c GROUP BY meeting")
 def carry_census_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The census over 90 s bins: what is said in one bin does not know itself."""
     times = table(spark, sf_dir, "runtime_turns").where(~F.isnan("start_s") & F.col("start_s").isNotNull())
@@ -58,7 +58,7 @@ def carry_census_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     "prior_terms",
     _UNITS
     + """, r AS (SELECT *, row_number() OVER w - 1 AS evidence, position - lag(position) OVER w AS gap FROM u WINDOW w AS (PARTITION BY meeting, surface, speaker ORDER BY position))
-    SELECT meeting, surface, speaker, position, evidence, gap FROM r WHERE evidence > 0""",
+    SELECT meeting, surface, speaker, position, CAST(evidence AS INT) AS evidence, gap FROM r WHERE evidence > 0""",
 )
 def prior_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carry.prior_terms(units(spark, sf_dir))
@@ -68,7 +68,7 @@ def prior_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     "prior_terms_of_anyone",
     _UNITS
     + """, d AS (SELECT DISTINCT meeting, surface, position FROM u), r AS (SELECT *, row_number() OVER w - 1 AS evidence, position - lag(position) OVER w AS gap FROM d WINDOW w AS (PARTITION BY meeting, surface ORDER BY position))
-    SELECT meeting, surface, position, evidence, gap FROM r WHERE evidence > 0""",
+    SELECT meeting, surface, position, CAST(evidence AS INT) AS evidence, gap FROM r WHERE evidence > 0""",
 )
 def prior_terms_of_anyone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carry.prior_terms(units(spark, sf_dir), same_speaker=False)
@@ -78,7 +78,7 @@ def prior_terms_of_anyone(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ranked_terms",
     _UNITS
     + """, k AS (SELECT meeting, surface, count(*) AS evidence, min(position) AS first_seen FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY evidence DESC, first_seen, surface) AS rank FROM k)
-    SELECT meeting, surface, evidence, first_seen, rank FROM r WHERE rank <= 8""",
+    SELECT meeting, surface, evidence, first_seen, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""",
 )
 def ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carry.ranked_terms(units(spark, sf_dir), 8)
@@ -135,7 +135,7 @@ def merged_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "term_set_sizes",
     _UNITS
     + """, a AS (SELECT meeting, speaker, list(DISTINCT surface) AS terms FROM u GROUP BY ALL), p AS (SELECT x.meeting, x.speaker AS speaker_a, y.speaker AS speaker_b, x.terms AS a, y.terms AS b FROM a x JOIN a y ON x.meeting = y.meeting AND y.speaker = (SELECT min(z.speaker) FROM a z WHERE z.meeting = x.meeting AND z.speaker > x.speaker))
-    SELECT meeting, speaker_a, speaker_b, len(list_distinct(list_concat(a, b))) AS n_union, len(list_intersect(a, b)) AS n_both, len(a) - len(list_intersect(a, b)) AS n_left, len(b) - len(list_intersect(a, b)) AS n_right FROM p""",
+    SELECT meeting, speaker_a, speaker_b, CAST(len(list_distinct(list_concat(a, b))) AS INT) AS n_union, CAST(len(list_intersect(a, b)) AS INT) AS n_both, CAST(len(a) - len(list_intersect(a, b)) AS INT) AS n_left, CAST(len(b) - len(list_intersect(a, b)) AS INT) AS n_right FROM p""",
 )
 def term_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term sets of each label against the next label of its dialogue, in the order of labels."""

@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     "p2_totals",
     _PERIODS
-    + "SELECT meeting_id, side, speaker, count_if(kind = 'period') AS periods, count_if(kind = 'gap') AS gaps, CAST(sum(CASE WHEN kind = 'period' THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS speech_ms, "
+    + "SELECT meeting_id, side, speaker, count(*) FILTER (WHERE kind = 'period') AS periods, count(*) FILTER (WHERE kind = 'gap') AS gaps, CAST(sum(CASE WHEN kind = 'period' THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS speech_ms, "
     "CAST(sum(CASE WHEN kind = 'gap' THEN end_ms - start_ms ELSE 0 END) AS BIGINT) AS gap_ms FROM r GROUP BY meeting_id, side, speaker",
 )
 def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

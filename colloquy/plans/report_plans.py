@@ -17,7 +17,7 @@ registry = Registry()
 
 @registry.query(
     "outcome_rollup",
-    "SELECT source_name, count(*) AS n, count_if(outcome = 'ok') AS n_ok, count_if(outcome = 'error') AS n_error, grouping(source_name) = 1 AS total FROM direction_scores GROUP BY ROLLUP (source_name)",
+    "SELECT source_name, count(*) AS n, count(*) FILTER (WHERE outcome = 'ok') AS n_ok, count(*) FILTER (WHERE outcome = 'error') AS n_error, grouping(source_name) = 1 AS total FROM direction_scores GROUP BY ROLLUP (source_name)",
 )
 def outcome_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.outcome_rollup(table(spark, sf_dir, "direction_scores"), "source_name")
@@ -38,13 +38,13 @@ def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "side_counts",
-    "SELECT meeting_id, count_if(side = 'ref') AS n_ref, count_if(side = 'hyp') AS n_hyp, count_if(side = 'ref') - count_if(side = 'hyp') AS delta FROM diar_segments GROUP BY meeting_id",
+    "SELECT meeting_id, count(*) FILTER (WHERE side = 'ref') AS n_ref, count(*) FILTER (WHERE side = 'hyp') AS n_hyp, count(*) FILTER (WHERE side = 'ref') - count(*) FILTER (WHERE side = 'hyp') AS delta FROM diar_segments GROUP BY meeting_id",
 )
 def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.source_counts(table(spark, sf_dir, "diar_segments"), "meeting_id", "side", ["ref", "hyp"])
 
 
-_CELLS = "c AS (SELECT arm, source_name, round(avg(completion_tokens), 6) AS tokens, round(count_if(parse_mode <> 'failed') / count(*), 6) AS parsed FROM parse_results WHERE arm IS NOT NULL AND source_name IS NOT NULL GROUP BY ALL)"
+_CELLS = "c AS (SELECT arm, source_name, round(avg(completion_tokens), 6) AS tokens, round(count(*) FILTER (WHERE parse_mode <> 'failed') / count(*), 6) AS parsed FROM parse_results WHERE arm IS NOT NULL AND source_name IS NOT NULL GROUP BY ALL)"
 
 
 @registry.query(
@@ -78,7 +78,7 @@ def roster_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     al AS (SELECT 'gated' AS arm, meeting, chunk, term, evidence FROM ga UNION ALL SELECT 'naive', meeting, chunk, term, evidence FROM kn UNION ALL SELECT 'no_carry', meeting, chunk, term, evidence FROM e WHERE evidence >= 2
       UNION ALL SELECT 'scrambled', meeting, chunk, CASE WHEN length(term) >= 4 THEN term[1] || term[3] || term[2] || substr(term, 4) ELSE term || 'x' END, evidence FROM kn UNION ALL SELECT 'deranged', meeting, chunk, term, evidence FROM st),
     ra AS (SELECT *, row_number() OVER (PARTITION BY arm, meeting, chunk ORDER BY evidence DESC, term) AS rank FROM al)
-    SELECT arm, meeting, CAST(chunk AS BIGINT) AS chunk, term, CAST(evidence AS BIGINT) AS evidence, rank FROM ra WHERE rank <= 8""",
+    SELECT arm, meeting, CAST(chunk AS BIGINT) AS chunk, term, CAST(evidence AS BIGINT) AS evidence, CAST(rank AS INT) AS rank FROM ra WHERE rank <= 8""",
 )
 def term_supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that each arm hands to each stretch of ten turns."""
@@ -88,7 +88,7 @@ def term_supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "reply_rates",
-    "SELECT source_name, arm, count(*) AS n, count_if(parse_mode = 'strict') AS hits, round(count_if(parse_mode = 'strict') / count(*), 6) AS rate FROM parse_results GROUP BY source_name, arm",
+    "SELECT source_name, arm, count(*) AS n, count(*) FILTER (WHERE parse_mode = 'strict') AS hits, round(count(*) FILTER (WHERE parse_mode = 'strict') / count(*), 6) AS rate FROM parse_results GROUP BY source_name, arm",
 )
 def reply_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.rate_table(table(spark, sf_dir, "parse_results"), ["source_name", "arm"], F.col("parse_mode") == "strict")

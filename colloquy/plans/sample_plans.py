@@ -36,7 +36,7 @@ def deranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "round_robin",
-    f"WITH {_IDS}, r AS (SELECT uniq_id, tar, row_number() OVER (PARTITION BY tar ORDER BY sha256('turn:' || uniq_id), uniq_id) AS turn FROM i) SELECT uniq_id, tar, turn FROM r ORDER BY turn, sha256('turn:' || tar), uniq_id LIMIT 60",
+    f"WITH {_IDS}, r AS (SELECT uniq_id, tar, row_number() OVER (PARTITION BY tar ORDER BY sha256('turn:' || uniq_id), uniq_id) AS turn FROM i) SELECT uniq_id, tar, CAST(turn AS INT) AS turn FROM r ORDER BY r.turn, sha256('turn:' || tar), uniq_id LIMIT 60",
 )
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixty dialogues, archives in turn; the size is what is asked for."""
@@ -63,7 +63,7 @@ def ranked_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "last_turns",
-    "WITH t AS (SELECT DISTINCT uniq_id, turn_index FROM runtime_turns), r AS (SELECT *, row_number() OVER (PARTITION BY uniq_id ORDER BY turn_index DESC) AS place FROM t) SELECT uniq_id, turn_index, place FROM r WHERE place <= 3",
+    "WITH t AS (SELECT DISTINCT uniq_id, turn_index FROM runtime_turns), r AS (SELECT *, row_number() OVER (PARTITION BY uniq_id ORDER BY turn_index DESC) AS place FROM t) SELECT uniq_id, turn_index, CAST(place AS INT) AS place FROM r WHERE place <= 3",
 )
 def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.last_rows(table(spark, sf_dir, "runtime_turns").select("uniq_id", "turn_index").distinct(), "uniq_id", ["turn_index"], 3)
@@ -71,7 +71,7 @@ def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "first_listings",
-    "WITH f AS (SELECT file_id, min(manifest_batch) AS batch, count(*) AS listed, count(DISTINCT file_path) AS paths FROM earnings22_inputs WHERE file_id IS NOT NULL GROUP BY file_id) SELECT batch, count(*) AS files, count_if(listed > 1) AS relisted, CAST(sum(paths) AS BIGINT) AS paths FROM f GROUP BY batch",
+    "WITH f AS (SELECT file_id, min(manifest_batch) AS batch, count(*) AS listed, count(DISTINCT file_path) AS paths FROM earnings22_inputs WHERE file_id IS NOT NULL GROUP BY file_id) SELECT batch, count(*) AS files, count(*) FILTER (WHERE listed > 1) AS relisted, CAST(sum(paths) AS BIGINT) AS paths FROM f GROUP BY batch",
 )
 def first_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "earnings22_inputs").where("file_id is not null").groupBy("file_id").agg(F.min("manifest_batch").alias("batch"), F.count(F.lit(1)).alias("listed"), F.count_distinct("file_path").alias("paths"))

@@ -41,7 +41,7 @@ def source_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "arm_means",
-    _KEPT + ", v AS (SELECT arm, uniq_id, wer_errors / nullif(wer_tokens, 0) AS x FROM m1), p AS (SELECT arm, uniq_id, avg(x) AS m, count_if(x IS NULL) AS skipped FROM v GROUP BY ALL) SELECT arm, count(m) AS groups, round(avg(m), 6) AS mean, CAST(sum(skipped) AS BIGINT) AS skipped FROM p GROUP BY arm",
+    _KEPT + ", v AS (SELECT arm, uniq_id, wer_errors / nullif(wer_tokens, 0) AS x FROM m1), p AS (SELECT arm, uniq_id, avg(x) AS m, count(*) FILTER (WHERE x IS NULL) AS skipped FROM v GROUP BY ALL) SELECT arm, count(m) AS groups, round(avg(m), 6) AS mean, CAST(sum(skipped) AS BIGINT) AS skipped FROM p GROUP BY arm",
 )
 def arm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).withColumn("x", F.try_divide(F.col("wer_errors").cast("double"), F.col("wer_tokens").cast("double")))
@@ -124,7 +124,7 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "source_crosstab",
-    "SELECT arm, parse_mode, count(*) AS n, count_if(raw_text IS NULL) AS empty, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS tokens, grouping(arm, parse_mode) AS level FROM parse_results GROUP BY CUBE (arm, parse_mode)",
+    "SELECT arm, parse_mode, count(*) AS n, count(*) FILTER (WHERE raw_text IS NULL) AS empty, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS tokens, grouping(arm, parse_mode) AS level FROM parse_results GROUP BY CUBE (arm, parse_mode)",
 )
 def source_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "parse_results").cube("arm", "parse_mode")
@@ -136,7 +136,7 @@ def source_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH g AS (SELECT uniq_id || ':' || turn_index AS sentence, list_sort(list(DISTINCT regexp_extract(speaker_id, '(\\d+)\\D*$', 1))) AS speakers, min(uniq_id) AS u FROM score_turns WHERE regexp_matches(speaker_id, '\\d') GROUP BY 1),
     p AS (SELECT uniq_id || ':' || turn_index AS sentence, nullif(min(regexp_extract(speaker_id, '(\\d+)\\D*$', 1)), '') AS speaker FROM runtime_turns GROUP BY 1),
     o AS (SELECT CASE WHEN speakers IS NULL THEN 'hallucinated' WHEN speaker IS NULL THEN 'unattributed' WHEN list_contains(speakers, speaker) AND len(speakers) > 1 THEN 'ambiguous' WHEN list_contains(speakers, speaker) THEN 'correct' ELSE 'wrong' END AS outcome FROM g FULL JOIN p USING (sentence)),
-    a AS (SELECT 'all' AS scope, count_if(outcome = 'correct') AS correct, count_if(outcome = 'wrong') AS wrong, count_if(outcome = 'ambiguous') AS ambiguous, count_if(outcome = 'unattributed') AS unattributed, count_if(outcome = 'hallucinated') AS hallucinated FROM o)
+    a AS (SELECT 'all' AS scope, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'wrong') AS wrong, count(*) FILTER (WHERE outcome = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE outcome = 'unattributed') AS unattributed, count(*) FILTER (WHERE outcome = 'hallucinated') AS hallucinated FROM o)
     SELECT *, round(correct / nullif(correct + wrong + unattributed, 0), 6) AS accuracy FROM a""",
 )
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +176,8 @@ def paired_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     "prevalence",
     _KEPT
-    + """, d AS (SELECT uniq_id, count_if(carry_total > 0) > 0 AS usable, count_if(carry_hits > 0) > 0 AS positive FROM m1 GROUP BY uniq_id)
-    SELECT count(*) AS dialogues, count_if(usable) AS usable, count_if(usable AND positive) AS positive, round(count_if(usable AND positive) / nullif(count_if(usable), 0), 6) AS share FROM d""",
+    + """, d AS (SELECT uniq_id, count(*) FILTER (WHERE carry_total > 0) > 0 AS usable, count(*) FILTER (WHERE carry_hits > 0) > 0 AS positive FROM m1 GROUP BY uniq_id)
+    SELECT count(*) AS dialogues, count(*) FILTER (WHERE usable) AS usable, count(*) FILTER (WHERE usable AND positive) AS positive, round(count(*) FILTER (WHERE usable AND positive) / nullif(count(*) FILTER (WHERE usable), 0), 6) AS share FROM d""",
 )
 def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogues in which a term could be carried, and in which one was."""

@@ -108,7 +108,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH t AS (SELECT DISTINCT uniq_id, regexp_extract_all(lower(reference_text), '[a-z0-9]+') AS n FROM score_turns WHERE reference_text IS NOT NULL),
     p AS (SELECT p.request_id, regexp_extract_all(lower(p.raw_text), '[a-z0-9]+') AS h, t.n FROM parse_results p JOIN t USING (uniq_id) WHERE p.raw_text IS NOT NULL),
     c AS (SELECT *, CASE WHEN len(n) = 0 OR len(h) < len(n) THEN 0 ELSE len(list_filter(range(1, len(h) - len(n) + 2), lambda i: list_slice(h, i, i + len(n) - 1) = n)) END AS copies FROM p)
-    SELECT request_id, count(*) AS pairs, count_if(copies > 0) AS hits, CAST(sum(copies) AS BIGINT) AS copies FROM c GROUP BY request_id""",
+    SELECT request_id, count(*) AS pairs, count(*) FILTER (WHERE copies > 0) AS hits, CAST(sum(copies) AS BIGINT) AS copies FROM c GROUP BY request_id""",
 )
 def copy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = table(spark, sf_dir, "score_turns").where("reference_text is not null").select("uniq_id", text.ascii_tokens(F.col("reference_text")).alias("n")).distinct()
@@ -142,8 +142,8 @@ f AS (SELECT request_id, CASE WHEN trim(regexp_extract(trim(line), '^([^|\n]+)\|
 @registry.query(
     "reply_modes",
     _LINES
-    + """ SELECT request_id, count(*) AS lines, count_if(form = 'strict') AS strict, count_if(form = 'lenient') AS lenient, count_if(form = 'malformed') AS malformed,
-    CASE WHEN count_if(form = 'strict') = count(*) THEN 'strict' WHEN count_if(form <> 'malformed') > 0 THEN 'lenient' ELSE 'failed' END AS mode, round(count_if(form = 'strict') / count(*), 6) AS compliance
+    + """ SELECT request_id, count(*) AS lines, count(*) FILTER (WHERE form = 'strict') AS strict, count(*) FILTER (WHERE form = 'lenient') AS lenient, count(*) FILTER (WHERE form = 'malformed') AS malformed,
+    CASE WHEN count(*) FILTER (WHERE form = 'strict') = count(*) THEN 'strict' WHEN count(*) FILTER (WHERE form <> 'malformed') > 0 THEN 'lenient' ELSE 'failed' END AS mode, round(count(*) FILTER (WHERE form = 'strict') / count(*), 6) AS compliance
     FROM f GROUP BY request_id""",
 )
 def reply_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def reply_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "token_counts",
-    """SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""",
+    """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""",
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
