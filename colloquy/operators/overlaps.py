@@ -47,10 +47,12 @@ def nearest(points: DataFrame, others: DataFrame, key: str, at: str, tile: int =
     tagged = tagged.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.max("p").alias("p"), F.max(1 - F.col("p")).alias("o")).withColumn("_t", F.floor(F.col(at) / tile).cast("long"))
     other = F.when(F.col("o") == 1, F.col(at))
     ends = tagged.groupBy(key, "_t").agg(F.max(other).alias("_last"), F.min(other).alias("_first"))
-    order = Window.partitionBy(key).orderBy("_t")
-    ends = ends.withColumn("_before", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    own = Window.partitionBy(key, "_t").orderBy(at)
-    rows = tagged.withColumn("_lo", F.last(other, True).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(other, True).over(own.rowsBetween(0, Window.unboundedFollowing)))
+    # Frames grow from the start, forwards and backwards: one that shrinks towards the end is
+    # summed up anew for each row.
+    tiles = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_last", True).over(tiles.orderBy("_t"))).withColumn("_after", F.last("_first", True).over(tiles.orderBy(F.col("_t").desc())))
+    own = Window.partitionBy(key, "_t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tagged.withColumn("_lo", F.last(other, True).over(own.orderBy(at))).withColumn("_hi", F.last(other, True).over(own.orderBy(F.col(at).desc())))
     rows = rows.where("p = 1").join(ends.select(F.col(key).alias("_k"), F.col("_t").alias("_t2"), "_before", "_after"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_t2")))
     low, high = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
     return rows.select(key, at, F.least(F.col(at) - low, high - F.col(at)).alias("distance"))
