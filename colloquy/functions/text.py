@@ -25,8 +25,8 @@ ASCII_PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 
 
 def squeezed(text: Column) -> Column:
-    """White space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space, Unicode's too, as single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def normal_term(text: Column) -> Column:
@@ -46,7 +46,7 @@ def normal_answer(text: Column) -> Column:
 def normal_span(text: Column) -> Column:
     """Lower case, speaker prefixes, ASCII punctuation and articles deleted."""
     plain = F.regexp_replace(F.lower(F.regexp_replace(text, r"Speaker [0-9]*: ", "")), ASCII_PUNCTUATION, "")
-    return squeezed(F.regexp_replace(plain, r"\b(a|an|the)\b", " "))
+    return squeezed(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "))
 
 
 def ascii_tokens(text: Column) -> Column:

@@ -44,6 +44,14 @@ def normal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("delivery_id", text.normal_answer(F.col("text")).alias("answer"))
 
 
+@registry.query("normal_answers_all")
+def normal_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normal_answers of every response with text, in any script. Its SQL stops at ASCII, where
+    the regex classes of DuckDB are the same; this is compared with brute force in tests."""
+    rows = table(spark, sf_dir, "direction_scores").where("text is not null")
+    return rows.select("delivery_id", text.normal_answer(F.col("text")).alias("answer"))
+
+
 @registry.query(
     "normal_spans",
     r"""SELECT request_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(raw_text, 'Speaker [0-9]*: ', '', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS span
@@ -54,6 +62,13 @@ def normal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", text.normal_span(F.col("raw_text")).alias("span"))
 
 
+@registry.query("normal_spans_all")
+def normal_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normal_spans of every reply with text, in any script (compared with brute force)."""
+    rows = table(spark, sf_dir, "parse_results").where("raw_text is not null")
+    return rows.select("request_id", text.normal_span(F.col("raw_text")).alias("span"))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir)
     before = F.lag("said").over(Window.partitionBy("uniq_id").orderBy("turn_index"))
@@ -159,6 +174,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"))
 
 
+@registry.query("token_counts_all")
+def token_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts of every document with text, in any script (compared with brute force)."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"))
+
+
 @registry.query("speaker_error_rates")
 def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cpWER of each request's segments against the raw turns of its dialogue, speakers by the
