@@ -6,8 +6,9 @@
 2. A prefix tree of fixed depth groups units: by evidence signature, token count and the
    first ``DEPTH`` tokens with numbers and slots masked. In each leaf, the token that most
    units hold at a position is constant, others are ``*``: that is the leaf's template.
-3. Each template is classified once, and its verdict goes to all units of its leaf; units
-   of condemned leaves are checked once more as they stand.
+3. Every distinct unit is classified once, as it stands: a unit that departs from its leaf's
+   template is a template of its own, so no majority speaks for it. The mined templates
+   (``mined_templates``) describe the leaves and decide nothing.
 4. Slots that nobody filled, such as ``{{owner}}`` or ``[INSERT DATE]``, are looked for in
    every distinct line by themselves.
 
@@ -252,10 +253,7 @@ def condemned_lines(candidates: DataFrame) -> DataFrame:
     """Keys of distinct lines with residue, and reasons; a line may have several."""
     distinct = candidates.groupBy("key", "line").agg(F.count(F.lit(1)).alias("copies"))
     units = line_units(distinct)
-    counted = units.groupBy("unit").agg(F.sum("copies").alias("copies"))
-    bad = mined_templates(counted).withColumn("verdict", _verdict("template")).where(F.col("verdict").isNotNull()).select("path")
-    members = with_leaf(counted).join(bad, "path").select("unit")
-    condemned = members.withColumn("reason", _verdict("unit")).where(F.col("reason").isNotNull())
+    condemned = units.select("unit").distinct().withColumn("reason", _verdict("unit")).where(F.col("reason").isNotNull()).select("unit", "reason")
     found = units.join(condemned, "unit").select("key", "reason")
     slots = distinct.where(F.col("line").rlike(_SLOT_HINT)).where(_has_slot("line")).select("key", F.lit("slot").alias("reason"))
     return found.unionByName(slots).distinct()

@@ -64,3 +64,13 @@ def test_templates_and_long_texts(spark):
     long = "An ordinary sentence about nothing. " * 30_000
     assert {r["doc_id"] for r in rs.residue(docs(spark, [long, long + "\n403 Forbidden", long + "[INSERT DATE]"])).collect()} == {1, 2}
     assert rs.residue(docs(spark, [])).count() == 0
+
+
+def test_majority_acquits_no_minority(spark):
+    """Residue behind the fifth token, in leaves whose other units are clean and many."""
+    head, turn = "Summary of the weekly call: ", "You need to turn on "
+    texts = [head + "access was given to ana"] * 1_000 + [head + "blah blah blah blah blah"]
+    texts += [f"{turn}{w} javascript in {v} today" for w, v in (("the", "chrome"), ("your", "firefox"))]
+    texts += [turn + "the heating error {} {} today".format(*w.split()) for w in ("in winter", "by noon", "on friday")]
+    got = {r["doc_id"]: r["reasons"] for r in rs.residue(docs(spark, texts)).collect()}
+    assert got == {1000: ["filler"], 1001: ["scripts"], 1002: ["scripts"]}
