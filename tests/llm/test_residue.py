@@ -43,24 +43,66 @@ def test_documents(spark):
     assert clean.columns == df.columns and clean.count() == len(texts) - len(got)
 
 
-def test_evidence_covers_the_rules(spark):
-    """A line that some rule condemns is a candidate."""
-    lines = [t for t in BAD] + ["asdf, asdf, asdf", "blah blah blah", "at viewer.Render.run(Render.java:88)", "Sorry, we could not load that transcript", "请求已超时", "gateway time-out", "Verify that you are human", "Accès refusé", "Add a title"]
-    kept = {r["line"] for r in rs.candidate_lines(docs(spark, lines)).collect()}
-    assert [t for t in lines if t not in kept] == []
-    units = {r["key"]: 1 for r in rs.condemned_lines(rs.candidate_lines(docs(spark, lines))).collect()}
-    assert len(units) == len(lines)
+LINES = ["asdf, asdf, asdf", "blah blah blah", "at viewer.Render.run(Render.java:88)", "Sorry, we could not load that transcript", "请求已超时", "gateway time-out", "Verify that you are human", "Accès refusé", "Add a title"]
+# None of these is among the classifier's examples.
+HELD_OUT = ["503 Backend fetch failed", "ERR_CONNECTION_REFUSED", "Verbindung zum Server fehlgeschlagen", "Errore 404: pagina non trovata", "Cette page nécessite JavaScript pour fonctionner.", "Il documento richiesto non è stato trovato sul server",
+            "Hier steht später der richtige Inhalt.", "foo bar baz foo bar baz foo bar baz", "Section text goes here", "Please activate JavaScript to load this page.", "HTTP 404 - document removed", "The service could not process your request.",
+            "Your connection has timed out, reload the page", "La página solicitada no existe", "Insert your title here", "<PLACEHOLDER>", "Dear [Placeholder],", "Server error. Please try again later."]
+ORDINARY = ["Yeah, yeah, yeah.", "Here is your coffee", "The server room is on the second floor.", "Please read the page again.", "Access to the building was denied to two visitors on Monday", "Your text was fine, thanks.", "Can we enable the heating by Friday?", "[sponsor]"]
+
+
+def test_single_lines(spark):
+    got = {r["doc_id"] for r in rs.residue(docs(spark, LINES)).collect()}
+    assert [t for i, t in enumerate(LINES) if i not in got] == []
+
+
+def test_held_out_lines(spark):
+    texts = HELD_OUT + ORDINARY
+    got = {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()}
+    missed = [t for i, t in enumerate(HELD_OUT) if i not in got]
+    assert len(missed) <= 0.2 * len(HELD_OUT), missed
+    assert [texts[i] for i in got if i >= len(HELD_OUT)] == []
+
+
+def test_frames_and_capitals_make_slots(spark):
+    texts = ["Thanks to [INSERT NAME] for the lunch.", "Thanks to [Company Name] for the lunch.", "Thanks to [sponsor] for the lunch.", "Thanks [sponsor] and all.", "Lead: [PROJEKTLEITER]", "Ana: well [SIGHS] no", "Ana: so {sighs} no", "Next: [1]"]
+    got = {r["doc_id"]: r["reasons"] for r in rs.residue(docs(spark, texts)).collect()}
+    assert got == {i: ["slot"] for i in (0, 1, 2, 4)}
+
+
+def test_verdicts_go_on_by_documents(spark):
+    texts = [f"{m}\nMail the night desk." for m in BAD[:24]] + ["Vexilo non orbat.\nMail the night desk.", "We met.\nNothing else."]
+    got = {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()}
+    assert got == set(range(24)) | {24}
+    assert rs.residue(docs(spark, [f"{BAD[0]}\nMail the night desk."] * 20 + ["Vexilo non orbat.\nMail the night desk."])).count() == 20  # one text, sent often
+
+
+def test_filler_latin_is_learnt(spark):
+    texts = ["Lorem ipsum vexil orbum corvin tantor", "Lorem ipsum tantor morabo vexil erudi", "Erudi vexil corvin tantor morabo orbum.", "Corvin met Ana in town on Monday."]
+    assert {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()} == {0, 1, 2}
+
+
+def test_a_leaf_loses_nothing(spark):
+    texts = ["This meeting page has been removed."] + ["This meeting page has been available."] * 3
+    assert {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()} == {0}
+
+
+def test_a_template_speaks_for_its_units(spark):
+    kinds = spark.createDataFrame([(f"{w} the requested page could not be found on this server {v}",) for w, v in (("Zzz", "xylo"),)] + [(f"The requested page could not be found on {v} server",) for v in ("vectis", "qulor", "orbum")], "unit string")
+    got = {r["unit"] for r in rs.condemned_units(kinds, rs.Verdicts()).collect()}
+    assert len(got) == 4
 
 
 def test_rare_lines_in_a_crowded_leaf(spark):
-    texts = [f"HTTP {400 + i % 20} - {w} Gateway" for i, w in enumerate(["Round", "Square", "Large", "Bad"] * 30)]
+    texts = [f"HTTP {400 + i % 20} - {w} at the stone gate of Ellmoor" for i, w in enumerate(["Lunch", "Dinner", "Supper"] * 30)]
+    texts += [f"HTTP {400 + i} - Bad gateway at the server" for i in range(3)]
     got = {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()}
-    assert got == {i for i, t in enumerate(texts) if "Bad Gateway" in t}
+    assert got == {i for i, t in enumerate(texts) if "Bad gateway" in t}
 
 
 def test_templates_and_long_texts(spark):
-    units = spark.createDataFrame([(f"the meeting number {i} went on for # hours", 1) for i in "abcdef"] + [("the meeting number a went on for # days", 1)], "unit string, copies bigint")
-    assert "the meeting number a went on for # hours" in {r["template"] for r in rs.mined_templates(units).collect()}
+    units = spark.createDataFrame([(f"the meeting of the whole {i} group went on for # hours",) for i in "abcdef"] + [("another # went on",)], "unit string")
+    assert {(r["template"], r["n"]) for r in rs.mined_templates(units).collect()} == {("the meeting of the whole * group went on for # hours", 6), ("another # went on", 1)}
     long = "An ordinary sentence about nothing. " * 30_000
     assert {r["doc_id"] for r in rs.residue(docs(spark, [long, long + "\n403 Forbidden", long + "[INSERT DATE]"])).collect()} == {1, 2}
     assert rs.residue(docs(spark, [])).count() == 0
