@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import truncation as tc
 
@@ -72,11 +73,36 @@ def test_copies_rates_and_edge_cases(spark):
 def test_sorted_successor_finds_every_prefix(spark):
     rng = random.Random(3)
     texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(80)})
-    got = {r["text"]: r["successor"] for r in tc.with_successor(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)).collect()}
-    for t in texts:
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = {r["text"]: r["next"] for r in tc.with_next(df, "text", F.lit(True)).collect()}
+    even = {r["text"]: r["next"] for r in tc.with_next(df, "text", F.length("text") % 2 == 0).collect()}
+    for i, t in enumerate(texts):
+        assert got[t] == next(iter(texts[i + 1 :]), None)
+        assert even[t] == next((o for o in texts[i + 1 :] if len(o) % 2 == 0), None)
         assert (got[t] or "").startswith(t) == any(o != t and o.startswith(t) for o in texts)
 
 
+def test_any_longer_copy_counts(spark):
+    """Copies that end the sentence, in whatever way, hide none that goes on with it."""
+    x = "The cable tray came back with nine open points. We went on to the login page and the rest of the"
+    more = [x + "!", x + ".", x + ' —. Nobody "came', x + "? Then we left.", x + ",", x + "! Then we left.", x + ", but it was late."]
+    copies = lambda texts: tc.longer_copies(spark.createDataFrame([(tc.skeleton(t),) for t in texts], "skeleton string")).count()
+    assert copies([x, *more]) == 1
+    assert copies([x, *more[:-1]]) == 0
+    fifteen = "we should move the cable tray to Monday because the login page is late and nobody"
+    rows = [(1, "a", "Well, " + fifteen), (2, "a", "Well, " + fifteen + " owns it.")]
+    scores = spark.createDataFrame(rows, "delivery_id bigint, source_name string, text string")
+    replies = spark.createDataFrame([], "request_id string, source_name string, raw_text string")
+    assert [r["evidence"] for r in tc.truncated(replies, scores).collect()] == ["copy"]
+
+
+def test_broken_words_by_all_words(spark):
+    shape = lambda t, end: (t, (end, t.lower().split()))
+    rows = [shape("the menu and the mo", "open"), shape("the mo and more of it", "closed"), shape("we move on move", "open"), shape("the budg", "open"), shape("budgets of budgets", "closed"), shape("we met zz", "open"), shape("a moveme", "open"), shape("movement", "closed")]
+    df = spark.createDataFrame(rows, "text string, s struct<end: string, tail: array<string>>")
+    assert {r["w"] for r in tc.broken_words(df).collect()} == {"mo", "budg", "moveme"}
+
+
 @pytest.mark.parametrize("text", ["word " * 40_000 + "and", "x" * 200_000])
 def test_very_long_texts(spark, text):
     scores = spark.createDataFrame([(1, "a", text), (2, "a", "Fine.")], "delivery_id bigint, source_name string, text string")
