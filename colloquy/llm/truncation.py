@@ -244,9 +244,14 @@ def positions_of(text: str) -> list[tuple[list[str], float]]:
     return rows
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("end", T.DoubleType())])))
-def _positions(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"slots": features(tail), "end": end} for tail, end in positions_of(t)] for t in texts], dtype=object)
+@F.pandas_udf(T.StructType([T.StructField("slots", T.BinaryType()), T.StructField("ends", T.BinaryType())]))
+def _positions(texts: pd.Series) -> pd.DataFrame:
+    """Feature slots (32-bit numbers) and ends (bytes) of the positions of each text."""
+    rows = []
+    for text in texts:
+        found = positions_of(text)
+        rows.append((np.array([features(tail) for tail, _ in found], np.int32).tobytes(), bytes(int(end) for _, end in found)))
+    return pd.DataFrame(rows, columns=["slots", "ends"])
 
 
 class EndClassifier:
@@ -283,12 +288,13 @@ def fitted_classifiers(texts: DataFrame) -> tuple[EndClassifier, EndClassifier]:
     one on the others, so that no text is judged by a classifier that has seen it."""
     head = hashed_head(texts.select("text"), "text", SAMPLE_TEXTS, texts.count())
     head = head.repartition(texts.sparkSession.sparkContext.defaultParallelism)  # a limit leaves one partition
-    rows = head.select((F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("even"), _positions("text").alias("p")).select("even", F.inline_outer("p")).toPandas().dropna(subset=["slots"])
+    rows = head.select((F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("even"), _positions("text").alias("p")).collect()
     models = []
     for even in (True, False):
-        own = rows[rows["even"] == even]
-        x = np.array(own["slots"].tolist(), np.int32) if len(own) else np.empty((0, 1), np.int32)
-        models.append(EndClassifier.fit(x, own["end"].to_numpy(np.float32)))
+        own = [r["p"] for r in rows if r["even"] == even]
+        y = np.frombuffer(b"".join(r["ends"] for r in own), np.uint8).astype(np.float32)
+        x = np.frombuffer(b"".join(r["slots"] for r in own), np.int32).reshape(len(y), -1) if len(y) else np.empty((0, 1), np.int32)
+        models.append(EndClassifier.fit(x, y))
     return models[0], models[1]
 
 
