@@ -338,6 +338,10 @@ _BLANKS = r" *[\t\u000b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000][ \t\u000b\
 KEY = ["k1", "k2"]
 
 
+def hashes_of(line: str) -> list[Column]:
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2")]
+
+
 def tidy(text: Column) -> Column:
     """Without invisible characters; white space but line ends as one space. Plain texts, the
     most, are only looked at."""
@@ -348,14 +352,14 @@ def tidy(text: Column) -> Column:
 def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_key, KEY and line, one row per line that is not blank."""
     rows = documents.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), F.explode(F.split(text, _BREAKS)).alias("line"))
-    return rows.where(F.length(F.trim("line")) > 2).select("doc_id", "text_key", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line")
+    return rows.where(F.length(F.trim("line")) > 2).select("doc_id", "text_key", *hashes_of("line"), "line")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Distinct lines: KEY, copies, units and brackets. Units are the sentences of a line
     without list marks and labels, status numbers as ``#e``, other numbers as ``#``. The line
     itself is not carried along."""
-    distinct = lines.groupBy(*KEY).agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("copies")).withColumn("line", tidy(F.col("line")))
+    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(*hashes_of("line"), "copies", tidy(F.col("line")).alias("line"))
     said = F.regexp_replace("line", _HEADS, "")
     digits = F.col("line").rlike("[0-9]")
     said = F.when(digits, F.regexp_replace(F.regexp_replace(said, _CODE.pattern, "#e"), r"[0-9]+(?:[.,][0-9]+)*", "#")).otherwise(said)
