@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The three forms of a reply line.
 STRICT_LINE = r"^([^|\n]+)\|(.+)$"
 BRACKET_LINE = r"^\[([^\]\n]+)\]\s*(.+)$"
-COLON_LINE = r"^([A-Za-z][A-Za-z0-9_ ]*?\d+)\s*:\s*(.+)$"
+COLON_LINE = r"^([A-Za-z0-9 _.\-]{1,40}?):\s*(.+)$"
 
 
 def reply_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def reply_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     found = [(form, F.regexp_extract(line, p, 1), F.regexp_extract(line, p, 2)) for form, p in (("strict", STRICT_LINE), ("lenient", BRACKET_LINE), ("lenient", COLON_LINE))]
     form = speaker = said = None
     for name, who, what in found:
-        good = F.trim(what) != ""
+        good = (F.trim(who) != "") & (F.trim(what) != "")
         form = F.when(good, F.lit(name)) if form is None else form.when(good, F.lit(name))
         speaker = F.when(good, F.trim(who)) if speaker is None else speaker.when(good, F.trim(who))
         said = F.when(good, F.trim(what)) if said is None else said.when(good, F.trim(what))
@@ -44,17 +45,17 @@ def minutes_bullets(df: DataFrame, text: str, keys: list[str], sections: tuple[s
     evidence tag ``[evidence: speaker|span]`` (null without one).
 
     A line that names a section, in any case and with or without a colon, opens it; bullets
-    before any section are dropped. The section is carried inside each reply, so no window
-    spans replies.
+    before any section are dropped; a bullet is a line that begins with ``-``. The section is
+    carried inside each reply, so no window spans replies.
     """
     is_head = lambda x: F.upper(F.regexp_replace(F.trim(x), r"^#+\s*|:$", "")).isin(*sections)
     lines = F.filter(F.split(F.col(text), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
 
     def step(state: Column, line: Column) -> Column:
         section = F.when(is_head(line), F.upper(F.regexp_replace(F.trim(line), r"^#+\s*|:$", ""))).otherwise(state["section"])
-        bullet = (~is_head(line)) & line.rlike(r"^\s*[-*•]\s+\S") & state["section"].isNotNull()
+        bullet = (~is_head(line)) & line.rlike(r"^\s*-\s*\S") & state["section"].isNotNull()
         n = F.when(is_head(line), F.lit(0)).when(bullet, state["n"] + 1).otherwise(state["n"])
-        row = F.struct(state["section"].alias("section"), state["n"].alias("n"), F.trim(F.regexp_replace(line, r"^\s*[-*•]\s+", "")).alias("body"))
+        row = F.struct(state["section"].alias("section"), state["n"].alias("n"), F.trim(F.regexp_replace(line, r"^\s*-\s*", "")).alias("body"))
         return F.struct(section.alias("section"), n.alias("n"), F.when(bullet, F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(None).cast("string").alias("section"), F.lit(0).alias("n"), F.array().cast("array<struct<section:string,n:int,body:string>>").alias("out"))

@@ -1,5 +1,5 @@
 """Text normalisers and token functions as Column expressions, without Python workers but
-for ``casefolded``.
+for ``casefolded`` and the two distances of token arrays.
 
 Null in, null out unless a docstring says otherwise. Regular expressions are Java's; where
 word characters are meant in the Unicode sense, ``(?U)`` says so.
@@ -8,7 +8,9 @@ word characters are meant in the Unicode sense, ``(?U)`` says so.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,23 +95,44 @@ def token_iou(a: Column, b: Column, empty_pair: float = 1.0) -> Column:
     return F.when(union == 0, F.lit(empty_pair)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
 
 
-def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays, row by row of the table. Time is the
-    product of the lengths, so for long texts ``operators.wer`` has a Python form."""
-    first = F.sequence(F.lit(0), F.size(b))
+def edit_distance(a: Sequence[str], b: Sequence[str]) -> int:
+    """Levenshtein distance of two token sequences, a row of the table at a time."""
+    codes: dict[str, int] = {}
+    x, y = ([codes.setdefault(w, len(codes)) for w in t] for t in (a, b))
+    columns, index = np.array(y, np.int64), np.arange(len(y) + 1)
+    row = index.copy()
+    for w in x:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (columns != w))
+        row = np.minimum.accumulate(new - index) + index  # insertions, all at once
+    return int(row[-1])
 
-    def next_row(row: Column, token: Column) -> Column:
-        start = F.array(F.element_at(row, 1) + 1)
-        index = F.sequence(F.lit(1), F.size(b))
-        filled = F.aggregate(
-            index, start,
-            lambda new, j: F.concat(new, F.array(F.least(
-                F.element_at(new, -1) + 1, F.element_at(row, j + 1) + 1, F.element_at(row, j) + F.when(F.element_at(b, j) == token, 0).otherwise(1),
-            ))),
-        )
-        return F.when(F.size(b) == 0, start).otherwise(filled)
 
-    return F.element_at(F.aggregate(a, first, next_row), -1)
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence of two token sequences."""
+    codes: dict[str, int] = {}
+    x, y = ([codes.setdefault(w, len(codes)) for w in t] for t in (a, b))
+    columns = np.array(y, np.int64)
+    row = np.zeros(len(y) + 1, np.int64)
+    for w in x:
+        new = row.copy()
+        new[1:] = np.maximum(row[1:], row[:-1] + (columns == w))
+        row = np.maximum.accumulate(new)
+    return int(row[-1])
+
+
+def _of_pairs(f):
+    @F.pandas_udf(T.IntegerType())
+    def column(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
+
+    return column
+
+
+#: Levenshtein distance, and longest common subsequence, of two token arrays; null if one is.
+token_distance = _of_pairs(edit_distance)
+lcs_length = _of_pairs(common_length)
 
 
 def capital_runs(text: Column) -> Column:
@@ -127,11 +150,34 @@ def acronyms(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(text, F.lit(r"\b\p{Lu}{2,}\b"), F.lit(0)), spelled)
 
 
+# What introduces a name.
+INTRODUCTIONS = ("this is", "i am", "i'm", "my name is")
+
+
 def self_introduction(text: Column) -> Column:
-    """The name after ``this is``, ``I am``, ``I'm`` or ``my name is``; null if there is none.
-    The trigger is in any case, the name begins with a capital."""
-    found = F.regexp_extract(text, r"\b(?i:this\s+is|i\s+am|i'm|my\s+name\s+is)\s+([A-Z][A-Za-z\-]+(?:\s+[A-Z][A-Za-z\-]+)?)", 1)
-    return F.when(found != "", found)
+    """The name after an introduction: up to three neighbouring words that begin with a capital
+    A to Z and hold nothing but letters, apostrophes and hyphens. The introduction is in any
+    case; the first that a name follows counts; null if there is none."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    small = F.transform(words, lambda w: F.lower(w))
+    # what a word begins with that can be a name, and whether that is all of it
+    name = F.transform(words, lambda w: F.regexp_extract(w, r"^[A-Z][A-Za-z'\-]*", 0))
+    whole = lambda i: F.get(name, i) == F.get(words, i)
+
+    def behind(phrase: str) -> Column:
+        """Places right behind an introduction."""
+        first, *rest = phrase.split(" ")
+        n = len(rest) + 1
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        follows = lambda i: (F.slice(small, i + 2, F.lit(n - 1)) == F.array(*[F.lit(x) for x in rest])) if rest else F.lit(True)
+        at = F.filter(starts, lambda i: follows(i) & F.coalesce(F.get(small, i).rlike(r"(?:^|[^a-z0-9_])" + first + "$"), F.lit(False)))
+        return F.transform(at, lambda i: i + n)
+
+    places = F.array_sort(F.filter(F.concat(*[behind(x) for x in INTRODUCTIONS]), lambda i: F.coalesce(F.get(name, i) != "", F.lit(False))))
+    i = F.element_at(F.when(F.size(places) > 0, places), 1)
+    second = whole(i) & (F.coalesce(F.get(name, i + 1), F.lit("")) != "")
+    third = second & whole(i + 1) & (F.coalesce(F.get(name, i + 2), F.lit("")) != "")
+    return F.when(i.isNotNull(), F.concat_ws(" ", F.get(name, i), F.when(second, F.get(name, i + 1)), F.when(third, F.get(name, i + 2))))
 
 
 def swapped(text: Column) -> Column:
@@ -204,17 +250,42 @@ def casefolded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-# Contractions that are written out.
-CONTRACTIONS = {
-    "can't": "cannot", "won't": "will not", "n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am", "let's": "let us", "it's": "it is", "that's": "that is", "what's": "what is", "there's": "there is", "i'd": "i would",
-}
+# Punctuation that the spoken form turns to blanks, contractions that are words
+# of their own, endings that stand for a word, and words after which ``'s`` is ``is``.
+SPOKEN_PUNCTUATION = ",;(){}[]\"|:!?.#$%&*+/<=>@\\^_`~"
+SPOKEN_PUNCTUATION_WIDE = "，；､、丶｟｠《》（）｢｣［］｛｝「」『』【】〔〕！？｡。"
+WHOLE_CONTRACTIONS = {"won't": "will not", "can't": "cannot", "shan't": "shall not", "ain't": "are not", "let's": "let us", "y'all": "you all", "ma'am": "madam", "o'clock": "of the clock", "'cause": "because", "'em": "them", "'tis": "it is", "'twas": "it was"}
+CONTRACTED_ENDINGS = {"n't": " not", "'re": " are", "'ll": " will", "'ve": " have", "'m": " am", "'d": " would"}
+BEFORE_IS = ("he", "how", "it", "she", "so", "somebody", "someone", "something", "that", "there", "this", "what", "when", "where", "who", "why", "here", "everyone", "nobody")
+_PUNCTUATION_CLASS = "[" + "".join("\\" + c if c in "[]\\^" else c for c in SPOKEN_PUNCTUATION) + SPOKEN_PUNCTUATION_WIDE + "]"
+
+
+def contraction_steps() -> list[tuple[str, str]]:
+    """Patterns and replacements that write contractions out, in order, in any case; ``'s``
+    after other words is a genitive and stays. Other engines' regular expressions know them,
+    too."""
+    edge = "([^A-Za-z0-9_'])"
+    steps = [(f"(?i){edge}{short}{edge}", rf"$1{full}$2") for short, full in WHOLE_CONTRACTIONS.items()]
+    steps += [(rf"(?i)([A-Za-z]){short}{edge}", rf"$1{full}$2") for short, full in CONTRACTED_ENDINGS.items()]
+    return [*steps, (rf"(?i){edge}({'|'.join(BEFORE_IS)})'s{edge}", r"$1$2 is$3")]
 
 
 def spoken_form(text: Column) -> Column:
-    """For word error rates: contractions written out (a short table of its own), punctuation as
-    blanks, single letters spelled apart written together, lower case."""
-    out = F.regexp_replace(F.lower(text), "’", "'")
-    for short, full in CONTRACTIONS.items():
-        out = F.regexp_replace(out, (r"\b" if short[0].isalpha() and short != "n't" else "") + short + r"\b", full)
-    out = squeezed(F.regexp_replace(out, r"(?U)[^\w\s]", " "))
-    return F.regexp_replace(out, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
+    """For word error rates of English: an all-capital text in lower case, ``O'`` as a word of
+    its own, contractions written out, punctuation, hyphens and apostrophes as blanks, single
+    letters spelled apart (with a last ``s``) written together, and all in lower case.
+
+    Contractions follow the rule above, not a published table, so rare ones differ. A
+    contraction right behind another one (one blank between) is left to the second pass."""
+    letters = F.regexp_replace(text, "[^A-Za-z]", "")
+    out = F.when((letters != "") & (F.upper(text) == text), F.lower(text)).otherwise(text)
+    out = F.concat(F.lit(" "), F.replace(out, F.lit("’"), F.lit("'")), F.lit(" "))
+    out = F.regexp_replace(F.regexp_replace(out, r"\sO'\s", " O "), r"\so'\s", " o ")
+    for _ in range(2):
+        for pattern, full in contraction_steps():
+            out = F.regexp_replace(out, pattern, full)
+    out = F.regexp_replace(out, _PUNCTUATION_CLASS, " ")
+    words = F.filter(F.split(F.regexp_replace(out, r"[-']", " "), r"\s+"), lambda w: w != "")
+    single = lambda w: w.rlike(r"^\p{L}s?$")
+    glued = lambda w, i: F.concat(F.when((i > 0) & single(w) & single(F.get(words, i - 1)), F.lit("")).when(i > 0, F.lit(" ")).otherwise(F.lit("")), w)
+    return F.lower(F.array_join(F.transform(words, glued), ""))

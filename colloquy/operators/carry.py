@@ -75,12 +75,31 @@ def prior_terms(units: DataFrame, same_speaker: bool = True) -> DataFrame:
     return rows.where("evidence > 0").select(*keys, "position", "evidence", "gap")
 
 
+def prior_of_others(units: DataFrame) -> DataFrame:
+    """Per target unit whose surface another speaker said before: ``evidence``, the earlier
+    positions at which anyone but the speaker alone did.
+
+    These are all earlier positions with the surface less those where the speaker was the
+    only one, so running counts are enough."""
+    said = units.select("meeting", "surface", "position", "speaker").distinct()
+    at = said.groupBy("meeting", "surface", "position").agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("_all", F.count(F.lit(1)).over(before("meeting", "surface")))
+    rows = said.join(at, ["meeting", "surface", "position"])
+    alone = F.coalesce(F.sum((F.col("_n") == 1).cast("long")).over(before("meeting", "surface", "speaker")), F.lit(0))
+    rows = rows.withColumn("evidence", F.col("_all") - alone).where("evidence > 0")
+    return rows.select("meeting", "surface", "speaker", "position", "evidence")
+
+
 def ranked_terms(units: DataFrame, most: int) -> DataFrame:
     """The ``most`` surfaces of each meeting by evidence, then first position, then name;
     ``rank`` from 1."""
     terms = units.groupBy("meeting", "surface").agg(F.count(F.lit(1)).alias("evidence"), F.min("position").alias("first_seen"))
-    order = Window.partitionBy("meeting").orderBy(F.col("evidence").desc(), "first_seen", "surface")
-    return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    by = (F.col("evidence").desc(), "first_seen", "surface")
+    # the best of each part of a meeting first: a meeting with very many terms is many tasks
+    part = Window.partitionBy("meeting", "_part").orderBy(*by)
+    best = terms.withColumn("_part", F.pmod(F.xxhash64("surface"), F.lit(64))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= most).drop("_part", "_r")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("meeting").orderBy(*by))).where(F.col("rank") <= most)
 
 
 def carry_accounting(units: DataFrame) -> DataFrame:
@@ -130,6 +149,43 @@ def merged_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+def merged_by_source(entries: DataFrame) -> DataFrame:
+    """``merged_entries`` by key, provenance and tier, with ``introduced_by`` of the earliest
+    chunk: entries also have provenance, tier and introduced_by, whose nulls are values."""
+    null = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    whole = F.struct("key", null("provenance").alias("p"), null("tier").alias("t"))
+    by = entries.groupBy("meeting", whole.alias("key")).agg(F.min_by("introduced_by", "chunk").alias("introduced_by"))
+    folded = merged_entries(entries.withColumn("key", whole)).join(by, ["meeting", "key"])
+    back = lambda c: F.when(F.col(f"key.{c}") != "", F.substring(F.col(f"key.{c}"), 2, 1 << 30))
+    rest = [x for x in folded.columns if x not in ("meeting", "key")]
+    return folded.select("meeting", F.col("key.key").alias("key"), back("p").alias("provenance"), back("t").alias("tier"), *rest)
+
+
+def state_scores(rows: DataFrame, keys: list[str], terms: str, supported: str, same: str, other: str) -> DataFrame:
+    """Ten counters and six rates per ``keys`` of term sets: state terms against the terms that
+    speech supports, the same speaker's targets and all targets (arrays). Off-speaker terms are
+    supported ones that are no target of the speaker's. Rates without denominator are null."""
+    n = lambda c: F.coalesce(F.size(F.array_distinct(c)), F.lit(0)).cast("long")
+    t, s, a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in (terms, supported, same, other))
+    counts = {
+        "terms": n(t), "supported_terms": n(F.array_intersect(t, s)), "hallucinated_terms": n(F.array_except(t, s)), "off_speaker_terms": n(F.array_except(F.array_intersect(t, s), a)),
+        "target_relevant_terms": n(F.array_intersect(t, b)), "same_targets": n(a), "same_target_hits": n(F.array_intersect(t, a)), "global_targets": n(b), "global_target_hits": n(F.array_intersect(t, b)),
+    }
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"), *[F.sum(c).alias(name) for name, c in counts.items()])
+    rate = lambda x, y: F.round(F.try_divide(F.col(x).cast("double"), F.col(y).cast("double")), 6)
+    return (
+        sums.withColumn("support_precision", rate("supported_terms", "terms")).withColumn("hallucination_rate", rate("hallucinated_terms", "terms")).withColumn("off_speaker_rate", rate("off_speaker_terms", "terms"))
+        .withColumn("target_relevance", rate("target_relevant_terms", "terms")).withColumn("same_target_recall", rate("same_target_hits", "same_targets")).withColumn("global_target_recall", rate("global_target_hits", "global_targets"))
+    )
+
+
+def class_counts(classified: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate and exclusive units per class of surface (surface, class); a surface of several
+    classes counts once in each: class, candidates, exclusive."""
+    rows = classified.join(classes.select("surface", "class").distinct(), "surface")
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("kind") == "exclusive").alias("exclusive"))
+
+
 def gated(entries: DataFrame, least: int = 2, clip: int | None = None) -> DataFrame:
     """Entries with enough evidence; evidence over ``clip`` is cut to it, all else kept."""
     kept = entries.where(F.col("evidence") >= least)

@@ -1,9 +1,10 @@
 """Diarization scores from reference and hypothesis segments.
 
 Speakers' segments become disjoint periods first. Counts of active speakers come from a
-sweep: +1 at each start, -1 at each end, summed along time within tiles of 2**20 ms, to
-which periods are clipped. No set of speakers is ever built, and a long or crowded meeting
-is many tiles.
+sweep: +1 at each start, -1 at each end, summed along time within tiles of 2**20 ms; what
+a tile begins with, and where the next event after it is, comes from one row a tile. No set
+of speakers is ever built, no period is blown up, however long, and a long or crowded
+meeting is many tiles.
 """
 
 from __future__ import annotations
@@ -103,12 +104,10 @@ def matched_spans(periods: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def _changes(spans: DataFrame, name: str) -> DataFrame:
-    """+1 and -1 of spans (meeting_id, s, e), clipped to tiles; meeting_id, tile, at, kind, d."""
-    low, high = F.floor(F.col("s") / TILE_MS).cast("long"), F.floor((F.col("e") - 1) / TILE_MS).cast("long")
-    tiled = spans.where(F.col("s") < F.col("e")).withColumn("tile", F.explode(F.sequence(low, high)))
-    a, b = F.greatest(F.col("s"), F.col("tile") * TILE_MS), F.least(F.col("e"), (F.col("tile") + 1) * TILE_MS)
-    ends = F.inline(F.array(F.struct(a.alias("at"), F.lit(1).alias("d")), F.struct(b.alias("at"), F.lit(-1).alias("d"))))
-    return tiled.select("meeting_id", "tile", ends).withColumn("kind", F.lit(name))
+    """+1 and -1 of spans (meeting_id, s, e): meeting_id, tile, at, kind, d."""
+    ends = F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d"))))
+    rows = spans.where(F.col("s") < F.col("e")).select("meeting_id", ends)
+    return rows.select("meeting_id", F.floor(F.col("at") / TILE_MS).cast("long").alias("tile"), "at", "d", F.lit(name).alias("kind"))
 
 
 def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms: int = 0) -> DataFrame:
@@ -126,9 +125,16 @@ def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms:
         rows = rows.unionByName(p)
     kinds = ("ref", "hyp", "match", "collar")
     steps = rows.groupBy("meeting_id", "tile", "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in kinds])
+    # one row a tile with events: what is open at its start, and the first event after it
+    tiles = steps.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), *[F.sum(k).alias(k) for k in kinds])
+    along = Window.partitionBy("meeting_id").orderBy("tile")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    tiles = tiles.select(F.col("meeting_id").alias("_m"), F.col("tile").alias("_t"), F.lead("_first").over(along).alias("_then"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in kinds])
+    rows = steps.join(tiles, F.col("meeting_id").eqNullSafe(F.col("_m")) & (F.col("tile") == F.col("_t")))
     order = Window.partitionBy("meeting_id", "tile").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select("meeting_id", (F.lead("at").over(order) - F.col("at")).alias("ms"), *[F.sum(k).over(upto).alias(f"n_{k}") for k in kinds])
+    ms = F.coalesce(F.lead("at").over(order), F.col("_then")) - F.col("at")
+    rows = rows.select("meeting_id", ms.alias("ms"), *[(F.col(f"_{k}") + F.sum(k).over(upto)).alias(f"n_{k}") for k in kinds])
     return rows.where("ms > 0 and (n_ref > 0 or n_hyp > 0)")
 
 

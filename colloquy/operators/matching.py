@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import multiset_overlap, token_f1
+from ..functions.text import edit_distance, multiset_overlap, token_f1
 
 _CLAIM = T.ArrayType(T.StructType([T.StructField("gold", T.StringType()), T.StructField("pred", T.IntegerType()), T.StructField("f1", T.DoubleType())]))
 
@@ -56,31 +56,77 @@ def scorer_gaps(a: DataFrame, b: DataFrame, key: str, value: str, threshold: flo
     return rows.withColumn("gap", F.round(F.col("a") - F.col("b"), 6)).withColumn("diverges", F.abs("gap") > threshold)
 
 
-def positional(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+def positional(left: DataFrame, right: DataFrame, key: str, order: str, other_order: str | None = None) -> DataFrame:
     """Rows of two tables of a key paired by place in ``order``, from 0; surplus rows of either
     side have nulls on the other. Columns other than the key come as structs a and b."""
 
-    def placed(df: DataFrame, name: str) -> DataFrame:
+    def placed(df: DataFrame, name: str, by: str) -> DataFrame:
         rest = [c for c in df.columns if c != key]
-        return df.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("place"), F.struct(*rest).alias(name))
-
-    return placed(left, "a").join(placed(right, "b"), [key, "place"], "full")
-
-
-def window_distances(tokens: Column, needle: Column) -> Column:
-    """Least number of token replacements that turn a window of the needle's length into the
-    needle; null for texts shorter than it. Multiset overlap bounds it from below, so equal
-    windows are found exactly."""
-    last = F.size(tokens) - F.size(needle)
-    places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
-    wrong = lambda i: F.size(F.filter(F.arrays_zip(F.slice(tokens, i + 1, F.size(needle)).alias("x"), needle.alias("y")), lambda z: z["x"] != z["y"]))
-    return F.when((last >= 0) & (F.size(needle) > 0), F.array_min(F.transform(places, wrong)))
-
-
-def fuzzy_hit(tokens: Column, needle: Column) -> Column:
-    """Whether some window is at most ceil(n / 2) - 1 replacements away from the needle."""
-    most = F.ceil(F.size(needle) / 2.0).cast("int") - 1
-    return F.coalesce(window_distances(tokens, needle) <= most, F.lit(False))
+        return df.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(by)) - 1).alias("place"), F.struct(*rest).alias(name))
+
+    return placed(left, "a", order).join(placed(right, "b", other_order or order), [key, "place"], "full")
+
+
+def fuzzy_places(tokens: list[str], needle: list[str]) -> list[tuple[int, list[str], bool]]:
+    """Where a needle of n tokens stands in a text, up to ceil(n / 2) - 1 token edits: start,
+    the window, and whether the needle stands in it word for word.
+
+    A window has n tokens, or fewer, or more, in this order, as far as the edits allow; where
+    n do not fit any more, nothing is looked for. What a match covers is used up, but words
+    behind a literal needle are not."""
+    n = len(needle)
+    edits = -(-n // 2) - 1
+    lengths = [n, *range(n - 1, max(1, n - edits) - 1, -1), *range(n + 1, n + edits + 1)] if n else []
+    out: list[tuple[int, list[str], bool]] = []
+    start = 0
+    while n and start + n <= len(tokens):
+        step = 1
+        for k in lengths:
+            if start + k > len(tokens):
+                break
+            window = tokens[start : start + k]
+            if edit_distance(window, needle) <= edits:
+                text, whole = " ".join(window), " ".join(needle)
+                at = text.find(whole)
+                out.append((start, window, at >= 0))
+                step = k - (len(text[at + len(whole) :].split()) if at >= 0 else 0)
+                break
+        start += max(step, 1)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fuzzy_matches(tokens: pd.Series, needles: pd.Series) -> pd.Series:
+    """Matched texts of needles (array of texts) in token arrays, in order of their places: the
+    needle itself where it stands word for word, else the window. Null in, null out."""
+    out = []
+    for text, wanted in zip(tokens, needles):
+        if text is None or wanted is None:
+            out.append(None)
+            continue
+        found = set()
+        for needle in wanted:
+            for start, window, literal in fuzzy_places(list(text), needle.split()):
+                matched = needle if literal else " ".join(window)
+                found.add((start, len(matched.split()), matched))
+        out.append([x[2] for x in sorted(found)])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.IntegerType())
+def window_distance(tokens: pd.Series, needle: pd.Series) -> pd.Series:
+    """Least token edit distance of a needle of n tokens to a window of n - 1 to n + 1 tokens; n
+    where there is no window, null for nulls."""
+
+    def least(text, wanted) -> int | None:
+        if text is None or wanted is None:
+            return None
+        text, wanted = list(text), list(wanted)
+        n = len(wanted)
+        windows = (text[i : i + k] for k in range(max(1, n - 1), n + 2) for i in range(len(text) - k + 1))
+        return min((edit_distance(x, wanted) for x in windows), default=n)
+
+    return pd.Series([least(a, b) for a, b in zip(tokens, needle)], dtype="Int32")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

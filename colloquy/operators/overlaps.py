@@ -10,9 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets an interval of one level covers, at most; a longer one is of the next level, whose
+#: buckets are so many times wider.
+LEVEL = 1 << 12
+
+
 def _buckets(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
+    """Adds the level of each interval, 0 to 2, as ``<name>l``."""
+    covers = F.floor((F.col(end) - 1) / width) - F.floor(F.col(start) / width)
+    level = F.when(covers < LEVEL, 0).when(covers < LEVEL * LEVEL, 1).otherwise(2)
+    return df.where(F.col(start) < F.col(end)).withColumn(f"{name}l", level)
+
+
+def _exploded(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
     low, high = F.floor(F.col(start) / width).cast("long"), F.floor((F.col(end) - 1) / width).cast("long")
-    return df.where(F.col(start) < F.col(end)).withColumn(name, F.explode(F.sequence(low, F.greatest(low, high))))
+    return df.withColumn(name, F.explode(F.sequence(low, F.greatest(low, high))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = 30_000, names: tuple[str, str, str, str] = ("s", "e", "s2", "e2")) -> DataFrame:
@@ -20,12 +32,24 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = 30_00
 
     ``left`` has key, s and e, ``right`` key, s2 and e2, both any further columns (of
     different names). Each pair comes once: in the bucket in which the later one starts.
-    Null keys match nothing; empty and reversed intervals match nothing.
+    Null keys match nothing; empty and reversed intervals match nothing. Very long intervals
+    are joined in wider buckets, so that none becomes more than LEVEL rows.
     """
     s, e, s2, e2 = names
-    a, b = _buckets(left, s, e, width, "_b"), _buckets(right, s2, e2, width, "_b2").withColumnRenamed(key, "_key2")
-    met = (F.col(s) < F.col(e2)) & (F.col(s2) < F.col(e)) & (F.col("_b") == F.floor(F.greatest(F.col(s), F.col(s2)) / width))
-    return a.join(b, (F.col(key) == F.col("_key2")) & (F.col("_b") == F.col("_b2")) & met).drop("_b", "_b2", "_key2")
+    a, b = _buckets(left, s, e, width, "_b"), _buckets(right, s2, e2, width, "_c").withColumnRenamed(key, "_key2")
+
+    def of(level: int) -> DataFrame:
+        """Pairs the longer of which is of a level."""
+        wide = width * LEVEL**level
+        x, y = a.where(F.col("_bl") <= level), b.where(F.col("_cl") <= level)
+        if level:  # only keys with an interval of the level
+            keys = a.where(F.col("_bl") == level).select(F.col(key).alias("_k")).unionByName(b.where(F.col("_cl") == level).select(F.col("_key2").alias("_k"))).distinct()
+            x, y = x.join(keys, F.col(key) == F.col("_k"), "left_semi"), y.join(keys, F.col("_key2") == F.col("_k"), "left_semi")
+        met = (F.col(s) < F.col(e2)) & (F.col(s2) < F.col(e)) & (F.col("_b") == F.floor(F.greatest(F.col(s), F.col(s2)) / wide)) & (F.greatest("_bl", "_cl") == level)
+        joined = _exploded(x, s, e, wide, "_b").join(_exploded(y, s2, e2, wide, "_c"), (F.col(key) == F.col("_key2")) & (F.col("_b") == F.col("_c")) & met)
+        return joined.drop("_b", "_c", "_bl", "_cl", "_key2")
+
+    return of(0).unionByName(of(1)).unionByName(of(2))
 
 
 def clipped(rows: DataFrame, names: tuple[str, str, str, str] = ("s", "e", "s2", "e2")) -> DataFrame:

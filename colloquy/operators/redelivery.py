@@ -9,7 +9,8 @@ The filters are blocked: an identifier has one 64-bit word and four bits in it,
 is a table (word, bucket, bits) built by ``bit_or`` with map-side combine and probed by a
 join on the word; nothing is broadcast or collected, whatever the number of identifiers.
 Copies are aggregated per (identifier, bucket) before anything else, so a message that
-arrived in a third of all rows is one row a bucket.
+arrived in a third of all rows is one row a bucket. They are stored in the shared folder,
+partitioned by bucket: the exact check reads only partitions that some filter matched.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored_table
 
 #: Identifiers that share a word of the filter, on average.
 IDS_PER_WORD = 5
@@ -61,7 +62,7 @@ def message_counts(df: DataFrame, ids: Sequence[Column], at: Column, order: Sequ
     the least ``order`` struct of its copies. Null identifiers compare as equal. ``order``
     must be orderable and should end in a unique column, so that ties cannot occur."""
     names = [f"_id{i}" for i in range(len(ids))]
-    stored = cut_lineage(message_buckets(df, ids, at, order, days))
+    stored = stored_table(message_buckets(df, ids, at, order, days), "redelivery", ["_bucket"])
     words = max(1, stored.count() // IDS_PER_WORD)
     key = [F.col(n) for n in names]
     stored = stored.withColumn("_word", bloom_word(words, *key)).withColumn("_bits", bloom_bits(*key))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import swapped
 from .sampling import derangement
 from .scoring import ratio
+from .statistics import numbered
 
 
 def outcome_rollup(rows: DataFrame, group: str, outcome: str = "outcome") -> DataFrame:
@@ -110,3 +111,72 @@ def markdown_table(rows: DataFrame, most: int = 200) -> str:
         raise ValueError(f"more than {most} rows")
     cells = [rows.columns, ["---"] * len(rows.columns), *[["" if v is None else str(v) for v in r] for r in found]]
     return "\n".join("| " + " | ".join(x.replace("|", "\\|") for x in line) + " |" for line in cells)
+
+
+def view(rows: DataFrame, column: str, value: str | None) -> DataFrame:
+    """Rows with one value of a column, null being a value like others."""
+    return rows.where(F.col(column).eqNullSafe(F.lit(value)))
+
+
+def arm_contrasts(scores: DataFrame, group: str, arm: str, metrics: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Per metric and pair of arms: groups that both arms scored, groups dropped because one has
+    no score, and the mean gap (second less first). ``scores`` has one row a group and arm."""
+    cells = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
+    long = scores.select(group, arm, cells)
+    out = None
+    for first, second in pairs:
+        a, b = (long.where(F.col(arm) == name).select(group, "metric", F.col("x").alias(x)) for name, x in ((first, "a"), (second, "b")))
+        both = F.col("a").isNotNull() & F.col("b").isNotNull()
+        rows = a.join(b, [group, "metric"], "full").groupBy("metric").agg(F.count_if(both).alias("paired"), F.count_if(~both).alias("dropped"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("gap"))
+        rows = rows.select("metric", F.lit(first).alias("first_arm"), F.lit(second).alias("second_arm"), "paired", "dropped", "gap")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def parse_health(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Replies (raw_text, parse_mode, n_segments, completion_tokens, max_tokens) per ``keys``:
+    missing and empty ones, capped ones, parse modes, and abstentions that did parse."""
+    mode = lambda m: F.count_if(F.col("parse_mode") == m).alias(m)
+    return replies.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("raw_text").isNull()).alias("missing"), F.count_if(F.length(F.trim("raw_text")) == 0).alias("empty"), F.count_if(F.col("completion_tokens") >= F.col("max_tokens")).alias("capped"),
+        mode("strict"), mode("lenient"), mode("failed"), F.count_if((F.col("parse_mode") != "failed") & (F.col("n_segments") == 0)).alias("abstained"),
+    )
+
+
+def task_order(tasks: DataFrame, order: list[str]) -> DataFrame:
+    """Tasks with ``place`` from 1 in the order of priority and arrival: range partitions are
+    numbered on their own."""
+    key = tasks.withColumn("_key", F.struct(*order))
+    rows, _ = numbered(key, "_key")
+    return rows.withColumn("place", (F.col("_i") + 1).cast("long")).drop("_key", "_i")
+
+
+def histograms(rows: DataFrame, features: dict[str, str], upto: list[int], hit: str) -> DataFrame:
+    """Per feature (name: column) and class of its value (up to each bound, over the last one, and
+    ``unknown``): feature, level, n and hits, in one pass."""
+
+    def level(c: Column) -> Column:
+        out, low = F.when(c.isNull(), "unknown"), None
+        for bound in upto:
+            name = str(bound) if low is None or low + 1 == bound else f"{low + 1}-{bound}"
+            out, low = out.when(c <= bound, name), bound
+        return out.otherwise(f"{low + 1}+")
+
+    cells = F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), level(F.col(c)).alias("level")) for n, c in features.items()]))
+    long = rows.select(F.col(hit).alias("_hit"), cells)
+    return long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if("_hit").alias("hits"))
+
+
+def eligible(lists: list[DataFrame], roster: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Keys of several lists together, each once, that are on the roster and not excluded."""
+    rows = lists[0]
+    for other in lists[1:]:
+        rows = rows.unionByName(other)
+    return rows.where(F.col(key).isNotNull()).distinct().join(roster.select(key).distinct(), key, "left_semi").join(excluded.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+
+
+def ceilings(receipts: DataFrame, keys: list[str], cost: str, ceiling: float) -> DataFrame:
+    """Receipts per ``keys``: calls, total cost, its share of a ceiling and whether it is over."""
+    total = F.coalesce(F.sum(cost), F.lit(0)).alias("total")
+    rows = receipts.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), total)
+    return rows.withColumn("share", F.round(F.col("total") / F.lit(float(ceiling)), 6)).withColumn("over", F.col("total") > ceiling)

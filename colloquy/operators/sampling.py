@@ -1,6 +1,9 @@
 """Deterministic samples, permutations, splits and ranked prefixes, by hash order.
 
 Draws are hashes of seed and identifier, so they do not depend on partitioning or order.
+Orders of a group are made in two steps: the digest's first signs cut a group into 4,096
+buckets, which are ordered on their own, and one row a bucket is ordered in the group. So a
+group with a third of all rows is many tasks.
 """
 
 from __future__ import annotations
@@ -30,29 +33,58 @@ def hashed_head(df: DataFrame, column: str, most: int, rows: int) -> DataFrame:
     return df.where(F.pmod(digest, F.lit(scale)) < share).select(column).distinct().orderBy(digest, column).limit(most)
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_b", F.substring("_d", 1, 3))
+
+
+def _beside(rows: DataFrame, summary: DataFrame, within: list[str]) -> DataFrame:
+    """Rows with the columns of a summary by ``within`` and bucket; null groups are groups."""
+    there = summary.select(*[F.col(c).alias(f"_s_{c}") for c in [*within, "_b"]], *[c for c in summary.columns if c not in (*within, "_b")])
+    same = F.col("_b") == F.col("_s__b")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    return rows.join(there, same).drop(*[f"_s_{c}" for c in [*within, "_b"]])
+
+
+def _group(within: list[str]) -> list:
+    return [F.col(c) for c in within] or [F.lit(0)]
+
+
 def derangement(ids: DataFrame, identifier: str, seed: str, within: list[str]) -> DataFrame:
     """A partner for each id that is not itself: the next in hash order of its group, the
     first for the last. Groups of one have no partner (null)."""
-    order = Window.partitionBy(*within).orderBy("_d", identifier)
-    rows = ids.select(*within, identifier).distinct().withColumn("_d", draw(seed, F.col(identifier)))
-    partner = F.coalesce(F.lead(identifier).over(order), F.first(identifier).over(order))
-    return rows.withColumn("partner", F.when(partner != F.col(identifier), partner)).drop("_d")
+    rows = _cut(ids.select(*within, identifier).distinct().withColumn("_d", draw(seed, F.col(identifier))))
+    firsts = rows.groupBy(*within, "_b").agg(F.min_by(identifier, F.struct("_d", identifier)).alias("_first"))
+    along = Window.partitionBy(*_group(within)).orderBy("_b")
+    firsts = firsts.select(*within, "_b", F.coalesce(F.lead("_first").over(along), F.first("_first").over(along)).alias("_then"))
+    own = Window.partitionBy(*within, "_b").orderBy("_d", identifier)
+    rows = _beside(rows.withColumn("_next", F.lead(identifier).over(own)), firsts, within)
+    partner = F.coalesce("_next", "_then")
+    return rows.select(*within, identifier, F.when(partner != F.col(identifier), partner).alias("partner"))
 
 
 def round_robin(df: DataFrame, identifier: str, stratum: str, seed: str, most: int) -> DataFrame:
     """Strata in turn, ids of a stratum in hash order; the first ``most``, ``turn`` from 1."""
     digest = lambda c: F.sha2(F.concat(F.lit(f"{seed}:"), c.cast("string")), 256)
-    order = Window.partitionBy(stratum).orderBy("_h", identifier)
-    rows = df.withColumn("_h", digest(F.col(identifier))).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
-    return rows.withColumn("_g", digest(F.coalesce(F.col(stratum), F.lit("")))).orderBy("turn", "_g", identifier).limit(most).drop("_h", "_g")
+    rows = _cut(df.withColumn("_d", digest(F.col(identifier))))
+    along = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    bases = bases.select(stratum, "_b", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_base")).where(F.col("_base") < most)  # later buckets have no turn
+    own = Window.partitionBy(stratum, "_b").orderBy("_d", identifier)
+    rows = _beside(rows, bases, [stratum]).withColumn("turn", (F.col("_base") + F.row_number().over(own)).cast("int")).where(F.col("turn") <= most)
+    return rows.withColumn("_g", digest(F.coalesce(F.col(stratum), F.lit("")))).orderBy("turn", "_g", identifier).limit(most).drop("_d", "_g", "_b", "_base")
 
 
 def prefix_of_mass(df: DataFrame, identifier: str, mass: str, target: float, seed: str, within: list[str]) -> DataFrame:
     """Per group, the shortest prefix in hash order whose mass reaches ``target``; all of a
     group whose mass does not."""
-    order = Window.partitionBy(*within).orderBy("_d", identifier).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_d", draw(seed, F.col(identifier))).withColumn("upto", F.sum(mass).over(order))
-    return rows.where(F.col("upto") - F.col(mass) < target).drop("_d")
+    rows = _cut(df.withColumn("_d", draw(seed, F.col(identifier))))
+    along = Window.partitionBy(*_group(within)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*within, "_b").agg(F.sum(mass).alias("_m"))
+    bases = bases.select(*within, "_b", F.coalesce(F.sum("_m").over(along), F.lit(0)).alias("_base")).where(F.col("_base") < target)
+    own = Window.partitionBy(*within, "_b").orderBy("_d", identifier).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _beside(rows, bases, within).withColumn("upto", F.col("_base") + F.sum(mass).over(own))
+    return rows.where(F.col("upto") - F.col(mass) < target).drop("_d", "_b", "_base")
 
 
 def ranked_split(df: DataFrame, identifier: str, salt: str, sizes: dict[str, int]) -> DataFrame:

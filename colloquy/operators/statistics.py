@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import md5_draw
+from ..session import cut_lineage
 
 
 def ceil_rank(values: Column, fraction: float) -> Column:
@@ -37,18 +38,28 @@ def cluster_summary(per_cluster: DataFrame, value: str) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Rows with ``_i``, their number from 0 in the order of a column, and how many there are.
+    Range partitions are numbered on their own; one row a partition gives where each begins."""
+    ranged = cut_lineage(rows.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
+    along = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    bases = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_p").orderBy(column)
+    placed = ranged.join(bases, F.col("_p") == F.col("_q")).withColumn("_i", F.col("_base") + F.row_number().over(own) - 1)
+    return placed.drop("_p", "_q", "_base"), ranged.count()
+
+
 def bootstrap(clusters: DataFrame, cluster: str, sums: list[str], replicates: int, seed: str) -> DataFrame:
     """Sums of ``sums`` over clusters drawn with replacement, one row a replicate.
 
     ``clusters`` has one row a cluster, with components already summed. Clusters are numbered
-    by their name; each replicate draws as many as there are."""
-    order = Window.partitionBy(F.lit(0)).orderBy(cluster)  # one row a cluster
-    numbered = clusters.select(cluster, *sums).withColumn("_i", F.row_number().over(order) - 1)
-    n = numbered.count()
-    spark = clusters.sparkSession
-    draws = spark.range(replicates).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
+    by their name; each replicate draws as many as there are. Draws are rows of a range, so
+    no replicate is gathered."""
+    rows, n = numbered(clusters.select(cluster, *sums), cluster)
+    draws = clusters.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("r"), (F.col("id") % max(n, 1)).alias("k"))
     drawn = draws.select("r", md5_draw(F.lit(max(n, 1)), F.lit(seed), F.col("r"), F.col("k")).alias("_i"))
-    return drawn.join(numbered, "_i").groupBy("r").agg(*[F.sum(c).alias(c) for c in sums])
+    return drawn.join(rows, "_i").groupBy("r").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def interval(replicates: DataFrame, value: Column, low: float = 0.025, high: float = 0.975) -> DataFrame:

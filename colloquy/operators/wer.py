@@ -61,34 +61,43 @@ def orc_cells(n_ref: int, hyp: list[list[str]]) -> float:
     return size
 
 
-def orc_errors(ref: list[list[str]], hyp: list[list[str]]) -> int | None:
+def orc_errors(ref: list[list[str]], hyp: list[list[str]], allowed: list[list[np.ndarray]] | None = None, most: float = MOST_CELLS) -> int | None:
     """Least total distance if each reference utterance, in order, may go to any hypothesis
-    stream; None where the search is over MOST_CELLS."""
-    if orc_cells(len(ref), hyp) > MOST_CELLS:
+    stream; None where the search is over ``most`` cells. ``allowed[u][k][i, j]`` says whether
+    word i of utterance u and word j of stream k may be aligned."""
+    if orc_cells(len(ref), hyp) > most:
         return None
-    shape = tuple(len(h) + 1 for h in hyp)
     if not hyp:
         return sum(map(len, ref))
-    best = np.zeros(shape)
-    for axis, h in enumerate(hyp):  # words before the first utterance are insertions
-        view = np.arange(len(h) + 1).reshape([-1 if k == axis else 1 for k in range(len(hyp))])
-        best = best + view
-    for words in ref:
-        found = np.full(shape, np.inf)
-        for axis, h in enumerate(hyp):
-            own = np.moveaxis(best, axis, -1).copy()
-            for w in words:
+    shape = tuple(len(h) + 1 for h in hyp)
+    codes: dict[str, int] = {}
+    code = lambda words: np.array([codes.setdefault(x, len(codes)) for x in words], np.int64)
+    streams = [code(h) for h in hyp]
+    index = [np.arange(len(h) + 1) for h in hyp]
+    best = np.zeros(shape, np.int64)
+    for axis in range(len(hyp)):  # words before the first utterance are insertions
+        best = best + index[axis].reshape([-1 if k == axis else 1 for k in range(len(hyp))])
+
+    def inserted(table: np.ndarray, axis: int) -> np.ndarray:
+        """The table with any number of insertions on the last axis, which is a stream's."""
+        return np.minimum.accumulate(table - index[axis], axis=-1) + index[axis]
+
+    for u, words in enumerate(ref):
+        spoken = code(words)
+        found = None
+        for axis, stream in enumerate(streams):
+            own = np.moveaxis(best, axis, -1)
+            for i, word in enumerate(spoken):
+                step = (stream != word).astype(np.int64)
+                if allowed is not None:
+                    step = np.where(allowed[u][axis][i], step, 2)
                 new = own + 1
-                same = np.array([w != x for x in h], float)
-                new[..., 1:] = np.minimum(new[..., 1:], own[..., :-1] + same)
-                for k in range(1, new.shape[-1]):
-                    new[..., k] = np.minimum(new[..., k], new[..., k - 1] + 1)
-                own = new
-            found = np.minimum(found, np.moveaxis(own, -1, axis))
+                new[..., 1:] = np.minimum(new[..., 1:], own[..., :-1] + step)
+                own = inserted(new, axis)
+            own = np.moveaxis(own, -1, axis)
+            found = own if found is None else np.minimum(found, own)
         for axis in range(len(hyp)):  # words between utterances may be inserted on any stream
-            moved = np.moveaxis(found, axis, -1)
-            for k in range(1, moved.shape[-1]):
-                moved[..., k] = np.minimum(moved[..., k], moved[..., k - 1] + 1)
+            found = np.moveaxis(inserted(np.moveaxis(found, axis, -1), axis), -1, axis)
         best = found
     return int(best[tuple(-1 for _ in hyp)])
 
@@ -156,20 +165,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-
-    def next_row(row: Column, token: Column) -> Column:
-        filled = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
-            lambda new, j: F.concat(new, F.array(F.when(F.element_at(b, j) == token, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(new, -1), F.element_at(row, j + 1))))),
-        )
-        return F.when(F.size(b) == 0, zero).otherwise(filled)
-
-    return F.element_at(F.aggregate(a, zero, next_row), -1)
-
-
 Segment = tuple[float, float, list[str]]
 
 
@@ -195,12 +190,75 @@ def tcp_errors(ref: list[list[Segment]], hyp: list[list[Segment]], collar: float
     return int(sum(cost[i, j] for i, j in pairs))
 
 
+def tcorc_errors(ref: list[Segment], hyp: list[list[Segment]], collar: float = 5.0, most: float = MOST_CELLS) -> int | None:
+    """Time-constrained ``orc_errors``: reference segments in order of their starts go to any
+    stream of hypothesis segments, and only words within the collar may be aligned."""
+    ordered = sorted(ref, key=lambda s: s[:2])
+    streams = [sorted(s, key=lambda x: x[:2]) for s in hyp]
+    words = [[w for s in own for w in s[2]] for own in streams]
+    if orc_cells(len(ordered), words) > most:
+        return None
+    times = [[t for s in own for t in word_times(*s)] for own in streams]
+    allowed = [[within_collar(word_times(*s), t, collar) for t in times] for s in ordered]
+    return orc_errors([s[2] for s in ordered], words, allowed, most)
+
+
 def confusion_cost(speaker_aware: Column, speaker_free: Column) -> Column:
     """What wrong speakers cost: the difference of two error counts on the same pair."""
     return speaker_aware - speaker_free
 
 
-def slice_outcome(ref_words: Column, hyp_words: Column, cells: Column) -> Column:
+def slice_outcome(ref_words: Column, hyp_words: Column, cells: Column, most: float = MOST_CELLS) -> Column:
     """How a slice is scored, first that holds: ``no_reference`` (null score), ``no_hypothesis``
     (1.0), ``refused`` (the search is too large) or ``scored``."""
-    return F.when(ref_words == 0, "no_reference").when(hyp_words == 0, "no_hypothesis").when(cells > MOST_CELLS, "refused").otherwise("scored")
+    return F.when(ref_words == 0, "no_reference").when(hyp_words == 0, "no_hypothesis").when(cells > most, "refused").otherwise("scored")
+
+
+_ERRORS = T.StructType([T.StructField(n, T.LongType()) for n in ("ref_words", "hyp_words", "cp", "orc", "tcp", "tcorc")] + [T.StructField("cells", T.DoubleType())])
+
+
+def _session_errors(collar: float, most: float):
+    def streams(segments) -> dict:
+        out: dict = {}
+        for s in segments if segments is not None else []:
+            out.setdefault(s["speaker"], []).append((s["start_s"], s["end_s"], list(s["words"])))
+        return out
+
+    def ordered(segments) -> list:
+        return sorted(((s["start_s"], s["end_s"], list(s["words"])) for s in segments if len(s["words"])), key=lambda s: s[:2]) if segments is not None else []
+
+    @F.pandas_udf(_ERRORS)
+    def errors(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r, h in zip(refs, hyps):
+            a, b = streams(r), streams(h)
+            join = lambda x: [[w for s in sorted(own, key=lambda s: s[:2]) for w in s[2]] for own in x.values()]
+            own, other, turns = join(a), join(b), ordered(r)
+            n, m, cells = sum(map(len, own)), sum(map(len, other)), orc_cells(len(turns), other)
+            if not n or not m:
+                rows.append((n, m, n + m, n + m, n + m, n + m, cells))
+                continue
+            cp, tcp = cp_errors(own, other), tcp_errors(list(a.values()), list(b.values()), collar)
+            rows.append((n, m, cp, orc_errors([t[2] for t in turns], other, None, most), tcp, tcorc_errors(turns, list(b.values()), collar, most), cells))
+        return pd.DataFrame(rows, columns=_ERRORS.names).astype({n: "Int64" for n in _ERRORS.names[:-1]})
+
+    return errors
+
+
+def session_scores(ref: DataFrame, hyp: DataFrame, collar: float = 5.0, most: float = MOST_CELLS) -> DataFrame:
+    """Four error counts of each session (columns session, speaker, start_s, end_s, words on
+    either side): ``cp`` (speakers assigned one to one), ``orc`` (utterances to any stream),
+    ``tcp`` and ``tcorc`` (the same within a collar of seconds), with words, ``outcome`` (see
+    slice_outcome), rates and confusion costs.
+
+    Null without reference words; where the search is over ``most`` cells, only what needs it
+    is null. Null speakers are a speaker; a session on one side is scored against nothing. A
+    session's segments must fit in one task."""
+    item = F.struct("speaker", "start_s", "end_s", "words")
+    side = lambda df, name: df.groupBy("session").agg(F.collect_list(item).alias(name))
+    rows = side(ref, "_r").join(side(hyp, "_h"), "session", "full").select("session", _session_errors(collar, most)("_r", "_h").alias("x")).select("session", "x.*")
+    rows = rows.withColumn("outcome", slice_outcome(F.col("ref_words"), F.col("hyp_words"), F.col("cells"), most)).drop("cells")
+    rate = lambda c: F.round(F.try_divide(c.cast("double"), F.col("ref_words").cast("double")), 6)
+    for name in ("cp", "orc", "tcp", "tcorc"):
+        rows = rows.withColumn(f"{name}_wer", rate(F.col(name)))
+    return rows.withColumn("confusion", rate(confusion_cost(F.col("tcp"), F.col("tcorc")))).withColumn("confusion_free", rate(confusion_cost(F.col("cp"), F.col("orc"))))

@@ -123,7 +123,15 @@ def term_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carry.clusters(_candidates(spark, sf_dir)).withColumn("variants", F.array_join("variants", " "))
 
 
-@registry.query("merged_glossary")
+@registry.query(
+    "merged_glossary",
+    _WORDS[: _WORDS.index("k AS")]
+    + """n AS (SELECT meeting, CAST(floor(turn_index / 10.0) AS BIGINT) AS chunk, lower(surface) AS key, surface, count(*) AS n FROM w GROUP BY ALL),
+    g AS (SELECT meeting, chunk, key, arg_min(surface, (-n, surface)) AS canonical, CAST(sum(n) AS BIGINT) AS evidence, list(surface) AS vs FROM n GROUP BY meeting, chunk, key),
+    o AS (SELECT meeting, key, list({'c': canonical, 'e': evidence} ORDER BY chunk) AS l, min(chunk) AS first_seen, flatten(list(vs)) AS vs FROM g GROUP BY meeting, key),
+    f AS (SELECT meeting, key, list_reduce(l, lambda s, x: {'c': CASE WHEN x.e > s.e THEN x.c ELSE s.c END, 'e': s.e + x.e}) AS r, first_seen, vs FROM o)
+    SELECT meeting, key, r.c AS canonical, CAST(r.e AS BIGINT) AS evidence, first_seen, array_to_string(list_sort(list_distinct(vs)), ' ') AS variants FROM f WHERE r.e >= 2""",
+)
 def merged_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of each stretch of ten turns folded in order (the fold is tested by hand)."""
     chunks = _candidates(spark, sf_dir).withColumn("meeting", F.struct("meeting", F.floor(F.col("place") / 10).alias("chunk")))
@@ -145,3 +153,59 @@ def term_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("meeting").orderBy("speaker")
     pairs = sets.withColumn("speaker_b", F.lead("speaker").over(order)).withColumn("b", F.lead("a").over(order)).where("b is not null")
     return carry.term_set_sizes(pairs, "a", "b").select("meeting", F.col("speaker").alias("speaker_a"), "speaker_b", "n_union", "n_both", "n_left", "n_right")
+
+
+@registry.query(
+    "prior_terms_of_others",
+    _UNITS
+    + """, p AS (SELECT meeting, surface, position, count(DISTINCT speaker) AS n, min(speaker) AS one FROM u GROUP BY ALL)
+    SELECT u.meeting, u.surface, u.speaker, u.position, count(*) AS evidence FROM u JOIN p ON p.meeting = u.meeting AND p.surface = u.surface AND p.position < u.position AND (p.n > 1 OR p.one <> u.speaker) GROUP BY ALL""",
+)
+def prior_terms_of_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier positions at which others than the speaker said a term."""
+    return carry.prior_of_others(units(spark, sf_dir))
+
+
+_CLASSES = "CASE WHEN length(surface) > 8 THEN ['long'] ELSE ['short'] END || CASE WHEN surface LIKE '%s' THEN ['plural'] ELSE [] END"
+
+
+@registry.query(
+    "class_counts",
+    _CENSUS + f", x AS (SELECT kind, unnest({_CLASSES}) AS class FROM c) SELECT class, count(*) AS candidates, count(*) FILTER (WHERE kind = 'exclusive') AS exclusive FROM x GROUP BY class",
+)
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units per class of surface: by length, and those that end like plurals in two classes."""
+    found = carry.census(units(spark, sf_dir))
+    kinds = F.array_compact(F.array(F.when(F.length("surface") > 8, "long").otherwise("short"), F.when(F.col("surface").endswith("s"), "plural")))
+    return carry.class_counts(found, found.select("surface").distinct().select("surface", F.explode(kinds).alias("class")))
+
+
+@registry.query(
+    "state_scores",
+    _UNITS
+    + """, m AS (SELECT meeting, speaker, position, list(DISTINCT surface) AS now FROM u GROUP BY ALL),
+    s AS (SELECT m.meeting, m.speaker, m.position, now, coalesce((SELECT list(DISTINCT x.surface) FROM u x WHERE x.meeting = m.meeting AND x.speaker = m.speaker AND x.position < m.position), []) AS own,
+      coalesce((SELECT list(DISTINCT x.surface) FROM u x WHERE x.meeting = m.meeting AND x.position < m.position), []) AS every FROM m),
+    a AS (SELECT unnest([{'arm': 'speaker', 't': own}, {'arm': 'global', 't': every}]) AS v, own, every, list_intersect(now, own) AS same, list_intersect(now, every) AS other FROM s),
+    n AS (SELECT v.arm AS arm, count(*) AS targets, sum(len(v.t)) AS terms, sum(len(list_intersect(v.t, every))) AS supported_terms, sum(len(v.t) - len(list_intersect(v.t, every))) AS hallucinated_terms,
+      sum(len(list_intersect(v.t, every)) - len(list_intersect(v.t, same))) AS off_speaker_terms, sum(len(list_intersect(v.t, other))) AS target_relevant_terms, sum(len(same)) AS same_targets, sum(len(list_intersect(v.t, same))) AS same_target_hits,
+      sum(len(other)) AS global_targets, sum(len(list_intersect(v.t, other))) AS global_target_hits FROM a GROUP BY 1)
+    SELECT arm, targets, CAST(terms AS BIGINT) AS terms, CAST(supported_terms AS BIGINT) AS supported_terms, CAST(hallucinated_terms AS BIGINT) AS hallucinated_terms, CAST(off_speaker_terms AS BIGINT) AS off_speaker_terms, CAST(target_relevant_terms AS BIGINT) AS target_relevant_terms,
+      CAST(same_targets AS BIGINT) AS same_targets, CAST(same_target_hits AS BIGINT) AS same_target_hits, CAST(global_targets AS BIGINT) AS global_targets, CAST(global_target_hits AS BIGINT) AS global_target_hits,
+      round(supported_terms / nullif(terms, 0), 6) AS support_precision, round(hallucinated_terms / nullif(terms, 0), 6) AS hallucination_rate, round(off_speaker_terms / nullif(terms, 0), 6) AS off_speaker_rate, round(target_relevant_terms / nullif(terms, 0), 6) AS target_relevance,
+      round(same_target_hits / nullif(same_targets, 0), 6) AS same_target_recall, round(global_target_hits / nullif(global_targets, 0), 6) AS global_target_recall FROM n""",
+)
+def state_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of two arms at each turn, the speaker's own earlier terms and everybody's, against
+    what was said before and what is said now. A state holds a dialogue's distinct terms."""
+    u = units(spark, sf_dir)
+    now = u.groupBy("meeting", "speaker", "position").agg(F.collect_set("surface").alias("now"))
+    firsts = u.groupBy("meeting", "speaker", "surface").agg(F.min("position").alias("first"))
+    own = firsts.groupBy("meeting", "speaker").agg(F.collect_list(F.struct("first", "surface")).alias("mine"))
+    every = firsts.groupBy("meeting", "surface").agg(F.min("first").alias("first")).groupBy("meeting").agg(F.collect_list(F.struct("first", "surface")).alias("all"))
+    rows = now.join(own, ["meeting", "speaker"]).join(every, "meeting")
+    before = lambda c: F.transform(F.filter(c, lambda x: x["first"] < F.col("position")), lambda x: x["surface"])
+    rows = rows.select("now", before(F.col("mine")).alias("own"), before(F.col("all")).alias("every"))
+    arms = F.inline(F.array(F.struct(F.lit("speaker").alias("arm"), F.col("own").alias("t")), F.struct(F.lit("global").alias("arm"), F.col("every").alias("t"))))
+    rows = rows.select("now", "own", "every", arms).select("arm", "t", "every", F.array_intersect("now", "own").alias("same"), F.array_intersect("now", "every").alias("other"))
+    return carry.state_scores(rows, ["arm"], "t", "every", "same", "other")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import diarization, overlaps, slicing
 from ..operators.periods import rounded_ms
 from ..session import cut_lineage, table
@@ -122,12 +123,14 @@ def turns_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "stream_faults",
-    """WITH o AS (SELECT DISTINCT uniq_id, speaker_id, turn_index, start_s, end_s FROM runtime_turns), d AS (SELECT *, coalesce(start_s < lag(start_s) OVER (PARTITION BY uniq_id, speaker_id ORDER BY turn_index), false) AS down FROM o)
-    SELECT uniq_id, count(*) AS n_rows, coalesce(bool_or(end_s < start_s), false) AS reversed, bool_or(down) AS disordered FROM d GROUP BY uniq_id""",
+    """WITH o AS (SELECT DISTINCT uniq_id, speaker_id, turn_index, start_s, end_s FROM runtime_turns), d AS (SELECT *, coalesce(start_s < lag(start_s) OVER (PARTITION BY uniq_id, speaker_id ORDER BY turn_index), false) AS down FROM o),
+    g AS (SELECT uniq_id, count(*) AS n_rows, coalesce(bool_and(start_s = 0 AND end_s = 0), false) AS all_zero, count(*) > 1 AND count(DISTINCT coalesce(CAST(start_s AS VARCHAR), 'none') || ' ' || coalesce(CAST(end_s AS VARCHAR), 'none')) = 1 AS one_pair,
+      coalesce(bool_or(end_s < start_s), false) AS reversed, bool_or(down) AS disordered FROM d GROUP BY uniq_id)
+    SELECT *, NOT (all_zero OR one_pair OR reversed OR disordered) AS valid FROM g""",
 )
 def stream_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "runtime_turns").select("uniq_id", "speaker_id", "turn_index", "start_s", "end_s").distinct()
-    return overlaps.stream_faults(turns, "uniq_id", "speaker_id", "turn_index", "start_s", "end_s").select("uniq_id", "n_rows", "reversed", "disordered")
+    return overlaps.stream_faults(turns, "uniq_id", "speaker_id", "turn_index", "start_s", "end_s")
 
 
 @registry.query("turn_slices")
@@ -136,26 +139,52 @@ def turn_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.turn_slices(table(spark, sf_dir, "runtime_turns"))
 
 
-@registry.query("task_chunks")
+_OWN = "own AS (SELECT uniq_id, s, max(e) AS e FROM (SELECT uniq_id, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e FROM runtime_turns WHERE isfinite(start_s) AND isfinite(end_s)) WHERE s < e GROUP BY uniq_id, s)"
+
+
+@registry.query(
+    "task_chunks",
+    f"""WITH RECURSIVE {_OWN}, o AS (SELECT *, row_number() OVER (PARTITION BY uniq_id ORDER BY s) AS i, count(*) OVER (PARTITION BY uniq_id) AS n, max(e) OVER (PARTITION BY uniq_id) AS z, lag(e) OVER (PARTITION BY uniq_id ORDER BY s) AS p FROM own),
+    k AS (SELECT uniq_id, s AS low, i AS first, CAST(NULL AS BIGINT) AS cut, CAST(-1 AS BIGINT) AS no, n, z FROM o WHERE i = 1
+      UNION ALL SELECT k.uniq_id, x.cut, x.next, x.cut, k.no + 1, k.n, k.z FROM k, LATERAL (SELECT CASE WHEN o.e <= k.low + 900000 OR o.i = k.first THEN o.e ELSE o.p END AS cut, CASE WHEN o.e <= k.low + 900000 OR o.i = k.first THEN o.i + 1 ELSE o.i END AS next
+        FROM o WHERE o.uniq_id IS NOT DISTINCT FROM k.uniq_id AND o.i >= k.first AND o.i < k.n AND o.e - k.low >= 360000 ORDER BY o.i LIMIT 1) x),
+    c AS (SELECT uniq_id, no + 1 AS slice_no, low AS start_ms, coalesce(lead(cut) OVER (PARTITION BY uniq_id ORDER BY no), z) AS end_ms FROM k),
+    l AS (SELECT *, max(slice_no) OVER (PARTITION BY uniq_id) AS last FROM c),
+    m AS (SELECT uniq_id, max(slice_no) AS tail FROM l WHERE slice_no = last AND slice_no > 0 AND end_ms - start_ms < 180000 GROUP BY uniq_id)
+    SELECT l.uniq_id, CAST(slice_no AS INT) AS slice_no, start_ms, CASE WHEN m.tail = slice_no + 1 THEN lead(end_ms) OVER (PARTITION BY l.uniq_id ORDER BY slice_no) ELSE end_ms END AS end_ms
+    FROM l LEFT JOIN m ON m.uniq_id IS NOT DISTINCT FROM l.uniq_id QUALIFY m.tail IS NULL OR slice_no <> m.tail""",
+)
 def task_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.task_chunks(table(spark, sf_dir, "runtime_turns"))
 
 
-@registry.query("pause_grid")
+@registry.query(
+    "pause_grid",
+    f"""WITH RECURSIVE {_OWN}, r AS (SELECT uniq_id, s, e, max(e) OVER (PARTITION BY uniq_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM own),
+    p AS (SELECT uniq_id, unnest([reach, s]) AS x FROM r WHERE s - reach >= 1000), h AS (SELECT uniq_id, max(e) AS high FROM own GROUP BY uniq_id),
+    g AS (SELECT uniq_id, CAST(0 AS BIGINT) AS low, high, CAST(-1 AS BIGINT) AS no FROM h
+      UNION ALL SELECT g.uniq_id, y.cut, g.high, g.no + 1 FROM g, LATERAL (SELECT coalesce((SELECT arg_min(p.x, (abs(p.x - g.low - 90000), p.x)) FROM p WHERE p.uniq_id IS NOT DISTINCT FROM g.uniq_id AND abs(p.x - g.low - 90000) <= 3000 AND p.x - g.low BETWEEN 60000 AND 120000), g.low + 90000) AS cut) y WHERE g.high - g.low > 90000 AND y.cut < g.high),
+    c AS (SELECT uniq_id, no + 1 AS slice_no, low AS start_ms, coalesce(lead(low) OVER w, high) AS end_ms, high, lag(low) OVER w AS before, lead(low) OVER w IS NULL AS last FROM g WINDOW w AS (PARTITION BY uniq_id ORDER BY no)),
+    j AS (SELECT *, last AND slice_no > 0 AND end_ms - start_ms < 60000 AND high - before <= 120000 AS joins FROM c WHERE end_ms > start_ms)
+    SELECT uniq_id, CAST(slice_no AS INT) AS slice_no, start_ms, CASE WHEN coalesce(lead(joins) OVER (PARTITION BY uniq_id ORDER BY slice_no), false) THEN high ELSE end_ms END AS end_ms FROM j QUALIFY NOT joins""",
+)
 def pause_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.pause_grid(table(spark, sf_dir, "runtime_turns"))
 
 
 @registry.query(
     "turn_lines",
-    """SELECT meeting_id || '.' || side AS file_id, CAST(round(round(start_s, 3) * 1000) AS BIGINT) AS onset_ms, count(*) AS n FROM diar_segments WHERE end_s - start_s >= 0.001 AND isfinite(start_s) AND isfinite(end_s) AND meeting_id IS NOT NULL GROUP BY ALL""",
+    r"""WITH x AS (SELECT coalesce(meeting_id || '.', '') || side AS file_id, start_s, end_s, coalesce(nullif(regexp_replace(trim(speaker), '\s+', '_', 'g'), ''), '<NA>') AS name FROM diar_segments WHERE end_s > start_s AND isfinite(start_s) AND isfinite(end_s)),
+    y AS (SELECT file_id, CAST(round(round(start_s, 3) * 1000) AS BIGINT) AS onset_ms, greatest(CAST(round(round(end_s - start_s, 3) * 1000) AS BIGINT), 1) AS length_ms, nullif(name, '<NA>') AS speaker FROM x)
+    SELECT file_id, onset_ms, length_ms, speaker, count(*) AS n FROM y GROUP BY ALL""",
 )
 def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speaker-turn lines written and parsed again, counted by onset."""
-    rows = table(spark, sf_dir, "diar_segments").where("meeting_id is not null").withColumn("file", F.concat_ws(".", "meeting_id", "side"))
-    made = lines.rttm_lines(rows.where("end_s - start_s >= 0.001"), "file", "start_s", "end_s", "speaker")  # shorter ones have no length in a line
+    """Speaker-turn lines of all turns with a length, written and parsed again."""
+    rows = table(spark, sf_dir, "diar_segments").withColumn("file", F.concat_ws(".", "meeting_id", "side"))
+    made = lines.rttm_lines(rows, "file", "start_s", "end_s", "speaker")
     back = lines.parse_rttm(made.select("value"))
-    return back.groupBy("file_id", F.round(F.col("start_s") * 1000).cast("long").alias("onset_ms")).agg(F.count(F.lit(1)).alias("n"))
+    ms = lambda c: F.round(c * 1000).cast("long")
+    return back.groupBy("file_id", ms(F.col("start_s")).alias("onset_ms"), ms(F.col("end_s") - F.col("start_s")).alias("length_ms"), "speaker").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registry.query(
@@ -174,3 +203,43 @@ def slice_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.least("e2", s + 90_000) - F.greatest("s2", s)
     words = F.size(F.regexp_extract_all(F.lower("x"), F.lit("[a-z0-9]+"), F.lit(0)))
     return rows.groupBy("uniq_id", "slice_no").agg(F.count(F.lit(1)).alias("turns"), F.sum(words).alias("words"), F.sum(ms).alias("ms"))
+
+
+@registry.query("confusion_costs")
+def confusion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four word error counts of each request against the turns of its dialogue that it covers:
+    turns and segments pair up by place, and segments take the times of their turns, surplus
+    ones those of the dialogue. Searches over 200,000 cells are refused, and say so (programmes
+    over streams are no SQL; compared with brute force in tests)."""
+    from ..operators import matching, speakers, wer
+    from .text_plans import turns
+
+    said = turns(spark, sf_dir).where("said is not null")
+    times = _turns_ms(spark, sf_dir).where("s2 < e2").groupBy("uniq_id", "turn_index").agg(F.min("s2").alias("s"), F.max("e2").alias("e"))
+    ref = said.join(times, ["uniq_id", "turn_index"]).select("uniq_id", "turn_index", "speaker", "s", "e", text.word_tokens(F.col("said")).alias("words"))
+    asked = table(spark, sf_dir, "transcribed_segments").where("text is not null and request_id is not null")
+    one = asked.groupBy("request_id", "seg_ord").agg(F.min(F.struct("text", F.coalesce("speaker", F.lit("")).alias("label"), "uniq_id")).alias("m")).select("request_id", "seg_ord", "m.*")
+    hyp = speakers.resolved(one, table(spark, sf_dir, "speaker_roster"), "label").select("request_id", "seg_ord", "speaker", text.word_tokens(F.col("text")).alias("words"))
+    own = one.groupBy("request_id").agg(F.max("uniq_id").alias("uniq_id"), F.count(F.lit(1)).alias("n"))
+    bounds = ref.groupBy("uniq_id").agg(F.min("s").alias("low"), F.max("e").alias("high"))
+    placed = ref.join(own, "uniq_id").select("request_id", "turn_index", "speaker", "s", "e", "words")
+    pairs = matching.positional(hyp, placed, "request_id", "seg_ord", "turn_index").where("a is not null")
+    pairs = pairs.join(own.select("request_id", "uniq_id"), "request_id").join(bounds, "uniq_id", "left")
+    start, end = (F.coalesce(F.col(f"b.{x}"), F.col(y), F.lit(z)) / 1000.0 for x, y, z in (("s", "low", 0), ("e", "high", 1)))
+    segments = pairs.select(F.col("request_id").alias("session"), "a.speaker", start.alias("start_s"), end.alias("end_s"), "a.words")
+    covered = matching.positional(placed, hyp, "request_id", "turn_index", "seg_ord").where("a is not null and b is not null")
+    reference = covered.select(F.col("request_id").alias("session"), "a.speaker", (F.col("a.s") / 1000.0).alias("start_s"), (F.col("a.e") / 1000.0).alias("end_s"), "a.words")
+    return wer.session_scores(reference, segments, 5.0, 200_000)
+
+
+@registry.query(
+    "work_batches",
+    """WITH RECURSIVE o AS (SELECT source_name, request_id, coalesce(completion_tokens, 0) AS c, row_number() OVER (PARTITION BY source_name ORDER BY recorded_utc NULLS FIRST, request_id) AS n FROM parse_results),
+    f AS (SELECT source_name, request_id, n, 0 AS batch, CAST(c AS DOUBLE) AS used FROM o WHERE n = 1
+      UNION ALL SELECT o.source_name, o.request_id, o.n, CASE WHEN f.used + o.c > 6000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + o.c > 6000 THEN o.c ELSE f.used + o.c END FROM f JOIN o ON o.source_name IS NOT DISTINCT FROM f.source_name AND o.n = f.n + 1)
+    SELECT source_name, request_id, batch FROM f""",
+)
+def work_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a source, in order, in batches of at most 6,000 answer tokens."""
+    rows = table(spark, sf_dir, "parse_results").select("source_name", "recorded_utc", "request_id", "completion_tokens")
+    return slicing.next_fit_batches(rows, ["source_name"], ["recorded_utc", "request_id"], "completion_tokens", 6_000).select("source_name", "request_id", "batch")

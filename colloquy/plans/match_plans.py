@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import matching, slicing, wer
 from ..session import table
 from .registry import Registry
-from .text_plans import TURNS, turns
+from .text_plans import _GRAMS, _LEVEL, TURNS, shared_sql, turns
 
 registry = Registry()
 
@@ -90,17 +90,44 @@ def term_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.term_kinds(turns(spark, sf_dir), ["uniq_id"], "said")
 
 
+def _spoken_sql() -> str:
+    """The steps of the spoken form, from the same fixed values."""
+    quote = lambda x: x.replace("'", "''")
+    out = "(' ' || replace(CASE WHEN regexp_matches(text, '[A-Za-z]') AND upper(text) = text THEN lower(text) ELSE text END, '’', QQ) || ' ')"
+    out = rf"regexp_replace(regexp_replace({out}, '\sO''\s', ' O ', 'g'), '\so''\s', ' o ', 'g')"
+    for _ in range(2):
+        for pattern, full in text.contraction_steps():
+            out = f"regexp_replace({out}, '{quote(pattern)}', '{quote(full.replace('$', chr(92)))}', 'g')"
+    out = f"regexp_replace({out}, '{quote(text._PUNCTUATION_CLASS)}', ' ', 'g')"
+    return out.replace("QQ", chr(39) * 4)
+
+
 @registry.query(
     "spoken_forms",
-    r"""SELECT delivery_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0 AS any_word FROM direction_scores WHERE text IS NOT NULL""",
+    rf"""WITH s AS (SELECT delivery_id, list_filter(string_split_regex(regexp_replace({_spoken_sql()}, '[-'']', ' ', 'g'), '\s+'), lambda w: w <> '') AS w FROM direction_scores WHERE text IS NOT NULL)
+    SELECT delivery_id, lower(array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 OR (regexp_full_match(w[i], '\p{{L}}s?') AND regexp_full_match(w[i - 1], '\p{{L}}s?')) THEN w[i] ELSE ' ' || w[i] END), '')) AS form FROM s""",
 )
 def spoken_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a response has words left after the spoken-form normaliser."""
+    """The spoken form of every response with text."""
     rows = table(spark, sf_dir, "direction_scores").where("text is not null")
-    return rows.select("delivery_id", (F.size(text.ascii_tokens(text.spoken_form(F.col("text")))) > 0).alias("any_word"))
+    return rows.select("delivery_id", text.spoken_form(F.col("text")).alias("form"))
+
 
+def _ngram_sql() -> str:
+    from .score_plans import _KEPT
 
-@registry.query("ngram_f1")
+    grams = lambda x, n: _GRAMS.replace("$n", str(n)).replace("$", x)
+    f1 = lambda x, y: f"coalesce(2.0 * {shared_sql(x, y)} / nullif(len({x}) + len({y}), 0), 0.0)"
+    return (
+        _KEPT.replace("WITH ", "WITH RECURSIVE ", 1)
+        + ", w AS (SELECT target_id, arm, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM m1), q AS (SELECT x.target_id AS uniq_id, 0 AS turn_index, x.w AS a, y.w AS b FROM w x JOIN w y ON x.target_id = y.target_id WHERE x.arm = 'd0-global' AND y.arm = 'd1-speaker' AND x.w IS NOT NULL AND y.w IS NOT NULL), "
+        + _LEVEL.replace("d AS", "dd AS").replace("FROM d ", "FROM dd ")
+        + f", z AS (SELECT *, {grams('a', 2)} AS a2, {grams('b', 2)} AS b2 FROM dd WHERE i = len(a))"
+        + f" SELECT uniq_id AS target_id, round({f1('a', 'b')}, 6) AS f1_1, round({f1('a2', 'b2')}, 6) AS f1_2, round(coalesce(2.0 * c[len(c)] / nullif(len(a) + len(b), 0), 0.0), 6) AS f1_l FROM z"
+    )
+
+
+@registry.query("ngram_f1", _ngram_sql())
 def ngram_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram, bigram and longest-subsequence F1 of the two arms' responses to a target."""
     from .score_plans import ARMS, messages
@@ -109,7 +136,7 @@ def ngram_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda arm, name: rows.where(F.col("arm") == arm).select("target_id", F.col("w").alias(name))
     both = side(ARMS[0], "a").join(side(ARMS[1], "b"), "target_id").where("a is not null and b is not null")
     a, b = F.col("a"), F.col("b")
-    longest = F.coalesce(F.try_divide(2.0 * wer.lcs_length(a, b), F.size(a) + F.size(b)), F.lit(0.0))
+    longest = F.coalesce(F.try_divide(2.0 * text.lcs_length(a, b), F.size(a) + F.size(b)), F.lit(0.0))
     return both.select("target_id", F.round(matching.overlap_f1(a, b), 6).alias("f1_1"), F.round(matching.overlap_f1(wer.ngrams(a, 2), wer.ngrams(b, 2)), 6).alias("f1_2"), F.round(longest, 6).alias("f1_l"))
 
 
@@ -121,3 +148,69 @@ def ngram_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of each roster, in order, as far as twelve tokens go."""
     return matching.capped_block(table(spark, sf_dir, "speaker_roster"), "uniq_id", ["speaker_no"], "display_name", 12)
+
+
+_ROLES = "n AS (SELECT uniq_id, list_distinct(list(lower(role_title))) AS needles FROM speaker_roster WHERE role_title IS NOT NULL GROUP BY uniq_id)"
+
+
+@registry.query("fuzzy_roles")
+def fuzzy_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and names of a dialogue's roster that its replies name, words a few edits off too
+    (a cursor over windows is no SQL; compared with brute force in tests)."""
+    roster = table(spark, sf_dir, "speaker_roster").select("uniq_id", F.explode(F.array_compact(F.array(F.lower("role_title"), F.lower("display_name")))).alias("needle"))
+    needles = roster.groupBy("uniq_id").agg(F.array_sort(F.collect_set("needle")).alias("needles"))
+    replies = table(spark, sf_dir, "parse_results").where("raw_text is not null").select("request_id", "uniq_id", text.ascii_tokens(F.col("raw_text")).alias("w"))
+    return replies.join(needles, "uniq_id", "left").select("request_id", F.array_join(matching.fuzzy_matches("w", "needles"), "|").alias("found"))
+
+
+@registry.query(
+    "response_gaps",
+    """SELECT request_id, CAST(abs(coalesce(n_segments, 0) - len(list_filter(string_split_regex(raw_text, '\\r\\n|\\n|\\r'), lambda x: trim(x) <> ''))) AS INT) AS gap,
+      abs(coalesce(n_segments, 0) - len(list_filter(string_split_regex(raw_text, '\\r\\n|\\n|\\r'), lambda x: trim(x) <> ''))) > 0 AS diverges FROM parse_results WHERE raw_text IS NOT NULL""",
+)
+def response_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two counts of each reply's segments, the recorded one and that of its lines."""
+    rows = table(spark, sf_dir, "parse_results").where("raw_text is not null")
+    told = rows.select("request_id", F.coalesce("n_segments", F.lit(0)).alias("v"))
+    seen = rows.select("request_id", F.size(F.filter(F.split("raw_text", r"\r\n|\n|\r"), lambda x: F.trim(x) != "")).alias("v"))
+    gaps = matching.scorer_gaps(told, seen, "request_id", "v", 0.0)
+    return gaps.select("request_id", F.abs("gap").cast("int").alias("gap"), "diverges")
+
+
+@registry.query(
+    "best_alternatives",
+    f"""WITH {TURNS}, g AS (SELECT uniq_id, list(regexp_extract_all(lower(said), '[a-z0-9]+')) AS golds FROM t WHERE said IS NOT NULL AND turn_index < 5 GROUP BY uniq_id),
+    p AS (SELECT p.request_id, regexp_extract_all(lower(p.raw_text), '[a-z0-9]+') AS w, coalesce(g.golds, []) AS golds FROM parse_results p LEFT JOIN g USING (uniq_id) WHERE p.raw_text IS NOT NULL),
+    e AS (SELECT request_id, w AS b, unnest(CASE WHEN len(golds) > 0 THEN golds ELSE [[]] END) AS a FROM p),
+    f AS (SELECT request_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * {shared_sql('a', 'b')} / (len(a) + len(b)) END AS f1, CASE WHEN a = b THEN 1 ELSE 0 END AS exact FROM e)
+    SELECT request_id, round(max(f1), 6) AS f1, CAST(max(exact) AS INT) AS exact FROM f GROUP BY request_id""",
+)
+def best_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reply against the first turns of its dialogue as alternatives: best F1 and match."""
+    said = turns(spark, sf_dir).where("said is not null and turn_index < 5")
+    golds = said.groupBy("uniq_id").agg(F.collect_list(text.ascii_tokens(F.col("said"))).alias("golds"))
+    rows = table(spark, sf_dir, "parse_results").where("raw_text is not null").join(golds, "uniq_id", "left")
+    rows = rows.select("request_id", text.ascii_tokens(F.col("raw_text")).alias("w"), F.coalesce("golds", F.array().cast("array<array<string>>")).alias("golds"))
+    return matching.best_alternative(rows, "w", "golds").select("request_id", F.round("f1", 6).alias("f1"), "exact")
+
+
+@registry.query(
+    "legal_log",
+    """WITH l AS (SELECT file_id, file_path, manifest_batch, lag(file_path) OVER (PARTITION BY file_id ORDER BY manifest_batch, file_path) AS before FROM (SELECT DISTINCT file_id, file_path, manifest_batch FROM earnings22_inputs WHERE file_id IS NOT NULL))
+    SELECT file_id, manifest_batch, file_path AS entry, before FROM l WHERE before IS NOT NULL AND before <> file_path""",
+)
+def legal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of a file as a log whose links should repeat the path before: the broken ones."""
+    from ..operators import carry
+
+    rows = table(spark, sf_dir, "earnings22_inputs").where("file_id is not null").select("file_id", "manifest_batch", F.col("file_path").alias("entry")).distinct()
+    log = rows.withColumn("seq", F.struct("manifest_batch", "entry")).withColumn("previous", F.col("entry"))
+    first = log.groupBy("file_id").agg(F.min("seq").alias("seq"))
+    # the first entry has nothing before it
+    log = log.join(first.withColumn("_first", F.lit(True)), ["file_id", "seq"], "left").withColumn("previous", F.when(F.col("_first"), F.lit(None)).otherwise(F.col("entry"))).drop("_first")
+    broken = carry.broken_links(log, "file_id", "seq")
+    from pyspark.sql import Window
+
+    before = F.lag("entry").over(Window.partitionBy("file_id").orderBy("seq"))
+    named = log.select("file_id", "manifest_batch", "entry", before.alias("before"))
+    return named.join(broken.select("file_id", "manifest_batch", "entry"), ["file_id", "manifest_batch", "entry"], "left_semi")

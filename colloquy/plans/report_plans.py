@@ -10,6 +10,7 @@ from ..operators import reporting
 from ..session import table
 from .carry_plans import _UNITS, units
 from .registry import Registry
+from .score_plans import _KEPT, _PAIRS
 from .text_plans import _NEIGHBOURS, _neighbours
 
 registry = Registry()
@@ -92,3 +93,86 @@ def term_supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reply_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.rate_table(table(spark, sf_dir, "parse_results"), ["source_name", "arm"], F.col("parse_mode") == "strict")
+
+
+_CONTRASTS = _KEPT + """, v AS (SELECT arm, uniq_id, sum(wer_errors) / nullif(sum(wer_tokens), 0) AS wer, sum(carry_hits) / nullif(sum(carry_total), 0) AS hit FROM m1 GROUP BY ALL),
+l AS (SELECT uniq_id, arm, unnest([{'metric': 'wer', 'x': wer}, {'metric': 'hit', 'x': hit}]) AS y FROM v), a AS (SELECT uniq_id, y.metric AS metric, y.x AS x FROM l WHERE arm = 'd0-global'), b AS (SELECT uniq_id, y.metric AS metric, y.x AS x FROM l WHERE arm = 'd1-speaker')
+SELECT metric, 'd0-global' AS first_arm, 'd1-speaker' AS second_arm, count(*) FILTER (WHERE a.x IS NOT NULL AND b.x IS NOT NULL) AS paired, count(*) FILTER (WHERE a.x IS NULL OR b.x IS NULL) AS dropped, round(avg(b.x - a.x), 6) AS gap
+FROM a FULL JOIN b USING (uniq_id, metric) GROUP BY metric"""
+
+
+@registry.query("arm_contrasts", _CONTRASTS)
+def arm_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrasts of pairs of arms over dialogues that both scored; the others are counted."""
+    from .score_plans import ARMS, messages
+
+    rate = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double"))
+    per = messages(spark, sf_dir).groupBy("arm", "uniq_id").agg(rate("wer_errors", "wer_tokens").alias("wer"), rate("carry_hits", "carry_total").alias("hit"))
+    return reporting.arm_contrasts(per, "uniq_id", "arm", ["wer", "hit"], [ARMS])
+
+
+@registry.query(
+    "parse_health",
+    """SELECT coalesce(arm, 'none') AS arm, count(*) AS replies, count(*) FILTER (WHERE raw_text IS NULL) AS missing, count(*) FILTER (WHERE length(trim(raw_text)) = 0) AS empty, count(*) FILTER (WHERE completion_tokens >= max_tokens) AS capped, count(*) FILTER (WHERE parse_mode = 'strict') AS strict,
+      count(*) FILTER (WHERE parse_mode = 'lenient') AS lenient, count(*) FILTER (WHERE parse_mode = 'failed') AS failed, count(*) FILTER (WHERE parse_mode <> 'failed' AND n_segments = 0) AS abstained FROM parse_results GROUP BY 1""",
+)
+def parse_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies per arm: missing ones counted, modes, capped ones, abstentions that parsed."""
+    return reporting.parse_health(table(spark, sf_dir, "parse_results").withColumn("arm", F.coalesce("arm", F.lit("none"))), ["arm"])
+
+
+@registry.query(
+    "task_order",
+    """WITH k AS (SELECT request_id, CASE arm WHEN 'A-grid' THEN 0 WHEN 'A-free' THEN 1 ELSE 2 END AS priority, row_number() OVER (ORDER BY recorded_utc NULLS FIRST, request_id) AS seq FROM parse_results WHERE parse_mode <> 'strict' OR parse_mode IS NULL)
+    SELECT request_id, priority, CAST(row_number() OVER (ORDER BY priority, seq) AS BIGINT) AS place FROM k""",
+)
+def task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to be asked again, by the priority of their arm, then as they came."""
+    rows = table(spark, sf_dir, "parse_results").where("parse_mode <> 'strict' or parse_mode is null")
+    priority = F.when(F.col("arm") == "A-grid", 0).when(F.col("arm") == "A-free", 1).otherwise(2)
+    return reporting.task_order(rows.select("request_id", "recorded_utc", priority.alias("priority")), ["priority", "recorded_utc", "request_id"]).select("request_id", "priority", "place")
+
+
+@registry.query(
+    "views_of_speakers",
+    "SELECT source_name, count(*) AS n FROM parse_results WHERE arm IS NOT DISTINCT FROM NULL GROUP BY source_name UNION ALL SELECT 'A-grid', count(*) FROM parse_results WHERE arm IS NOT DISTINCT FROM 'A-grid'",
+)
+def views_of_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one value of a column, null being a value."""
+    rows = table(spark, sf_dir, "parse_results")
+    none = reporting.view(rows, "arm", None).groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+    return none.unionByName(reporting.view(rows, "arm", "A-grid").agg(F.lit("A-grid").alias("source_name"), F.count(F.lit(1)).alias("n")))
+
+
+@registry.query(
+    "hint_histograms",
+    _PAIRS + """, h AS (SELECT unnest([{'feature': 'width', 'x': t1}, {'feature': 'hits', 'x': h1}]) AS v, coalesce(f1, 0) > 0 AS hint FROM pr)
+    SELECT v.feature AS feature, CASE WHEN v.x IS NULL THEN 'unknown' WHEN v.x <= 1 THEN '1' WHEN v.x <= 2 THEN '2' ELSE '3+' END AS level, count(*) AS n, count(*) FILTER (WHERE hint) AS hints FROM h GROUP BY 1, 2""",
+)
+def hint_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """False hints by width and hits of a target, in three classes and unknown."""
+    from .score_plans import pairs
+
+    rows = pairs(spark, sf_dir).withColumn("hint", F.coalesce(F.col("false_hint_target_1"), F.lit(0)) > 0)
+    return reporting.histograms(rows, {"width": "carry_total_1", "hits": "carry_hits_1"}, [1, 2], "hint").withColumnRenamed("hits", "hints")
+
+
+@registry.query(
+    "excluded_listings",
+    """WITH r AS (SELECT DISTINCT uniq_id FROM speaker_roster), a AS (SELECT DISTINCT uniq_id FROM runtime_dialogues WHERE manifest_batch = 1 AND uniq_id IN (SELECT uniq_id FROM r)), b AS (SELECT DISTINCT uniq_id FROM runtime_dialogues WHERE manifest_batch = 2 AND uniq_id IN (SELECT uniq_id FROM r)),
+    x AS (SELECT uniq_id FROM a UNION SELECT uniq_id FROM b) SELECT uniq_id FROM x WHERE uniq_id NOT IN (SELECT uniq_id FROM parse_results WHERE uniq_id IS NOT NULL)""",
+)
+def excluded_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues of the first two batches on the roster, less those that were asked already."""
+    listed = table(spark, sf_dir, "runtime_dialogues")
+    batch = lambda n: listed.where(F.col("manifest_batch") == n).select("uniq_id")
+    return reporting.eligible([batch(1), batch(2)], table(spark, sf_dir, "speaker_roster").select("uniq_id"), table(spark, sf_dir, "parse_results").select("uniq_id"), "uniq_id")
+
+
+@registry.query(
+    "receipt_shares",
+    "WITH t AS (SELECT arm, count(*) AS calls, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS tokens FROM parse_results GROUP BY arm) SELECT arm, calls, tokens, round(tokens / 50000, 6) AS share, tokens > 50000 AS over FROM t",
+)
+def receipt_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer tokens per arm against a ceiling of 50,000."""
+    return reporting.ceilings(table(spark, sf_dir, "parse_results"), ["arm"], "completion_tokens", 50_000).withColumnRenamed("total", "tokens")

@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text
-from ..operators import scoring, wer
+from ..operators import matching, scoring, speakers, wer
 from ..session import table
 from .registry import Registry
 
 registry = Registry()
 
-#: One row a turn: the least label and text of its deliveries.
-TURNS = "t AS (SELECT uniq_id, turn_index, min(speaker_id) AS speaker, min(reference_text) AS said FROM score_turns GROUP BY uniq_id, turn_index)"
+#: White space and word characters in the Unicode sense, for regular expressions of SQL.
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}"
+#: Labels of the roster that one speaker only has, and a label's own form.
+_FORM = rf"coalesce(lower(trim(regexp_replace(regexp_replace(LABEL, '^[\s<\[>]+|[\s:|>\]]+$', '', 'g'), '{SPACE}+', ' ', 'g'))), '')"
+_ROSTER = (
+    rf"ro AS (SELECT uniq_id, speaker_no, lower(trim(regexp_replace(display_name, '{SPACE}+', ' ', 'g'))) AS nm, lower(trim(regexp_replace(role_title, '{SPACE}+', ' ', 'g'))) AS rl FROM speaker_roster), "
+    "rp AS (SELECT *, split_part(nm, ' ', 1) AS fi, split_part(nm, ' ', -1) AS la FROM ro), "
+    "rf AS (SELECT uniq_id, form, min(speaker_no) AS n FROM (SELECT uniq_id, speaker_no, unnest([nm, fi, la, substr(fi, 1, 1) || '. ' || la, la || ', ' || fi, rl]) AS form FROM rp) WHERE form <> '' GROUP BY ALL HAVING min(speaker_no) = max(speaker_no))"
+)
+
+
+def speaker_sql(label: str, rows: str) -> str:
+    """Rows of a table with the resolved ``speaker`` of a label, as ``speakers.resolved``."""
+    form = _FORM.replace("LABEL", label)
+    number = rf"nullif(regexp_extract({form}, '^(?:speaker|spkr?|s)[\s_\-]*0*(\d+)$', 1), '')"
+    return f"(SELECT x.*, coalesce('#' || coalesce({number}, CAST(rf.n AS VARCHAR)), {form}) AS speaker FROM {rows} x LEFT JOIN rf ON rf.uniq_id = x.uniq_id AND rf.form = {form})"
+
+
+#: One row a turn: one delivery as a whole, with text before one without, then the least.
+TURNS = (
+    f"{_ROSTER}, ls AS {speaker_sql('speaker_id', 'score_turns')}, "
+    "tm AS (SELECT uniq_id, turn_index, arg_min({'s': speaker, 'x': reference_text}, (reference_text IS NULL, coalesce(reference_text, ''), NOT starts_with(speaker, '#'), speaker)) AS m FROM ls GROUP BY uniq_id, turn_index), "
+    "t AS (SELECT uniq_id, turn_index, m.s AS speaker, m.x AS said FROM tm)"
+)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "score_turns")
-    return rows.groupBy("uniq_id", "turn_index").agg(F.min("speaker_id").alias("speaker"), F.min("reference_text").alias("said"))
+    """uniq_id, turn_index, speaker (resolved against the roster) and said, one row a turn. Of
+    several deliveries one is taken as a whole."""
+    rows = speakers.resolved(table(spark, sf_dir, "score_turns"), table(spark, sf_dir, "speaker_roster"), "speaker_id")
+    said = F.col("reference_text")
+    order = F.struct(said.isNull().alias("a"), F.coalesce(said, F.lit("")).alias("said"), (~F.col("speaker").startswith("#")).alias("b"), "speaker")
+    return rows.groupBy("uniq_id", "turn_index").agg(F.min(order).alias("_m")).select("uniq_id", "turn_index", "_m.speaker", F.when(~F.col("_m.a"), F.col("_m.said")).alias("said"))
 
 
 @registry.query(
@@ -36,35 +63,26 @@ _NUMBERS = ", ".join(f"'{k}': '{v}'" for k, v in text.NUMBER_WORDS.items())
 
 @registry.query(
     "normal_answers",
-    f"""WITH n AS (SELECT delivery_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s\\x{{80}}-\\x{{10ffff}}]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM direction_scores WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-        SELECT delivery_id, array_to_string(list_transform(w, lambda x: coalesce(MAP {{{_NUMBERS}}}[x], x)), ' ') AS answer FROM n""",
+    rf"""WITH n AS (SELECT delivery_id, regexp_replace(regexp_replace(lower(text), '(\d),(\d\d\d)', '\1\2', 'g'), '(\d),(\d\d\d)', '\1\2', 'g') AS x FROM direction_scores WHERE text IS NOT NULL),
+        w AS (SELECT delivery_id, string_split(trim(regexp_replace(regexp_replace(x, '[^{WORD}\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g'), '{SPACE}+', ' ', 'g')), ' ') AS w FROM n)
+        SELECT delivery_id, array_to_string(list_transform(w, lambda x: coalesce(MAP {{{_NUMBERS}}}[x], x)), ' ') AS answer FROM w""",
 )
 def normal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "direction_scores").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    """Every response with text, in any script."""
+    rows = table(spark, sf_dir, "direction_scores").where("text is not null")
     return rows.select("delivery_id", text.normal_answer(F.col("text")).alias("answer"))
 
 
-@registry.query("normal_answers_all")
-def normal_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normal_answers of every response with text, in any script. Its SQL stops at ASCII, where
-    the regex classes of DuckDB are the same; this is compared with brute force in tests."""
-    rows = table(spark, sf_dir, "direction_scores").where("text is not null")
-    return rows.select("delivery_id", text.normal_answer(F.col("text")).alias("answer"))
+_ARTICLE = rf"'(^|[^{WORD}])(?:a|an|the)($|[^{WORD}])', '\1 \2', 'g'"
 
 
 @registry.query(
     "normal_spans",
-    r"""SELECT request_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(raw_text, 'Speaker [0-9]*: ', '', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS span
-        FROM parse_results WHERE NOT regexp_matches(raw_text, '[^\x00-\x7F]')""",
+    rf"""WITH n AS (SELECT request_id, regexp_replace(lower(regexp_replace(raw_text, 'Speaker [0-9]*: ', '', 'g')), '[!-/:-@\[-`{{-~]', '', 'g') AS x FROM parse_results WHERE raw_text IS NOT NULL)
+        SELECT request_id, trim(regexp_replace(regexp_replace(regexp_replace(x, {_ARTICLE}), {_ARTICLE}), '{SPACE}+', ' ', 'g')) AS span FROM n""",
 )
 def normal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "parse_results").where(F.col("raw_text").isNotNull() & ~F.col("raw_text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("request_id", text.normal_span(F.col("raw_text")).alias("span"))
-
-
-@registry.query("normal_spans_all")
-def normal_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normal_spans of every reply with text, in any script (compared with brute force)."""
+    """Every reply with text, in any script."""
     rows = table(spark, sf_dir, "parse_results").where("raw_text is not null")
     return rows.select("request_id", text.normal_span(F.col("raw_text")).alias("span"))
 
@@ -91,18 +109,42 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("uniq_id", "turn_index", F.round(text.token_f1(a, b), 6).alias("f1"), F.round(text.token_iou(a, b), 6).alias("iou"))
 
 
-@registry.query("token_distances")
+# Rows of the table of a distance, one after the other: each is a fold over the columns.
+_LEVEL = """d AS (SELECT uniq_id, turn_index, a, b, 0 AS i, CAST(range(0, len(b) + 1) AS BIGINT[]) AS r, CAST(list_transform(range(0, len(b) + 1), lambda x: 0) AS BIGINT[]) AS c FROM q
+  UNION ALL SELECT uniq_id, turn_index, a, b, i + 1,
+    list_reduce(list_transform(range(1, len(b) + 1), lambda j: [least(r[j + 1] + 1, r[j] + CASE WHEN b[j] = a[i + 1] THEN 0 ELSE 1 END)]), lambda acc, v: list_append(acc, least(v[1], acc[len(acc)] + 1)), [r[1] + 1]),
+    list_reduce(list_transform(range(1, len(b) + 1), lambda j: [greatest(c[j + 1], c[j] + CASE WHEN b[j] = a[i + 1] THEN 1 ELSE 0 END)]), lambda acc, v: list_append(acc, greatest(v[1], acc[len(acc)])), [0::BIGINT])
+  FROM d WHERE i < len(a))"""
+
+
+@registry.query(
+    "token_distances",
+    _NEIGHBOURS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _LEVEL + " SELECT uniq_id, turn_index, CAST(r[len(r)] AS INT) AS errors, CAST(len(b) AS INT) AS ref_words FROM d WHERE i = len(a)",
+)
 def token_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word edit distance of a turn to the one before it (compared with brute force in tests)."""
-    return _neighbours(spark, sf_dir).select("uniq_id", "turn_index", text.token_distance(F.col("a"), F.col("b")).alias("errors"), F.size("b").alias("ref_words"))
+    """Word edit distance of a turn to the one before it."""
+    return _neighbours(spark, sf_dir).select("uniq_id", "turn_index", text.token_distance("a", "b").alias("errors"), F.size("b").alias("ref_words"))
+
+
+_GRAMS = "list_transform(range(1, len($) - $n + 2), lambda i: array_to_string(list_slice($, i, i + $n - 1), ' '))"
+
 
+def shared_sql(a: str, b: str) -> str:
+    """Size of the multiset intersection of two lists."""
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)"
 
-@registry.query("common_subsequences")
+
+@registry.query(
+    "common_subsequences",
+    _NEIGHBOURS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _LEVEL
+    + f", g AS (SELECT *, {_GRAMS.replace('$n', '2').replace('$', 'a')} AS a2, {_GRAMS.replace('$n', '2').replace('$', 'b')} AS b2 FROM d WHERE i = len(a))"
+    + f" SELECT uniq_id, turn_index, CAST(c[len(c)] AS INT) AS lcs, CAST({shared_sql('a', 'b')} AS INT) AS unigrams, CAST({shared_sql('a2', 'b2')} AS INT) AS bigrams FROM g",
+)
 def common_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest common subsequence and unigram and bigram overlap of neighbouring turns."""
     a, b = F.col("a"), F.col("b")
     return _neighbours(spark, sf_dir).select(
-        "uniq_id", "turn_index", wer.lcs_length(a, b).alias("lcs"), text.multiset_overlap(a, b).alias("unigrams"), text.multiset_overlap(wer.ngrams(a, 2), wer.ngrams(b, 2)).alias("bigrams")
+        "uniq_id", "turn_index", text.lcs_length(a, b).alias("lcs"), text.multiset_overlap(a, b).alias("unigrams"), text.multiset_overlap(wer.ngrams(a, 2), wer.ngrams(b, 2)).alias("bigrams")
     )
 
 
@@ -150,8 +192,8 @@ def swapped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = r"""WITH l AS (SELECT request_id, unnest(list_filter(string_split_regex(raw_text, '\r\n|\n|\r'), lambda x: trim(x) <> '')) AS line FROM parse_results WHERE raw_text IS NOT NULL),
-f AS (SELECT request_id, CASE WHEN trim(regexp_extract(trim(line), '^([^|\n]+)\|(.+)$', 2)) <> '' THEN 'strict' WHEN trim(regexp_extract(trim(line), '^\[([^\]\n]+)\]\s*(.+)$', 2)) <> '' THEN 'lenient'
-  WHEN trim(regexp_extract(trim(line), '^([A-Za-z][A-Za-z0-9_ ]*?\d+)\s*:\s*(.+)$', 2)) <> '' THEN 'lenient' ELSE 'malformed' END AS form FROM l)"""
+f AS (SELECT request_id, CASE WHEN trim(regexp_extract(trim(line), '^([^|\n]+)\|(.+)$', 1)) <> '' AND trim(regexp_extract(trim(line), '^([^|\n]+)\|(.+)$', 2)) <> '' THEN 'strict' WHEN trim(regexp_extract(trim(line), '^\[([^\]\n]+)\]\s*(.+)$', 1)) <> '' AND trim(regexp_extract(trim(line), '^\[([^\]\n]+)\]\s*(.+)$', 2)) <> '' THEN 'lenient'
+  WHEN trim(regexp_extract(trim(line), '^([A-Za-z0-9 _.\-]{1,40}?):\s*(.+)$', 1)) <> '' AND trim(regexp_extract(trim(line), '^([A-Za-z0-9 _.\-]{1,40}?):\s*(.+)$', 2)) <> '' THEN 'lenient' ELSE 'malformed' END AS form FROM l)"""
 
 
 @registry.query(
@@ -167,38 +209,14 @@ def reply_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "token_counts",
-    """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""",
+    "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate FROM documents WHERE text IS NOT NULL",
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"))
-
-
-@registry.query("token_counts_all")
-def token_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_counts of every document with text, in any script (compared with brute force)."""
+    """Every document with text, in any script."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"))
 
 
-def _label_form(label: Column) -> Column:
-    """A label in lower case without brackets and colons; no label is the empty one."""
-    return F.coalesce(F.lower(text.squeezed(F.regexp_replace(label, r"^[\s<\[>]+|[\s:|>\]]+$", ""))), F.lit(""))
-
-
-def _speakers(rows: DataFrame, roster: DataFrame, label: str) -> DataFrame:
-    """Adds ``speaker``: ``#n`` of a numbered label, or of a name or role that one roster entry of
-    the dialogue has; any other label stands for itself, none for the empty one."""
-    name, form = F.lower(text.squeezed(F.col("display_name"))), _label_form(F.col(label))
-    first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
-    forms = F.array(name, first, last, F.concat(F.substring(first, 1, 1), F.lit(". "), last), F.concat_ws(", ", last, first), F.lower(text.squeezed(F.col("role_title"))))
-    known = roster.select("uniq_id", "speaker_no", F.explode(F.array_distinct(forms)).alias("_form")).where("_form <> ''").groupBy("uniq_id", "_form")
-    known = known.agg(F.min("speaker_no").alias("_n"), F.max("speaker_no").alias("_m")).where("_n = _m").select("uniq_id", "_form", "_n")
-    number = F.nullif(F.regexp_extract(form, r"^(?:speaker|spkr?|s)[\s_\-]*0*(\d+)$", 1), F.lit(""))
-    joined = rows.withColumn("_form", form).withColumn("_number", number).join(known, ["uniq_id", "_form"], "left")
-    return joined.withColumn("speaker", F.coalesce(F.concat(F.lit("#"), F.coalesce("_number", F.col("_n").cast("string"))), F.col("_form")))
-
-
 @registry.query("speaker_error_rates")
 def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cpWER of each request's segments against the raw turns of its dialogue. All words of
@@ -206,10 +224,10 @@ def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     a speaker of its own. Deliveries with the same words count once (tested on fixtures)."""
     asked, roster = table(spark, sf_dir, "transcribed_segments"), table(spark, sf_dir, "speaker_roster")
     least = F.min(F.struct(~F.col("speaker").startswith("#"), "speaker"))["speaker"].alias("speaker")  # numbers first
-    ref = _speakers(table(spark, sf_dir, "score_turns").where("reference_text is not null"), roster, "speaker_id")
+    ref = speakers.resolved(table(spark, sf_dir, "score_turns").where("reference_text is not null"), roster, "speaker_id")
     ref = ref.groupBy("uniq_id", F.col("turn_index").alias("ordinal"), text.word_tokens(F.col("reference_text")).alias("words")).agg(least)
     ref = ref.join(asked.select("uniq_id", F.col("request_id").alias("session")).distinct(), "uniq_id").select("session", "speaker", "ordinal", "words")
-    hyp = _speakers(asked.where("text is not null").withColumnRenamed("speaker", "_label"), roster, "_label")
+    hyp = speakers.resolved(asked.where("text is not null").withColumnRenamed("speaker", "_label"), roster, "_label")
     hyp = hyp.groupBy(F.col("request_id").alias("session"), F.col("seg_ord").alias("ordinal"), text.word_tokens(F.col("text")).alias("words")).agg(least)
     return wer.cp_wer(ref, hyp.select("session", "speaker", "ordinal", "words"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -58,19 +59,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder, so that later stages
-    survive lost executors and do not recompute it.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
+    Only on one machine, as in tests, may it be unset: then a temporary folder is set. A
+    cluster without it is refused, as its machines share no local folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = getattr(context, "_colloquy_folder", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = context._colloquy_folder = tempfile.mkdtemp(prefix="colloquy-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared checkpoint folder, so that later stages
+    survive lost executors and do not recompute it."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
+def stored_table(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to a table of its own in the shared folder, by partitions, and read it back."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partitions or [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

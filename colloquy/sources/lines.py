@@ -30,11 +30,12 @@ def parse_rttm(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def rttm_lines(turns: DataFrame, file_id: str, start: str, end: str, speaker: str, channel: str = "1") -> DataFrame:
-    """One line per turn of positive length, three decimals, columns file_id and value."""
+    """One line per turn of positive length, three decimals, columns file_id and value. A length
+    that three decimals do not show is written as one of them, so that no turn is lost."""
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
     good = turns.where((F.col(end) > F.col(start)) & finite(start) & finite(end))
     name = F.coalesce(F.nullif(F.regexp_replace(F.trim(speaker), r"\s+", "_"), F.lit("")), F.lit("<NA>"))
-    value = F.concat_ws(" ", F.lit("SPEAKER"), F.col(file_id), F.lit(channel), F.format_string("%.3f", F.col(start)), F.format_string("%.3f", F.col(end) - F.col(start)), F.lit("<NA> <NA>"), name, F.lit("<NA> <NA>"))
+    value = F.concat_ws(" ", F.lit("SPEAKER"), F.col(file_id), F.lit(channel), F.format_string("%.3f", F.col(start)), F.format_string("%.3f", F.greatest(F.col(end) - F.col(start), F.lit(0.001))), F.lit("<NA> <NA>"), name, F.lit("<NA> <NA>"))
     return good.select(F.col(file_id).alias("file_id"), value.alias("value"))
 
 

@@ -132,9 +132,17 @@ def test_slice_plans():
         slices = slicing.packed(turns, 0, at, 90, 60, 120, 3)
         assert all(b - a <= 120 for a, b in slices) and all(x[1] <= y[0] for x, y in zip(slices, slices[1:]))
         assert all(any(a <= s and e <= b for a, b in slices) for s, e in turns)
-        chunks = slicing.chunked(turns, 360, 180)
-        assert chunks[0][0] == turns[0][0] and chunks[-1][1] == turns[-1][1]
-        assert all(any(a <= s and e <= b for a, b in chunks) for s, e in turns)
+        chunks = slicing.chunked(turns, 360, 180, 900)
+        assert chunks[0][0] == turns[0][0] and chunks[-1][1] == turns[-1][1] and all(x[1] == y[0] for x, y in zip(chunks, chunks[1:]))
+        assert all(360 <= b - a <= 900 for a, b in chunks[:-1])
+    six = [(i * 600, i * 600 + 600) for i in range(7)]
+    assert slicing.chunked(six, 1800, 600, 3600) == [(0, 1800), (1800, 3600), (3600, 4200)]
+    assert slicing.chunked(six, 1800, 700, 3600) == [(0, 1800), (1800, 4200)]
+    ten = [(i * 600, i * 600 + 600) for i in range(10)]
+    assert slicing.chunked(ten, 1800, 600, 3600, [2350]) == [(0, 1800), (1800, 2350), (2350, 4200), (4200, 6000)]
+    assert slicing.chunked(ten, 2000, 600, 3600, [2350, 1650]) == [(0, 2350), (2350, 4800), (4800, 6000)] or slicing.chunked(ten, 2000, 600, 3600, [2350, 1650])[0] in ((0, 2350), (0, 1650))
+    assert slicing.chunked([(0, 100), (100, 1100), (1100, 1300)], 360, 180, 900) == [(0, 100), (100, 1100), (1100, 1300)]  # within most, or whole
+    assert slicing.chunked([(0, 5_000)], 360, 180, 900) == [(0, 5_000)] and slicing.chunked([], 360, 180, 900) == []
     assert slicing.packed([(0, 500)], 0, 500, 90, 60, 120, 3)[-1][1] == 500
     assert slicing.next_fit([1000, 1500, 600, 3000], 3000) == [0, 0, 1, 2]
     with pytest.raises(ValueError):
@@ -157,6 +165,76 @@ def test_word_errors():
     assert wer.word_times(0, 4, ["ab", "cd"]) == [(0, 2.0), (2.0, 4.0)]
 
 
+def test_batches(spark):
+    rows = [("a", 1, 1000.0), ("a", 2, 1500.0), ("a", 3, 600.0), ("a", 4, 3000.0), ("a", 5, None), ("b", 1, 5.0)]
+    df = spark.createDataFrame(rows, "g string, n int, c double")
+    got = {(r["g"], r["n"]): (r["c"], r["batch"]) for r in slicing.next_fit_batches(df, ["g"], ["n"], "c", 3000).collect()}
+    assert got == {("a", 1): (1000.0, 0), ("a", 2): (1500.0, 0), ("a", 3): (600.0, 1), ("a", 4): (3000.0, 2), ("a", 5): (None, 2), ("b", 1): (5.0, 0)}
+    with pytest.raises(Exception, match="over the cap"):
+        slicing.next_fit_batches(df, ["g"], ["n"], "c", 2999).collect()
+    assert slicing.next_fit_batches(df.limit(0), ["g"], ["n"], "c", 3000).count() == 0
+
+
+def test_chunks_with_marks(spark):
+    turns = spark.createDataFrame([("a", 0.0, 300.0), ("a", 300.0, 420.0), ("a", 420.0, 800.0), ("b", 0.0, 10.0)], "uniq_id string, start_s double, end_s double")
+    marks = spark.createDataFrame([("a", 310_000), ("a", None), ("z", 1)], "uniq_id string, at_ms bigint")
+    cut = lambda *m: sorted((r["uniq_id"], r["start_ms"], r["end_ms"]) for r in slicing.task_chunks(turns, *m).collect())
+    assert cut() == [("a", 0, 420_000), ("a", 420_000, 800_000), ("b", 0, 10_000)]
+    assert cut(marks) == [("a", 0, 310_000), ("a", 310_000, 800_000), ("b", 0, 10_000)]
+
+
+def test_very_long_intervals(spark):
+    """An interval of three thousand years is a few rows, not billions."""
+    age = 10**14
+    rows = [("k", 0, age), ("k", 5, 10), ("k", age // 2, age // 2 + 40_000), ("k", 10**9, 10**9 + 10**8), ("m", 0, 1)]
+    a = spark.createDataFrame(rows, "k string, s bigint, e bigint")
+    b = spark.createDataFrame(rows, "k string, s2 bigint, e2 bigint")
+    got = sorted((r["s"], r["e"], r["s2"], r["e2"]) for r in overlaps.overlap_join(a, b, "k").where("k = 'k'").collect())
+    assert got == sorted((x[1], x[2], y[1], y[2]) for x in rows for y in rows if x[0] == y[0] == "k" and x[1] < y[2] and y[1] < x[2])
+    segments = _segments(spark, [("m", "ref", "A", 0.0, 1e11), ("m", "hyp", "x", 5.0, 6.0), ("m", "hyp", "y", 1e10, 1e10 + 1.5)])
+    r = {x["convention"]: x for x in diarization.meeting_scores(segments).collect()}["full"]
+    assert (r["total_ms"], r["missed_ms"], r["correct_ms"], r["confusion_ms"]) == (10**14, 10**14 - 2500, 1500, 1000)
+
+
+def test_session_scores_against_brute_force(spark):
+    rng = random.Random(4)
+    cut = lambda n, who: [(s, who(s), float(t), float(t + 2), [rng.choice("ab") for _ in range(rng.randrange(3))]) for s in "pqrs" for t in rng.sample(range(0, 40, 3), n)]
+    ref, hyp = cut(3, lambda _: rng.choice("AB")), cut(3, lambda _: rng.choice("xy"))
+    ref.append(("only ref", "A", 0.0, 1.0, ["a"]))
+    hyp.append(("only hyp", "x", 0.0, 1.0, ["a"]))
+    schema = "session string, speaker string, start_s double, end_s double, words array<string>"
+    got = {r["session"]: r for r in wer.session_scores(spark.createDataFrame(ref, schema), spark.createDataFrame(hyp, schema), 5.0).collect()}
+    assert (got["only ref"]["outcome"], got["only ref"]["cp"], got["only ref"]["tcorc"]) == ("no_hypothesis", 1, 1)
+    assert (got["only hyp"]["outcome"], got["only hyp"]["cp_wer"], got["only hyp"]["confusion"]) == ("no_reference", None, None)
+
+    def timed(own):
+        own = sorted(own, key=lambda s: s[:2])
+        return [w for s in own for w in s[2]], [t for s in own for t in wer.word_times(*s)]
+
+    for session in "pqrs":
+        own = sorted((s[2:] for s in ref if s[0] == session and s[4]), key=lambda s: s[:2])
+        streams = {}
+        for s in hyp:
+            if s[0] == session:
+                streams.setdefault(s[1], []).append(s[2:])
+        other = list(streams.values())
+        r = got[session]
+        if not own or not any(s[2] for o in other for s in o):
+            continue
+        best = {False: 10**9, True: 10**9}
+        for way in itertools.product(range(len(other)), repeat=len(own)):
+            for strict in best:
+                total = 0
+                for k, stream in enumerate(other):
+                    x, tx = timed([s for s, to in zip(own, way) if to == k])
+                    y, ty = timed(stream)
+                    total += wer.distance(x, y, wer.within_collar(tx, ty, 5.0) if strict and x and y else None) if x and y else len(x) + len(y)
+                best[strict] = min(best[strict], total)
+        assert (r["orc"], r["tcorc"]) == (best[False], best[True]) and r["tcp"] >= r["cp"] and r["tcorc"] >= r["orc"]
+    few = wer.session_scores(spark.createDataFrame(ref, schema), spark.createDataFrame(hyp, schema), 5.0, 1).where("session = 'p'").first()
+    assert (few["outcome"], few["orc"], few["tcorc"]) == ("refused", None, None) and few["cp"] == got["p"]["cp"]
+
+
 def test_time_constrained_errors():
     ref = [[(0.0, 2.0, ["a", "b"])], [(3.0, 4.0, ["c"])]]
     assert wer.tcp_errors(ref, [[(3.0, 4.0, ["c"])], [(0.0, 2.0, ["a", "b"])]]) == 0
@@ -219,6 +297,19 @@ def test_samples_do_not_depend_on_partitions(spark):
     ):
         one, two = (sorted(map(tuple, make(d).collect())) for d in (df.coalesce(1), df.repartition(6)))
         assert one == two and one
+    import hashlib
+
+    digest = lambda s, x: hashlib.md5(f"{s}:{x}".encode()).hexdigest()
+    for within in (["g"], []):
+        groups = {}
+        for i, g, m in sorted(ids, key=lambda x: digest("s", x[0])):
+            groups.setdefault(g if within else None, []).append((i, m))
+        want = {i: own[(n + 1) % len(own)][0] for own in groups.values() for n, (i, _) in enumerate(own)}
+        assert {r["id"]: r["partner"] for r in sampling.derangement(df, "id", "s", within).collect()} == want
+        kept = {i for own in groups.values() for n, (i, _) in enumerate(own) if sum(m for _, m in own[:n]) < 20}
+        assert {r["id"] for r in sampling.prefix_of_mass(df, "id", "m", 20, "s", within).collect()} == kept
+    nulls = spark.createDataFrame([("a", None), ("b", None), ("c", "g")], "id string, g string")
+    assert {r["id"]: r["partner"] for r in sampling.derangement(nulls, "id", "s", ["g"]).collect()} == {"a": "b", "b": "a", "c": None}
     pairs = sampling.derangement(df, "id", "s", ["g"]).collect()
     assert all(r["id"] != r["partner"] for r in pairs) and len({r["partner"] for r in pairs}) == 100
     assert sampling.derangement(df.limit(1), "id", "s", ["g"]).first()["partner"] is None
@@ -236,6 +327,28 @@ def test_hashed_head(spark):
     assert sampling.hashed_head(df, "t", 40, 10).count() == 40 and sampling.hashed_head(df.limit(0), "t", 4, 0).count() == 0
 
 
+def test_numbers_in_order(spark):
+    df = spark.createDataFrame([(f"k{i:03}",) for i in range(57)], "k string").repartition(5)
+    rows, n = statistics.numbered(df, "k")
+    assert n == 57 and [r["_i"] for r in rows.orderBy("k").collect()] == list(range(57))
+    empty, none = statistics.numbered(df.limit(0), "k")
+    assert none == 0 and empty.count() == 0
+
+
+def test_states_and_sources(spark):
+    rows = spark.createDataFrame([("x", ["a", "b", "c"], ["a", "b"], ["a"], ["a", "d"]), ("x", None, ["a"], None, ["a"]), ("y", [], [], [], [])], "arm string, t array<string>, s array<string>, same array<string>, other array<string>")
+    got = {r["arm"]: r for r in carry.state_scores(rows, ["arm"], "t", "s", "same", "other").collect()}
+    x = got["x"]
+    assert (x["targets"], x["terms"], x["supported_terms"], x["hallucinated_terms"], x["off_speaker_terms"], x["target_relevant_terms"], x["same_targets"], x["same_target_hits"], x["global_targets"], x["global_target_hits"]) == (2, 3, 2, 1, 1, 1, 1, 1, 3, 1)
+    assert (x["support_precision"], x["same_target_recall"]) == (0.666667, 1.0) and got["y"]["hallucination_rate"] is None
+    entries = spark.createDataFrame(
+        [("m", "k", 0, "K", 1, ["K"], "speech", None, "A"), ("m", "k", 2, "kk", 3, ["kk"], "speech", None, "B"), ("m", "k", 1, "K2", 1, ["K2"], "slides", "t1", None)],
+        "meeting string, key string, chunk int, canonical string, evidence bigint, variants array<string>, provenance string, tier string, introduced_by string",
+    )
+    got = {(r["provenance"], r["tier"]): (r["key"], r["canonical"], r["evidence"], r["first_seen"], r["introduced_by"]) for r in carry.merged_by_source(entries).collect()}
+    assert got == {("speech", None): ("k", "kk", 4, 0, "A"), ("slides", "t1"): ("k", "K2", 1, 1, None)}
+
+
 def test_faults(spark):
     rows = [("ok", "a", 0, 0.0, 1.0), ("ok", "a", 1, 1.0, 2.0), ("zero", "a", 0, 0.0, 0.0), ("pair", "a", 0, 1.0, 2.0), ("pair", "b", 1, 1.0, 2.0), ("back", "a", 0, 5.0, 6.0), ("back", "a", 1, 1.0, 2.0), ("rev", "a", 0, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "s string, who string, n int, a double, b double")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from colloquy.operators import matching as mt
@@ -39,9 +41,24 @@ def test_positions_and_rows(spark):
 
 
 def test_windows(spark):
-    df = spark.createDataFrame([(["a", "b", "x", "d"], ["b", "c", "d"]), (["a"], ["a", "b"]), (["q", "a", "b"], ["a", "b"])], "t array<string>, n array<string>")
-    got = [(r["d"], r["h"]) for r in df.select(mt.window_distances(F.col("t"), F.col("n")).alias("d"), mt.fuzzy_hit(F.col("t"), F.col("n")).alias("h")).collect()]
-    assert got == [(1, True), (None, False), (0, True)]
+    from tests.test_functions import edit
+
+    rng = random.Random(6)
+    rows = [([rng.choice("abc") for _ in range(rng.randrange(9))], [rng.choice("abc") for _ in range(rng.randrange(1, 5))]) for _ in range(120)]
+    rows += [(["a", "b", "x", "d"], ["b", "c", "d"]), (["a"], ["a", "b"]), (["q"], [])]
+    df = spark.createDataFrame(rows, "t array<string>, n array<string>")
+    for r in df.select("t", "n", mt.window_distance("t", "n").alias("d")).collect():
+        n = len(r["n"])
+        windows = [r["t"][i : i + k] for k in range(max(1, n - 1), n + 2) for i in range(len(r["t"]) - k + 1)]
+        assert r["d"] == min((edit(w, r["n"]) for w in windows), default=n)
+    match = lambda t, *needles: spark.createDataFrame([(t.split(), list(needles))], "t array<string>, n array<string>").select(mt.fuzzy_matches("t", "n").alias("x")).first()["x"]
+    assert match("we met anna lund today", "anna lund") == ["anna lund"]
+    assert match("the head of the sales team met", "head of sales team") == ["head of the sales team"]  # one word more
+    assert match("head sales team and head of sales team", "head of sales team") == ["head sales team", "head of sales team"]
+    assert match("anna anna lund", "anna lund", "anna") == ["anna", "anna", "anna lund"]
+    assert match("a b c", "x", "") == [] and match("", "a") == []
+    none = spark.createDataFrame([(None, ["a"])], "t array<string>, n array<string>").select(mt.fuzzy_matches("t", "n").alias("x"), mt.window_distance("t", "n").alias("d")).first()
+    assert none["x"] is None and none["d"] is None
 
 
 def test_budgets_blocks_and_rotation(spark):

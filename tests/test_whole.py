@@ -31,18 +31,18 @@ def span(t):
 def test_texts_in_any_script(spark, tmp_path):
     rows = list(enumerate(TEXTS))
     said = {i: t for i, t in rows if t is not None}
-    got = run(spark, tmp_path, "normal_answers_all", direction_scores=(rows, "delivery_id int, text string"))
+    got = run(spark, tmp_path, "normal_answers", direction_scores=(rows, "delivery_id int, text string"))
     assert {r["delivery_id"]: r["answer"] for r in got} == {i: answer(t) for i, t in said.items()}
-    got = run(spark, tmp_path, "normal_spans_all", parse_results=(rows, "request_id int, raw_text string"))
+    got = run(spark, tmp_path, "normal_spans", parse_results=(rows, "request_id int, raw_text string"))
     assert {r["request_id"]: r["span"] for r in got} == {i: span(t) for i, t in said.items()}
-    got = run(spark, tmp_path, "token_counts_all", documents=(rows, "doc_id int, text string"))
+    got = run(spark, tmp_path, "token_counts", documents=(rows, "doc_id int, text string"))
     assert {r["doc_id"]: (r["tokens"], r["estimate"]) for r in got} == {i: (len(re.findall("[a-z0-9]+", t.lower())), -(-len(t) // 4)) for i, t in said.items()}
 
 
 def test_claims_from_the_reference_threshold(spark, tmp_path):
     turns = [("u", 0, "s", "a b c d e f"), ("u", 1, "s", "k l m n o p q r")]
     segments = [("r", "u", 0, "a b x y z w"), ("r", "u", 1, "k l 1 2 3 4 5 6")]  # F1 of 1/3 and 1/4
-    got = run(spark, tmp_path, "claimed_turns", score_turns=(turns, "uniq_id string, turn_index int, speaker_id string, reference_text string"), transcribed_segments=(segments, "request_id string, uniq_id string, seg_ord int, text string"))
+    got = run(spark, tmp_path, "claimed_turns", score_turns=(turns, "uniq_id string, turn_index int, speaker_id string, reference_text string"), transcribed_segments=(segments, "request_id string, uniq_id string, seg_ord int, text string"), speaker_roster=([], "uniq_id string, speaker_no int, display_name string, role_title string"))
     assert [(r["meeting"], r["claims"], r["f1"]) for r in got] == [("r", 1, 0.333333)]
 
 
