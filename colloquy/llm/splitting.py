@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.periods import periods_and_gaps
+from ..session import cut_lineage
 
 #: A silence of this many seconds ends a section.
 SECTION_SILENCE = 2.0
@@ -80,14 +81,18 @@ _PIECE = T.StructType(
 
 
 @F.pandas_udf(T.ArrayType(_PIECE))
-def _pieces(items: pd.Series, silences: pd.Series, ends: pd.Series) -> pd.Series:
+def _pieces(items: pd.Series, bounds: pd.Series) -> pd.Series:
+    """Pieces of the items of a dialogue. Bounds are silences (s, e in half milliseconds) and
+    ends of turns (s in milliseconds, no e)."""
     rows = []
-    for own, quiet, stops in zip(items, silences, ends):
-        pairs = np.array([(q["s"], q["e"]) for q in quiet] if quiet is not None else [], np.int64).reshape(-1, 2)
+    for own, found_bounds in zip(items, bounds):
+        found_bounds = found_bounds if found_bounds is not None else []
+        pairs = np.array([(q["s"], q["e"]) for q in found_bounds if q["e"] is not None], np.int64).reshape(-1, 2)
         pairs = pairs[np.argsort(pairs[:, 0])]
+        stops = np.array([q["s"] for q in found_bounds if q["e"] is None], np.int64) * 1000
         # half milliseconds; a gap of one of them is two turns that touch
         length, at = pairs[:, 1] - pairs[:, 0], pairs[:, 0] // 2 * 1000 + (pairs[:, 0] % 2) * 1000
-        cuts = [at[length >= SECTION_SILENCE * 2000], at[length > 1], at, np.sort(np.asarray(stops if stops is not None else [], np.int64))]
+        cuts = [at[length >= SECTION_SILENCE * 2000], at[length > 1], at, np.sort(stops)]
         found = []
         for i in own:
             pieces = pieces_of(i["start_us"], i["end_us"], cuts, i["max_us"], i["overlap_us"], i["target_us"], i["min_us"])
@@ -106,14 +111,14 @@ def counted_turns(turns: DataFrame) -> DataFrame:
     return turns.where(finite("start_s") & finite("end_s") & (F.col("end_s") > F.col("start_s"))).select("uniq_id", "turn_index", "start_s", "end_s").distinct()
 
 
-def oversized(dialogues: DataFrame, turns: DataFrame, limits: list[tuple[str, float, float, float, float]]) -> DataFrame:
+def oversized(dialogues: DataFrame, good: DataFrame, limits: list[tuple[str, float, float, float, float]]) -> DataFrame:
     """Items over the limit of a profile: uniq_id and ``item``, a struct for ``_pieces``.
 
     A dialogue is as long as the larger of its duration and the last end of its turns; a
     turn lasts end_s - start_s. An excess under a microsecond is none. Null and non-finite
-    durations say nothing; a turn of an unlisted dialogue counts for itself.
+    durations say nothing; a turn of an unlisted dialogue counts for itself. ``good`` are the
+    counted turns.
     """
-    good = counted_turns(turns)
     duration = F.when(~F.isnan("duration") & (F.abs("duration") < 1e9), F.col("duration"))
     listed = dialogues.where(F.col("uniq_id").isNotNull()).select("uniq_id", duration.alias("length"), F.lit(True).alias("listed"))
     last = good.groupBy("uniq_id").agg(F.max("end_s").alias("length")).withColumn("listed", F.lit(False))
@@ -152,12 +157,30 @@ def split_oversized(dialogues: DataFrame, turns: DataFrame, piece_limits: DataFr
     schema = "profile STRING, uniq_id STRING, turn_index INT, piece_no INT, start_s DOUBLE, end_s DOUBLE, boundary STRING"
     if not limits:
         return dialogues.sparkSession.createDataFrame([], schema)
-    items = oversized(dialogues, turns, limits).groupBy("uniq_id").agg(F.collect_list("item").alias("items"))
-    own = counted_turns(turns).join(items.select("uniq_id"), "uniq_id", "left_semi")
+    good = cut_lineage(counted_turns(turns))  # read for the items, the silences and the ends
+    items = cut_lineage(oversized(dialogues, good, limits).groupBy("uniq_id").agg(F.collect_list("item").alias("items")))
+    own = good.join(items.select("uniq_id"), "uniq_id", "left_semi")
     # Doubled milliseconds less one: turns that touch leave a gap of one half.
     half = own.select("uniq_id", (F.floor(F.col("start_s") * 1000) * 2).cast("long").alias("s"), (F.ceil(F.col("end_s") * 1000) * 2 - 1).cast("long").alias("e"))
-    silences = periods_and_gaps(half, ["uniq_id"], "s", "e").where("kind = 'gap'").groupBy("uniq_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("silences"))
-    ends = own.select("uniq_id", F.ceil(F.col("end_s") * 1000).cast("long").alias("e")).distinct().groupBy("uniq_id").agg(F.collect_list(F.col("e") * 1000).alias("ends"))
-    rows = items.join(silences, "uniq_id", "left").join(ends, "uniq_id", "left")
-    out = rows.select("uniq_id", F.explode(_pieces("items", "silences", "ends")).alias("p"))
+    silences = periods_and_gaps(half, ["uniq_id"], "s", "e").where("kind = 'gap'").select("uniq_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    ends = own.select("uniq_id", F.ceil(F.col("end_s") * 1000).cast("long").alias("s"), F.lit(None).cast("long").alias("e")).distinct()
+    bounds = silences.unionByName(ends).groupBy("uniq_id").agg(F.collect_list(F.struct("s", "e")).alias("bounds"))
+    rows = items.join(bounds, "uniq_id", "left")
+    out = rows.select("uniq_id", F.explode(_pieces("items", "bounds")).alias("p"))
     return out.select("p.profile", "uniq_id", "p.turn_index", "p.piece_no", (F.col("p.start_us") / _US).alias("start_s"), (F.col("p.end_us") / _US).alias("end_s"), "p.boundary")
+
+
+def piece_faults(pieces: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per profile what is wrong with pieces: items, pieces over max_s, pairs of neighbours whose
+    overlap is not overlap_s (or, where that leaves no room, half of max_s at most), pieces
+    that do not advance, and items whose numbers have a gap."""
+    order = Window.partitionBy("profile", "uniq_id", "turn_index").orderBy("piece_no")
+    rows = pieces.join(limits.select("profile", "max_s", "overlap_s"), "profile")
+    us = lambda c: F.round(F.col(c) * _US).cast("long")
+    before = F.lag(us("end_s")).over(order)
+    overlap = F.least(F.greatest(us("overlap_s"), F.lit(0)), F.floor((us("max_s") - 1) / 2))
+    rows = rows.select(
+        "profile", (F.col("piece_no") == 0).alias("first"), (us("end_s") - us("start_s") > us("max_s")).alias("long"), F.coalesce(before - us("start_s") != overlap, F.lit(False)).alias("off"),
+        F.coalesce(us("end_s") <= before, F.lit(False)).alias("back"), (F.row_number().over(order) - 1 != F.col("piece_no")).alias("gap"),
+    )
+    return rows.groupBy("profile").agg(*[F.count_if(a).alias(b) for a, b in (("first", "items"), ("long", "too_long"), ("off", "wrong_overlap"), ("back", "not_advancing"), ("gap", "misnumbered"))])

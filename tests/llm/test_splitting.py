@@ -67,3 +67,12 @@ def test_touching_turns_are_a_boundary(spark):
 def test_empty(spark):
     d, t, p = tables(spark, [], [])
     assert splitting.split_oversized(d, t, p).count() == 0 and splitting.split_oversized(d, t, p.limit(0)).count() == 0
+
+
+def test_faults_are_seen(spark):
+    limits = spark.createDataFrame([("p", 10.0, 2.0)], "profile string, max_s double, overlap_s double")
+    good = [("p", "a", -1, 0, 0.0, 10.0), ("p", "a", -1, 1, 8.0, 15.0)]
+    bad = [("p", "b", 1, 0, 0.0, 11.0), ("p", "b", 1, 2, 10.0, 11.0)]
+    schema = "profile string, uniq_id string, turn_index int, piece_no int, start_s double, end_s double"
+    counts = lambda rows: tuple(splitting.piece_faults(spark.createDataFrame(rows, schema), limits).first())
+    assert counts(good) == ("p", 1, 0, 0, 0, 0) and counts(good + bad) == ("p", 2, 1, 1, 1, 1)
