@@ -8,13 +8,16 @@ partitioning, row order or later epochs, so members stay members.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import checkpoint_root
 
 #: Rate of the first epoch, and the factor from epoch to epoch: a fixed schedule, so that an
 #: epoch's rate can be frozen before its size is known.
@@ -70,24 +73,67 @@ def members(seen: DataFrame, seed: int = 0) -> DataFrame:
 class EpochStore:
     """First-seen epochs and frozen rates, kept in a folder of the shared file system.
 
-    ``update`` adds ids not seen before with the batch's epoch and rate; what is stored is
-    never changed, so a re-listed id keeps its epoch and rate whatever its later rows say.
+    ``update`` adds ids not seen before; what is stored is never changed, so a re-listed id
+    keeps its epoch and rate whatever its later rows say, and an epoch keeps the rate that its
+    first ids were given. Each update is a generation of its own, written aside and then
+    renamed to the next number. A rename to a number that is taken fails, so of two writers
+    one wins and the other starts again from what the first has stored: no id is stored twice.
     """
 
-    def __init__(self, spark, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-
-    def read(self) -> DataFrame:
-        schema = "id STRING, epoch INT, rate DOUBLE"
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.folder)
-
-    def update(self, batch: DataFrame, id_column: str, epoch_column: str, rate: float | None = None) -> None:
-        """``rate``: the rate to freeze for this batch's new ids, else the schedule's."""
-        new = first_seen(batch, id_column, epoch_column).select(F.col("id").cast("string").alias("id"), F.col("epoch").cast("int").alias("epoch"), (F.lit(rate) if rate is not None else F.col("rate")).alias("rate"))
-        cut_lineage(new.join(self.read().select("id"), "id", "left_anti")).write.mode("append").parquet(self.folder)
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(folder).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+
+    def generations(self) -> list[int]:
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(n.removeprefix("gen=")) for n in names if n.startswith("gen="))
+
+    def read(self, generations: list[int] | None = None) -> DataFrame:
+        """id, epoch and rate of all ids, or of those of some generations."""
+        known = self.generations() if generations is None else generations
+        if not known:
+            return self.spark.createDataFrame([], "id STRING, epoch INT, rate DOUBLE")
+        return self.spark.read.schema("id STRING, epoch INT, rate DOUBLE").parquet(*[f"{self.folder}/gen={n}" for n in known])
+
+    def update(self, batch: DataFrame, id_column: str, epoch_column: str, rate: float | None = None) -> int:
+        """Stores the ids of a batch that are new; the number of the generation, or the last one
+        where there is none. ``rate``: the rate to freeze for new epochs, else the schedule's."""
+        seen = first_seen(batch, id_column, epoch_column).select(F.col("id").cast("string").alias("id"), F.col("epoch").cast("int").alias("epoch"), (F.lit(rate) if rate is not None else F.col("rate")).alias("rate"))
+        while True:
+            known = self.generations()
+            last = known[-1] if known else -1
+            stored = self.read(known)
+            frozen = stored.groupBy(F.col("epoch").alias("_e")).agg(F.min("rate").alias("_rate"))  # one row an epoch
+            new = seen.join(stored.select("id"), "id", "left_anti").join(frozen, F.col("epoch").eqNullSafe(F.col("_e")), "left")
+            aside = f"{self.folder}/_aside-{uuid.uuid4().hex}"
+            new.select("id", "epoch", F.coalesce("_rate", "rate").alias("rate")).write.parquet(aside)
+            if known and self.spark.read.parquet(aside).isEmpty():
+                self._fs.delete(self._path(aside), True)
+                return last
+            try:
+                self._files.rename(self._path(aside), self._path(f"{self.folder}/gen={last + 1}"), self._options)
+                return last + 1
+            except Py4JJavaError as error:
+                self._fs.delete(self._path(aside), True)
+                if "FileAlreadyExists" not in str(error.java_exception):
+                    raise
 
     def sample(self, seed: int = 0) -> DataFrame:
         return members(self.read(), seed)
+
+
+def persisted_members(records: DataFrame, name: str, id_column: str, epoch_column: str, seed: int = 0) -> DataFrame:
+    """The members among the ids of a table, through the store of that table in the shared
+    folder: new ids are stored with their epochs and rates, ids that were there before keep
+    theirs. Ids that the table does not list (any more) are not returned."""
+    store = EpochStore(records.sparkSession, f"{checkpoint_root(records.sparkSession)}/epochs-{name}")
+    store.update(records, id_column, epoch_column)
+    listed = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("id")).distinct()
+    return store.sample(seed).join(listed, "id", "left_semi")

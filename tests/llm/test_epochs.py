@@ -55,3 +55,46 @@ def test_store_freezes_epochs_and_rates(spark, tmp_path):
     after = store.read().collect()
     assert len(after) == 600 and {r["epoch"] for r in after if int(r["id"][1:]) < 300} == {1} and {r["rate"] for r in after if int(r["id"][1:]) < 300} == {0.5}
     assert before == {r["id"] for r in store.sample().collect() if int(r["id"][1:]) < 300} and len(before) > 100
+
+
+def test_batches_arrive_one_after_the_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(epochs, "checkpoint_root", lambda _: f"file://{tmp_path}")
+    first = [(f"d{i}", 1) for i in range(400)]
+    take = lambda rows: {r["id"]: (r["epoch"], r["rate"]) for r in epochs.persisted_members(listed(spark, rows), "t", "uniq_id", "manifest_batch").collect()}
+    one = take(first)
+    assert one and take(first) == one
+    monkeypatch.setattr(epochs, "FIRST_RATE", 0.9)
+    later = take([*first, *[(f"d{i}", 2) for i in range(300, 700)], ("d5", 0)])
+    assert {i: x for i, x in later.items() if int(i[1:]) < 400} == one and len(later) > len(one)
+    # what is not listed any more is not returned, and its epoch is kept
+    assert set(take(first[:200])) == {i for i in one if int(i[1:]) < 200}
+    assert take(first) == one
+
+
+def test_an_epoch_keeps_its_rate(spark, tmp_path):
+    store = epochs.EpochStore(spark, f"file://{tmp_path}/s")
+    assert store.update(listed(spark, [("a", 1)]), "uniq_id", "manifest_batch", rate=0.5) == 0
+    assert store.update(listed(spark, [("a", 1), ("b", 1), ("c", 2)]), "uniq_id", "manifest_batch", rate=0.1) == 1
+    assert store.update(listed(spark, [("a", 3), ("c", 1)]), "uniq_id", "manifest_batch", rate=0.9) == 1
+    assert {r["id"]: (r["epoch"], r["rate"]) for r in store.read().collect()} == {"a": (1, 0.5), "b": (1, 0.5), "c": (2, 0.1)}
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that read the store before another one stored starts again."""
+    folder = f"file://{tmp_path}/s"
+    slow, fast = epochs.EpochStore(spark, folder), epochs.EpochStore(spark, folder)
+    slow.update(listed(spark, [("a", 1)]), "uniq_id", "manifest_batch", rate=0.5)
+    seen, real = [], slow.generations
+
+    def generations():
+        found = real()
+        if not seen:
+            seen.append(1)
+            fast.update(listed(spark, [("b", 1), ("c", 2)]), "uniq_id", "manifest_batch", rate=0.3)
+        return found
+
+    monkeypatch.setattr(slow, "generations", generations)
+    assert slow.update(listed(spark, [("b", 2), ("d", 2)]), "uniq_id", "manifest_batch", rate=0.1) == 2
+    rows = [(r["id"], r["epoch"], r["rate"]) for r in fast.read().collect()]
+    assert sorted(rows) == [("a", 1, 0.5), ("b", 1, 0.5), ("c", 2, 0.3), ("d", 2, 0.3)]
+    assert [p.name for p in tmp_path.glob("s/_aside*")] == []
