@@ -17,6 +17,8 @@ from .bpe import VOCABULARIES, token_count
 
 #: Documents a bucket of a source holds on average.
 BUCKET_DOCS = 2_000
+#: Parts that a source's documents are joined in.
+SLICES = 64
 _KEYS = 1 << 62
 
 
@@ -38,8 +40,13 @@ def prefix_sums(docs: DataFrame, seed: int = 0, bucket_docs: int = BUCKET_DOCS)
     sizes = sizes.withColumn("buckets", F.ceil(F.col("n") / bucket_docs).cast("long"))
     # One row a source: sources are names of collections, but their number has no proven
     # bound, so Spark decides by size whether to broadcast.
-    keyed = docs.join(sizes.drop("n"), docs["source"].eqNullSafe(sizes["source"])).drop(sizes["source"])
-    keyed = keyed.withColumn("key", random_key(seed, F.col("doc_id"))).withColumn("bucket", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("buckets"))).cast("long"))
+    # The join is on (source, slice of the key), so that the largest source is many tasks if it
+    # is none.
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    sizes = sizes.drop("n").withColumnRenamed("source", "_s").withColumn("_slice", slices)
+    keyed = docs.withColumn("key", random_key(seed, F.col("doc_id")))
+    keyed = keyed.join(sizes, keyed["source"].eqNullSafe(F.col("_s")) & (F.pmod("key", F.lit(SLICES)) == F.col("_slice"))).drop("_s", "_slice")
+    keyed = keyed.withColumn("bucket", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("buckets"))).cast("long"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
     # The table (source, bucket) is smaller than the corpus by BUCKET_DOCS.
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
