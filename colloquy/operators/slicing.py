@@ -8,6 +8,7 @@ of the recording) and planned in an Arrow-batched function; recordings are indep
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -25,10 +26,12 @@ def grid(low: int, high: int, pauses: Sequence[int], nominal: int, least: int, m
     earlier of two, if it is within ``snap`` and the tile stays within [least, most]. A last
     tile under ``least`` joins the one before it if both fit in ``most``."""
     out: list[Span] = []
+    points = sorted(pauses)
     at = low
     while high - at > nominal:
         target = at + nominal
-        near = [p for p in pauses if abs(p - target) <= snap and least <= p - at <= most]
+        low_, high_ = max(target - snap, at + least), min(target + snap, at + most)
+        near = points[bisect_left(points, low_) : bisect_right(points, high_)]
         end = min(near, key=lambda p: (abs(p - target), p)) if near else target
         if end >= high:
             break

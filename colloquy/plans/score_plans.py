@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_of
-from ..operators import redelivery, scoring, statistics
+from ..operators import redelivery, scoring, speakers, statistics
 from ..session import table
 from .data_quality import _MESSAGES
 from .registry import Registry
+from .text_plans import _ROSTER, speaker_sql
 
 registry = Registry()
 
@@ -133,18 +134,20 @@ def source_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(
     "attribution",
-    """WITH g AS (SELECT uniq_id || ':' || turn_index AS sentence, list_sort(list(DISTINCT regexp_extract(speaker_id, '(\\d+)\\D*$', 1))) AS speakers, min(uniq_id) AS u FROM score_turns WHERE regexp_matches(speaker_id, '\\d') GROUP BY 1),
-    p AS (SELECT uniq_id || ':' || turn_index AS sentence, nullif(min(regexp_extract(speaker_id, '(\\d+)\\D*$', 1)), '') AS speaker FROM runtime_turns GROUP BY 1),
+    f"""WITH {_ROSTER}, ls AS {speaker_sql('speaker_id', 'score_turns')}, g AS (SELECT uniq_id || ':' || turn_index AS sentence, list_sort(list(DISTINCT speaker)) AS speakers FROM ls WHERE uniq_id IS NOT NULL AND turn_index IS NOT NULL AND speaker <> '' GROUP BY 1),
+    p AS (SELECT uniq_id || ':' || turn_index AS sentence, '#' || min(CAST(nullif(regexp_extract(speaker_id, '(\\d+)\\D*$', 1), '') AS INT)) AS speaker FROM runtime_turns WHERE uniq_id IS NOT NULL AND turn_index IS NOT NULL GROUP BY 1),
     o AS (SELECT CASE WHEN speakers IS NULL THEN 'hallucinated' WHEN speaker IS NULL THEN 'unattributed' WHEN list_contains(speakers, speaker) AND len(speakers) > 1 THEN 'ambiguous' WHEN list_contains(speakers, speaker) THEN 'correct' ELSE 'wrong' END AS outcome FROM g FULL JOIN p USING (sentence)),
     a AS (SELECT 'all' AS scope, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'wrong') AS wrong, count(*) FILTER (WHERE outcome = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE outcome = 'unattributed') AS unattributed, count(*) FILTER (WHERE outcome = 'hallucinated') AS hallucinated FROM o)
     SELECT *, round(correct / nullif(correct + wrong + unattributed, 0), 6) AS accuracy FROM a""",
 )
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speaker numbers of raw labels against the diarizer's cluster numbers, turn by turn."""
-    number = F.regexp_extract("speaker_id", r"(\d+)\D*$", 1)
+    """The diarizer's cluster numbers against the speakers of the raw labels, turn by turn; all
+    labels count, resolved against the roster."""
     key = F.concat(F.col("uniq_id"), F.lit(":"), F.col("turn_index").cast("string")).alias("sentence")
-    gold = table(spark, sf_dir, "score_turns").where(F.col("speaker_id").rlike(r"\d")).groupBy(key).agg(F.array_sort(F.collect_set(number)).alias("speakers"))
-    predicted = table(spark, sf_dir, "runtime_turns").groupBy(key).agg(F.nullif(F.min(number), F.lit("")).alias("speaker"))
+    named = speakers.resolved(table(spark, sf_dir, "score_turns"), table(spark, sf_dir, "speaker_roster"), "speaker_id")
+    gold = named.where("uniq_id is not null and turn_index is not null and speaker <> ''").groupBy(key).agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
+    number = F.nullif(F.regexp_extract("speaker_id", r"(\d+)\D*$", 1), F.lit("")).cast("int")
+    predicted = table(spark, sf_dir, "runtime_turns").where("uniq_id is not null and turn_index is not null").groupBy(key).agg(F.concat(F.lit("#"), F.min(number).cast("string")).alias("speaker"))
     return scoring.attribution_accuracy(scoring.attribution(gold, predicted).withColumn("scope", F.lit("all")), ["scope"])
 
 

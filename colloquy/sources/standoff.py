@@ -126,3 +126,21 @@ def linked_evidence(links: DataFrame, acts: DataFrame, sentences: DataFrame) ->
     missing = F.col("speaker").isNull() | F.col("section").isNull()
     good = rows.where(~missing).groupBy("sentence_id").agg(F.min("section").alias("section"), F.min("text").alias("text"), F.array_sort(F.collect_set("act_id")).alias("acts"), F.array_sort(F.collect_set("speaker")).alias("speakers"))
     return good, rows.where(missing).select("act_id", "sentence_id")
+
+
+def placed(files: DataFrame, layout: dict[str, str]) -> DataFrame:
+    """Adds the layer of each file (name) by the longest suffix of a layout that its name has, and
+    the meeting, what stands before its first dot; files of no layer keep a null."""
+    layer = F.lit(None).cast("string")
+    for suffix, name in sorted(layout.items(), key=lambda x: len(x[0])):  # longer ones come last and win
+        layer = F.when(F.col("name").endswith(suffix), F.lit(name)).otherwise(layer)
+    return files.withColumn("layer", layer).withColumn("meeting", F.regexp_extract("name", r"^([^.]+)", 1))
+
+
+def minutes(rows: DataFrame, sections: tuple[str, ...] = ("abstract", "actions", "decisions", "problems")) -> DataFrame:
+    """Sentences of abstractive minutes by section, which is the tag they stand under: file,
+    section, place in it from 0, id, text. Other sections are left out."""
+    heads = rows.where(F.col("tag").isin(*sections)).select(F.col("file").alias("_f"), F.col("ord").alias("_o"), F.col("tag").alias("section"))
+    own = rows.where((F.col("tag") == "sentence") & F.col("id").isNotNull()).join(heads, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_o")))
+    place = F.row_number().over(Window.partitionBy("file", "section").orderBy("ord")) - 1
+    return own.select("file", "section", place.alias("place"), "id", "text")

@@ -125,6 +125,42 @@ def test_archives_and_audio(spark, tmp_path):
     assert {r["name"]: r["problem"] for r in documents.lock_breaks(got, expected).collect()} == {"a.wav": "size", "b.wav": "unexpected", "c.wav": "missing"}
 
 
+def test_clips_and_mono(spark):
+    import hashlib
+    import io
+    import wave
+
+    import numpy as np
+
+    def made(rate, channels, samples):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(2)
+            w.setframerate(rate)
+            w.writeframes(np.asarray(samples, "<i2").tobytes())
+        return out.getvalue()
+
+    stereo = made(32_000, 2, np.repeat([[1000, 3000]], 32_000, 0).ravel())
+    df = spark.createDataFrame([("a", bytearray(stereo), 0, 0.25, 0.75), ("a", bytearray(stereo), 1, 5.0, 6.0), ("b", bytearray(b"no wave"), 0, 0.0, 1.0), ("c", None, 0, 0.0, 1.0)], "name string, content binary, n int, s double, e double")
+    rows = {(r["name"], r["n"]): r for r in documents.audio_clips(df, "content", "s", "e").collect()}
+    clip = rows["a", 0]
+    with wave.open(io.BytesIO(bytes(clip["clip"]))) as w:
+        assert (w.getframerate(), w.getnchannels(), w.getnframes()) == (16_000, 1, 8_000)
+        assert set(np.frombuffer(w.readframes(8_000), "<i2")) == {2000}
+    assert clip["sha256"] == hashlib.sha256(bytes(clip["clip"])).hexdigest()
+    assert all(rows[k]["clip"] is None and rows[k]["sha256"] is None for k in rows if k != ("a", 0))
+
+
+def test_layouts_and_minutes(spark):
+    files = spark.createDataFrame([("m1.A.words.xml",), ("m1.abssumm.xml",), ("odd.txt",)], "name string")
+    layout = {".words.xml": "words", ".abssumm.xml": "abstractive"}
+    assert {r["name"]: (r["layer"], r["meeting"]) for r in standoff.placed(files, layout).collect()} == {"m1.A.words.xml": ("words", "m1"), "m1.abssumm.xml": ("abstractive", "m1"), "odd.txt": (None, "odd")}
+    rows = [("f", 0, 0, -1, "root", None, None), ("f", 1, 1, 0, "abstract", None, None), ("f", 2, 2, 1, "sentence", "s1", "First."), ("f", 3, 2, 1, "sentence", "s2", "Then."), ("f", 4, 1, 0, "decisions", None, None), ("f", 5, 2, 4, "sentence", "s3", "Do."), ("f", 6, 1, 0, "other", None, None), ("f", 7, 2, 6, "sentence", "s4", "x")]
+    df = spark.createDataFrame(rows, "file string, ord int, depth int, parent int, tag string, id string, text string")
+    assert [tuple(r) for r in standoff.minutes(df).orderBy("section", "place").collect()] == [("f", "abstract", 0, "s1", "First."), ("f", "abstract", 1, "s2", "Then."), ("f", "decisions", 0, "s3", "Do.")]
+
+
 def test_slices_of_audio(spark):
     data = io.BytesIO()
     with wave.open(data, "wb") as w:
@@ -138,19 +174,26 @@ def test_manifests(spark, tmp_path):
     path = str(tmp_path / "m.json")
     df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n int")
     made = manifests.write_manifest(df, path, "v1")
-    assert manifests.load_manifest(path, "v1") == made and [r["k"] for r in made["rows"]] == ["a", "b"]
+    read = lambda: manifests.read_documents(spark, path)
+    problems = lambda v="v1": sorted((r["problem"], r["detail"]) for r in manifests.manifest_breaks(read(), v).collect())
+    assert [r["k"] for r in made["rows"]] == ["a", "b"] and problems() == []
+    assert sorted((r["k"], r["n"]) for r in manifests.manifest_rows(read(), "v1", "k string, n int").collect()) == [("a", 1), ("b", 2)]
     assert manifests.content_hash({"b": 1, "a": "é"}) == __import__("hashlib").sha256(b'{"a":"\\u00e9","b":1}').hexdigest()
     with pytest.raises(FileExistsError):
         manifests.write_manifest(df, path, "v1")
-    with pytest.raises(ValueError, match="version"):
-        manifests.load_manifest(path, "v2")
+    assert problems("v2") == [("version", "v1")] and manifests.manifest_rows(read(), "v2", "k string, n int").count() == 0
     text = (tmp_path / "m.json").read_text()
     (tmp_path / "m.json").write_text(text.replace('"n": 2', '"n": 3'))
-    with pytest.raises(ValueError, match="hashed"):
-        manifests.load_manifest(path, "v1")
-    (tmp_path / "m.json").write_text('{"a": 1, "a": 2}')
-    with pytest.raises(ValueError, match="twice"):
-        manifests.load_manifest(path, "v1")
+    assert [p for p, _ in problems()] == ["hash"]
+    (tmp_path / "m.json").write_text('{"a": 1, "a": 2, "b": {"c": 1, "c": 1}}')
+    assert problems() == [("hash", "the content is not what was hashed"), ("repeated key", "a"), ("repeated key", "c"), ("version", "none")]
+    for broken in ("{", "[1]"):
+        (tmp_path / "m.json").write_text(broken)
+        assert [p for p, _ in problems()] == ["unreadable"]
+    registry = spark.createDataFrame([("m1", "dev"), ("m2", "dev"), ("m3", None), ("m3", "x")], "meeting string, role string")
+    listed = spark.createDataFrame([("m1",), ("m9",)], "meeting string")
+    got = sorted(tuple(r) for r in manifests.registry_breaks(registry, {"role": {"dev": 2, "test": 1, "x": 1}}, {"list": listed}).collect())
+    assert got == [("count", "role", "none 1"), ("count", "role", "test 0"), ("repeated", "registry", "m3"), ("uncovered", "list", "m2"), ("uncovered", "list", "m3"), ("unknown", "list", "m9")]
     files = spark.createDataFrame([("a.wav",)], "name string")
     assert [r["k"] for r in manifests.missing_files(df, "k", files, "{id}.wav").collect()] == ["b"]
 
