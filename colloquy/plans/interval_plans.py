@@ -58,6 +58,31 @@ def diarization_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.meeting_scores(table(spark, sf_dir, "diar_segments"))
 
 
+# The best one-to-one mapping by sets: reference speakers in order, hypothesis speakers taken so far as bits.
+_BEST = _SIDES + """, ov AS (SELECT a.meeting_id, a.speaker AS r, b.speaker AS h, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS ms FROM x a JOIN x b ON a.meeting_id = b.meeting_id AND a.s < b.e AND b.s < a.e WHERE a.side = 'ref' AND b.side = 'hyp' GROUP BY ALL),
+nr AS (SELECT meeting_id, r, row_number() OVER (PARTITION BY meeting_id ORDER BY r) AS i FROM (SELECT DISTINCT meeting_id, r FROM ov)), nh AS (SELECT meeting_id, h, CAST(1 AS BIGINT) << CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY h) - 1 AS INT) AS bit FROM (SELECT DISTINCT meeting_id, h FROM ov)),
+ce AS (SELECT meeting_id, i, bit, ms FROM ov JOIN nr USING (meeting_id, r) JOIN nh USING (meeting_id, h)), ns AS (SELECT meeting_id, max(i) AS n FROM nr GROUP BY meeting_id),
+dp AS (SELECT meeting_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS best FROM ns
+  UNION ALL SELECT meeting_id, i, taken, CAST(max(best) AS BIGINT) FROM (SELECT d.meeting_id, d.i + 1 AS i, d.taken, d.best FROM dp d JOIN ns USING (meeting_id) WHERE d.i < ns.n
+    UNION ALL SELECT d.meeting_id, d.i + 1, d.taken | c.bit, d.best + c.ms FROM dp d JOIN ce c ON c.meeting_id = d.meeting_id AND c.i = d.i + 1 WHERE d.taken & c.bit = 0) GROUP BY ALL),
+co AS (SELECT dp.meeting_id, max(best) AS correct_ms FROM dp JOIN ns ON ns.meeting_id = dp.meeting_id AND dp.i = ns.n GROUP BY dp.meeting_id)"""
+_SWEPT = _SWEEP.replace("$c", "0").replace("$skip", "")[len(_SIDES) :]
+
+
+@registry.query(
+    "diarization_full",
+    _BEST.replace("WITH ", "WITH RECURSIVE ", 1).replace("\nWITH ", "\nWITH RECURSIVE ", 0)
+    + _SWEPT[: _SWEPT.index("\nSELECT")]
+    + """, te AS (SELECT meeting_id, CAST(sum(nr * ms) AS BIGINT) AS total_ms, CAST(sum(greatest(nr - nh, 0) * ms) AS BIGINT) AS missed_ms, CAST(sum(greatest(nh - nr, 0) * ms) AS BIGINT) AS false_alarm_ms, CAST(sum(least(nr, nh) * ms) AS BIGINT) AS both_ms FROM sc GROUP BY meeting_id)
+    SELECT te.meeting_id, total_ms, missed_ms, false_alarm_ms, both_ms - coalesce(correct_ms, 0) AS confusion_ms, CAST(coalesce(correct_ms, 0) AS BIGINT) AS correct_ms, round(coalesce((missed_ms + false_alarm_ms + both_ms - coalesce(correct_ms, 0)) / nullif(total_ms, 0), 0.0), 6) AS der FROM te LEFT JOIN co ON co.meeting_id IS NOT DISTINCT FROM te.meeting_id""",
+)
+def diarization_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rate per meeting without collar: the mapping is checked by its total, which ties
+    do not change."""
+    rows = diarization.meeting_scores(table(spark, sf_dir, "diar_segments"), (("full", 0, False),))
+    return rows.drop("convention")
+
+
 @registry.query("diarization_errors_pooled")
 def diarization_errors_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.pooled(diarization.meeting_scores(table(spark, sf_dir, "diar_segments")))
@@ -133,15 +158,36 @@ def stream_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.stream_faults(turns, "uniq_id", "speaker_id", "turn_index", "start_s", "end_s")
 
 
-@registry.query("turn_slices")
+_OWN = "own AS (SELECT uniq_id, s, max(e) AS e FROM (SELECT uniq_id, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e FROM runtime_turns WHERE isfinite(start_s) AND isfinite(end_s)) WHERE s < e GROUP BY uniq_id, s)"
+# Open slices turn by turn; long turns are tiled; then gaps are shared and the ends reach out.
+_PACKED = (
+    _OWN
+    + """, ot AS (SELECT *, row_number() OVER (PARTITION BY uniq_id ORDER BY s) AS i, e - s > 120000 AS big, (e - s - 1) // 90000 AS m FROM own),
+ok AS (SELECT *, CASE WHEN big AND e - s - m * 90000 <= 30000 THEN m WHEN big THEN m + 1 ELSE 1 END AS tiles FROM ot),
+st AS (SELECT uniq_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, false AS open, CAST(0 AS BIGINT) AS no FROM own GROUP BY uniq_id
+  UNION ALL SELECT t.uniq_id, t.i, CASE WHEN t.big THEN NULL WHEN st.open AND t.e - st.a <= 120000 AND st.b - st.a < 90000 THEN st.a ELSE t.s END,
+    CASE WHEN t.big THEN NULL WHEN st.open AND t.e - st.a <= 120000 AND st.b - st.a < 90000 THEN greatest(st.b, t.e) ELSE t.e END, NOT t.big,
+    CASE WHEN t.big THEN st.no + t.tiles WHEN st.open AND t.e - st.a <= 120000 AND st.b - st.a < 90000 THEN st.no ELSE st.no + 1 END
+  FROM st JOIN ok t ON t.uniq_id IS NOT DISTINCT FROM st.uniq_id AND t.i = st.i + 1),
+bt AS (SELECT st.uniq_id, ok.s, ok.e, ok.tiles, st.no - ok.tiles AS base, unnest(range(0, ok.tiles)) AS k FROM st JOIN ok ON ok.uniq_id IS NOT DISTINCT FROM st.uniq_id AND ok.i = st.i WHERE ok.big),
+sl AS (SELECT uniq_id, no, min(a) AS a, max(b) AS b FROM st WHERE a IS NOT NULL GROUP BY uniq_id, no
+  UNION ALL SELECT uniq_id, base + k + 1, s + k * 90000, CASE WHEN k = tiles - 1 THEN e ELSE s + (k + 1) * 90000 END FROM bt),
+nb AS (SELECT *, lag(b) OVER w AS pb, lead(a) OVER w AS na FROM sl WINDOW w AS (PARTITION BY uniq_id ORDER BY no)),
+fa AS (SELECT *, CASE WHEN pb < a THEN least(a, greatest((pb + a) // 2, b - 120000)) WHEN pb > a THEN least(pb, b) ELSE a END AS a2 FROM nb),
+fb AS (SELECT *, CASE WHEN b < na THEN greatest(b, least((b + na) // 2, a2 + 120000)) ELSE b END AS b2 FROM fa),
+hi AS (SELECT uniq_id, max(e) AS high FROM own GROUP BY uniq_id),
+fc AS (SELECT fb.uniq_id, a2, b2, row_number() OVER w - 1 AS k, lead(no) OVER w IS NULL AS last, high FROM fb JOIN hi ON hi.uniq_id IS NOT DISTINCT FROM fb.uniq_id WHERE b2 > a2 WINDOW w AS (PARTITION BY fb.uniq_id ORDER BY no)),
+fd AS (SELECT *, CASE WHEN k = 0 THEN greatest(0, a2 - 3000, b2 - 120000) ELSE a2 END AS a3 FROM fc),
+ps AS (SELECT uniq_id, CAST(k AS INT) AS slice_no, a3 AS start_ms, CASE WHEN last THEN greatest(b2, least(high, b2 + 3000, a3 + 120000)) ELSE b2 END AS end_ms FROM fd)"""
+)
+
+
+@registry.query("turn_slices", "WITH RECURSIVE " + _PACKED + " SELECT * FROM ps")
 def turn_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of packed turns (sequential; bounds and cover are tested)."""
     return slicing.turn_slices(table(spark, sf_dir, "runtime_turns"))
 
 
-_OWN = "own AS (SELECT uniq_id, s, max(e) AS e FROM (SELECT uniq_id, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e FROM runtime_turns WHERE isfinite(start_s) AND isfinite(end_s)) WHERE s < e GROUP BY uniq_id, s)"
-
-
 @registry.query(
     "task_chunks",
     f"""WITH RECURSIVE {_OWN}, o AS (SELECT *, row_number() OVER (PARTITION BY uniq_id ORDER BY s) AS i, count(*) OVER (PARTITION BY uniq_id) AS n, max(e) OVER (PARTITION BY uniq_id) AS z, lag(e) OVER (PARTITION BY uniq_id ORDER BY s) AS p FROM own),
@@ -158,16 +204,16 @@ def task_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.task_chunks(table(spark, sf_dir, "runtime_turns"))
 
 
-@registry.query(
-    "pause_grid",
-    f"""WITH RECURSIVE {_OWN}, r AS (SELECT uniq_id, s, e, max(e) OVER (PARTITION BY uniq_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM own),
+_GRID = """r AS (SELECT uniq_id, s, e, max(e) OVER (PARTITION BY uniq_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM own),
     p AS (SELECT uniq_id, unnest([reach, s]) AS x FROM r WHERE s - reach >= 1000), h AS (SELECT uniq_id, max(e) AS high FROM own GROUP BY uniq_id),
     g AS (SELECT uniq_id, CAST(0 AS BIGINT) AS low, high, CAST(-1 AS BIGINT) AS no FROM h
       UNION ALL SELECT g.uniq_id, y.cut, g.high, g.no + 1 FROM g, LATERAL (SELECT coalesce((SELECT arg_min(p.x, (abs(p.x - g.low - 90000), p.x)) FROM p WHERE p.uniq_id IS NOT DISTINCT FROM g.uniq_id AND abs(p.x - g.low - 90000) <= 3000 AND p.x - g.low BETWEEN 60000 AND 120000), g.low + 90000) AS cut) y WHERE g.high - g.low > 90000 AND y.cut < g.high),
     c AS (SELECT uniq_id, no + 1 AS slice_no, low AS start_ms, coalesce(lead(low) OVER w, high) AS end_ms, high, lag(low) OVER w AS before, lead(low) OVER w IS NULL AS last FROM g WINDOW w AS (PARTITION BY uniq_id ORDER BY no)),
-    j AS (SELECT *, last AND slice_no > 0 AND end_ms - start_ms < 60000 AND high - before <= 120000 AS joins FROM c WHERE end_ms > start_ms)
-    SELECT uniq_id, CAST(slice_no AS INT) AS slice_no, start_ms, CASE WHEN coalesce(lead(joins) OVER (PARTITION BY uniq_id ORDER BY slice_no), false) THEN high ELSE end_ms END AS end_ms FROM j QUALIFY NOT joins""",
-)
+    j AS (SELECT *, last AND slice_no > 0 AND end_ms - start_ms < 60000 AND high - before <= 120000 AS joins FROM c WHERE end_ms > start_ms)"""
+_GRID_ROWS = """SELECT uniq_id, CAST(slice_no AS INT) AS slice_no, start_ms, CASE WHEN coalesce(lead(joins) OVER (PARTITION BY uniq_id ORDER BY slice_no), false) THEN high ELSE end_ms END AS end_ms FROM j QUALIFY NOT joins"""
+
+
+@registry.query("pause_grid", f"WITH RECURSIVE {_OWN}, {_GRID} {_GRID_ROWS}")
 def pause_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.pause_grid(table(spark, sf_dir, "runtime_turns"))
 

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import matching, slicing, wer
 from ..session import table
+from .interval_plans import _GRID, _GRID_ROWS, _PACKED
 from .registry import Registry
 from .text_plans import _GRAMS, _LEVEL, TURNS, shared_sql, turns
 
 registry = Registry()
 
 
-@registry.query("claimed_turns")
+@registry.query(
+    "claimed_turns",
+    f"WITH RECURSIVE {TURNS}, "
+    + f"""q AS (SELECT DISTINCT uniq_id, request_id FROM transcribed_segments), g AS (SELECT q.request_id AS meeting, CAST(turn_index AS VARCHAR) AS gold, regexp_extract_all(lower(said), '[a-z0-9]+') AS a FROM t JOIN q USING (uniq_id) WHERE said IS NOT NULL),
+    p AS (SELECT request_id AS meeting, seg_ord AS pred, regexp_extract_all(lower(min(text)), '[a-z0-9]+') AS b FROM transcribed_segments WHERE text IS NOT NULL GROUP BY request_id, seg_ord),
+    f AS (SELECT meeting, gold, pred, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE CAST(2.0 * {shared_sql('a', 'b')} AS DOUBLE) / (len(a) + len(b)) END AS f1 FROM g JOIN p USING (meeting)), c AS (SELECT * FROM f WHERE f1 >= 0.3),
+    r AS (SELECT meeting, []::VARCHAR[] AS golds, []::INT[] AS preds, 0::BIGINT AS n, 0.0::DOUBLE AS total FROM c GROUP BY meeting
+      UNION ALL SELECT r.meeting, list_append(golds, x.gold), list_append(preds, x.pred), n + 1, total + x.f1 FROM r, LATERAL (SELECT gold, pred, f1 FROM c WHERE c.meeting = r.meeting AND NOT list_contains(r.golds, c.gold) AND NOT list_contains(r.preds, c.pred) ORDER BY f1 DESC, gold, pred LIMIT 1) x)
+    SELECT meeting, max(n) AS claims, round(arg_max(total, n) / max(n), 6) AS f1 FROM r GROUP BY meeting""",
+)
 def claimed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each request claim turns of its dialogue by token F1, from the reference's
     0.3 on (greedy; tested)."""
@@ -47,7 +57,11 @@ def positional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uniq_id", "place", F.col("a.turn_index").alias("said"), F.col("b.turn_index").alias("timed"))
 
 
-@registry.query("changed_slices")
+@registry.query(
+    "changed_slices",
+    f"WITH RECURSIVE {_PACKED}, {_GRID}, gr AS ({_GRID_ROWS}) SELECT coalesce(ps.uniq_id, gr.uniq_id) AS uniq_id, count(*) FILTER (WHERE ps.start_ms IS DISTINCT FROM gr.start_ms OR ps.end_ms IS DISTINCT FROM gr.end_ms) AS changed, "
+    "count(*) AS places FROM ps FULL JOIN gr ON gr.uniq_id = ps.uniq_id AND gr.slice_no = ps.slice_no GROUP BY 1",
+)
 def changed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places at which packed slices and the pause grid of a dialogue differ."""
     rows = table(spark, sf_dir, "runtime_turns")
@@ -84,7 +98,15 @@ def relisted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.same_rows(half("manifest_batch <= 5"), half("manifest_batch > 5"))
 
 
-@registry.query("term_kinds")
+@registry.query(
+    "term_kinds",
+    f"WITH {TURNS}"
+    + r""", k AS (SELECT uniq_id, regexp_extract_all(regexp_replace(said, '\{[^}]*\}', ' ', 'g'), '[\p{L}\p{N}][\p{L}\p{N}''\-]*|[.!?]') AS w FROM t WHERE said IS NOT NULL),
+    f AS (SELECT uniq_id, w, unnest(range(1, len(w) + 1)) AS i FROM k),
+    g AS (SELECT uniq_id, w[i] AS surface, regexp_full_match(w[i], '\p{Lu}{2,}') OR (regexp_matches(w[i], '\p{L}') AND regexp_matches(w[i], '\p{N}')) AS strict,
+      regexp_full_match(w[i], '\p{Lu}\p{Ll}{2,}') AND i > 1 AND w[i - 1] NOT IN ('.', '!', '?') AS name FROM f)
+    SELECT uniq_id, surface, CASE WHEN bool_or(strict) THEN 'strict' ELSE 'name_like' END AS kind, count(*) AS n FROM g WHERE strict OR name GROUP BY ALL""",
+)
 def term_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acronyms, codes and names inside sentences, per dialogue (tested on fixtures)."""
     return text.term_kinds(turns(spark, sf_dir), ["uniq_id"], "said")

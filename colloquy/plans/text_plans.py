@@ -174,7 +174,12 @@ def copy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("request_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copies") > 0).alias("hits"), F.sum("copies").alias("copies"))
 
 
-@registry.query("capital_terms")
+@registry.query(
+    "capital_terms",
+    rf"""WITH s AS (SELECT doc_id, text, string_split(regexp_replace(trim(regexp_replace(text, '{SPACE}+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, text, flatten(list_transform(l, lambda x: regexp_extract_all(regexp_replace(regexp_replace(x, '^\S+\s*', ''), '[^\p{{L}}\p{{N}}\s''\-]', ' | ', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])(\p{{Lu}}[\p{{L}}\p{{N}}''\-]*(?: \p{{Lu}}[\p{{L}}\p{{N}}''\-]*)*)', 1))) AS c FROM s)
+    SELECT doc_id, CAST(len(list_filter(c, lambda x: NOT regexp_matches(x, '^I(''|$)'))) AS INT) AS runs, CAST(len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: regexp_full_match(x, '\p{{Lu}}{{2,}}'))) + len(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_])((?:\p{{Lu}} ){{2,}}\p{{Lu}})(?:$|[^\p{{L}}\p{{N}}_])', 1)) AS INT) AS acronyms FROM r""",
+)
 def capital_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised runs within sentences and acronyms of each document (tested on fixtures)."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
