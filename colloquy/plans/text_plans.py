@@ -222,7 +222,27 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"))
 
 
-@registry.query("speaker_error_rates")
+_TOKENS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\x{200C}\x{200D}\x{24B6}-\x{24E9}]+"
+# Streams of words per speaker, distances of each pair of streams, and the least total by sets of taken streams.
+_CP = f"""WITH RECURSIVE {_ROSTER}, hl AS {speaker_sql('label', '(SELECT * RENAME (speaker AS label) FROM transcribed_segments)')}, ls AS {speaker_sql('speaker_id', 'score_turns')},
+ra AS (SELECT uniq_id, turn_index AS ordinal, regexp_extract_all(lower(reference_text), '{_TOKENS}') AS w, arg_min(speaker, (NOT starts_with(speaker, '#'), speaker)) AS speaker FROM ls WHERE reference_text IS NOT NULL GROUP BY ALL),
+ss AS (SELECT DISTINCT uniq_id, request_id AS session FROM transcribed_segments), rr AS (SELECT session, speaker, ordinal, w FROM ra JOIN ss USING (uniq_id)),
+hh AS (SELECT request_id AS session, seg_ord AS ordinal, regexp_extract_all(lower(text), '{_TOKENS}') AS w, arg_min(speaker, (NOT starts_with(speaker, '#'), speaker)) AS speaker FROM hl WHERE text IS NOT NULL GROUP BY ALL),
+rs AS (SELECT session, speaker, coalesce(flatten(list(w ORDER BY ordinal NULLS FIRST, w)), []) AS b, row_number() OVER (PARTITION BY session ORDER BY speaker) AS i FROM rr GROUP BY session, speaker),
+hs AS (SELECT session, speaker, coalesce(flatten(list(w ORDER BY ordinal NULLS FIRST, w)), []) AS a, CAST(1 AS BIGINT) << CAST(row_number() OVER (PARTITION BY session ORDER BY speaker) - 1 AS INT) AS bit FROM hh GROUP BY session, speaker),
+q AS (SELECT session AS uniq_id, rs.i AS turn_index, a, b, bit FROM rs JOIN hs USING (session)),
+{_LEVEL.replace('turn_index, a, b,', 'turn_index, bit, a, b,')},
+ce AS (SELECT uniq_id AS session, turn_index AS i, bit, r[len(r)] - len(a) AS cost FROM d WHERE d.i = len(a)),
+rn AS (SELECT session, max(i) AS n, CAST(sum(len(b)) AS BIGINT) AS ref_words FROM rs GROUP BY session), hn AS (SELECT session, CAST(sum(len(a)) AS BIGINT) AS hyp_words FROM hs GROUP BY session),
+dp AS (SELECT session, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS best FROM rn
+  UNION ALL SELECT session, i, taken, CAST(min(best) AS BIGINT) FROM (SELECT dp.session, dp.i + 1 AS i, dp.taken, dp.best + len(rs.b) AS best FROM dp JOIN rs ON rs.session = dp.session AND rs.i = dp.i + 1
+    UNION ALL SELECT dp.session, dp.i + 1, dp.taken | ce.bit, dp.best + ce.cost FROM dp JOIN ce ON ce.session = dp.session AND ce.i = dp.i + 1 WHERE dp.taken & ce.bit = 0) GROUP BY ALL),
+be AS (SELECT dp.session, min(best) AS best FROM dp JOIN rn ON rn.session = dp.session AND dp.i = rn.n GROUP BY dp.session)
+SELECT coalesce(rn.session, hn.session) AS session, CAST(coalesce(best, 0) + coalesce(hyp_words, 0) AS BIGINT) AS errors, coalesce(ref_words, 0) AS ref_words, coalesce(hyp_words, 0) AS hyp_words, round((coalesce(best, 0) + coalesce(hyp_words, 0)) / nullif(coalesce(ref_words, 0), 0), 6) AS cp_wer
+FROM rn FULL JOIN hn ON hn.session = rn.session LEFT JOIN be ON be.session = coalesce(rn.session, hn.session)"""
+
+
+@registry.query("speaker_error_rates", _CP)
 def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cpWER of each request's segments against the raw turns of its dialogue. All words of
     both sides count: labels are resolved by number or roster, one that cannot be (null too) is
