@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sampling import hashed_head
-from ..session import cut_lineage
+from ..session import stored_table
 
 #: Tokens of a unit that are levels of the prefix tree.
 DEPTH = 5
@@ -331,7 +331,7 @@ _HEADS = (
     r"^[\s*•·>\-–—→]*(?:\d{1,2}[.)]\s+(?=[^\W\d]))?(?:[^:|\d]{3,30} \(\d[\d.]* min\):\s*)?"
     r"(?:<v [^>]*>|\[?[Ss]peaker[_ ]?\d+\]?\s*[:|]?\s*|\p{Lu}[\p{L}.'’]+(?: \p{Lu}?[\p{L}'’]+)?\s*(?:[:|]|\s[=–—-])\s+)?"
 )
-_BLANKS = r" *[\t\u000b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000][ \t\u000b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]*| {2,}"
+_BLANKS = r"[\t\u000b\f\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
 
 
 #: Two independent hashes stand for a line: 128 bits, so that no two lines of a corpus meet.
@@ -342,11 +342,13 @@ def hashes_of(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2")]
 
 
-def tidy(text: Column) -> Column:
+def tidied(rows: DataFrame, column: str) -> DataFrame:
     """Without invisible characters; white space but line ends as one space. Plain texts, the
-    most, are only looked at."""
-    plain = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
-    return F.when(text.rlike("[^ -~]"), F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), _BLANKS, " ")).otherwise(plain)
+    most, are only looked at; two steps, so that neither is computed twice."""
+    text = F.col(column)
+    odd = F.when(text.rlike(INVISIBLE[:-1] + _BLANKS[1:-1]), F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), _BLANKS, " ")).otherwise(text)
+    rows = rows.withColumn(column, odd)
+    return rows.withColumn(column, F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
 
 
 def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -359,13 +361,16 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     """Distinct lines: KEY, copies, units and brackets. Units are the sentences of a line
     without list marks and labels, status numbers as ``#e``, other numbers as ``#``. The line
     itself is not carried along."""
-    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(*hashes_of("line"), "copies", tidy(F.col("line")).alias("line"))
+    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies")).select(*hashes_of("line"), "copies", "line")
+    distinct = tidied(distinct, "line")
     said = F.regexp_replace("line", _HEADS, "")
     digits = F.col("line").rlike("[0-9]")
     said = F.when(digits, F.regexp_replace(F.regexp_replace(said, _CODE.pattern, "#e"), r"[0-9]+(?:[.,][0-9]+)*", "#")).otherwise(said)
-    units = F.split(F.regexp_replace(said, r"([.!?…])\s+|([。！？])", "$1$2\n"), "\n")
-    units = F.filter(F.transform(units, F.trim), lambda u: F.length(u) > 2)
-    return distinct.select(*KEY, "copies", units.alias("units"), _brackets(F.when(F.col("line").rlike(_SLOT_HINT), F.col("line"))).alias("brackets"))
+    hint = F.col("line").rlike(r"[\[{<(«【（%@_$#]") & F.col("line").rlike(_SLOT_HINT)
+    rows = distinct.select(*KEY, "copies", said.alias("said"), F.when(hint, F.col("line")).alias("line"))
+    several = F.col("said").rlike(r"[.!?…]\s|[。！？].")
+    cut = F.split(F.regexp_replace("said", r"([.!?…])\s+|([。！？])", "$1$2\n"), "\n")
+    return rows.select(*KEY, "copies", F.when(several, cut).otherwise(F.array("said")).alias("units"), _brackets("line").alias("brackets"))
 
 
 def with_leaf(units: DataFrame) -> DataFrame:
@@ -465,14 +470,18 @@ def residue(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts hold none. Repeated texts each count. Only doc_id and text
     are read. Documents are not cut: all lines of a text are seen.
     """
+    # Tables in the shared folder: their columns are read as needed, and Spark knows their size,
+    # so what is condemned is broadcast where it is small, and joined by a shuffle where not.
     lines = lines_of(documents)
-    places = cut_lineage(lines.select("doc_id", "text_key", *KEY))
-    parsed = cut_lineage(parsed_lines(lines))
-    units = parsed.select(*KEY, F.explode("units").alias("unit"))
-    kinds = cut_lineage(units.select("unit").distinct())
-    told = units.join(condemned_units(kinds, fitted_verdicts(kinds)), "unit").select(*KEY, "reason")
+    places = stored_table(lines.select("doc_id", "text_key", *KEY), "residue-places")
+    parsed = stored_table(parsed_lines(lines), "residue-lines")
+    units = parsed.select(*KEY, F.explode("units").alias("unit")).withColumn("unit", F.trim("unit")).where(F.length("unit") > 2)
+    kinds = stored_table(units.select("unit").distinct(), "residue-units")
+    condemned = stored_table(condemned_units(kinds, fitted_verdicts(kinds)), "residue-condemned")
+    told = units.join(condemned, "unit").select(*KEY, "reason")
     slots = slot_lines(parsed).select(*KEY, F.lit("slot").alias("reason"))
-    found = cut_lineage(places.join(told.unionByName(slots).distinct(), KEY).select("doc_id", "reason").distinct())
+    keys = stored_table(told.unionByName(slots).distinct(), "residue-keys")
+    found = stored_table(places.join(keys, KEY).select("doc_id", "reason").distinct(), "residue-found")
     company = company_lines(places, parsed.select(*KEY, "copies"), found.where("reason <> 'slot'"))
     more = places.join(company, KEY).select("doc_id", "reason")
     return found.unionByName(more).groupBy("doc_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
