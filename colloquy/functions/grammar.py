@@ -27,7 +27,10 @@ def reply_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         form = F.when(good, F.lit(name)) if form is None else form.when(good, F.lit(name))
         speaker = F.when(good, F.trim(who)) if speaker is None else speaker.when(good, F.trim(who))
         said = F.when(good, F.trim(what)) if said is None else said.when(good, F.trim(what))
-    return rows.select(*keys, "line_no", line.alias("line"), form.otherwise(F.lit("malformed")).alias("form"), speaker.alias("speaker"), said.alias("said"))
+    return rows.select(
+        *keys, "line_no", line.alias("line"), form.otherwise(F.lit("malformed")).alias("form"), speaker.alias("speaker"),
+        said.alias("said"),
+    )
 
 
 def reply_modes(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -40,7 +43,9 @@ def reply_modes(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return counts.withColumn("mode", mode).withColumn("compliance", F.round(F.col("strict") / F.col("lines"), 6))
 
 
-def minutes_bullets(df: DataFrame, text: str, keys: list[str], sections: tuple[str, ...] = ("ABSTRACT", "ACTIONS", "DECISIONS", "PROBLEMS")) -> DataFrame:
+def minutes_bullets(
+    df: DataFrame, text: str, keys: list[str], sections: tuple[str, ...] = ("ABSTRACT", "ACTIONS", "DECISIONS", "PROBLEMS"),
+) -> DataFrame:
     """Bullets of minutes: the keys, section, n from 0, body, speaker and span of the
     evidence tag ``[evidence: speaker|span]`` (null without one).
 
@@ -55,16 +60,25 @@ def minutes_bullets(df: DataFrame, text: str, keys: list[str], sections: tuple[s
         section = F.when(is_head(line), F.upper(F.regexp_replace(F.trim(line), r"^#+\s*|:$", ""))).otherwise(state["section"])
         bullet = (~is_head(line)) & line.rlike(r"^\s*-\s*\S") & state["section"].isNotNull()
         n = F.when(is_head(line), F.lit(0)).when(bullet, state["n"] + 1).otherwise(state["n"])
-        row = F.struct(state["section"].alias("section"), state["n"].alias("n"), F.trim(F.regexp_replace(line, r"^\s*-\s*", "")).alias("body"))
-        return F.struct(section.alias("section"), n.alias("n"), F.when(bullet, F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(None).cast("string").alias("section"), F.lit(0).alias("n"), F.array().cast("array<struct<section:string,n:int,body:string>>").alias("out"))
+        row = F.struct(
+            state["section"].alias("section"), state["n"].alias("n"), F.trim(F.regexp_replace(line, r"^\s*-\s*", "")).alias("body"),
+        )
+        return F.struct(
+            section.alias("section"), n.alias("n"),
+            F.when(bullet, F.concat(state["out"], F.array(row))).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(
+        F.lit(None).cast("string").alias("section"), F.lit(0).alias("n"),
+        F.array().cast("array<struct<section:string,n:int,body:string>>").alias("out"),
+    )
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.inline(F.aggregate(lines, start, step)["out"]))
     tag = r"\[evidence:\s*([^|\]]*)\|([^\]]*)\]\s*$"
     has = F.col("body").rlike(tag)
     return rows.select(
         *keys, "section", "n", F.trim(F.regexp_replace("body", tag, "")).alias("body"),
-        F.when(has, F.trim(F.regexp_extract("body", tag, 1))).alias("speaker"), F.when(has, F.trim(F.regexp_extract("body", tag, 2))).alias("span"),
+        F.when(has, F.trim(F.regexp_extract("body", tag, 1))).alias("speaker"),
+        F.when(has, F.trim(F.regexp_extract("body", tag, 2))).alias("span"),
     )
 
 
@@ -72,11 +86,16 @@ def answers(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Per reply: answers (array, in order), abstained, mode. A real answer beats an
     abstention; ``ANSWER: x`` is strict, a bare line only counts where there is nothing else."""
     lines = F.filter(F.transform(F.split(F.col(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
-    strict = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^(?i:answer)\s*[:|]\s*(.+)$", 1))), lambda x: (x != "") & (F.upper(x) != "ABSTAIN"))
+    strict = F.filter(
+        F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^(?i:answer)\s*[:|]\s*(.+)$", 1))),
+        lambda x: (x != "") & (F.upper(x) != "ABSTAIN"),
+    )
     abstains = F.exists(lines, lambda x: x.rlike(r"^(?i)(answer\s*[:|]\s*)?abstain\.?$"))
     bare = F.filter(lines, lambda x: ~x.rlike(r"^(?i)(answer\s*[:|]|abstain)"))
     found = F.when(F.size(strict) > 0, strict).when(~abstains, bare).otherwise(F.array().cast("array<string>"))
-    rows = df.where(F.col(text).isNotNull()).select(*keys, lines.alias("_l"), strict.alias("_s"), abstains.alias("_a"), found.alias("answers"))
+    rows = df.where(F.col(text).isNotNull()).select(
+        *keys, lines.alias("_l"), strict.alias("_s"), abstains.alias("_a"), found.alias("answers"),
+    )
     mode = F.when((F.size("_s") > 0) | F.col("_a"), "strict").when(F.size("answers") > 0, "lenient").otherwise("failed")
     return rows.select(*keys, "answers", ((F.size("answers") == 0) & F.col("_a")).alias("abstained"), mode.alias("mode"))
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 def term_units(df: DataFrame, meeting: Column, position: Column, speaker: Column, terms: Column) -> DataFrame:
     """Distinct units of rows with a position; a null speaker is the speaker ``''``."""
-    rows = df.where(position.isNotNull()).select(meeting.alias("meeting"), position.alias("position"), F.coalesce(speaker, F.lit("")).alias("speaker"), F.explode(F.array_distinct(terms)).alias("surface"))
+    rows = df.where(position.isNotNull()).select(
+        meeting.alias("meeting"), position.alias("position"), F.coalesce(speaker, F.lit("")).alias("speaker"),
+        F.explode(F.array_distinct(terms)).alias("surface"),
+    )
     return rows.distinct()
 
 
@@ -37,7 +40,9 @@ def census(units: DataFrame) -> DataFrame:
 
 
 def census_counts(classified: DataFrame) -> DataFrame:
-    return classified.groupBy("meeting").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("exclusive", "global_only", "new", "shared")])
+    return classified.groupBy("meeting").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("exclusive", "global_only", "new", "shared")]
+    )
 
 
 def half_even_quantile(counted: Column, n: Column, fraction: float) -> Column:
@@ -60,7 +65,8 @@ def supply_summary(classified: DataFrame) -> DataFrame:
     top = classified.where("kind = 'exclusive'").groupBy("surface").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"))
     row = spread.crossJoin(F.broadcast(top))  # one row each
     return row.select(
-        "meetings", "units", *[half_even_quantile(F.col("d"), F.col("meetings"), q).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
+        "meetings", "units",
+        *[half_even_quantile(F.col("d"), F.col("meetings"), q).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
         F.round(F.coalesce(F.try_divide(F.col("top"), F.col("units")), F.lit(0.0)), 6).alias("max_share"),
     )
 
@@ -144,7 +150,8 @@ def merged_entries(entries: DataFrame) -> DataFrame:
     step = lambda s, x: F.struct(F.when(x["evidence"] > s["evidence"], x["canonical"]).otherwise(s["canonical"]).alias("canonical"), (s["evidence"] + x["evidence"]).alias("evidence"))
     folded = F.aggregate(F.slice("e", F.lit(2), F.greatest(F.size("e") - 1, F.lit(0))), start, step)
     return ordered.select(
-        "meeting", "key", folded["canonical"].alias("canonical"), folded["evidence"].alias("evidence"), F.element_at("e", 1)["chunk"].alias("first_seen"),
+        "meeting", "key", folded["canonical"].alias("canonical"), folded["evidence"].alias("evidence"),
+        F.element_at("e", 1)["chunk"].alias("first_seen"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("e", lambda x: x["variants"])))).alias("variants"),
     )
 
@@ -168,14 +175,18 @@ def state_scores(rows: DataFrame, keys: list[str], terms: str, supported: str, s
     n = lambda c: F.coalesce(F.size(F.array_distinct(c)), F.lit(0)).cast("long")
     t, s, a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in (terms, supported, same, other))
     counts = {
-        "terms": n(t), "supported_terms": n(F.array_intersect(t, s)), "hallucinated_terms": n(F.array_except(t, s)), "off_speaker_terms": n(F.array_except(F.array_intersect(t, s), a)),
-        "target_relevant_terms": n(F.array_intersect(t, b)), "same_targets": n(a), "same_target_hits": n(F.array_intersect(t, a)), "global_targets": n(b), "global_target_hits": n(F.array_intersect(t, b)),
+        "terms": n(t), "supported_terms": n(F.array_intersect(t, s)), "hallucinated_terms": n(F.array_except(t, s)),
+        "off_speaker_terms": n(F.array_except(F.array_intersect(t, s), a)),
+        "target_relevant_terms": n(F.array_intersect(t, b)), "same_targets": n(a), "same_target_hits": n(F.array_intersect(t, a)),
+        "global_targets": n(b), "global_target_hits": n(F.array_intersect(t, b)),
     }
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"), *[F.sum(c).alias(name) for name, c in counts.items()])
     rate = lambda x, y: F.round(F.try_divide(F.col(x).cast("double"), F.col(y).cast("double")), 6)
     return (
         sums.withColumn("support_precision", rate("supported_terms", "terms")).withColumn("hallucination_rate", rate("hallucinated_terms", "terms")).withColumn("off_speaker_rate", rate("off_speaker_terms", "terms"))
-        .withColumn("target_relevance", rate("target_relevant_terms", "terms")).withColumn("same_target_recall", rate("same_target_hits", "same_targets")).withColumn("global_target_recall", rate("global_target_hits", "global_targets"))
+        .withColumn("target_relevance", rate("target_relevant_terms", "terms")).withColumn("same_target_recall", rate("same_target_hits", "same_targets")).withColumn(
+            "global_target_recall", rate("global_target_hits", "global_targets"),
+        )
     )
 
 
@@ -196,7 +207,9 @@ def equal_width_arms(lists: DataFrame, columns: list[str]) -> DataFrame:
     """Term lists cut to the length of the shortest; rows where that is 0 are dropped."""
     width = F.least(*[F.size(c) for c in columns])
     rows = lists.withColumn("width", width).where("width > 0")
-    return rows.select(*[c for c in lists.columns if c not in columns], *[F.slice(F.col(c), F.lit(1), F.col("width")).alias(c) for c in columns], "width")
+    return rows.select(
+        *[c for c in lists.columns if c not in columns], *[F.slice(F.col(c), F.lit(1), F.col("width")).alias(c) for c in columns], "width",
+    )
 
 
 def term_set_sizes(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -24,13 +24,17 @@ TILE_MS = 1 << 20
 
 def side_periods(segments: DataFrame) -> DataFrame:
     """meeting_id, side, speaker, s, e: disjoint periods in milliseconds."""
-    return speaking_periods(segments).where("kind = 'period'").select("meeting_id", "side", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    return speaking_periods(segments).where("kind = 'period'").select(
+        "meeting_id", "side", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"),
+    )
 
 
 def speaker_overlap(periods: DataFrame) -> DataFrame:
     """Milliseconds that each reference and hypothesis speaker of a meeting share."""
     ref = periods.where("side = 'ref'").select("meeting_id", F.col("speaker").alias("ref_speaker"), "s", "e")
-    hyp = periods.where("side = 'hyp'").select("meeting_id", F.col("speaker").alias("hyp_speaker"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    hyp = periods.where("side = 'hyp'").select(
+        "meeting_id", F.col("speaker").alias("hyp_speaker"), F.col("s").alias("s2"), F.col("e").alias("e2"),
+    )
     both = overlap_join(ref, hyp, "meeting_id")
     return both.groupBy("meeting_id", "ref_speaker", "hyp_speaker").agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("ms"))
 
@@ -91,13 +95,19 @@ def speaker_mapping(overlap: DataFrame) -> DataFrame:
     ref_speaker, hyp_speaker. Speakers are matched on whole segments whatever is scored.
 
     One row a meeting holds its speaker pairs that share time, not its segments."""
-    cells = overlap.groupBy("meeting_id").agg(F.collect_list(F.struct(F.col("ref_speaker").alias("r"), F.col("hyp_speaker").alias("h"), "ms")).alias("c"))
-    return cells.select("meeting_id", F.inline(_mapped("c"))).select("meeting_id", F.col("r").alias("ref_speaker"), F.col("h").alias("hyp_speaker"))
+    cells = overlap.groupBy("meeting_id").agg(
+        F.collect_list(F.struct(F.col("ref_speaker").alias("r"), F.col("hyp_speaker").alias("h"), "ms")).alias("c")
+    )
+    return cells.select("meeting_id", F.inline(_mapped("c"))).select(
+        "meeting_id", F.col("r").alias("ref_speaker"), F.col("h").alias("hyp_speaker"),
+    )
 
 
 def matched_spans(periods: DataFrame, mapping: DataFrame) -> DataFrame:
     """Spans in which a mapped pair speaks on both sides: meeting_id, ref_speaker, s, e."""
-    ref = periods.where("side = 'ref'").select("meeting_id", F.col("speaker").alias("ref_speaker"), "s", "e").join(mapping, ["meeting_id", "ref_speaker"])
+    ref = periods.where("side = 'ref'").select(
+        "meeting_id", F.col("speaker").alias("ref_speaker"), "s", "e",
+    ).join(mapping, ["meeting_id", "ref_speaker"])
     hyp = periods.where("side = 'hyp'").select("meeting_id", F.col("speaker").alias("_h"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     both = overlap_join(ref, hyp, "meeting_id").where(F.col("hyp_speaker") == F.col("_h"))
     return both.select("meeting_id", "ref_speaker", F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
@@ -119,17 +129,24 @@ def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms:
     if collar_ms:
         ref = periods.where("side = 'ref'")
         bounds = ref.select("meeting_id", F.explode(F.array("s", "e")).alias("at")).distinct()
-        parts.append(_changes(bounds.select("meeting_id", (F.col("at") - collar_ms).alias("s"), (F.col("at") + collar_ms).alias("e")), "collar"))
+        parts.append(
+            _changes(bounds.select("meeting_id", (F.col("at") - collar_ms).alias("s"), (F.col("at") + collar_ms).alias("e")), "collar")
+        )
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     kinds = ("ref", "hyp", "match", "collar")
-    steps = rows.groupBy("meeting_id", "tile", "at").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in kinds])
+    steps = rows.groupBy("meeting_id", "tile", "at").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in kinds]
+    )
     # one row a tile with events: what is open at its start, and the first event after it
     tiles = steps.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), *[F.sum(k).alias(k) for k in kinds])
     along = Window.partitionBy("meeting_id").orderBy("tile")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    tiles = tiles.select(F.col("meeting_id").alias("_m"), F.col("tile").alias("_t"), F.lead("_first").over(along).alias("_then"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in kinds])
+    tiles = tiles.select(
+        F.col("meeting_id").alias("_m"), F.col("tile").alias("_t"), F.lead("_first").over(along).alias("_then"),
+        *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in kinds],
+    )
     rows = steps.join(tiles, F.col("meeting_id").eqNullSafe(F.col("_m")) & (F.col("tile") == F.col("_t")))
     order = Window.partitionBy("meeting_id", "tile").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -146,7 +163,8 @@ def error_times(elements: DataFrame, skip_overlap: bool = False, keys: tuple[str
     r, h, m, ms = (F.col(c) for c in ("n_ref", "n_hyp", "n_match", "ms"))
     total = lambda x: F.coalesce(F.sum(x * ms), F.lit(0))
     return scored.groupBy(*keys).agg(
-        total(r).alias("total_ms"), total(F.greatest(r - h, F.lit(0))).alias("missed_ms"), total(F.greatest(h - r, F.lit(0))).alias("false_alarm_ms"),
+        total(r).alias("total_ms"), total(F.greatest(r - h, F.lit(0))).alias("missed_ms"),
+        total(F.greatest(h - r, F.lit(0))).alias("false_alarm_ms"),
         total(F.least(r, h) - m).alias("confusion_ms"), total(m).alias("correct_ms"),
     )
 
@@ -156,7 +174,9 @@ def error_rate(missed: Column, false_alarm: Column, confusion: Column, total: Co
     return F.round(F.coalesce(F.try_divide((missed + false_alarm + confusion).cast("double"), total.cast("double")), F.lit(0.0)), 6)
 
 
-def meeting_scores(segments: DataFrame, conventions: tuple[tuple[str, int, bool], ...] = (("full", 0, False), ("forgiving", 250, True))) -> DataFrame:
+def meeting_scores(
+    segments: DataFrame, conventions: tuple[tuple[str, int, bool], ...] = (("full", 0, False), ("forgiving", 250, True)),
+) -> DataFrame:
     """Per meeting and convention (name, collar, overlap skipped): times and ``der``.
 
     Conventions with a collar share one; all are summed over the same elementary intervals
@@ -168,7 +188,10 @@ def meeting_scores(segments: DataFrame, conventions: tuple[tuple[str, int, bool]
     matched = matched_spans(periods, speaker_mapping(speaker_overlap(periods)))
     elements = elementary(periods, matched, max(collars, default=0))
     r, h, m, ms = (F.col(c) for c in ("n_ref", "n_hyp", "n_match", "ms"))
-    kinds = {"total_ms": r, "missed_ms": F.greatest(r - h, F.lit(0)), "false_alarm_ms": F.greatest(h - r, F.lit(0)), "confusion_ms": F.least(r, h) - m, "correct_ms": m}
+    kinds = {
+        "total_ms": r, "missed_ms": F.greatest(r - h, F.lit(0)), "false_alarm_ms": F.greatest(h - r, F.lit(0)),
+        "confusion_ms": F.least(r, h) - m, "correct_ms": m,
+    }
     sums, cells = [], []
     for name, collar, skip in conventions:
         scored = (F.col("n_collar") == 0 if collar else F.lit(True)) & (r <= 1 if skip else F.lit(True))
@@ -194,7 +217,9 @@ def jaccard_errors(segments: DataFrame) -> DataFrame:
     length = periods.groupBy("meeting_id", "side", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("ms"))
     ref = length.where("side = 'ref'").select("meeting_id", F.col("speaker").alias("ref_speaker"), F.col("ms").alias("r_ms"))
     hyp = length.where("side = 'hyp'").select("meeting_id", F.col("speaker").alias("hyp_speaker"), F.col("ms").alias("h_ms"))
-    rows = ref.join(mapping, ["meeting_id", "ref_speaker"], "left").join(hyp, ["meeting_id", "hyp_speaker"], "left").join(overlap, ["meeting_id", "ref_speaker", "hyp_speaker"], "left")
+    rows = ref.join(mapping, ["meeting_id", "ref_speaker"], "left").join(hyp, ["meeting_id", "hyp_speaker"], "left").join(
+        overlap, ["meeting_id", "ref_speaker", "hyp_speaker"], "left",
+    )
     union = F.col("r_ms") + F.col("h_ms") - F.col("ms")
     error = F.when(F.col("hyp_speaker").isNull(), F.lit(1.0)).when(union <= 0, F.lit(0.0)).otherwise(1 - F.col("ms") / union)
     return rows.groupBy("meeting_id").agg(F.count(F.lit(1)).alias("speakers"), F.round(F.avg(error), 6).alias("jer"))

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import edit_distance, multiset_overlap, token_f1
 
-_CLAIM = T.ArrayType(T.StructType([T.StructField("gold", T.StringType()), T.StructField("pred", T.IntegerType()), T.StructField("f1", T.DoubleType())]))
+_CLAIM = T.ArrayType(
+    T.StructType([T.StructField("gold", T.StringType()), T.StructField("pred", T.IntegerType()), T.StructField("f1", T.DoubleType())])
+)
 
 
 @F.pandas_udf(_CLAIM)
@@ -47,7 +49,9 @@ def best_alternative(rows: DataFrame, prediction: str, alternatives: str) -> Dat
     """Adds ``f1`` and ``exact``, each the best over the gold alternatives (arrays of tokens) on
     its own; a prediction against no alternative is scored against the empty one."""
     golds = F.when(F.size(alternatives) > 0, F.col(alternatives)).otherwise(F.array(F.array().cast("array<string>")))
-    return rows.withColumn("f1", F.array_max(F.transform(golds, lambda g: token_f1(F.col(prediction), g)))).withColumn("exact", F.array_max(F.transform(golds, lambda g: (g == F.col(prediction)).cast("int"))))
+    return rows.withColumn("f1", F.array_max(F.transform(golds, lambda g: token_f1(F.col(prediction), g)))).withColumn(
+        "exact", F.array_max(F.transform(golds, lambda g: (g == F.col(prediction)).cast("int"))),
+    )
 
 
 def scorer_gaps(a: DataFrame, b: DataFrame, key: str, value: str, threshold: float = 0.2) -> DataFrame:
@@ -172,7 +176,9 @@ def capped_block(rows: DataFrame, group: str, order: list[str], text: str, budge
     """Per group the longest prefix of lines, in order, whose token estimate (four characters
     a token, line ends counted) fits the budget, as one text: group, block, n_lines."""
     window = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.where(F.col(text).isNotNull()).withColumn("_upto", F.sum(F.length(text) + 1).over(window)).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    kept = rows.where(F.col(text).isNotNull()).withColumn("_upto", F.sum(F.length(text) + 1).over(window)).withColumn(
+        "_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)),
+    )
     kept = kept.where(F.ceil((F.col("_upto") - 1) / 4.0) <= budget)
     block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda x: x[text]), "\n")
     return kept.groupBy(group).agg(block.alias("block"), F.count(F.lit(1)).alias("n_lines"))

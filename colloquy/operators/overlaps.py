@@ -27,7 +27,9 @@ def _exploded(df: DataFrame, start: str, end: str, width: int, name: str) -> Dat
     return df.withColumn(name, F.explode(F.sequence(low, F.greatest(low, high))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = 30_000, names: tuple[str, str, str, str] = ("s", "e", "s2", "e2")) -> DataFrame:
+def overlap_join(
+    left: DataFrame, right: DataFrame, key: str, width: int = 30_000, names: tuple[str, str, str, str] = ("s", "e", "s2", "e2"),
+) -> DataFrame:
     """Pairs of half-open intervals of one key that share more than a point.
 
     ``left`` has key, s and e, ``right`` key, s2 and e2, both any further columns (of
@@ -46,7 +48,9 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = 30_00
             keys = a.where(F.col("_bl") == level).select(F.col(key).alias("_k")).unionByName(b.where(F.col("_cl") == level).select(F.col("_key2").alias("_k"))).distinct()
             x, y = x.join(keys, F.col(key) == F.col("_k"), "left_semi"), y.join(keys, F.col("_key2") == F.col("_k"), "left_semi")
         met = (F.col(s) < F.col(e2)) & (F.col(s2) < F.col(e)) & (F.col("_b") == F.floor(F.greatest(F.col(s), F.col(s2)) / wide)) & (F.greatest("_bl", "_cl") == level)
-        joined = _exploded(x, s, e, wide, "_b").join(_exploded(y, s2, e2, wide, "_c"), (F.col(key) == F.col("_key2")) & (F.col("_b") == F.col("_c")) & met)
+        joined = _exploded(x, s, e, wide, "_b").join(
+            _exploded(y, s2, e2, wide, "_c"), (F.col(key) == F.col("_key2")) & (F.col("_b") == F.col("_c")) & met,
+        )
         return joined.drop("_b", "_c", "_bl", "_cl", "_key2")
 
     return of(0).unionByName(of(1)).unionByName(of(2))
@@ -74,10 +78,17 @@ def nearest(points: DataFrame, others: DataFrame, key: str, at: str, tile: int =
     # Frames grow from the start, forwards and backwards: one that shrinks towards the end is
     # summed up anew for each row.
     tiles = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.last("_last", True).over(tiles.orderBy("_t"))).withColumn("_after", F.last("_first", True).over(tiles.orderBy(F.col("_t").desc())))
+    ends = ends.withColumn("_before", F.last("_last", True).over(tiles.orderBy("_t"))).withColumn(
+        "_after", F.last("_first", True).over(tiles.orderBy(F.col("_t").desc())),
+    )
     own = Window.partitionBy(key, "_t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = tagged.withColumn("_lo", F.last(other, True).over(own.orderBy(at))).withColumn("_hi", F.last(other, True).over(own.orderBy(F.col(at).desc())))
-    rows = rows.where("p = 1").join(ends.select(F.col(key).alias("_k"), F.col("_t").alias("_t2"), "_before", "_after"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_t2")))
+    rows = tagged.withColumn("_lo", F.last(other, True).over(own.orderBy(at))).withColumn(
+        "_hi", F.last(other, True).over(own.orderBy(F.col(at).desc())),
+    )
+    rows = rows.where("p = 1").join(
+        ends.select(F.col(key).alias("_k"), F.col("_t").alias("_t2"), "_before", "_after"),
+        F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_t2")),
+    )
     low, high = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
     return rows.select(key, at, F.least(F.col(at) - low, high - F.col(at)).alias("distance"))
 
@@ -86,7 +97,10 @@ def containing(points: DataFrame, spans: DataFrame, key: str, at: str, clamp_fir
     """Index of the span (key, idx, s, e; disjoint, half-open) that holds each point. A point
     after the last span has the last; one before the first has the first, or, with
     ``clamp_first`` off, the last too. Points of keys without spans keep a null."""
-    inside = overlap_join(points.withColumn("_s", F.col(at)).withColumn("_e", F.col(at) + 1), spans.withColumnRenamed("s", "_s2").withColumnRenamed("e", "_e2"), key, names=("_s", "_e", "_s2", "_e2"))
+    inside = overlap_join(
+        points.withColumn("_s", F.col(at)).withColumn("_e", F.col(at) + 1),
+        spans.withColumnRenamed("s", "_s2").withColumnRenamed("e", "_e2"), key, names=("_s", "_e", "_s2", "_e2"),
+    )
     inside = inside.select(*[F.col(c) for c in points.columns], "idx")
     limits = spans.groupBy(key).agg(F.min("s").alias("_low"), F.min_by("idx", "s").alias("_first"), F.max_by("idx", "s").alias("_end"))
     same = [points[c].eqNullSafe(inside[c]) for c in points.columns]
@@ -111,6 +125,7 @@ def stream_faults(rows: DataFrame, stream: str, speaker: str, ordinal: str, star
     pair = F.struct(start, end)
     out = marked.groupBy(stream).agg(
         F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bool_and((F.col(start) == 0) & (F.col(end) == 0)), F.lit(False)).alias("all_zero"),
-        ((F.count(F.lit(1)) > 1) & (F.min(pair) == F.max(pair))).alias("one_pair"), F.coalesce(F.bool_or(F.col(end) < F.col(start)), F.lit(False)).alias("reversed"), F.bool_or("_down").alias("disordered"),
+        ((F.count(F.lit(1)) > 1) & (F.min(pair) == F.max(pair))).alias("one_pair"),
+        F.coalesce(F.bool_or(F.col(end) < F.col(start)), F.lit(False)).alias("reversed"), F.bool_or("_down").alias("disordered"),
     )
     return out.withColumn("valid", ~(F.col("all_zero") | F.col("one_pair") | F.col("reversed") | F.col("disordered")))

@@ -52,7 +52,9 @@ def dyadic_runs(start: np.ndarray, end: np.ndarray, bits: int = TILE_BITS) -> tu
         if level == bits:
             blocks.append(_distinct(low[open_]))
         else:
-            blocks.append(_distinct(np.concatenate([low[open_ & (low & 1 == 1)], high[open_ & (high & 1 == 1)] - 1])) if open_.any() else none)
+            blocks.append(
+                _distinct(np.concatenate([low[open_ & (low & 1 == 1)], high[open_ & (high & 1 == 1)] - 1])) if open_.any() else none
+            )
     # a block under an ancestor adds nothing
     for level in range(bits):
         for above in range(level + 1, bits + 1):
@@ -151,7 +153,10 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     runs = tiles.select(*names, "_t", F.transform("_runs", lambda x: run(x, F.col("_t"))).alias("_runs"), F.size("_runs").alias("_n"))
     kind = lambda k, s, e: F.struct(F.lit(k).alias("kind"), s.alias("s"), e.alias("e"))
     inner = F.concat(
-        F.when(F.col("_n") > 2, F.transform(F.slice("_runs", F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))), lambda r: kind("period", r["s"], r["e"]))).otherwise(F.array().cast("array<struct<kind:string,s:bigint,e:bigint>>")),
+        F.when(
+            F.col("_n") > 2,
+            F.transform(F.slice("_runs", F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))), lambda r: kind("period", r["s"], r["e"])),
+        ).otherwise(F.array().cast("array<struct<kind:string,s:bigint,e:bigint>>")),
         F.when(
             F.col("_n") > 1,
             F.transform(
@@ -170,9 +175,13 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     order = Window.partitionBy(*names).orderBy("s", F.col("e").desc())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn("_reach", F.max("e").over(before)).withColumn("_t0", F.lag("_t").over(order))
-    edges = edges.withColumn("_new", F.col("_reach").isNull() | (F.col("_reach") < F.col("s"))).withColumn("_island", F.sum(F.col("_new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.withColumn("_new", F.col("_reach").isNull() | (F.col("_reach") < F.col("s"))).withColumn(
+        "_island", F.sum(F.col("_new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    )
     # A period of the edges and the gap before it, if it isn't one within a tile.
-    joined = edges.groupBy(*names, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("_new"), F.struct("_reach", "s", "_t", "_t0"))).alias("_f"))
+    joined = edges.groupBy(*names, "_island").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("_new"), F.struct("_reach", "s", "_t", "_t0"))).alias("_f"),
+    )
     gap = F.col("_f._reach").isNotNull() & ~F.coalesce(F.col("_f._t") == F.col("_f._t0"), F.lit(False))
     both = F.array(F.when(gap, kind("gap", F.col("_f._reach"), F.col("_f.s"))), kind("period", F.col("s"), F.col("e")))
     crossing = joined.select(*names, F.inline(F.filter(both, lambda x: x.isNotNull())))

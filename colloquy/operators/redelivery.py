@@ -86,8 +86,12 @@ def message_counts(df: DataFrame, ids: Sequence[Column], at: Column, order: Sequ
     columns = [*names, "_bucket", "_copies", "_first"]
     # A row found in a matching bucket is itself a possible repeat of its partner there, so
     # the rows of one message are either all among the found ones or it has just one row.
-    verified = possible.select(*columns).unionByName(found.select(*columns)).groupBy(*names, "_bucket").agg(F.max("_copies").alias("_copies"), F.min("_first").alias("_first"))
-    verified = verified.groupBy(*names).agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_buckets"), F.min("_first").alias("_first"))
+    verified = possible.select(*columns).unionByName(found.select(*columns)).groupBy(*names, "_bucket").agg(
+        F.max("_copies").alias("_copies"), F.min("_first").alias("_first"),
+    )
+    verified = verified.groupBy(*names).agg(
+        F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_buckets"), F.min("_first").alias("_first"),
+    )
     return new.select(*names, "_copies", F.lit(1).cast("long").alias("_buckets"), "_first").unionByName(verified)
 
 

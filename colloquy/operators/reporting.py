@@ -13,7 +13,10 @@ from .statistics import numbered
 
 def outcome_rollup(rows: DataFrame, group: str, outcome: str = "outcome") -> DataFrame:
     """Rows, ok and failed ones per group, and a last row with ``total`` true over all."""
-    out = rows.rollup(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) == "ok").alias("n_ok"), F.count_if(F.col(outcome) == "error").alias("n_error"), F.grouping(group).alias("_g"))
+    out = rows.rollup(group).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) == "ok").alias("n_ok"),
+        F.count_if(F.col(outcome) == "error").alias("n_error"), F.grouping(group).alias("_g"),
+    )
     return out.select(group, "n", "n_ok", "n_error", (F.col("_g") == 1).alias("total"))
 
 
@@ -22,7 +25,10 @@ def answer_report(scored: DataFrame, f1: str, iou: str, answerable: Column) -> D
     a mean of nothing is null."""
     rows = scored.withColumn("_a", answerable)
     mean = lambda c: F.round(F.avg(c), 6)
-    return rows.agg(F.count(F.lit(1)).alias("examples"), mean(f1).alias("f1"), mean(iou).alias("iou"), mean(F.when(F.col("_a"), F.col(f1))).alias("f1_answerable"), mean(F.when(~F.col("_a"), F.col(f1))).alias("f1_other"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("examples"), mean(f1).alias("f1"), mean(iou).alias("iou"),
+        mean(F.when(F.col("_a"), F.col(f1))).alias("f1_answerable"), mean(F.when(~F.col("_a"), F.col(f1))).alias("f1_other"),
+    )
 
 
 def source_counts(rows: DataFrame, key: str, source: str, sources: list[str]) -> DataFrame:
@@ -47,7 +53,9 @@ def silences(frames: DataFrame, frame_ms: int = 20, floor: float = 0.15, least_m
     quiet = frames.groupBy("recording").agg(F.expr(f"percentile(energy, {floor})").alias("_q"))
     rows = frames.join(quiet, "recording").where(F.col("energy") <= F.col("_q"))
     island = F.col("frame") - F.row_number().over(Window.partitionBy("recording").orderBy("frame"))
-    runs = rows.withColumn("_i", island).groupBy("recording", "_i").agg((F.min("frame") * frame_ms).alias("start_ms"), ((F.max("frame") + 1) * frame_ms).alias("end_ms"))
+    runs = rows.withColumn("_i", island).groupBy("recording", "_i").agg(
+        (F.min("frame") * frame_ms).alias("start_ms"), ((F.max("frame") + 1) * frame_ms).alias("end_ms"),
+    )
     return runs.where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("_i")
 
 
@@ -55,7 +63,10 @@ def log_entries(logs: DataFrame, pattern: str, names: list[str]) -> DataFrame:
     """One row per match of a pattern with groups in whole log texts (file, text): file, no,
     the groups by name. Files sort by the number in their name."""
     groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names, 1)]
-    rows = logs.select("file", F.regexp_extract("file", r"(\d+)", 1).try_cast("long").alias("file_no"), F.posexplode(F.arrays_zip(*groups)).alias("no", "x"))
+    rows = logs.select(
+        "file", F.regexp_extract("file", r"(\d+)", 1).try_cast("long").alias("file_no"),
+        F.posexplode(F.arrays_zip(*groups)).alias("no", "x"),
+    )
     return rows.select("file", "file_no", "no", *[F.col(f"x.{n}").alias(n) for n in names])
 
 
@@ -64,8 +75,12 @@ def constraint_breaks(roster: DataFrame, key: str, members: dict[str, DataFrame]
     roster, a member off the roster, a key in two splits. Columns: problem, where, key."""
     twice = roster.groupBy(key).count().where("count > 1").select(F.lit("repeated").alias("problem"), F.lit("roster").alias("where"), key)
     for name, rows in members.items():
-        off = rows.select(key).distinct().join(roster.select(key), key, "left_anti").select(F.lit("unknown").alias("problem"), F.lit(name).alias("where"), key)
-        split = rows.groupBy(key).agg(F.count_distinct("split").alias("n")).where("n > 1").select(F.lit("two splits").alias("problem"), F.lit(name).alias("where"), key)
+        off = rows.select(key).distinct().join(roster.select(key), key, "left_anti").select(
+            F.lit("unknown").alias("problem"), F.lit(name).alias("where"), key,
+        )
+        split = rows.groupBy(key).agg(F.count_distinct("split").alias("n")).where("n > 1").select(
+            F.lit("two splits").alias("problem"), F.lit(name).alias("where"), key,
+        )
         twice = twice.unionByName(off).unionByName(split)
     return twice
 
@@ -81,11 +96,19 @@ def term_supplies(entries: DataFrame, seed: str = "supply", least: int = 2, most
     chunks = per.select("meeting", "chunk").distinct()
     # what is known at a chunk: a term's sums at its own chunks, carried on to later ones
     own = per.groupBy("meeting", "term").agg(F.sort_array(F.collect_list(F.struct("chunk", "evidence"))).alias("e"))  # a row a chunk
-    known = chunks.join(own, "meeting").withColumn("evidence", F.aggregate(F.filter("e", lambda x: x["chunk"] <= F.col("chunk")), F.lit(0).cast("long"), lambda a, x: a + x["evidence"])).where("evidence > 0").drop("e")
+    known = chunks.join(own, "meeting").withColumn(
+        "evidence",
+        F.aggregate(F.filter("e", lambda x: x["chunk"] <= F.col("chunk")), F.lit(0).cast("long"), lambda a, x: a + x["evidence"]),
+    ).where("evidence > 0").drop("e")
     gated = known.where(F.col("evidence") >= least)
     partner = derangement(chunks.select("meeting").distinct(), "meeting", seed, []).where("partner is not null")
-    strange = partner.join(chunks, "meeting").join(gated.select(F.col("meeting").alias("partner"), "chunk", "term", "evidence"), ["partner", "chunk"]).drop("partner")
-    arms = {"gated": gated, "naive": known, "no_carry": per.where(F.col("evidence") >= least), "scrambled": known.withColumn("term", swapped(F.col("term"))), "deranged": strange}
+    strange = partner.join(chunks, "meeting").join(
+        gated.select(F.col("meeting").alias("partner"), "chunk", "term", "evidence"), ["partner", "chunk"],
+    ).drop("partner")
+    arms = {
+        "gated": gated, "naive": known, "no_carry": per.where(F.col("evidence") >= least),
+        "scrambled": known.withColumn("term", swapped(F.col("term"))), "deranged": strange,
+    }
     rows = None
     for name, df in arms.items():
         df = df.select(F.lit(name).alias("arm"), "meeting", "chunk", "term", "evidence")
@@ -97,11 +120,16 @@ def term_supplies(entries: DataFrame, seed: str = "supply", least: int = 2, most
 def index_interval(values: Column, low: float = 0.025, high: float = 0.975) -> Column:
     """Interval of a sorted array by fixed places: floor(low * n) and floor(high * n) - 1."""
     n = F.size(values)
-    return F.struct(F.element_at(values, F.floor(n * low).cast("int") + 1).alias("low"), F.element_at(values, F.greatest(F.floor(n * high).cast("int"), F.lit(1))).alias("high"))
+    return F.struct(
+        F.element_at(values, F.floor(n * low).cast("int") + 1).alias("low"),
+        F.element_at(values, F.greatest(F.floor(n * high).cast("int"), F.lit(1))).alias("high"),
+    )
 
 
 def rate_table(rows: DataFrame, keys: list[str], hit: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), ratio(F.count_if(hit), F.count(F.lit(1))).alias("rate"))
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), ratio(F.count_if(hit), F.count(F.lit(1))).alias("rate"),
+    )
 
 
 def markdown_table(rows: DataFrame, most: int = 200) -> str:
@@ -127,7 +155,9 @@ def arm_contrasts(scores: DataFrame, group: str, arm: str, metrics: list[str], p
     for first, second in pairs:
         a, b = (long.where(F.col(arm) == name).select(group, "metric", F.col("x").alias(x)) for name, x in ((first, "a"), (second, "b")))
         both = F.col("a").isNotNull() & F.col("b").isNotNull()
-        rows = a.join(b, [group, "metric"], "full").groupBy("metric").agg(F.count_if(both).alias("paired"), F.count_if(~both).alias("dropped"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("gap"))
+        rows = a.join(b, [group, "metric"], "full").groupBy("metric").agg(
+            F.count_if(both).alias("paired"), F.count_if(~both).alias("dropped"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("gap"),
+        )
         rows = rows.select("metric", F.lit(first).alias("first_arm"), F.lit(second).alias("second_arm"), "paired", "dropped", "gap")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -138,8 +168,11 @@ def parse_health(replies: DataFrame, keys: list[str]) -> DataFrame:
     missing and empty ones, capped ones, parse modes, and abstentions that did parse."""
     mode = lambda m: F.count_if(F.col("parse_mode") == m).alias(m)
     return replies.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("raw_text").isNull()).alias("missing"), F.count_if(F.length(F.trim("raw_text")) == 0).alias("empty"), F.count_if(F.col("completion_tokens") >= F.col("max_tokens")).alias("capped"),
-        mode("strict"), mode("lenient"), mode("failed"), F.count_if((F.col("parse_mode") != "failed") & (F.col("n_segments") == 0)).alias("abstained"),
+        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("raw_text").isNull()).alias("missing"),
+        F.count_if(F.length(F.trim("raw_text")) == 0).alias("empty"),
+        F.count_if(F.col("completion_tokens") >= F.col("max_tokens")).alias("capped"),
+        mode("strict"), mode("lenient"), mode("failed"),
+        F.count_if((F.col("parse_mode") != "failed") & (F.col("n_segments") == 0)).alias("abstained"),
     )
 
 
@@ -172,7 +205,9 @@ def eligible(lists: list[DataFrame], roster: DataFrame, excluded: DataFrame, key
     rows = lists[0]
     for other in lists[1:]:
         rows = rows.unionByName(other)
-    return rows.where(F.col(key).isNotNull()).distinct().join(roster.select(key).distinct(), key, "left_semi").join(excluded.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+    return rows.where(F.col(key).isNotNull()).distinct().join(roster.select(key).distinct(), key, "left_semi").join(
+        excluded.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti",
+    )
 
 
 def ceilings(receipts: DataFrame, keys: list[str], cost: str, ceiling: float) -> DataFrame:

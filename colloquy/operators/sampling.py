@@ -71,7 +71,9 @@ def round_robin(df: DataFrame, identifier: str, stratum: str, seed: str, most: i
     bases = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
     bases = bases.select(stratum, "_b", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_base")).where(F.col("_base") < most)  # later buckets have no turn
     own = Window.partitionBy(stratum, "_b").orderBy("_d", identifier)
-    rows = _beside(rows, bases, [stratum]).withColumn("turn", (F.col("_base") + F.row_number().over(own)).cast("int")).where(F.col("turn") <= most)
+    rows = _beside(rows, bases, [stratum]).withColumn(
+        "turn", (F.col("_base") + F.row_number().over(own)).cast("int"),
+    ).where(F.col("turn") <= most)
     return rows.withColumn("_g", digest(F.coalesce(F.col(stratum), F.lit("")))).orderBy("turn", "_g", identifier).limit(most).drop("_d", "_g", "_b", "_base")
 
 

@@ -14,7 +14,9 @@ def ratio(a: Column, b: Column) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
 
 
-def completeness(targets: DataFrame, arms: list[str], responses: DataFrame, keys: list[str], order: list[str], duplicates: str = "last") -> DataFrame:
+def completeness(
+    targets: DataFrame, arms: list[str], responses: DataFrame, keys: list[str], order: list[str], duplicates: str = "last",
+) -> DataFrame:
     """Every target with every arm: keys, arm, copies, found, and the last response's ``pick``.
 
     ``duplicates`` ``raise`` makes reading ``copies`` fail where there is more than one.
@@ -24,7 +26,10 @@ def completeness(targets: DataFrame, arms: list[str], responses: DataFrame, keys
     got = responses.groupBy(*keys, "arm").agg(F.count(F.lit(1)).alias("copies"), value)
     rows = expected.join(got, [*keys, "arm"], "left").withColumn("copies", F.coalesce("copies", F.lit(0))).withColumn("found", F.col("copies") > 0)
     if duplicates == "raise":
-        rows = rows.withColumn("copies", F.when(F.col("copies") > 1, F.raise_error(F.lit("a response is there more than once")).cast("long")).otherwise(F.col("copies")))
+        rows = rows.withColumn(
+            "copies",
+            F.when(F.col("copies") > 1, F.raise_error(F.lit("a response is there more than once")).cast("long")).otherwise(F.col("copies")),
+        )
     return rows
 
 
@@ -33,8 +38,10 @@ def pooled_metrics(scores: DataFrame, keys: list[str]) -> DataFrame:
     names = ("wer_errors", "wer_tokens", "carry_errors", "carry_tokens", "carry_hits", "carry_total", "false_hint_target")
     sums = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     return sums.select(
-        *keys, "n", *names, ratio(F.col("wer_errors"), F.col("wer_tokens")).alias("wer"), ratio(F.col("carry_errors"), F.col("carry_tokens")).alias("carry_wer"),
-        ratio(F.col("carry_hits"), F.col("carry_total")).alias("hit_rate"), ratio(F.col("false_hint_target"), F.col("n")).alias("false_hint_rate"),
+        *keys, "n", *names, ratio(F.col("wer_errors"), F.col("wer_tokens")).alias("wer"),
+        ratio(F.col("carry_errors"), F.col("carry_tokens")).alias("carry_wer"),
+        ratio(F.col("carry_hits"), F.col("carry_total")).alias("hit_rate"),
+        ratio(F.col("false_hint_target"), F.col("n")).alias("false_hint_rate"),
     )
 
 
@@ -68,11 +75,15 @@ def policy_strata(pairs: DataFrame, accept: Column, strata: list[str]) -> DataFr
     gain of hits over arm 0."""
     take = F.coalesce(accept, F.lit(False))
     rows = pairs.select(
-        *strata, take.cast("long").alias("acc"), F.when(take, F.col("carry_hits_1")).otherwise(F.col("carry_hits_0")).alias("hits"), F.when(take, F.col("carry_total_1")).otherwise(F.col("carry_total_0")).alias("total"),
+        *strata, take.cast("long").alias("acc"), F.when(take, F.col("carry_hits_1")).otherwise(F.col("carry_hits_0")).alias("hits"),
+        F.when(take, F.col("carry_total_1")).otherwise(F.col("carry_total_0")).alias("total"),
         F.col("carry_hits_0").alias("base"),
     )
     # each row once for each stratum and once for all: a fixed small factor, before the shuffle
-    cells = F.array(F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("level")), *[F.struct(F.lit(s).alias("stratum"), F.coalesce(F.col(s).cast("string"), F.lit("unknown")).alias("level")) for s in strata])
+    cells = F.array(
+        F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("level")),
+        *[F.struct(F.lit(s).alias("stratum"), F.coalesce(F.col(s).cast("string"), F.lit("unknown")).alias("level")) for s in strata],
+    )
     long = rows.select("*", F.inline(cells))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return long.groupBy("stratum", "level").agg(
@@ -108,7 +119,10 @@ def copy_counts(pairs: DataFrame, produced: str, reference: str) -> DataFrame:
 
 
 def copy_rate(counted: DataFrame) -> DataFrame:
-    return counted.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copies") > 0).alias("hits"), F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"), ratio(F.count_if(F.col("copies") > 0), F.count(F.lit(1))).alias("rate"))
+    return counted.agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copies") > 0).alias("hits"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"), ratio(F.count_if(F.col("copies") > 0), F.count(F.lit(1))).alias("rate"),
+    )
 
 
 def activation(rows: DataFrame, hyp: str, ref: str, terms: str) -> DataFrame:
@@ -128,7 +142,9 @@ def pair_errors(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     rows = rows.join(terms.select(F.col("term").alias("_h"), F.lit(True).alias("in_hyp")), F.col("hyp") == F.col("_h"), "left")
     inside, wrong, there = F.coalesce("in_ref", F.lit(False)), ~F.col("ref").eqNullSafe(F.col("hyp")), F.col("ref").isNotNull()
     out = rows.agg(
-        F.count_if(there & wrong & F.coalesce("in_hyp", F.lit(False))).alias("induced"), F.count_if(there & inside).alias("b_tokens"), F.count_if(there & inside & wrong).alias("b_errors"),
-        F.count_if(there & ~inside).alias("u_tokens"), F.count_if(there & ~inside & wrong).alias("u_errors"), F.count_if(~there).alias("insertions"),
+        F.count_if(there & wrong & F.coalesce("in_hyp", F.lit(False))).alias("induced"), F.count_if(there & inside).alias("b_tokens"),
+        F.count_if(there & inside & wrong).alias("b_errors"),
+        F.count_if(there & ~inside).alias("u_tokens"), F.count_if(there & ~inside & wrong).alias("u_errors"),
+        F.count_if(~there).alias("insertions"),
     )
     return out.withColumn("b_wer", ratio(F.col("b_errors"), F.col("b_tokens"))).withColumn("u_wer", ratio(F.col("u_errors"), F.col("u_tokens")))

@@ -143,7 +143,9 @@ def next_fit_batches(items: DataFrame, group: list[str], order: list[str], cost:
     start = F.struct(F.lit(0).alias("bin"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("out"))
 
     def step(s, x):
-        c = F.when(spent(x) > cap, F.raise_error(F.concat(F.lit("an item is over the cap: "), spent(x).cast("string"))).cast("double")).otherwise(spent(x))
+        c = F.when(
+            spent(x) > cap, F.raise_error(F.concat(F.lit("an item is over the cap: "), spent(x).cast("string"))).cast("double"),
+        ).otherwise(spent(x))
         full = s["used"] + c > cap
         b = F.when(full, s["bin"] + 1).otherwise(s["bin"])
         return F.struct(b.alias("bin"), F.when(full, c).otherwise(s["used"] + c).alias("used"), F.concat(s["out"], F.array(b)).alias("out"))
@@ -173,10 +175,15 @@ def _planner(plan: Callable[..., list[Span]], marked: bool):
 def plan_turns(turns: DataFrame, plan: Callable[..., list[Span]], marks: DataFrame | None = None) -> DataFrame:
     """Slices of each dialogue of runtime_turns: uniq_id, slice_no, start_ms, end_ms."""
     ms = turns.select("uniq_id", rounded_ms(F.col("start_s")).alias("s"), rounded_ms(F.col("end_s")).alias("e")).where("s < e")
-    own = ms.groupBy("uniq_id", "s").agg(F.max("e").alias("e")).groupBy("uniq_id").agg(F.collect_list(F.struct("s", "e")).alias("t"), F.max("e").alias("length"))
+    own = ms.groupBy("uniq_id", "s").agg(F.max("e").alias("e")).groupBy("uniq_id").agg(
+        F.collect_list(F.struct("s", "e")).alias("t"), F.max("e").alias("length"),
+    )
     arguments = ["t", "length"]
     if marks is not None:
-        own = own.join(marks.where("at_ms is not null").groupBy("uniq_id").agg(F.collect_set(F.col("at_ms").cast("long")).alias("m")), "uniq_id", "left")
+        own = own.join(
+            marks.where("at_ms is not null").groupBy("uniq_id").agg(F.collect_set(F.col("at_ms").cast("long")).alias("m")), "uniq_id",
+            "left",
+        )
         arguments.append("m")
     rows = own.select("uniq_id", F.posexplode(_planner(plan, marks is not None)(*arguments)).alias("slice_no", "x"))
     return rows.select("uniq_id", "slice_no", F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"))

@@ -33,7 +33,8 @@ def cluster_summary(per_cluster: DataFrame, value: str) -> DataFrame:
     at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
     n = F.col("n")
     return ranked.groupBy("n").agg(
-        F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 6).alias("mean"), F.round((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2, 6).alias("median"),
+        F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 6).alias("mean"),
+        F.round((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2, 6).alias("median"),
         at(F.ceil(n * 0.9)).alias("p90"), F.max("v").alias("most"),
     )
 
@@ -57,7 +58,9 @@ def bootstrap(clusters: DataFrame, cluster: str, sums: list[str], replicates: in
     by their name; each replicate draws as many as there are. Draws are rows of a range, so
     no replicate is gathered."""
     rows, n = numbered(clusters.select(cluster, *sums), cluster)
-    draws = clusters.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("r"), (F.col("id") % max(n, 1)).alias("k"))
+    draws = clusters.sparkSession.range(replicates * n).select(
+        F.floor(F.col("id") / max(n, 1)).alias("r"), (F.col("id") % max(n, 1)).alias("k"),
+    )
     drawn = draws.select("r", md5_draw(F.lit(max(n, 1)), F.lit(seed), F.col("r"), F.col("k")).alias("_i"))
     return drawn.join(rows, "_i").groupBy("r").agg(*[F.sum(c).alias(c) for c in sums])
 
@@ -65,7 +68,10 @@ def bootstrap(clusters: DataFrame, cluster: str, sums: list[str], replicates: in
 def interval(replicates: DataFrame, value: Column, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Linear-interpolation percentile interval and population deviation of a statistic."""
     v = replicates.select(value.alias("v"))
-    return v.agg(F.round(F.expr(f"percentile(v, {low})"), 6).alias("low"), F.round(F.expr(f"percentile(v, {high})"), 6).alias("high"), F.round(F.stddev_pop("v"), 6).alias("sigma"))
+    return v.agg(
+        F.round(F.expr(f"percentile(v, {low})"), 6).alias("low"), F.round(F.expr(f"percentile(v, {high})"), 6).alias("high"),
+        F.round(F.stddev_pop("v"), 6).alias("sigma"),
+    )
 
 
 def paired_size(mde: Column, discordance: Column, design: Column, z_alpha: float = 1.959964, z_power: float = 0.841621) -> Column:

@@ -61,7 +61,9 @@ def orc_cells(n_ref: int, hyp: list[list[str]]) -> float:
     return size
 
 
-def orc_errors(ref: list[list[str]], hyp: list[list[str]], allowed: list[list[np.ndarray]] | None = None, most: float = MOST_CELLS) -> int | None:
+def orc_errors(
+    ref: list[list[str]], hyp: list[list[str]], allowed: list[list[np.ndarray]] | None = None, most: float = MOST_CELLS,
+) -> int | None:
     """Least total distance if each reference utterance, in order, may go to any hypothesis
     stream; None where the search is over ``most`` cells. ``allowed[u][k][i, j]`` says whether
     word i of utterance u and word j of stream k may be aligned."""
@@ -119,7 +121,9 @@ def within_collar(ref: list[tuple[float, float]], hyp: list[tuple[float, float]]
     return (r[:, None, 0] < h[None, :, 1] + collar) & (h[None, :, 0] - collar < r[:, None, 1])
 
 
-_RESULT = T.StructType([T.StructField("errors", T.LongType()), T.StructField("ref_words", T.LongType()), T.StructField("hyp_words", T.LongType())])
+_RESULT = T.StructType(
+    [T.StructField("errors", T.LongType()), T.StructField("ref_words", T.LongType()), T.StructField("hyp_words", T.LongType())]
+)
 
 
 @F.pandas_udf(_RESULT)
@@ -138,7 +142,9 @@ def cp_wer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     session on one side only is scored against nothing. A session must fit in memory."""
 
     def streams(df: DataFrame, name: str) -> DataFrame:
-        own = df.groupBy("session", "speaker").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "words"))), lambda x: x["words"])).alias("w"))
+        own = df.groupBy("session", "speaker").agg(
+            F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "words"))), lambda x: x["words"])).alias("w")
+        )
         return own.groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("speaker", "w"))), lambda x: x["w"]).alias(name))
 
     rows = streams(ref, "r").join(streams(hyp, "h"), "session", "full")
@@ -162,7 +168,10 @@ def aligned_pairs(refs: pd.Series, hyps: pd.Series) -> pd.Series:
 
 def ngrams(tokens: Column, n: int) -> Column:
     last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        last >= 0,
+        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " ")),
+    ).otherwise(F.array().cast("array<string>"))
 
 
 Segment = tuple[float, float, list[str]]
@@ -225,7 +234,9 @@ def _session_errors(collar: float, most: float):
         return out
 
     def ordered(segments) -> list:
-        return sorted(((s["start_s"], s["end_s"], list(s["words"])) for s in segments if len(s["words"])), key=lambda s: s[:2]) if segments is not None else []
+        return sorted(
+            ((s["start_s"], s["end_s"], list(s["words"])) for s in segments if len(s["words"])), key=lambda s: s[:2],
+        ) if segments is not None else []
 
     @F.pandas_udf(_ERRORS)
     def errors(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
@@ -239,7 +250,12 @@ def _session_errors(collar: float, most: float):
                 rows.append((n, m, n + m, n + m, n + m, n + m, cells))
                 continue
             cp, tcp = cp_errors(own, other), tcp_errors(list(a.values()), list(b.values()), collar)
-            rows.append((n, m, cp, orc_errors([t[2] for t in turns], other, None, most), tcp, tcorc_errors(turns, list(b.values()), collar, most), cells))
+            rows.append(
+                (
+                    n, m, cp, orc_errors([t[2] for t in turns], other, None, most), tcp,
+                    tcorc_errors(turns, list(b.values()), collar, most), cells,
+                )
+            )
         return pd.DataFrame(rows, columns=_ERRORS.names).astype({n: "Int64" for n in _ERRORS.names[:-1]})
 
     return errors
@@ -256,9 +272,13 @@ def session_scores(ref: DataFrame, hyp: DataFrame, collar: float = 5.0, most: fl
     session's segments must fit in one task."""
     item = F.struct("speaker", "start_s", "end_s", "words")
     side = lambda df, name: df.groupBy("session").agg(F.collect_list(item).alias(name))
-    rows = side(ref, "_r").join(side(hyp, "_h"), "session", "full").select("session", _session_errors(collar, most)("_r", "_h").alias("x")).select("session", "x.*")
+    rows = side(ref, "_r").join(side(hyp, "_h"), "session", "full").select(
+        "session", _session_errors(collar, most)("_r", "_h").alias("x"),
+    ).select("session", "x.*")
     rows = rows.withColumn("outcome", slice_outcome(F.col("ref_words"), F.col("hyp_words"), F.col("cells"), most)).drop("cells")
     rate = lambda c: F.round(F.try_divide(c.cast("double"), F.col("ref_words").cast("double")), 6)
     for name in ("cp", "orc", "tcp", "tcorc"):
         rows = rows.withColumn(f"{name}_wer", rate(F.col(name)))
-    return rows.withColumn("confusion", rate(confusion_cost(F.col("tcp"), F.col("tcorc")))).withColumn("confusion_free", rate(confusion_cost(F.col("cp"), F.col("orc"))))
+    return rows.withColumn("confusion", rate(confusion_cost(F.col("tcp"), F.col("tcorc")))).withColumn(
+        "confusion_free", rate(confusion_cost(F.col("cp"), F.col("orc"))),
+    )

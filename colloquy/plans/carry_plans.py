@@ -22,7 +22,9 @@ c AS (SELECT meeting, position, speaker, surface, CASE WHEN own AND other THEN '
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir)
-    return carry.term_units(rows, F.col("uniq_id"), F.col("turn_index"), F.col("speaker"), F.regexp_extract_all(F.lower("said"), F.lit(TERMS), F.lit(0)))
+    return carry.term_units(
+        rows, F.col("uniq_id"), F.col("turn_index"), F.col("speaker"), F.regexp_extract_all(F.lower("said"), F.lit(TERMS), F.lit(0)),
+    )
 
 
 @registry.query("carry_census", _CENSUS + " SELECT meeting, count(*) FILTER (WHERE kind = 'exclusive') AS exclusive, count(*) FILTER (WHERE kind = 'global_only') AS global_only, count(*) FILTER (WHERE kind = 'new') AS new, count(*) FILTER (WHERE kind = 'shared') AS shared FROM c GROUP BY meeting")
@@ -51,7 +53,13 @@ def carry_census_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = table(spark, sf_dir, "runtime_turns").where(~F.isnan("start_s") & F.col("start_s").isNotNull())
     bins = times.groupBy("uniq_id", "turn_index").agg(F.floor(F.min("start_s") / 90).alias("bin"))
     rows = turns(spark, sf_dir).join(bins, ["uniq_id", "turn_index"])
-    return carry.census_counts(carry.census(carry.term_units(rows, F.col("uniq_id"), F.col("bin"), F.col("speaker"), F.regexp_extract_all(F.lower("said"), F.lit(TERMS), F.lit(0)))))
+    return carry.census_counts(
+        carry.census(
+            carry.term_units(
+                rows, F.col("uniq_id"), F.col("bin"), F.col("speaker"), F.regexp_extract_all(F.lower("said"), F.lit(TERMS), F.lit(0)),
+            )
+        )
+    )
 
 
 @registry.query(
@@ -111,7 +119,10 @@ k AS (SELECT meeting, lower(surface) AS key, surface, count(*) AS n, min(turn_in
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).select(F.col("uniq_id").alias("meeting"), F.col("turn_index").alias("place"), F.explode(F.regexp_extract_all("said", F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("surface"))
+    rows = turns(spark, sf_dir).select(
+        F.col("uniq_id").alias("meeting"), F.col("turn_index").alias("place"),
+        F.explode(F.regexp_extract_all("said", F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("surface"),
+    )
     return rows.withColumn("key", F.lower("surface"))
 
 
@@ -135,7 +146,9 @@ def term_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of each stretch of ten turns folded in order (the fold is tested by hand)."""
     chunks = _candidates(spark, sf_dir).withColumn("meeting", F.struct("meeting", F.floor(F.col("place") / 10).alias("chunk")))
-    entries = carry.clusters(chunks).select(F.col("meeting.meeting").alias("meeting"), "key", F.col("meeting.chunk").alias("chunk"), "canonical", "evidence", "variants")
+    entries = carry.clusters(chunks).select(
+        F.col("meeting.meeting").alias("meeting"), "key", F.col("meeting.chunk").alias("chunk"), "canonical", "evidence", "variants",
+    )
     return carry.gated(carry.merged_entries(entries), 2).withColumn("variants", F.array_join("variants", " "))
 
 
@@ -152,7 +165,9 @@ def term_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = units(spark, sf_dir).groupBy("meeting", "speaker").agg(F.collect_set("surface").alias("a"))
     order = Window.partitionBy("meeting").orderBy("speaker")
     pairs = sets.withColumn("speaker_b", F.lead("speaker").over(order)).withColumn("b", F.lead("a").over(order)).where("b is not null")
-    return carry.term_set_sizes(pairs, "a", "b").select("meeting", F.col("speaker").alias("speaker_a"), "speaker_b", "n_union", "n_both", "n_left", "n_right")
+    return carry.term_set_sizes(pairs, "a", "b").select(
+        "meeting", F.col("speaker").alias("speaker_a"), "speaker_b", "n_union", "n_both", "n_left", "n_right",
+    )
 
 
 @registry.query(
@@ -176,7 +191,9 @@ _CLASSES = "CASE WHEN length(surface) > 8 THEN ['long'] ELSE ['short'] END || CA
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units per class of surface: by length, and those that end like plurals in two classes."""
     found = carry.census(units(spark, sf_dir))
-    kinds = F.array_compact(F.array(F.when(F.length("surface") > 8, "long").otherwise("short"), F.when(F.col("surface").endswith("s"), "plural")))
+    kinds = F.array_compact(
+        F.array(F.when(F.length("surface") > 8, "long").otherwise("short"), F.when(F.col("surface").endswith("s"), "plural"))
+    )
     return carry.class_counts(found, found.select("surface").distinct().select("surface", F.explode(kinds).alias("class")))
 
 
@@ -206,6 +223,13 @@ def state_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = now.join(own, ["meeting", "speaker"]).join(every, "meeting")
     before = lambda c: F.transform(F.filter(c, lambda x: x["first"] < F.col("position")), lambda x: x["surface"])
     rows = rows.select("now", before(F.col("mine")).alias("own"), before(F.col("all")).alias("every"))
-    arms = F.inline(F.array(F.struct(F.lit("speaker").alias("arm"), F.col("own").alias("t")), F.struct(F.lit("global").alias("arm"), F.col("every").alias("t"))))
-    rows = rows.select("now", "own", "every", arms).select("arm", "t", "every", F.array_intersect("now", "own").alias("same"), F.array_intersect("now", "every").alias("other"))
+    arms = F.inline(
+        F.array(
+            F.struct(F.lit("speaker").alias("arm"), F.col("own").alias("t")),
+            F.struct(F.lit("global").alias("arm"), F.col("every").alias("t")),
+        )
+    )
+    rows = rows.select("now", "own", "every", arms).select(
+        "arm", "t", "every", F.array_intersect("now", "own").alias("same"), F.array_intersect("now", "every").alias("other"),
+    )
     return carry.state_scores(rows, ["arm"], "t", "every", "same", "other")

@@ -40,7 +40,8 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.col("end_ms") - F.col("start_ms")
     return found.groupBy("meeting_id", "side", "speaker").agg(
         F.count_if(F.col("kind") == "period").alias("periods"), F.count_if(F.col("kind") == "gap").alias("gaps"),
-        F.sum(F.when(F.col("kind") == "period", length).otherwise(0)).alias("speech_ms"), F.sum(F.when(F.col("kind") == "gap", length).otherwise(0)).alias("gap_ms"),
+        F.sum(F.when(F.col("kind") == "period", length).otherwise(0)).alias("speech_ms"),
+        F.sum(F.when(F.col("kind") == "gap", length).otherwise(0)).alias("gap_ms"),
     )
 
 

@@ -49,7 +49,9 @@ def missed_and_false(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("missed_and_false_collar", _SWEEP.replace("$c", "250").replace("$skip", "AND nr <= 1"))
 def missed_and_false_collar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diarization.error_times(diarization.elementary(_periods(spark, sf_dir), None, 250), True).select("meeting_id", "total_ms", "missed_ms", "false_alarm_ms")
+    return diarization.error_times(
+        diarization.elementary(_periods(spark, sf_dir), None, 250), True,
+    ).select("meeting_id", "total_ms", "missed_ms", "false_alarm_ms")
 
 
 @registry.query("diarization_errors")
@@ -88,7 +90,24 @@ def diarization_errors_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.pooled(diarization.meeting_scores(table(spark, sf_dir, "diar_segments")))
 
 
-@registry.query("jaccard_errors")
+_MAPPED = (
+    _BEST[: _BEST.index("dp AS (")].replace("WITH a AS", "WITH RECURSIVE a AS", 1)
+    + """dp AS (SELECT meeting_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS best, []::BIGINT[] AS path FROM ns
+  UNION ALL SELECT meeting_id, i, taken, CAST(max(best) AS BIGINT), arg_max(path, best) FROM (SELECT d.meeting_id, d.i + 1 AS i, d.taken, d.best, list_append(d.path, 0) AS path FROM dp d JOIN ns USING (meeting_id) WHERE d.i < ns.n
+    UNION ALL SELECT d.meeting_id, d.i + 1, d.taken | c.bit, d.best + c.ms, list_append(d.path, c.bit) FROM dp d JOIN ce c ON c.meeting_id = d.meeting_id AND c.i = d.i + 1 WHERE d.taken & c.bit = 0) GROUP BY meeting_id, i, taken),
+pa AS (SELECT dp.meeting_id, arg_max(path, best) AS path FROM dp JOIN ns ON ns.meeting_id = dp.meeting_id AND dp.i = ns.n GROUP BY dp.meeting_id),
+mp AS (SELECT nr.meeting_id, nr.r, nh.h FROM pa JOIN nr ON nr.meeting_id = pa.meeting_id JOIN nh ON nh.meeting_id = pa.meeting_id AND nh.bit = pa.path[nr.i]),
+ln AS (SELECT meeting_id, side, speaker, sum(e - s) AS ms FROM x GROUP BY ALL)"""
+)
+
+
+@registry.query(
+    "jaccard_errors",
+    _MAPPED
+    + """ SELECT a.meeting_id, count(*) AS speakers, round(avg(CASE WHEN mp.h IS NULL THEN 1.0 ELSE 1 - ov.ms / (a.ms + b.ms - ov.ms) END), 6) AS jer
+    FROM ln a LEFT JOIN mp ON mp.meeting_id = a.meeting_id AND mp.r = a.speaker LEFT JOIN ln b ON b.meeting_id = a.meeting_id AND b.side = 'hyp' AND b.speaker = mp.h LEFT JOIN ov ON ov.meeting_id = a.meeting_id AND ov.r = mp.r AND ov.h = mp.h
+    WHERE a.side = 'ref' GROUP BY a.meeting_id""",
+)
 def jaccard_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diarization.jaccard_errors(table(spark, sf_dir, "diar_segments"))
 
@@ -112,7 +131,9 @@ _TURNS_MS = "tt AS (SELECT DISTINCT uniq_id, turn_index, CAST(round(start_s * 10
 
 def _turns_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "runtime_turns")
-    return rows.select("uniq_id", "turn_index", rounded_ms(F.col("start_s")).alias("s2"), rounded_ms(F.col("end_s")).alias("e2")).where("s2 is not null and e2 is not null").distinct()
+    return rows.select(
+        "uniq_id", "turn_index", rounded_ms(F.col("start_s")).alias("s2"), rounded_ms(F.col("end_s")).alias("e2"),
+    ).where("s2 is not null and e2 is not null").distinct()
 
 
 @registry.query(
@@ -230,7 +251,9 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.rttm_lines(rows, "file", "start_s", "end_s", "speaker")
     back = lines.parse_rttm(made.select("value"))
     ms = lambda c: F.round(c * 1000).cast("long")
-    return back.groupBy("file_id", ms(F.col("start_s")).alias("onset_ms"), ms(F.col("end_s") - F.col("start_s")).alias("length_ms"), "speaker").agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy(
+        "file_id", ms(F.col("start_s")).alias("onset_ms"), ms(F.col("end_s") - F.col("start_s")).alias("length_ms"), "speaker",
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @registry.query(
@@ -262,10 +285,16 @@ def confusion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     said = turns(spark, sf_dir).where("said is not null")
     times = _turns_ms(spark, sf_dir).where("s2 < e2").groupBy("uniq_id", "turn_index").agg(F.min("s2").alias("s"), F.max("e2").alias("e"))
-    ref = said.join(times, ["uniq_id", "turn_index"]).select("uniq_id", "turn_index", "speaker", "s", "e", text.word_tokens(F.col("said")).alias("words"))
+    ref = said.join(times, ["uniq_id", "turn_index"]).select(
+        "uniq_id", "turn_index", "speaker", "s", "e", text.word_tokens(F.col("said")).alias("words"),
+    )
     asked = table(spark, sf_dir, "transcribed_segments").where("text is not null and request_id is not null")
-    one = asked.groupBy("request_id", "seg_ord").agg(F.min(F.struct("text", F.coalesce("speaker", F.lit("")).alias("label"), "uniq_id")).alias("m")).select("request_id", "seg_ord", "m.*")
-    hyp = speakers.resolved(one, table(spark, sf_dir, "speaker_roster"), "label").select("request_id", "seg_ord", "speaker", text.word_tokens(F.col("text")).alias("words"))
+    one = asked.groupBy("request_id", "seg_ord").agg(
+        F.min(F.struct("text", F.coalesce("speaker", F.lit("")).alias("label"), "uniq_id")).alias("m")
+    ).select("request_id", "seg_ord", "m.*")
+    hyp = speakers.resolved(one, table(spark, sf_dir, "speaker_roster"), "label").select(
+        "request_id", "seg_ord", "speaker", text.word_tokens(F.col("text")).alias("words"),
+    )
     own = one.groupBy("request_id").agg(F.max("uniq_id").alias("uniq_id"), F.count(F.lit(1)).alias("n"))
     bounds = ref.groupBy("uniq_id").agg(F.min("s").alias("low"), F.max("e").alias("high"))
     placed = ref.join(own, "uniq_id").select("request_id", "turn_index", "speaker", "s", "e", "words")
@@ -274,7 +303,10 @@ def confusion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = (F.coalesce(F.col(f"b.{x}"), F.col(y), F.lit(z)) / 1000.0 for x, y, z in (("s", "low", 0), ("e", "high", 1)))
     segments = pairs.select(F.col("request_id").alias("session"), "a.speaker", start.alias("start_s"), end.alias("end_s"), "a.words")
     covered = matching.positional(placed, hyp, "request_id", "turn_index", "seg_ord").where("a is not null and b is not null")
-    reference = covered.select(F.col("request_id").alias("session"), "a.speaker", (F.col("a.s") / 1000.0).alias("start_s"), (F.col("a.e") / 1000.0).alias("end_s"), "a.words")
+    reference = covered.select(
+        F.col("request_id").alias("session"), "a.speaker", (F.col("a.s") / 1000.0).alias("start_s"), (F.col("a.e") / 1000.0).alias("end_s"),
+        "a.words",
+    )
     return wer.session_scores(reference, segments, 5.0, 200_000)
 
 
@@ -288,4 +320,6 @@ def confusion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a source, in order, in batches of at most 6,000 answer tokens."""
     rows = table(spark, sf_dir, "parse_results").select("source_name", "recorded_utc", "request_id", "completion_tokens")
-    return slicing.next_fit_batches(rows, ["source_name"], ["recorded_utc", "request_id"], "completion_tokens", 6_000).select("source_name", "request_id", "batch")
+    return slicing.next_fit_batches(
+        rows, ["source_name"], ["recorded_utc", "request_id"], "completion_tokens", 6_000,
+    ).select("source_name", "request_id", "batch")

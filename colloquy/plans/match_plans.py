@@ -30,8 +30,12 @@ def claimed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     0.3 on (greedy; tested)."""
     segments = table(spark, sf_dir, "transcribed_segments")
     asked = segments.select("uniq_id", F.col("request_id").alias("meeting")).distinct()
-    gold = turns(spark, sf_dir).where("said is not null").join(asked, "uniq_id").select("meeting", F.col("turn_index").cast("string").alias("gold"), text.ascii_tokens(F.col("said")).alias("tokens"))
-    predicted = segments.where("text is not null").groupBy(F.col("request_id").alias("meeting"), F.col("seg_ord").alias("pred")).agg(text.ascii_tokens(F.min("text")).alias("tokens"))
+    gold = turns(spark, sf_dir).where("said is not null").join(asked, "uniq_id").select(
+        "meeting", F.col("turn_index").cast("string").alias("gold"), text.ascii_tokens(F.col("said")).alias("tokens"),
+    )
+    predicted = segments.where("text is not null").groupBy(
+        F.col("request_id").alias("meeting"), F.col("seg_ord").alias("pred"),
+    ).agg(text.ascii_tokens(F.min("text")).alias("tokens"))
     claims = matching.greedy_claims(gold, predicted)
     return claims.groupBy("meeting").agg(F.count(F.lit(1)).alias("claims"), F.round(F.avg("f1"), 6).alias("f1"))
 
@@ -74,7 +78,9 @@ def changed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT request_id, source_name, CAST(spent AS BIGINT) AS spent, spent <= 4000 AS allowed FROM r""",
 )
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.within_budget(table(spark, sf_dir, "parse_results"), ["source_name"], ["recorded_utc", "request_id"], "completion_tokens", 4_000)
+    rows = matching.within_budget(
+        table(spark, sf_dir, "parse_results"), ["source_name"], ["recorded_utc", "request_id"], "completion_tokens", 4_000,
+    )
     return rows.select("request_id", "source_name", "spent", "allowed")
 
 
@@ -84,7 +90,9 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT uniq_id, arm, CAST((n - ('0x' || substr(md5(uniq_id), 1, 6))::BIGINT % 3 + 3) % 3 AS INT) AS turn FROM i, a""",
 )
 def rotated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.rotated_requests(table(spark, sf_dir, "runtime_dialogues").where("uniq_id is not null"), "uniq_id", ["A-grid", "A-free", "A-turn"])
+    return matching.rotated_requests(
+        table(spark, sf_dir, "runtime_dialogues").where("uniq_id is not null"), "uniq_id", ["A-grid", "A-free", "A-turn"],
+    )
 
 
 @registry.query(
@@ -159,7 +167,10 @@ def ngram_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = side(ARMS[0], "a").join(side(ARMS[1], "b"), "target_id").where("a is not null and b is not null")
     a, b = F.col("a"), F.col("b")
     longest = F.coalesce(F.try_divide(2.0 * text.lcs_length(a, b), F.size(a) + F.size(b)), F.lit(0.0))
-    return both.select("target_id", F.round(matching.overlap_f1(a, b), 6).alias("f1_1"), F.round(matching.overlap_f1(wer.ngrams(a, 2), wer.ngrams(b, 2)), 6).alias("f1_2"), F.round(longest, 6).alias("f1_l"))
+    return both.select(
+        "target_id", F.round(matching.overlap_f1(a, b), 6).alias("f1_1"),
+        F.round(matching.overlap_f1(wer.ngrams(a, 2), wer.ngrams(b, 2)), 6).alias("f1_2"), F.round(longest, 6).alias("f1_l"),
+    )
 
 
 @registry.query(
@@ -179,10 +190,16 @@ _ROLES = "n AS (SELECT uniq_id, list_distinct(list(lower(role_title))) AS needle
 def fuzzy_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles and names of a dialogue's roster that its replies name, words a few edits off too
     (a cursor over windows is no SQL; compared with brute force in tests)."""
-    roster = table(spark, sf_dir, "speaker_roster").select("uniq_id", F.explode(F.array_compact(F.array(F.lower("role_title"), F.lower("display_name")))).alias("needle"))
+    roster = table(spark, sf_dir, "speaker_roster").select(
+        "uniq_id", F.explode(F.array_compact(F.array(F.lower("role_title"), F.lower("display_name")))).alias("needle"),
+    )
     needles = roster.groupBy("uniq_id").agg(F.array_sort(F.collect_set("needle")).alias("needles"))
-    replies = table(spark, sf_dir, "parse_results").where("raw_text is not null").select("request_id", "uniq_id", text.ascii_tokens(F.col("raw_text")).alias("w"))
-    return replies.join(needles, "uniq_id", "left").select("request_id", F.array_join(matching.fuzzy_matches("w", "needles"), "|").alias("found"))
+    replies = table(spark, sf_dir, "parse_results").where("raw_text is not null").select(
+        "request_id", "uniq_id", text.ascii_tokens(F.col("raw_text")).alias("w"),
+    )
+    return replies.join(needles, "uniq_id", "left").select(
+        "request_id", F.array_join(matching.fuzzy_matches("w", "needles"), "|").alias("found"),
+    )
 
 
 @registry.query(
@@ -212,7 +229,10 @@ def best_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = turns(spark, sf_dir).where("said is not null and turn_index < 5")
     golds = said.groupBy("uniq_id").agg(F.collect_list(text.ascii_tokens(F.col("said"))).alias("golds"))
     rows = table(spark, sf_dir, "parse_results").where("raw_text is not null").join(golds, "uniq_id", "left")
-    rows = rows.select("request_id", text.ascii_tokens(F.col("raw_text")).alias("w"), F.coalesce("golds", F.array().cast("array<array<string>>")).alias("golds"))
+    rows = rows.select(
+        "request_id", text.ascii_tokens(F.col("raw_text")).alias("w"),
+        F.coalesce("golds", F.array().cast("array<array<string>>")).alias("golds"),
+    )
     return matching.best_alternative(rows, "w", "golds").select("request_id", F.round("f1", 6).alias("f1"), "exact")
 
 
@@ -225,11 +245,15 @@ def legal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of a file as a log whose links should repeat the path before: the broken ones."""
     from ..operators import carry
 
-    rows = table(spark, sf_dir, "earnings22_inputs").where("file_id is not null").select("file_id", "manifest_batch", F.col("file_path").alias("entry")).distinct()
+    rows = table(spark, sf_dir, "earnings22_inputs").where("file_id is not null").select(
+        "file_id", "manifest_batch", F.col("file_path").alias("entry"),
+    ).distinct()
     log = rows.withColumn("seq", F.struct("manifest_batch", "entry")).withColumn("previous", F.col("entry"))
     first = log.groupBy("file_id").agg(F.min("seq").alias("seq"))
     # the first entry has nothing before it
-    log = log.join(first.withColumn("_first", F.lit(True)), ["file_id", "seq"], "left").withColumn("previous", F.when(F.col("_first"), F.lit(None)).otherwise(F.col("entry"))).drop("_first")
+    log = log.join(first.withColumn("_first", F.lit(True)), ["file_id", "seq"], "left").withColumn(
+        "previous", F.when(F.col("_first"), F.lit(None)).otherwise(F.col("entry")),
+    ).drop("_first")
     broken = carry.broken_links(log, "file_id", "seq")
     from pyspark.sql import Window
 

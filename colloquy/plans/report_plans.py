@@ -33,7 +33,9 @@ def outcome_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    scored = _neighbours(spark, sf_dir).select(text.token_f1(a, b).alias("f"), text.token_iou(a, b).alias("i"), (F.size("b") > 0).alias("w"))
+    scored = _neighbours(spark, sf_dir).select(
+        text.token_f1(a, b).alias("f"), text.token_iou(a, b).alias("i"), (F.size("b") > 0).alias("w"),
+    )
     return reporting.answer_report(scored, "f", "i", F.col("w"))
 
 
@@ -55,7 +57,10 @@ _CELLS = "c AS (SELECT arm, source_name, round(avg(completion_tokens), 6) AS tok
 def best_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of arm and source that parse, within twenty tokens of the shortest replies."""
     rows = table(spark, sf_dir, "parse_results").where("arm is not null and source_name is not null")
-    cells = rows.groupBy("arm", "source_name").agg(F.round(F.avg("completion_tokens"), 6).alias("tokens"), F.round(F.count_if(F.col("parse_mode") != "failed") / F.count(F.lit(1)), 6).alias("parsed"))
+    cells = rows.groupBy("arm", "source_name").agg(
+        F.round(F.avg("completion_tokens"), 6).alias("tokens"),
+        F.round(F.count_if(F.col("parse_mode") != "failed") / F.count(F.lit(1)), 6).alias("parsed"),
+    )
     return reporting.best_cells(cells, "tokens", "parsed", ["arm", "source_name"], 0.5, 20)
 
 
@@ -83,7 +88,9 @@ def roster_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def term_supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that each arm hands to each stretch of ten turns."""
-    entries = units(spark, sf_dir).groupBy("meeting", F.floor(F.col("position") / 10).alias("chunk"), F.col("surface").alias("term")).agg(F.count(F.lit(1)).alias("evidence"))
+    entries = units(spark, sf_dir).groupBy(
+        "meeting", F.floor(F.col("position") / 10).alias("chunk"), F.col("surface").alias("term"),
+    ).agg(F.count(F.lit(1)).alias("evidence"))
     return reporting.term_supplies(entries)
 
 
@@ -107,7 +114,9 @@ def arm_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .score_plans import ARMS, messages
 
     rate = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double"))
-    per = messages(spark, sf_dir).groupBy("arm", "uniq_id").agg(rate("wer_errors", "wer_tokens").alias("wer"), rate("carry_hits", "carry_total").alias("hit"))
+    per = messages(spark, sf_dir).groupBy("arm", "uniq_id").agg(
+        rate("wer_errors", "wer_tokens").alias("wer"), rate("carry_hits", "carry_total").alias("hit"),
+    )
     return reporting.arm_contrasts(per, "uniq_id", "arm", ["wer", "hit"], [ARMS])
 
 
@@ -130,7 +139,9 @@ def task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to be asked again, by the priority of their arm, then as they came."""
     rows = table(spark, sf_dir, "parse_results").where("parse_mode <> 'strict' or parse_mode is null")
     priority = F.when(F.col("arm") == "A-grid", 0).when(F.col("arm") == "A-free", 1).otherwise(2)
-    return reporting.task_order(rows.select("request_id", "recorded_utc", priority.alias("priority")), ["priority", "recorded_utc", "request_id"]).select("request_id", "priority", "place")
+    return reporting.task_order(
+        rows.select("request_id", "recorded_utc", priority.alias("priority")), ["priority", "recorded_utc", "request_id"],
+    ).select("request_id", "priority", "place")
 
 
 @registry.query(
@@ -166,7 +177,10 @@ def excluded_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogues of the first two batches on the roster, less those that were asked already."""
     listed = table(spark, sf_dir, "runtime_dialogues")
     batch = lambda n: listed.where(F.col("manifest_batch") == n).select("uniq_id")
-    return reporting.eligible([batch(1), batch(2)], table(spark, sf_dir, "speaker_roster").select("uniq_id"), table(spark, sf_dir, "parse_results").select("uniq_id"), "uniq_id")
+    return reporting.eligible(
+        [batch(1), batch(2)], table(spark, sf_dir, "speaker_roster").select("uniq_id"),
+        table(spark, sf_dir, "parse_results").select("uniq_id"), "uniq_id",
+    )
 
 
 @registry.query(
@@ -175,4 +189,6 @@ def excluded_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def receipt_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer tokens per arm against a ceiling of 50,000."""
-    return reporting.ceilings(table(spark, sf_dir, "parse_results"), ["arm"], "completion_tokens", 50_000).withColumnRenamed("total", "tokens")
+    return reporting.ceilings(
+        table(spark, sf_dir, "parse_results"), ["arm"], "completion_tokens", 50_000,
+    ).withColumnRenamed("total", "tokens")

@@ -14,7 +14,9 @@ registry = Registry()
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "runtime_dialogues").where("uniq_id is not null").groupBy("uniq_id").agg(F.coalesce(F.min("source_tar"), F.lit("")).alias("tar"), F.max("duration").alias("duration"))
+    return table(spark, sf_dir, "runtime_dialogues").where("uniq_id is not null").groupBy("uniq_id").agg(
+        F.coalesce(F.min("source_tar"), F.lit("")).alias("tar"), F.max("duration").alias("duration"),
+    )
 
 
 _IDS = "i AS (SELECT uniq_id, coalesce(min(source_tar), '') AS tar, max(duration) AS duration FROM runtime_dialogues WHERE uniq_id IS NOT NULL GROUP BY uniq_id)"
@@ -49,7 +51,9 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prefix_of_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per archive the dialogues, in hash order, that make up 25 minutes."""
-    rows = _ids(spark, sf_dir).where("duration > 0").select("uniq_id", "tar", F.round(F.round("duration", 3) * 1000).cast("long").alias("mass"))
+    rows = _ids(spark, sf_dir).where("duration > 0").select(
+        "uniq_id", "tar", F.round(F.round("duration", 3) * 1000).cast("long").alias("mass"),
+    )
     return sampling.prefix_of_mass(rows, "uniq_id", "mass", 1_500_000, "mass", ["tar"]).select("uniq_id", "tar", "upto")
 
 
@@ -66,7 +70,9 @@ def ranked_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH t AS (SELECT DISTINCT uniq_id, turn_index FROM runtime_turns), r AS (SELECT *, row_number() OVER (PARTITION BY uniq_id ORDER BY turn_index DESC) AS place FROM t) SELECT uniq_id, turn_index, CAST(place AS INT) AS place FROM r WHERE place <= 3",
 )
 def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.last_rows(table(spark, sf_dir, "runtime_turns").select("uniq_id", "turn_index").distinct(), "uniq_id", ["turn_index"], 3)
+    return sampling.last_rows(
+        table(spark, sf_dir, "runtime_turns").select("uniq_id", "turn_index").distinct(), "uniq_id", ["turn_index"], 3,
+    )
 
 
 @registry.query(
@@ -74,8 +80,12 @@ def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH f AS (SELECT file_id, min(manifest_batch) AS batch, count(*) AS listed, count(DISTINCT file_path) AS paths FROM earnings22_inputs WHERE file_id IS NOT NULL GROUP BY file_id) SELECT batch, count(*) AS files, count(*) FILTER (WHERE listed > 1) AS relisted, CAST(sum(paths) AS BIGINT) AS paths FROM f GROUP BY batch",
 )
 def first_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "earnings22_inputs").where("file_id is not null").groupBy("file_id").agg(F.min("manifest_batch").alias("batch"), F.count(F.lit(1)).alias("listed"), F.count_distinct("file_path").alias("paths"))
-    return per.groupBy("batch").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("listed") > 1).alias("relisted"), F.sum("paths").alias("paths"))
+    per = table(spark, sf_dir, "earnings22_inputs").where("file_id is not null").groupBy("file_id").agg(
+        F.min("manifest_batch").alias("batch"), F.count(F.lit(1)).alias("listed"), F.count_distinct("file_path").alias("paths"),
+    )
+    return per.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("listed") > 1).alias("relisted"), F.sum("paths").alias("paths"),
+    )
 
 
 @registry.query(
@@ -110,7 +120,9 @@ def superseded_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "runtime_dialogues").where("uniq_id is not null and manifest_batch is not null").select("uniq_id", "manifest_batch").distinct()
     entry = lambda b: F.concat("uniq_id", F.lit(":"), b.cast("string"))
     before = F.lag("manifest_batch").over(Window.partitionBy("uniq_id").orderBy("manifest_batch"))
-    return carry.active_entries(rows.select(entry(F.col("manifest_batch")).alias("entry"), F.when(before.isNotNull(), entry(before)).alias("supersedes"))).select("entry")
+    return carry.active_entries(
+        rows.select(entry(F.col("manifest_batch")).alias("entry"), F.when(before.isNotNull(), entry(before)).alias("supersedes"))
+    ).select("entry")
 
 
 @registry.query(
@@ -119,5 +131,7 @@ def superseded_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows over events: coverage of the event table, the batch twin of the stream."""
-    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"),
+    )
     return rows.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

@@ -25,7 +25,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMS = "count(*) AS n, " + ", ".join(
-    f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("wer_errors", "wer_tokens", "carry_errors", "carry_tokens", "carry_hits", "carry_total", "false_hint_target")
+    f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in (
+        "wer_errors", "wer_tokens", "carry_errors", "carry_tokens", "carry_hits", "carry_total", "false_hint_target",
+    )
 )
 _RATES = "round(wer_errors / nullif(wer_tokens, 0), 6) AS wer, round(carry_errors / nullif(carry_tokens, 0), 6) AS carry_wer, round(carry_hits / nullif(carry_total, 0), 6) AS hit_rate, round(false_hint_target / nullif(n, 0), 6) AS false_hint_rate"
 
@@ -55,7 +57,9 @@ def arm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir)
-    return scoring.completeness(rows, list(ARMS), rows, ["target_id"], ["delivered_at", "delivery_id"]).select("target_id", "arm", "copies", "found")
+    return scoring.completeness(
+        rows, list(ARMS), rows, ["target_id"], ["delivered_at", "delivery_id"],
+    ).select("target_id", "arm", "copies", "found")
 
 
 _PAIRS = _KEPT + """, pr AS (SELECT a.target_id, a.uniq_id, a.carry_hits AS h0, b.carry_hits AS h1, a.carry_total AS t0, b.carry_total AS t1, a.wer_errors AS e0, b.wer_errors AS e1, a.wer_tokens AS w0, b.wer_tokens AS w1, b.false_hint_target AS f1
@@ -129,7 +133,10 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "parse_results").cube("arm", "parse_mode")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_text").isNull()).alias("empty"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("tokens"), F.grouping_id("arm", "parse_mode").alias("level"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_text").isNull()).alias("empty"),
+        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("tokens"), F.grouping_id("arm", "parse_mode").alias("level"),
+    )
 
 
 @registry.query(
@@ -158,7 +165,9 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of scenarios; reads no table."""
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.03, 0.05, 0.08)])).alias("mde")).select("mde", F.explode(F.array(F.lit(0.2), F.lit(0.3))).alias("discordance"))
+    grid = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.03, 0.05, 0.08)])).alias("mde")).select(
+        "mde", F.explode(F.array(F.lit(0.2), F.lit(0.3))).alias("discordance"),
+    )
     return grid.withColumn("mentions", statistics.paired_size(F.col("mde"), F.col("discordance"), F.lit(1.5)))
 
 
@@ -170,10 +179,14 @@ def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def paired_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of the arms' word error rates per dialogue; dialogues without both are marked."""
-    v = messages(spark, sf_dir).groupBy("arm", "uniq_id").agg(F.try_divide(F.sum("wer_errors").cast("double"), F.sum("wer_tokens").cast("double")).alias("x"))
+    v = messages(spark, sf_dir).groupBy("arm", "uniq_id").agg(
+        F.try_divide(F.sum("wer_errors").cast("double"), F.sum("wer_tokens").cast("double")).alias("x")
+    )
     a, b = (v.where(F.col("arm") == arm).select("uniq_id", F.col("x").alias(n)) for arm, n in zip(ARMS, "ab"))
     rows = a.join(b, "uniq_id", "full")
-    return rows.select("uniq_id", F.round(F.col("b") - F.col("a"), 6).alias("gap"), (F.col("a").isNull() | F.col("b").isNull()).alias("dropped"))
+    return rows.select(
+        "uniq_id", F.round(F.col("b") - F.col("a"), 6).alias("gap"), (F.col("a").isNull() | F.col("b").isNull()).alias("dropped"),
+    )
 
 
 @registry.query(
@@ -184,6 +197,11 @@ def paired_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogues in which a term could be carried, and in which one was."""
-    per = messages(spark, sf_dir).groupBy("uniq_id").agg((F.count_if(F.col("carry_total") > 0) > 0).alias("u"), (F.count_if(F.col("carry_hits") > 0) > 0).alias("p"))
+    per = messages(spark, sf_dir).groupBy("uniq_id").agg(
+        (F.count_if(F.col("carry_total") > 0) > 0).alias("u"), (F.count_if(F.col("carry_hits") > 0) > 0).alias("p"),
+    )
     both = F.count_if(F.col("u") & F.col("p"))
-    return per.agg(F.count(F.lit(1)).alias("dialogues"), F.count_if("u").alias("usable"), both.alias("positive"), scoring.ratio(both, F.count_if("u")).alias("share"))
+    return per.agg(
+        F.count(F.lit(1)).alias("dialogues"), F.count_if("u").alias("usable"), both.alias("positive"),
+        scoring.ratio(both, F.count_if("u")).alias("share"),
+    )

@@ -44,8 +44,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     several deliveries one is taken as a whole."""
     rows = speakers.resolved(table(spark, sf_dir, "score_turns"), table(spark, sf_dir, "speaker_roster"), "speaker_id")
     said = F.col("reference_text")
-    order = F.struct(said.isNull().alias("a"), F.coalesce(said, F.lit("")).alias("said"), (~F.col("speaker").startswith("#")).alias("b"), "speaker")
-    return rows.groupBy("uniq_id", "turn_index").agg(F.min(order).alias("_m")).select("uniq_id", "turn_index", "_m.speaker", F.when(~F.col("_m.a"), F.col("_m.said")).alias("said"))
+    order = F.struct(
+        said.isNull().alias("a"), F.coalesce(said, F.lit("")).alias("said"), (~F.col("speaker").startswith("#")).alias("b"), "speaker",
+    )
+    return rows.groupBy("uniq_id", "turn_index").agg(F.min(order).alias("_m")).select(
+        "uniq_id", "turn_index", "_m.speaker", F.when(~F.col("_m.a"), F.col("_m.said")).alias("said"),
+    )
 
 
 @registry.query(
@@ -90,7 +94,9 @@ def normal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir)
     before = F.lag("said").over(Window.partitionBy("uniq_id").orderBy("turn_index"))
-    return rows.select("uniq_id", "turn_index", text.ascii_tokens(F.col("said")).alias("a"), text.ascii_tokens(before).alias("b")).where("a is not null and b is not null")
+    return rows.select(
+        "uniq_id", "turn_index", text.ascii_tokens(F.col("said")).alias("a"), text.ascii_tokens(before).alias("b"),
+    ).where("a is not null and b is not null")
 
 
 _NEIGHBOURS = f"""WITH {TURNS}, p AS (SELECT uniq_id, turn_index, said, lag(said) OVER (PARTITION BY uniq_id ORDER BY turn_index) AS before FROM t),
@@ -106,7 +112,9 @@ q AS (SELECT uniq_id, turn_index, regexp_extract_all(lower(said), '[a-z0-9]+') A
 )
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _neighbours(spark, sf_dir).select("uniq_id", "turn_index", F.round(text.token_f1(a, b), 6).alias("f1"), F.round(text.token_iou(a, b), 6).alias("iou"))
+    return _neighbours(spark, sf_dir).select(
+        "uniq_id", "turn_index", F.round(text.token_f1(a, b), 6).alias("f1"), F.round(text.token_iou(a, b), 6).alias("iou"),
+    )
 
 
 # Rows of the table of a distance, one after the other: each is a fold over the columns.
@@ -123,7 +131,9 @@ _LEVEL = """d AS (SELECT uniq_id, turn_index, a, b, 0 AS i, CAST(range(0, len(b)
 )
 def token_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word edit distance of a turn to the one before it."""
-    return _neighbours(spark, sf_dir).select("uniq_id", "turn_index", text.token_distance("a", "b").alias("errors"), F.size("b").alias("ref_words"))
+    return _neighbours(spark, sf_dir).select(
+        "uniq_id", "turn_index", text.token_distance("a", "b").alias("errors"), F.size("b").alias("ref_words"),
+    )
 
 
 _GRAMS = "list_transform(range(1, len($) - $n + 2), lambda i: array_to_string(list_slice($, i, i + $n - 1), ' '))"
@@ -168,10 +178,16 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT request_id, count(*) AS pairs, count(*) FILTER (WHERE copies > 0) AS hits, CAST(sum(copies) AS BIGINT) AS copies FROM c GROUP BY request_id""",
 )
 def copy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = table(spark, sf_dir, "score_turns").where("reference_text is not null").select("uniq_id", text.ascii_tokens(F.col("reference_text")).alias("n")).distinct()
-    replies = table(spark, sf_dir, "parse_results").where("raw_text is not null").select("uniq_id", "request_id", text.ascii_tokens(F.col("raw_text")).alias("h"))
+    needles = table(spark, sf_dir, "score_turns").where("reference_text is not null").select(
+        "uniq_id", text.ascii_tokens(F.col("reference_text")).alias("n"),
+    ).distinct()
+    replies = table(spark, sf_dir, "parse_results").where("raw_text is not null").select(
+        "uniq_id", "request_id", text.ascii_tokens(F.col("raw_text")).alias("h"),
+    )
     counted = scoring.copy_counts(replies.join(needles, "uniq_id"), "h", "n")
-    return counted.groupBy("request_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copies") > 0).alias("hits"), F.sum("copies").alias("copies"))
+    return counted.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copies") > 0).alias("hits"), F.sum("copies").alias("copies"),
+    )
 
 
 @registry.query(
@@ -183,7 +199,9 @@ def copy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capital_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised runs within sentences and acronyms of each document (tested on fixtures)."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.size(text.capital_runs(F.col("text"))).alias("runs"), F.size(text.acronyms(F.col("text"))).alias("acronyms"))
+    return docs.select(
+        "doc_id", F.size(text.capital_runs(F.col("text"))).alias("runs"), F.size(text.acronyms(F.col("text"))).alias("acronyms"),
+    )
 
 
 @registry.query(
@@ -219,7 +237,9 @@ def reply_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with text, in any script."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"))
+    return docs.select(
+        "doc_id", F.size(text.ascii_tokens(F.col("text"))).alias("tokens"), text.token_estimate(F.col("text")).alias("estimate"),
+    )
 
 
 _TOKENS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\x{200C}\x{200D}\x{24B6}-\x{24E9}]+"
@@ -251,9 +271,13 @@ def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = F.min(F.struct(~F.col("speaker").startswith("#"), "speaker"))["speaker"].alias("speaker")  # numbers first
     ref = speakers.resolved(table(spark, sf_dir, "score_turns").where("reference_text is not null"), roster, "speaker_id")
     ref = ref.groupBy("uniq_id", F.col("turn_index").alias("ordinal"), text.word_tokens(F.col("reference_text")).alias("words")).agg(least)
-    ref = ref.join(asked.select("uniq_id", F.col("request_id").alias("session")).distinct(), "uniq_id").select("session", "speaker", "ordinal", "words")
+    ref = ref.join(
+        asked.select("uniq_id", F.col("request_id").alias("session")).distinct(), "uniq_id",
+    ).select("session", "speaker", "ordinal", "words")
     hyp = speakers.resolved(asked.where("text is not null").withColumnRenamed("speaker", "_label"), roster, "_label")
-    hyp = hyp.groupBy(F.col("request_id").alias("session"), F.col("seg_ord").alias("ordinal"), text.word_tokens(F.col("text")).alias("words")).agg(least)
+    hyp = hyp.groupBy(
+        F.col("request_id").alias("session"), F.col("seg_ord").alias("ordinal"), text.word_tokens(F.col("text")).alias("words"),
+    ).agg(least)
     return wer.cp_wer(ref, hyp.select("session", "speaker", "ordinal", "words"))
 
 
@@ -263,6 +287,8 @@ def speaker_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower-case words of four letters or more, no stop words, that a dialogue says twice."""
-    words = turns(spark, sf_dir).select("uniq_id", F.explode(F.filter(F.split("said", " "), lambda x: x.rlike("^[a-z]{4,}$"))).alias("term"))
+    words = turns(spark, sf_dir).select(
+        "uniq_id", F.explode(F.filter(F.split("said", " "), lambda x: x.rlike("^[a-z]{4,}$"))).alias("term"),
+    )
     kept = words.where(~F.col("term").isin("that", "this", "with", "from", "have", "they", "were", "will", "what"))
     return kept.groupBy("uniq_id", "term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")

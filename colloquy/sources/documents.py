@@ -22,7 +22,10 @@ TRANSCRIPT_SCHEMA = "meeting_transcripts ARRAY<STRUCT<speaker: STRING, content:
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions: id, meeting (title), question, context, unanswerable, flat_answers."""
     rows = spark.read.schema(QA_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.explode("data").alias("d"))
-    return rows.select("d.id", F.col("d.title").alias("meeting"), "d.question", "d.context", F.col("d.is_impossible").alias("unanswerable"), F.col("d.answers.text").alias("flat_answers"))
+    return rows.select(
+        "d.id", F.col("d.title").alias("meeting"), "d.question", "d.context", F.col("d.is_impossible").alias("unanswerable"),
+        F.col("d.answers.text").alias("flat_answers"),
+    )
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +48,10 @@ def answered(questions: DataFrame, spans: DataFrame) -> DataFrame:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Turns of transcript documents: meeting (file name), ord, speaker, content."""
     rows = spark.read.schema(TRANSCRIPT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("meeting"), F.posexplode("meeting_transcripts").alias("ord", "t"))
+    rows = rows.select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1).alias("meeting"),
+        F.posexplode("meeting_transcripts").alias("ord", "t"),
+    )
     return rows.select("meeting", "ord", "t.speaker", "t.content")
 
 
@@ -112,13 +118,17 @@ def wave_seconds(content: pd.Series) -> pd.Series:
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files of a folder: name, bytes, modified; their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
+    )
 
 
 def lock_breaks(files: DataFrame, expected: DataFrame, tolerance: int = 4_096) -> DataFrame:
     """Files (name, bytes) that are missing, not expected or off by more than ``tolerance``."""
     rows = expected.select("name", F.col("bytes").alias("expected")).join(files.select("name", "bytes"), "name", "full")
-    state = F.when(F.col("bytes").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.abs(F.col("bytes") - F.col("expected")) > tolerance, "size")
+    state = F.when(F.col("bytes").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(
+        F.abs(F.col("bytes") - F.col("expected")) > tolerance, "size",
+    )
     return rows.withColumn("problem", state).where(F.col("problem").isNotNull())
 
 
@@ -178,6 +188,8 @@ def audio_clips(rows: DataFrame, content: str, start: str, end: str, rate: int =
 
     @F.pandas_udf(T.BinaryType())
     def cut(data: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([mono(x, rate, s, e) if x is not None and s == s and e == e else None for x, s, e in zip(data, a, b)], dtype=object)
+        return pd.Series(
+            [mono(x, rate, s, e) if x is not None and s == s and e == e else None for x, s, e in zip(data, a, b)], dtype=object,
+        )
 
     return rows.withColumn("clip", cut(content, start, end)).withColumn("sha256", F.sha2("clip", 256))

@@ -24,7 +24,8 @@ def parse_rttm(lines: DataFrame, value: str = "value") -> DataFrame:
     checked = lambda c: F.when(F.coalesce("_ok", F.lit(False)), c).otherwise(F.raise_error(F.concat(F.lit("bad speaker line: "), F.col(value))))
     kept = [c for c in lines.columns if c != value]
     return rows.select(
-        *kept, F.get("_f", F.lit(1)).alias("file_id"), F.get("_f", F.lit(2)).alias("channel"), checked(onset).cast("double").alias("start_s"), checked(onset + length).cast("double").alias("end_s"),
+        *kept, F.get("_f", F.lit(1)).alias("file_id"), F.get("_f", F.lit(2)).alias("channel"),
+        checked(onset).cast("double").alias("start_s"), checked(onset + length).cast("double").alias("end_s"),
         F.nullif(F.get("_f", F.lit(7)), F.lit("<NA>")).alias("speaker"),
     )
 
@@ -35,7 +36,10 @@ def rttm_lines(turns: DataFrame, file_id: str, start: str, end: str, speaker: st
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
     good = turns.where((F.col(end) > F.col(start)) & finite(start) & finite(end))
     name = F.coalesce(F.nullif(F.regexp_replace(F.trim(speaker), r"\s+", "_"), F.lit("")), F.lit("<NA>"))
-    value = F.concat_ws(" ", F.lit("SPEAKER"), F.col(file_id), F.lit(channel), F.format_string("%.3f", F.col(start)), F.format_string("%.3f", F.greatest(F.col(end) - F.col(start), F.lit(0.001))), F.lit("<NA> <NA>"), name, F.lit("<NA> <NA>"))
+    value = F.concat_ws(
+        " ", F.lit("SPEAKER"), F.col(file_id), F.lit(channel), F.format_string("%.3f", F.col(start)),
+        F.format_string("%.3f", F.greatest(F.col(end) - F.col(start), F.lit(0.001))), F.lit("<NA> <NA>"), name, F.lit("<NA> <NA>"),
+    )
     return good.select(F.col(file_id).alias("file_id"), value.alias("value"))
 
 
@@ -58,7 +62,8 @@ def entity_mentions(tokens: DataFrame, document: str = "document") -> DataFrame:
     own = Window.partitionBy(document, "entity").orderBy("_n")
     runs = marked.withColumn("_run", F.col("_n") - F.row_number().over(own))
     rows = runs.groupBy(document, "entity").agg(
-        F.count_distinct("_run").alias("_runs"), F.min("kind").alias("kind"), F.min("speaker").alias("speaker"), F.count_distinct("kind", "speaker").alias("_kinds"), F.min("ts").alias("ts"), F.min("ord").alias("first_ord"),
+        F.count_distinct("_run").alias("_runs"), F.min("kind").alias("kind"), F.min("speaker").alias("speaker"),
+        F.count_distinct("kind", "speaker").alias("_kinds"), F.min("ts").alias("ts"), F.min("ord").alias("first_ord"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), " ").alias("surface"),
     )
     bad = (F.col("_runs") > 1) | (F.col("_kinds") > 1)
@@ -72,8 +77,10 @@ def aligned_tokens(lines: DataFrame, value: str = "value") -> DataFrame:
     f = F.split(F.col(value), r"\|")
     tag = F.get(f, F.lit(7))
     return lines.where(F.size(f) >= 11).select(
-        "document", "ord", F.get(f, F.lit(0)).alias("token"), F.get(f, F.lit(1)).alias("speaker"), F.expr("try_cast(split(value, '\\\\|')[2] AS DOUBLE)").alias("ts"),
-        F.nullif(F.regexp_extract(tag, r"'(\w+):", 1), F.lit("")).alias("entity"), F.nullif(F.regexp_extract(tag, r"'\w+:(\w+)'", 1), F.lit("")).alias("kind"),
+        "document", "ord", F.get(f, F.lit(0)).alias("token"), F.get(f, F.lit(1)).alias("speaker"),
+        F.expr("try_cast(split(value, '\\\\|')[2] AS DOUBLE)").alias("ts"),
+        F.nullif(F.regexp_extract(tag, r"'(\w+):", 1), F.lit("")).alias("entity"),
+        F.nullif(F.regexp_extract(tag, r"'\w+:(\w+)'", 1), F.lit("")).alias("kind"),
     )
 
 
@@ -85,7 +92,9 @@ def read_responses(spark: SparkSession, path: str, schema: str = RESPONSE_SCHEMA
 def last_responses(responses: DataFrame, keys: list[str], order: list[str], outcome: str = "ok") -> DataFrame:
     """The last response of each key with the outcome, by ``order``."""
     rest = [c for c in responses.columns if c not in keys]
-    picked = responses.where(F.col("outcome") == outcome).groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order and dict(responses.dtypes)[c][:3] != "map"])).alias("_p"))
+    picked = responses.where(F.col("outcome") == outcome).groupBy(*keys).agg(
+        F.max(F.struct(*order, *[c for c in rest if c not in order and dict(responses.dtypes)[c][:3] != "map"])).alias("_p")
+    )
     return picked.select(*keys, "_p.*")
 
 

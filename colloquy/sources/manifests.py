@@ -44,7 +44,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 _TOLD = T.StructType(
-    [T.StructField("version", T.StringType()), T.StructField("hash_holds", T.BooleanType()), T.StructField("repeated", T.ArrayType(T.StringType())), T.StructField("broken", T.StringType())]
+    [
+        T.StructField("version", T.StringType()), T.StructField("hash_holds", T.BooleanType()),
+        T.StructField("repeated", T.ArrayType(T.StringType())), T.StructField("broken", T.StringType()),
+    ]
 )
 
 
@@ -70,7 +73,9 @@ def _told(values: pd.Series) -> pd.DataFrame:
             rows.append((None, None, [], "no object"))
             continue
         version = document.get("schema_version")
-        rows.append((None if version is None else str(version), document.get("content_hash") == content_hash(document), sorted(set(twice)), None))
+        rows.append(
+            (None if version is None else str(version), document.get("content_hash") == content_hash(document), sorted(set(twice)), None)
+        )
     return pd.DataFrame(rows, columns=["version", "hash_holds", "repeated", "broken"])
 
 
@@ -83,7 +88,10 @@ def manifest_breaks(documents: DataFrame, schema_version: str) -> DataFrame:
     found = F.concat(
         F.array(
             F.when(~readable, problem("unreadable", F.col("t.broken"))),
-            F.when(readable & ~F.coalesce(F.col("t.version") == schema_version, F.lit(False)), problem("version", F.coalesce("t.version", F.lit("none")))),
+            F.when(
+                readable & ~F.coalesce(F.col("t.version") == schema_version, F.lit(False)),
+                problem("version", F.coalesce("t.version", F.lit("none"))),
+            ),
             F.when(readable & ~F.coalesce("t.hash_holds", F.lit(False)), problem("hash", F.lit("the content is not what was hashed"))),
         ),
         F.transform("t.repeated", lambda k: problem("repeated key", k)),
@@ -100,7 +108,9 @@ def manifest_rows(documents: DataFrame, schema_version: str, row_schema: str) ->
 def missing_files(rows: DataFrame, identifier: str, files: DataFrame, template: str) -> DataFrame:
     """Ids whose file, named by the template with ``{id}``, is not in a listing (name)."""
     before, _, after = template.partition("{id}")
-    wanted = rows.select(identifier).where(F.col(identifier).isNotNull()).distinct().withColumn("name", F.concat(F.lit(before), F.col(identifier), F.lit(after)))
+    wanted = rows.select(identifier).where(F.col(identifier).isNotNull()).distinct().withColumn(
+        "name", F.concat(F.lit(before), F.col(identifier), F.lit(after)),
+    )
     return wanted.join(files.select("name"), "name", "left_anti")
 
 
@@ -108,15 +118,26 @@ def registry_breaks(registry: DataFrame, counts: dict[str, dict[str, int]], memb
     """Broken constraints of a registry (meeting and columns): ``count`` of a column's value that is
     not the expected one, ``unknown`` members that the registry lacks, and ``uncovered``
     meetings that a member list (meeting) lacks: problem, where, what."""
-    rows = registry.groupBy("meeting").count().where("count > 1").select(F.lit("repeated").alias("problem"), F.lit("registry").alias("where"), F.col("meeting").alias("what"))
+    rows = registry.groupBy("meeting").count().where("count > 1").select(
+        F.lit("repeated").alias("problem"), F.lit("registry").alias("where"), F.col("meeting").alias("what"),
+    )
     for column, expected in counts.items():
         cells = F.inline(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(n).cast("long").alias("n")) for v, n in expected.items()]))
         wanted = registry.sparkSession.range(1).select(cells)
         found = registry.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("m"))
         off = wanted.join(found, "v", "full").where(F.coalesce("n", F.lit(0)) != F.coalesce("m", F.lit(0)))
-        rows = rows.unionByName(off.select(F.lit("count").alias("problem"), F.lit(column).alias("where"), F.concat_ws(" ", F.coalesce("v", F.lit("none")), F.coalesce("m", F.lit(0)).cast("string")).alias("what")))
+        rows = rows.unionByName(
+            off.select(
+                F.lit("count").alias("problem"), F.lit(column).alias("where"),
+                F.concat_ws(" ", F.coalesce("v", F.lit("none")), F.coalesce("m", F.lit(0)).cast("string")).alias("what"),
+            )
+        )
     for name, df in members.items():
         listed, known = df.select("meeting").distinct(), registry.select("meeting").distinct()
-        for problem, extra in (("unknown", listed.join(known, "meeting", "left_anti")), ("uncovered", known.join(listed, "meeting", "left_anti"))):
-            rows = rows.unionByName(extra.select(F.lit(problem).alias("problem"), F.lit(name).alias("where"), F.col("meeting").alias("what")))
+        for problem, extra in (
+            ("unknown", listed.join(known, "meeting", "left_anti")), ("uncovered", known.join(listed, "meeting", "left_anti")),
+        ):
+            rows = rows.unionByName(
+                extra.select(F.lit(problem).alias("problem"), F.lit(name).alias("where"), F.col("meeting").alias("what"))
+            )
     return rows

@@ -18,7 +18,9 @@ ELEMENTS = "file STRING, ord INT, depth INT, parent INT, tag STRING, id STRING,
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "content",
+    )
 
 
 def layers(files: DataFrame) -> DataFrame:
@@ -27,7 +29,9 @@ def layers(files: DataFrame) -> DataFrame:
     parts = F.split("file", r"\.")
     rows = files.select("file", parts.alias("p")).where(F.size("p").between(3, 4) & (F.element_at("p", -1) == "xml"))
     agent = F.when(F.size("p") == 4, F.get("p", F.lit(1)))
-    return rows.groupBy(F.get("p", F.lit(0)).alias("meeting")).agg(F.array_sort(F.collect_set(F.element_at("p", -2))).alias("layers"), F.array_sort(F.collect_set(agent)).alias("agents"))
+    return rows.groupBy(F.get("p", F.lit(0)).alias("meeting")).agg(
+        F.array_sort(F.collect_set(F.element_at("p", -2))).alias("layers"), F.array_sort(F.collect_set(agent)).alias("agents"),
+    )
 
 
 def _local(name: str) -> str:
@@ -54,7 +58,13 @@ def elements(files: DataFrame) -> DataFrame:
                 while todo:
                     e, depth, parent = todo.pop()
                     a = {_local(k): v for k, v in e.attrib.items()}
-                    rows.append((file, n, depth, parent, _local(e.tag), a.get("id"), _number(a.get("starttime") or a.get("transcriber_start")), _number(a.get("endtime") or a.get("transcriber_end")), a.get("punc") == "true", a.get("type"), (e.text or "").strip() or None, a.get("href")))
+                    rows.append(
+                        (
+                            file, n, depth, parent, _local(e.tag), a.get("id"), _number(a.get("starttime") or a.get("transcriber_start")),
+                            _number(a.get("endtime") or a.get("transcriber_end")), a.get("punc") == "true", a.get("type"),
+                            (e.text or "").strip() or None, a.get("href"),
+                        )
+                    )
                     todo += [(child, depth + 1, n) for child in reversed(list(e))]
                     n += 1
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ELEMENTS.split(", ")])
@@ -72,13 +82,18 @@ def pointer(href: Column) -> Column:
 
 def words(rows: DataFrame) -> DataFrame:
     """Word-layer rows with an id: file, ord, id, tag, text (of words only), times, punc."""
-    return rows.where(F.col("id").isNotNull() & (F.col("depth") == 1)).select("file", "ord", "id", F.col("tag").alias("kind"), F.when(F.col("tag") == "w", F.col("text")).alias("text"), "start_s", "end_s", "punc")
+    return rows.where(F.col("id").isNotNull() & (F.col("depth") == 1)).select(
+        "file", "ord", "id", F.col("tag").alias("kind"), F.when(F.col("tag") == "w", F.col("text")).alias("text"), "start_s", "end_s",
+        "punc",
+    )
 
 
 def holders(rows: DataFrame, tag: str) -> DataFrame:
     """Elements of a tag with their pointers: file, ord, id, start_s, end_s, kind, p (position), ptr."""
     own = rows.where(F.col("tag") == tag).select("file", "ord", "id", "start_s", "end_s", "kind")
-    ptr = rows.where(F.col("href").isNotNull()).select(F.col("file").alias("_f"), F.col("parent").alias("_p"), F.col("ord").alias("p"), pointer(F.col("href")).alias("ptr"))
+    ptr = rows.where(F.col("href").isNotNull()).select(
+        F.col("file").alias("_f"), F.col("parent").alias("_p"), F.col("ord").alias("p"), pointer(F.col("href")).alias("ptr"),
+    )
     return own.join(ptr, (F.col("file") == F.col("_f")) & (F.col("ord") == F.col("_p")), "left").drop("_f", "_p")
 
 
@@ -92,9 +107,13 @@ def expanded(pointers: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     place = targets.select(F.col("file").alias("_f"), F.col("id").alias("_id"), F.col("ord").alias("_o"))
     a = place.select(F.col("_f").alias("_fa"), F.col("_id").alias("_ia"), F.col("_o").alias("_a"))
     b = place.select(F.col("_f").alias("_fb"), F.col("_id").alias("_ib"), F.col("_o").alias("_b"))
-    ends = flat.join(a, (F.col("file") == F.col("_fa")) & (F.col("start_id") == F.col("_ia")), "left").join(b, (F.col("file") == F.col("_fb")) & (F.col("end_id") == F.col("_ib")), "left")
+    ends = flat.join(
+        a, (F.col("file") == F.col("_fa")) & (F.col("start_id") == F.col("_ia")), "left",
+    ).join(b, (F.col("file") == F.col("_fb")) & (F.col("end_id") == F.col("_ib")), "left")
     orphans = ends.where(F.col("_a").isNull() | F.col("_b").isNull()).select("key", "file", "start_id", "end_id")
-    good = ends.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select("key", F.col("file").alias("_pf"), F.least("_a", "_b").alias("_lo"), F.greatest("_a", "_b").alias("_hi"))
+    good = ends.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(
+        "key", F.col("file").alias("_pf"), F.least("_a", "_b").alias("_lo"), F.greatest("_a", "_b").alias("_hi"),
+    )
     found = good.join(targets, (F.col("_pf") == F.col("file")) & F.col("ord").between(F.col("_lo"), F.col("_hi"))).drop("_pf", "_lo", "_hi")
     return found, orphans
 
@@ -104,7 +123,10 @@ def rebuilt(found: DataFrame) -> DataFrame:
     the span of their times: key, text, start_s, end_s, n_words."""
     item = F.struct("file", "ord", F.when(F.col("punc"), F.col("text")).otherwise(F.concat(F.lit(" "), "text")).alias("t"))
     said = found.where(F.col("text").isNotNull())
-    text = said.groupBy("key").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "")).alias("text"), F.count_if(~F.col("punc")).alias("n_words"))
+    text = said.groupBy("key").agg(
+        F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "")).alias("text"),
+        F.count_if(~F.col("punc")).alias("n_words"),
+    )
     span = found.groupBy("key").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
     return span.join(text, "key", "left")
 
@@ -124,7 +146,10 @@ def linked_evidence(links: DataFrame, acts: DataFrame, sentences: DataFrame) ->
     the links of which either end is missing."""
     rows = links.join(acts, "act_id", "left").join(sentences, "sentence_id", "left")
     missing = F.col("speaker").isNull() | F.col("section").isNull()
-    good = rows.where(~missing).groupBy("sentence_id").agg(F.min("section").alias("section"), F.min("text").alias("text"), F.array_sort(F.collect_set("act_id")).alias("acts"), F.array_sort(F.collect_set("speaker")).alias("speakers"))
+    good = rows.where(~missing).groupBy("sentence_id").agg(
+        F.min("section").alias("section"), F.min("text").alias("text"), F.array_sort(F.collect_set("act_id")).alias("acts"),
+        F.array_sort(F.collect_set("speaker")).alias("speakers"),
+    )
     return good, rows.where(missing).select("act_id", "sentence_id")
 
 
@@ -140,7 +165,11 @@ def placed(files: DataFrame, layout: dict[str, str]) -> DataFrame:
 def minutes(rows: DataFrame, sections: tuple[str, ...] = ("abstract", "actions", "decisions", "problems")) -> DataFrame:
     """Sentences of abstractive minutes by section, which is the tag they stand under: file,
     section, place in it from 0, id, text. Other sections are left out."""
-    heads = rows.where(F.col("tag").isin(*sections)).select(F.col("file").alias("_f"), F.col("ord").alias("_o"), F.col("tag").alias("section"))
-    own = rows.where((F.col("tag") == "sentence") & F.col("id").isNotNull()).join(heads, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_o")))
+    heads = rows.where(F.col("tag").isin(*sections)).select(
+        F.col("file").alias("_f"), F.col("ord").alias("_o"), F.col("tag").alias("section"),
+    )
+    own = rows.where((F.col("tag") == "sentence") & F.col("id").isNotNull()).join(
+        heads, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_o")),
+    )
     place = F.row_number().over(Window.partitionBy("file", "section").orderBy("ord")) - 1
     return own.select("file", "section", place.alias("place"), "id", "text")

@@ -26,7 +26,10 @@ def test_census_against_brute_force(spark):
 
 
 def test_folded_glossary(spark):
-    rows = [("m", "k", 0, "Kay", 2, ["Kay"]), ("m", "k", 1, "KAY", 2, ["KAY"]), ("m", "k", 2, "kay", 9, ["kay", "Kay"]), ("m", "o", 1, "Oh", 1, ["Oh"])]
+    rows = [
+        ("m", "k", 0, "Kay", 2, ["Kay"]), ("m", "k", 1, "KAY", 2, ["KAY"]), ("m", "k", 2, "kay", 9, ["kay", "Kay"]),
+        ("m", "o", 1, "Oh", 1, ["Oh"]),
+    ]
     df = spark.createDataFrame(rows, "meeting string, key string, chunk int, canonical string, evidence int, variants array<string>")
     got = {r["key"]: (r["canonical"], r["evidence"], r["first_seen"], r["variants"]) for r in carry.merged_entries(df).collect()}
     assert got == {"k": ("kay", 13, 0, ["KAY", "Kay", "kay"]), "o": ("Oh", 1, 1, ["Oh"])}
@@ -36,13 +39,19 @@ def test_folded_glossary(spark):
 
 
 def test_logs(spark):
-    log = spark.createDataFrame([("c", 1, "a", None, None), ("c", 2, "b", "a", None), ("c", 3, "d", "x", "a")], "chain string, seq int, entry string, previous string, supersedes string")
+    log = spark.createDataFrame(
+        [("c", 1, "a", None, None), ("c", 2, "b", "a", None), ("c", 3, "d", "x", "a")],
+        "chain string, seq int, entry string, previous string, supersedes string",
+    )
     assert sorted(r["entry"] for r in carry.active_entries(log).collect()) == ["b", "d"]
     assert [r["entry"] for r in carry.broken_links(log, "chain", "seq").collect()] == ["d"]
 
 
 def _segments(spark, rows):
-    return spark.createDataFrame([(m, side, s, float(a), float(b)) for m, side, s, a, b in rows], "meeting_id string, side string, speaker string, start_s double, end_s double")
+    return spark.createDataFrame(
+        [(m, side, s, float(a), float(b)) for m, side, s, a, b in rows],
+        "meeting_id string, side string, speaker string, start_s double, end_s double",
+    )
 
 
 def test_error_rates_by_hand(spark):
@@ -85,7 +94,9 @@ def test_error_rates_against_a_millisecond_grid(spark):
             total, missed, false = total + len(r), missed + max(0, len(r) - len(h)), false + max(0, len(h) - len(r))
             correct, both = correct + sum(a in r and b in h for a, b in best_pairs), both + min(len(r), len(h))
         row = got[m, "full"]
-        assert (row["total_ms"], row["missed_ms"], row["false_alarm_ms"], row["correct_ms"], row["confusion_ms"]) == tuple(700 * x for x in (total, missed, false, correct, both - correct))
+        assert (
+            row["total_ms"], row["missed_ms"], row["false_alarm_ms"], row["correct_ms"], row["confusion_ms"],
+        ) == tuple(700 * x for x in (total, missed, false, correct, both - correct))
 
 
 def test_assignment_against_permutations():
@@ -107,7 +118,9 @@ def test_joins_against_brute_force(spark):
     a = spark.createDataFrame(left, "k string, i int, s bigint, e bigint")
     b = spark.createDataFrame(right, "k string, j int, s2 bigint, e2 bigint")
     got = sorted((r["i"], r["j"]) for r in overlaps.overlap_join(a, b, "k").collect())
-    assert got == sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3])
+    assert got == sorted(
+        (x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3]
+    )
     points, others = [(rng.choice("kl"), rng.randrange(5_000_000)) for _ in range(80)], [("k", rng.randrange(5_000_000)) for _ in range(40)]
     pd_, od = spark.createDataFrame(points, "k string, at bigint"), spark.createDataFrame(others, "k string, at bigint")
     got = {(r["k"], r["at"]): r["distance"] for r in overlaps.nearest(pd_, od, "k", "at").collect()}
@@ -158,7 +171,11 @@ def test_word_errors():
     for _ in range(60):
         ref = [[rng.choice("ab") for _ in range(rng.randrange(3))] for _ in range(3)]
         hyp = [[rng.choice("ab") for _ in range(rng.randrange(4))] for _ in range(2)]
-        best = min(sum(wer.distance(sum((r for r, s in zip(ref, way) if s == k), []), hyp[k]) for k in range(2)) for way in itertools.product(range(2), repeat=3))
+        best = min(
+            sum(
+                wer.distance(sum((r for r, s in zip(ref, way) if s == k), []), hyp[k]) for k in range(2)
+            ) for way in itertools.product(range(2), repeat=3)
+        )
         assert wer.orc_errors(ref, hyp) == best
     near = wer.within_collar([(0, 1), (9, 10)], [(3, 4)], 3)
     assert near.tolist() == [[True], [False]] and wer.distance(["a", "b"], ["b"], near) == 2 and wer.distance(["a", "b"], ["b"]) == 1
@@ -169,14 +186,18 @@ def test_batches(spark):
     rows = [("a", 1, 1000.0), ("a", 2, 1500.0), ("a", 3, 600.0), ("a", 4, 3000.0), ("a", 5, None), ("b", 1, 5.0)]
     df = spark.createDataFrame(rows, "g string, n int, c double")
     got = {(r["g"], r["n"]): (r["c"], r["batch"]) for r in slicing.next_fit_batches(df, ["g"], ["n"], "c", 3000).collect()}
-    assert got == {("a", 1): (1000.0, 0), ("a", 2): (1500.0, 0), ("a", 3): (600.0, 1), ("a", 4): (3000.0, 2), ("a", 5): (None, 2), ("b", 1): (5.0, 0)}
+    assert got == {
+        ("a", 1): (1000.0, 0), ("a", 2): (1500.0, 0), ("a", 3): (600.0, 1), ("a", 4): (3000.0, 2), ("a", 5): (None, 2), ("b", 1): (5.0, 0),
+    }
     with pytest.raises(Exception, match="over the cap"):
         slicing.next_fit_batches(df, ["g"], ["n"], "c", 2999).collect()
     assert slicing.next_fit_batches(df.limit(0), ["g"], ["n"], "c", 3000).count() == 0
 
 
 def test_chunks_with_marks(spark):
-    turns = spark.createDataFrame([("a", 0.0, 300.0), ("a", 300.0, 420.0), ("a", 420.0, 800.0), ("b", 0.0, 10.0)], "uniq_id string, start_s double, end_s double")
+    turns = spark.createDataFrame(
+        [("a", 0.0, 300.0), ("a", 300.0, 420.0), ("a", 420.0, 800.0), ("b", 0.0, 10.0)], "uniq_id string, start_s double, end_s double",
+    )
     marks = spark.createDataFrame([("a", 310_000), ("a", None), ("z", 1)], "uniq_id string, at_ms bigint")
     cut = lambda *m: sorted((r["uniq_id"], r["start_ms"], r["end_ms"]) for r in slicing.task_chunks(turns, *m).collect())
     assert cut() == [("a", 0, 420_000), ("a", 420_000, 800_000), ("b", 0, 10_000)]
@@ -228,7 +249,9 @@ def test_session_scores_against_brute_force(spark):
                 for k, stream in enumerate(other):
                     x, tx = timed([s for s, to in zip(own, way) if to == k])
                     y, ty = timed(stream)
-                    total += wer.distance(x, y, wer.within_collar(tx, ty, 5.0) if strict and x and y else None) if x and y else len(x) + len(y)
+                    total += wer.distance(
+                        x, y, wer.within_collar(tx, ty, 5.0) if strict and x and y else None,
+                    ) if x and y else len(x) + len(y)
                 best[strict] = min(best[strict], total)
         assert (r["orc"], r["tcorc"]) == (best[False], best[True]) and r["tcp"] >= r["cp"] and r["tcorc"] >= r["orc"]
     few = wer.session_scores(spark.createDataFrame(ref, schema), spark.createDataFrame(hyp, schema), 5.0, 1).where("session = 'p'").first()
@@ -248,7 +271,10 @@ def test_slice_outcomes(spark):
 
 
 def test_speaker_word_errors(spark):
-    ref = spark.createDataFrame([("s", 0, 1, ["b"]), ("s", 0, 0, ["a"]), ("s", 1, 2, ["c"]), ("t", 0, 0, ["x"])], "session string, speaker int, ordinal int, words array<string>")
+    ref = spark.createDataFrame(
+        [("s", 0, 1, ["b"]), ("s", 0, 0, ["a"]), ("s", 1, 2, ["c"]), ("t", 0, 0, ["x"])],
+        "session string, speaker int, ordinal int, words array<string>",
+    )
     hyp = spark.createDataFrame([("s", 5, 0, ["c"]), ("s", 6, 0, ["a", "b"]), ("u", 1, 0, ["y"])], ref.schema)
     got = {r["session"]: (r["errors"], r["ref_words"], r["cp_wer"]) for r in wer.cp_wer(ref, hyp).collect()}
     assert got == {"s": (0, 3, 0.0), "t": (1, 1, 1.0), "u": (1, 0, None)}
@@ -256,11 +282,16 @@ def test_speaker_word_errors(spark):
 
 def test_scores(spark):
     rows = [("t1", "u", "A", 1, 2, 0, 1, 1, 1, 0), ("t2", "u", "A", None, None, 0, 0, None, 0, 1)]
-    df = spark.createDataFrame(rows, "target_id string, uniq_id string, arm string, wer_errors int, wer_tokens int, carry_errors int, carry_tokens int, carry_hits int, carry_total int, false_hint_target int")
+    df = spark.createDataFrame(
+        rows,
+        "target_id string, uniq_id string, arm string, wer_errors int, wer_tokens int, carry_errors int, carry_tokens int, carry_hits int, carry_total int, false_hint_target int",
+    )
     r = scoring.pooled_metrics(df, ["arm"]).first()
     assert (r["wer"], r["carry_wer"], r["hit_rate"], r["false_hint_rate"]) == (0.5, 0.0, 1.0, 0.5)
     cells = scoring.completeness(df, ["A", "B"], df, ["target_id"], ["wer_errors"])
-    assert {(r["target_id"], r["arm"]): r["found"] for r in cells.collect()} == {("t1", "A"): True, ("t1", "B"): False, ("t2", "A"): True, ("t2", "B"): False}
+    assert {(r["target_id"], r["arm"]): r["found"] for r in cells.collect()} == {
+        ("t1", "A"): True, ("t1", "B"): False, ("t2", "A"): True, ("t2", "B"): False,
+    }
     with pytest.raises(Exception, match="more than once"):
         scoring.completeness(df, ["A"], df.union(df), ["target_id"], ["wer_errors"], "raise").collect()
     gold = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"]), ("c", ["x"]), ("d", ["x"])], "sentence string, speakers array<string>")
@@ -270,7 +301,10 @@ def test_scores(spark):
     pairs = spark.createDataFrame([("a", "a"), ("b", "g"), ("g", "x"), (None, "g")], "ref string, hyp string")
     r = scoring.pair_errors(pairs, spark.createDataFrame([("g",)], "term string")).first()
     assert (r["induced"], r["b_tokens"], r["b_errors"], r["u_tokens"], r["u_errors"], r["insertions"]) == (1, 1, 1, 2, 1, 1)
-    active = scoring.activation(spark.createDataFrame([(["a", "b"], ["a"], ["a", "b", "c", "b"])], "h array<string>, r array<string>, t array<string>"), "h", "r", "t").first()
+    active = scoring.activation(
+        spark.createDataFrame([(["a", "b"], ["a"], ["a", "b", "c", "b"])], "h array<string>, r array<string>, t array<string>"), "h", "r",
+        "t",
+    ).first()
     assert (active["activated"], active["unsupported"]) == (2, 1)
 
 
@@ -278,13 +312,17 @@ def test_statistics(spark):
     values = [5, 1, 4, 4, 2, 9, 9, 3, 7, 10]
     r = statistics.cluster_summary(spark.createDataFrame([(v,) for v in values], "v int"), "v").first()
     assert (r["n"], r["mean"], r["median"], r["p90"], r["most"]) == (10, 5.4, 4.5, 9.0, 10.0)
-    array = spark.createDataFrame([(sorted(values),)], "a array<int>").select(statistics.ceil_rank(F.col("a"), 0.9).alias("c"), statistics.floor_rank(F.col("a"), 0.5).alias("f")).first()
+    array = spark.createDataFrame([(sorted(values),)], "a array<int>").select(
+        statistics.ceil_rank(F.col("a"), 0.9).alias("c"), statistics.floor_rank(F.col("a"), 0.5).alias("f"),
+    ).first()
     assert (array["c"], array["f"]) == (9, 5)
     clusters = spark.createDataFrame([(f"c{i}", float(i), 1.0) for i in range(6)], "c string, x double, n double")
     one = [tuple(r) for r in statistics.bootstrap(clusters, "c", ["x", "n"], 30, "s").orderBy("r").collect()]
     two = [tuple(r) for r in statistics.bootstrap(clusters.repartition(5), "c", ["x", "n"], 30, "s").orderBy("r").collect()]
     assert one == two and all(r[2] == 6.0 for r in one)
-    bound = spark.createDataFrame([(3, [1, 2])], "u int, w array<int>").select(statistics.orc_bound(F.col("u"), F.col("w")).alias("b"), statistics.prompt_tokens(F.lit(90.5)).alias("p")).first()
+    bound = spark.createDataFrame([(3, [1, 2])], "u int, w array<int>").select(
+        statistics.orc_bound(F.col("u"), F.col("w")).alias("b"), statistics.prompt_tokens(F.lit(90.5)).alias("p"),
+    ).first()
     assert (bound["b"], bound["p"]) == (18.0, 90 * 13 + 950 + 362)
 
 
@@ -292,8 +330,10 @@ def test_samples_do_not_depend_on_partitions(spark):
     ids = [(f"id{i}", f"g{i % 3}", 1 + i % 4) for i in range(100)]
     df = spark.createDataFrame(ids, "id string, g string, m int")
     for make in (
-        lambda d: sampling.capped(d, "id", "s", 10), lambda d: sampling.derangement(d, "id", "s", ["g"]), lambda d: sampling.round_robin(d, "id", "g", "s", 9),
-        lambda d: sampling.prefix_of_mass(d, "id", "m", 20, "s", ["g"]), lambda d: sampling.ranked_split(d, "id", "s", {"a": 7, "b": 5}), lambda d: sampling.last_rows(d, "g", ["m", "id"], 2),
+        lambda d: sampling.capped(d, "id", "s", 10), lambda d: sampling.derangement(d, "id", "s", ["g"]),
+        lambda d: sampling.round_robin(d, "id", "g", "s", 9),
+        lambda d: sampling.prefix_of_mass(d, "id", "m", 20, "s", ["g"]), lambda d: sampling.ranked_split(d, "id", "s", {"a": 7, "b": 5}),
+        lambda d: sampling.last_rows(d, "g", ["m", "id"], 2),
     ):
         one, two = (sorted(map(tuple, make(d).collect())) for d in (df.coalesce(1), df.repartition(6)))
         assert one == two and one
@@ -336,13 +376,22 @@ def test_numbers_in_order(spark):
 
 
 def test_states_and_sources(spark):
-    rows = spark.createDataFrame([("x", ["a", "b", "c"], ["a", "b"], ["a"], ["a", "d"]), ("x", None, ["a"], None, ["a"]), ("y", [], [], [], [])], "arm string, t array<string>, s array<string>, same array<string>, other array<string>")
+    rows = spark.createDataFrame(
+        [("x", ["a", "b", "c"], ["a", "b"], ["a"], ["a", "d"]), ("x", None, ["a"], None, ["a"]), ("y", [], [], [], [])],
+        "arm string, t array<string>, s array<string>, same array<string>, other array<string>",
+    )
     got = {r["arm"]: r for r in carry.state_scores(rows, ["arm"], "t", "s", "same", "other").collect()}
     x = got["x"]
-    assert (x["targets"], x["terms"], x["supported_terms"], x["hallucinated_terms"], x["off_speaker_terms"], x["target_relevant_terms"], x["same_targets"], x["same_target_hits"], x["global_targets"], x["global_target_hits"]) == (2, 3, 2, 1, 1, 1, 1, 1, 3, 1)
+    assert (
+        x["targets"], x["terms"], x["supported_terms"], x["hallucinated_terms"], x["off_speaker_terms"], x["target_relevant_terms"],
+        x["same_targets"], x["same_target_hits"], x["global_targets"], x["global_target_hits"],
+    ) == (2, 3, 2, 1, 1, 1, 1, 1, 3, 1)
     assert (x["support_precision"], x["same_target_recall"]) == (0.666667, 1.0) and got["y"]["hallucination_rate"] is None
     entries = spark.createDataFrame(
-        [("m", "k", 0, "K", 1, ["K"], "speech", None, "A"), ("m", "k", 2, "kk", 3, ["kk"], "speech", None, "B"), ("m", "k", 1, "K2", 1, ["K2"], "slides", "t1", None)],
+        [
+            ("m", "k", 0, "K", 1, ["K"], "speech", None, "A"), ("m", "k", 2, "kk", 3, ["kk"], "speech", None, "B"),
+            ("m", "k", 1, "K2", 1, ["K2"], "slides", "t1", None),
+        ],
         "meeting string, key string, chunk int, canonical string, evidence bigint, variants array<string>, provenance string, tier string, introduced_by string",
     )
     got = {(r["provenance"], r["tier"]): (r["key"], r["canonical"], r["evidence"], r["first_seen"], r["introduced_by"]) for r in carry.merged_by_source(entries).collect()}
@@ -350,7 +399,13 @@ def test_states_and_sources(spark):
 
 
 def test_faults(spark):
-    rows = [("ok", "a", 0, 0.0, 1.0), ("ok", "a", 1, 1.0, 2.0), ("zero", "a", 0, 0.0, 0.0), ("pair", "a", 0, 1.0, 2.0), ("pair", "b", 1, 1.0, 2.0), ("back", "a", 0, 5.0, 6.0), ("back", "a", 1, 1.0, 2.0), ("rev", "a", 0, 2.0, 1.0)]
+    rows = [
+        ("ok", "a", 0, 0.0, 1.0), ("ok", "a", 1, 1.0, 2.0), ("zero", "a", 0, 0.0, 0.0), ("pair", "a", 0, 1.0, 2.0),
+        ("pair", "b", 1, 1.0, 2.0), ("back", "a", 0, 5.0, 6.0), ("back", "a", 1, 1.0, 2.0), ("rev", "a", 0, 2.0, 1.0),
+    ]
     df = spark.createDataFrame(rows, "s string, who string, n int, a double, b double")
     got = {r["s"]: (r["valid"], r["all_zero"], r["one_pair"], r["reversed"], r["disordered"]) for r in overlaps.stream_faults(df, "s", "who", "n", "a", "b").collect()}
-    assert got == {"ok": (True, False, False, False, False), "zero": (False, True, False, False, False), "pair": (False, False, True, False, False), "back": (False, False, False, False, True), "rev": (False, False, False, True, False)}
+    assert got == {
+        "ok": (True, False, False, False, False), "zero": (False, True, False, False, False), "pair": (False, False, True, False, False),
+        "back": (False, False, False, False, True), "rev": (False, False, False, True, False),
+    }

@@ -63,7 +63,10 @@ def test_distances_against_brute_force(spark):
     rng = random.Random(2)
     pairs = [([rng.choice("abcd") for _ in range(rng.randrange(9))], [rng.choice("abcd") for _ in range(rng.randrange(9))]) for _ in range(150)]
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
-    rows = df.select("a", "b", text.token_distance("a", "b").alias("d"), text.lcs_length("a", "b").alias("l"), wer.ngrams(F.col("a"), 2).alias("g"), wer.aligned_pairs("a", "b").alias("p"))
+    rows = df.select(
+        "a", "b", text.token_distance("a", "b").alias("d"), text.lcs_length("a", "b").alias("l"), wer.ngrams(F.col("a"), 2).alias("g"),
+        wer.aligned_pairs("a", "b").alias("p"),
+    )
     for r in rows.collect():
         assert r["d"] == edit(r["a"], r["b"]) == wer.distance(r["a"], r["b"])
         assert r["l"] == lcs(r["a"], r["b"])
@@ -78,12 +81,18 @@ def test_miners(spark):
     assert one(spark, text.capital_runs(F.col("t")), t=said) == ["Anna Berg", "Tom", "New Plan", "Zoe", "G L", "ABC"]
     assert one(spark, text.acronyms(F.col("t")), t=said) == ["ABC", "PGL"]
     assert one(spark, text.self_introduction(F.col("t")), t="well THIS IS Ann Lee speaking") == "Ann Lee"
-    for said, name in {"I'm not sure": None, "my name is Mary Ann O'Neil and": "Mary Ann O'Neil", "So I am Bo, the chair": "Bo", "this  is Al Bo Cy Di": "Al Bo Cy", "(I'm Jean-Luc": "Jean-Luc", "hi i am not this is Zoe": "Zoe", "Am I Bo": None, "I'm": None, "": None, "that this is Ann. Lee": "Ann", "siam Bo": None}.items():
+    for said, name in {
+        "I'm not sure": None, "my name is Mary Ann O'Neil and": "Mary Ann O'Neil", "So I am Bo, the chair": "Bo",
+        "this  is Al Bo Cy Di": "Al Bo Cy", "(I'm Jean-Luc": "Jean-Luc", "hi i am not this is Zoe": "Zoe", "Am I Bo": None, "I'm": None,
+        "": None, "that this is Ann. Lee": "Ann", "siam Bo": None,
+    }.items():
         assert one(spark, text.self_introduction(F.col("t")), t=said) == name, said
     assert one(spark, text.swapped(F.col("t")), t="Anna Bo") == "Anna Box"
     assert one(spark, text.swapped(F.col("t")), t="Torben") == "Troben"
     assert one(spark, text.speaker_numbers(F.col("t")), t="Speaker 10 and Speaker 2, Speaker 10") == [2, 10]
-    assert one(spark, text.tag_runs(F.col("a"), F.col("b")), a=["x", "the", "cat", "y", "z"], b=["O", "B", "I", "O", "B"]) == ["the cat", "z"]
+    assert one(
+        spark, text.tag_runs(F.col("a"), F.col("b")), a=["x", "the", "cat", "y", "z"], b=["O", "B", "I", "O", "B"],
+    ) == ["the cat", "z"]
 
 
 def test_terms_and_forms(spark):
@@ -92,7 +101,9 @@ def test_terms_and_forms(spark):
     assert got == {(1, "Tom"): ("name_like", 2), (1, "X2"): ("strict", 1), (1, "NASA"): ("strict", 1)}
     assert one(spark, text.casefolded("t"), t="  Straße Ｘ\u00a0y ") == "strasse x y"
     for said, form in {
-        "I can't, it's A B C; we've 2": "i cannot it isabc we have 2", "IT'S FINE": "it is fine", "Anna's plan won't, shouldn't've": "anna s plan will not should not have", "the D V D's here": "the dvds here", "O' Neil at 5 o'clock": "o neil at 5 of the clock",
+        "I can't, it's A B C; we've 2": "i cannot it isabc we have 2", "IT'S FINE": "it is fine",
+        "Anna's plan won't, shouldn't've": "anna s plan will not should not have", "the D V D's here": "the dvds here",
+        "O' Neil at 5 o'clock": "o neil at 5 of the clock",
         "well-known (e.g. U S): 3.5%": "well known egus 3 5", "": "", "He’s late": "he is late", "A B s C": "absc",
     }.items():
         assert one(spark, text.spoken_form(F.col("t")), t=said) == form, said
@@ -103,17 +114,30 @@ def test_folds_and_draws(spark):
 
     for i in ("a", "dlg-7", "é"):
         assert one(spark, text.fold_of(F.col("t"), "s"), t=i) == int.from_bytes(hashlib.sha256(f"s:{i}".encode()).digest()[:8], "big") % 4
-        assert one(spark, text.md5_draw(F.lit(17), F.lit("s"), F.col("t")), t=i) == int(hashlib.md5(f"s:{i}".encode()).hexdigest()[:8], 16) % 17
+        assert one(
+            spark, text.md5_draw(F.lit(17), F.lit("s"), F.col("t")), t=i,
+        ) == int(hashlib.md5(f"s:{i}".encode()).hexdigest()[:8], 16) % 17
 
 
 def test_replies(spark):
-    colon = spark.createDataFrame([(1, "Alice: hi"), (2, "Dr. A-B_1: x"), (3, " | x"), (4, "[ ] x"), (5, "Élan: x"), (6, "a" * 41 + ": x"), (7, "no colon")], "id int, raw string")
-    assert {r["id"]: r["speaker"] for r in grammar.reply_lines(colon, "raw", ["id"]).collect()} == {1: "Alice", 2: "Dr. A-B_1", 3: None, 4: None, 5: None, 6: None, 7: None}
-    df = spark.createDataFrame([(1, "a|hi\n\n[b] yo\nSpeaker 3: hm\nnonsense"), (2, "x|y"), (3, ""), (4, None), (5, "zzz")], "id int, raw string")
+    colon = spark.createDataFrame(
+        [(1, "Alice: hi"), (2, "Dr. A-B_1: x"), (3, " | x"), (4, "[ ] x"), (5, "Élan: x"), (6, "a" * 41 + ": x"), (7, "no colon")],
+        "id int, raw string",
+    )
+    assert {r["id"]: r["speaker"] for r in grammar.reply_lines(colon, "raw", ["id"]).collect()} == {
+        1: "Alice", 2: "Dr. A-B_1", 3: None, 4: None, 5: None, 6: None, 7: None,
+    }
+    df = spark.createDataFrame(
+        [(1, "a|hi\n\n[b] yo\nSpeaker 3: hm\nnonsense"), (2, "x|y"), (3, ""), (4, None), (5, "zzz")], "id int, raw string",
+    )
     rows = [(r["id"], r["line_no"], r["form"], r["speaker"], r["said"]) for r in grammar.reply_lines(df, "raw", ["id"]).orderBy("id", "line_no").collect()]
-    assert rows[:4] == [(1, 0, "strict", "a", "hi"), (1, 1, "lenient", "b", "yo"), (1, 2, "lenient", "Speaker 3", "hm"), (1, 3, "malformed", None, None)]
+    assert rows[:4] == [
+        (1, 0, "strict", "a", "hi"), (1, 1, "lenient", "b", "yo"), (1, 2, "lenient", "Speaker 3", "hm"), (1, 3, "malformed", None, None),
+    ]
     assert {r["id"]: r["mode"] for r in grammar.reply_modes(df, "raw", ["id"]).collect()} == {1: "lenient", 2: "strict", 5: "failed"}
-    minutes = spark.createDataFrame([(1, "- stray\nDecisions:\n- do it [evidence: A|10-20]\n* no bullet\n-then\n\n## ACTIONS\n- go\nplain")], "id int, raw string")
+    minutes = spark.createDataFrame(
+        [(1, "- stray\nDecisions:\n- do it [evidence: A|10-20]\n* no bullet\n-then\n\n## ACTIONS\n- go\nplain")], "id int, raw string",
+    )
     got = [tuple(r) for r in grammar.minutes_bullets(minutes, "raw", ["id"]).orderBy("section", "n").collect()]
     assert got == [(1, "ACTIONS", 0, "go", None, None), (1, "DECISIONS", 0, "do it", "A", "10-20"), (1, "DECISIONS", 1, "then", None, None)]
     qa = spark.createDataFrame([(1, "ANSWER: red\nABSTAIN"), (2, "abstain"), (3, "just this"), (4, " ")], "id int, raw string")

@@ -8,8 +8,13 @@ from colloquy.operators import matching as mt
 
 
 def test_greedy_claims(spark):
-    gold = spark.createDataFrame([("m", "g1", ["a", "b", "c"]), ("m", "g2", ["a", "b"]), ("n", "g1", ["x"])], "meeting string, gold string, tokens array<string>")
-    pred = spark.createDataFrame([("m", 0, ["a", "b", "c"]), ("m", 1, ["a", "b", "d"]), ("m", 2, ["a", "b"]), ("m", 3, ["z"]), ("n", 0, [])], "meeting string, pred int, tokens array<string>")
+    gold = spark.createDataFrame(
+        [("m", "g1", ["a", "b", "c"]), ("m", "g2", ["a", "b"]), ("n", "g1", ["x"])], "meeting string, gold string, tokens array<string>",
+    )
+    pred = spark.createDataFrame(
+        [("m", 0, ["a", "b", "c"]), ("m", 1, ["a", "b", "d"]), ("m", 2, ["a", "b"]), ("m", 3, ["z"]), ("n", 0, [])],
+        "meeting string, pred int, tokens array<string>",
+    )
     got = sorted((r["meeting"], r["gold"], r["pred"], r["f1"]) for r in mt.greedy_claims(gold, pred).collect())
     assert got == [("m", "g1", 0, 1.0), ("m", "g2", 2, 1.0)]
     lone = pred.where("pred = 1")
@@ -18,7 +23,10 @@ def test_greedy_claims(spark):
 
 
 def test_alternatives_and_gaps(spark):
-    df = spark.createDataFrame([("a", ["x", "y"], [["x"], ["x", "y", "z", "q"]]), ("b", [], []), ("c", ["x"], [])], "id string, p array<string>, g array<array<string>>")
+    df = spark.createDataFrame(
+        [("a", ["x", "y"], [["x"], ["x", "y", "z", "q"]]), ("b", [], []), ("c", ["x"], [])],
+        "id string, p array<string>, g array<array<string>>",
+    )
     got = {r["id"]: (round(r["f1"], 3), r["exact"]) for r in mt.best_alternative(df, "p", "g").collect()}
     assert got == {"a": (0.667, 0), "b": (1.0, 1), "c": (0.0, 0)}
     s = lambda v: spark.createDataFrame(v, "id string, v double")
@@ -57,7 +65,9 @@ def test_windows(spark):
     assert match("head sales team and head of sales team", "head of sales team") == ["head sales team", "head of sales team"]
     assert match("anna anna lund", "anna lund", "anna") == ["anna", "anna", "anna lund"]
     assert match("a b c", "x", "") == [] and match("", "a") == []
-    none = spark.createDataFrame([(None, ["a"])], "t array<string>, n array<string>").select(mt.fuzzy_matches("t", "n").alias("x"), mt.window_distance("t", "n").alias("d")).first()
+    none = spark.createDataFrame([(None, ["a"])], "t array<string>, n array<string>").select(
+        mt.fuzzy_matches("t", "n").alias("x"), mt.window_distance("t", "n").alias("d"),
+    ).first()
     assert none["x"] is None and none["d"] is None
 
 
@@ -72,4 +82,6 @@ def test_budgets_blocks_and_rotation(spark):
     assert len({r["turn"] for r in turns if r["arm"] == "x"}) == 3
     plan = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     done = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "k string")
-    assert {r["k"]: r["state"] for r in mt.reconciled(plan, done, ["k"]).collect()} == {"a": "repeated", "b": "complete", "c": "missing", "z": "unplanned"}
+    assert {r["k"]: r["state"] for r in mt.reconciled(plan, done, ["k"]).collect()} == {
+        "a": "repeated", "b": "complete", "c": "missing", "z": "unplanned",
+    }

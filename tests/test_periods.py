@@ -38,7 +38,10 @@ def test_against_brute_force(spark):
         for _ in range(400):
             s = int(rng.integers(-3 * tile, 6 * tile))
             rows.append((key, s, s + int(rng.choice([1, 10, 1_000, 50_000]))))
-        rows += [(key, 7 * tile, 12 * tile + 5), (key, 8 * tile + 3, 8 * tile + 4), (key, 9 * tile, 10 * tile), (key, 12 * tile + 5, 12 * tile + 6)]
+        rows += [
+            (key, 7 * tile, 12 * tile + 5), (key, 8 * tile + 3, 8 * tile + 4), (key, 9 * tile, 10 * tile),
+            (key, 12 * tile + 5, 12 * tile + 6),
+        ]
         rows += [(key, 20 * tile, 21 * tile), (key, 21 * tile, 22 * tile), (key, 5, 5), (key, 9, 2), (key, None, 4), (key, 4, None)]
     rows += rows[:50]
     df = spark.createDataFrame(rows, "k string, s bigint, e bigint").repartition(7)
@@ -53,11 +56,16 @@ def test_against_brute_force(spark):
 def test_edge_cases_of_segments(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
-        ("m", "ref", "a", 0.0, 1.0), ("m", "ref", "a", 1.0, 2.0), ("m", "ref", "a", 2.0011, 3.0), ("m", "ref", "a", 0.2, 0.3), ("m", "ref", "a", 5.0, 5.0), ("m", "ref", "a", 7.0, 6.0),
-        ("m", "ref", "a", nan, 9.0), ("m", "ref", "a", 8.0, inf), ("m", "ref", "a", None, 9.0), ("m", "ref", None, 0.0, 9.0), ("m", "ref", " ", 0.0, 9.0), ("m", "ref", "<NA>", 0.0, 9.0), ("m", "ref", "a", 4.0001, 4.0002),
+        ("m", "ref", "a", 0.0, 1.0), ("m", "ref", "a", 1.0, 2.0), ("m", "ref", "a", 2.0011, 3.0), ("m", "ref", "a", 0.2, 0.3),
+        ("m", "ref", "a", 5.0, 5.0), ("m", "ref", "a", 7.0, 6.0),
+        ("m", "ref", "a", nan, 9.0), ("m", "ref", "a", 8.0, inf), ("m", "ref", "a", None, 9.0), ("m", "ref", None, 0.0, 9.0),
+        ("m", "ref", " ", 0.0, 9.0), ("m", "ref", "<NA>", 0.0, 9.0), ("m", "ref", "a", 4.0001, 4.0002),
         (None, "hyp", "b", 0.0, 0.5),
     ]
     df = spark.createDataFrame(rows, "meeting_id string, side string, speaker string, start_s double, end_s double")
     got = {tuple(r) for r in speaking_periods(df.selectExpr("*", "'x' AS kind", "0 AS start", "1 AS _s")).collect()}
-    assert got == {("period", "m", "ref", "a", 0, 2000), ("gap", "m", "ref", "a", 2000, 2001), ("period", "m", "ref", "a", 2001, 3000), ("period", None, "hyp", "b", 0, 500)}
+    assert got == {
+        ("period", "m", "ref", "a", 0, 2000), ("gap", "m", "ref", "a", 2000, 2001), ("period", "m", "ref", "a", 2001, 3000),
+        ("period", None, "hyp", "b", 0, 500),
+    }
     assert speaking_periods(df.limit(0)).count() == 0

@@ -10,7 +10,9 @@ def test_rollup_cells_and_reports(spark):
     df = spark.createDataFrame([("a", "ok"), ("a", "error"), ("b", "ok"), (None, "ok")], "g string, outcome string")
     got = {(r["g"], r["total"]): (r["n"], r["n_ok"], r["n_error"]) for r in rp.outcome_rollup(df, "g").collect()}
     assert got == {("a", False): (2, 1, 1), ("b", False): (1, 1, 0), (None, False): (1, 1, 0), (None, True): (4, 3, 1)}
-    cells = spark.createDataFrame([("x", 0.5, 0.95), ("y", 0.505, 1.0), ("z", 0.1, 0.5), ("w", 0.6, 1.0)], "cell string, v double, c double")
+    cells = spark.createDataFrame(
+        [("x", 0.5, 0.95), ("y", 0.505, 1.0), ("z", 0.1, 0.5), ("w", 0.6, 1.0)], "cell string, v double, c double",
+    )
     assert {r["cell"]: r["winner"] for r in rp.best_cells(cells, "v", "c", ["cell"]).collect()} == {"x": True, "y": False}
     assert rp.best_cells(cells.where("c < 0.9"), "v", "c", ["cell"]).count() == 0
     qa = spark.createDataFrame([(1.0, 1.0, True), (0.0, 0.0, True), (1.0, 1.0, False)], "f double, i double, a boolean")
@@ -28,12 +30,16 @@ def test_silences(spark):
 
 
 def test_logs_and_constraints(spark):
-    logs = spark.createDataFrame([("log-10.txt", "batch 3 took 5 s\nnoise\nbatch 4 took 7 s"), ("log-2.txt", "batch 1 took 2 s")], "file string, text string")
+    logs = spark.createDataFrame(
+        [("log-10.txt", "batch 3 took 5 s\nnoise\nbatch 4 took 7 s"), ("log-2.txt", "batch 1 took 2 s")], "file string, text string",
+    )
     rows = rp.log_entries(logs, r"batch (\d+) took (\d+) s", ["batch", "seconds"]).orderBy("file_no", "no").collect()
     assert [(r["file_no"], r["no"], r["batch"], r["seconds"]) for r in rows] == [(2, 0, "1", "2"), (10, 0, "3", "5"), (10, 1, "4", "7")]
     roster = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
     members = spark.createDataFrame([("a", "train"), ("a", "test"), ("z", "train")], "k string, split string")
-    assert {tuple(r) for r in rp.constraint_breaks(roster, "k", {"m": members}).collect()} == {("repeated", "roster", "b"), ("unknown", "m", "z"), ("two splits", "m", "a")}
+    assert {tuple(r) for r in rp.constraint_breaks(roster, "k", {"m": members}).collect()} == {
+        ("repeated", "roster", "b"), ("unknown", "m", "z"), ("two splits", "m", "a"),
+    }
 
 
 def test_supplies(spark):

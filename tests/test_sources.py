@@ -24,7 +24,12 @@ def test_turn_lines(spark, tmp_path):
     for bad in ("SPEAKER m1 1 0.5", "SPEAKER m1 1 0.5 0 <NA> <NA> a", "SPEAKER m1 1 x 1 <NA> <NA> a"):
         with pytest.raises(Exception, match="bad speaker line"):
             lines.parse_rttm(spark.createDataFrame([(bad,)], "value string")).collect()
-    made = lines.rttm_lines(spark.createDataFrame([("f", 0.0, 1.5, "a b"), ("f", 2.0, 2.0, "x"), ("g", 1.0, 2.0, None)], "f string, s double, e double, w string"), "f", "s", "e", "w")
+    made = lines.rttm_lines(
+        spark.createDataFrame(
+            [("f", 0.0, 1.5, "a b"), ("f", 2.0, 2.0, "x"), ("g", 1.0, 2.0, None)], "f string, s double, e double, w string",
+        ),
+        "f", "s", "e", "w",
+    )
     lines.write_rttm(made, str(tmp_path / "out"))
     back = lines.parse_rttm(spark.read.text(str(tmp_path / "out")).select("value")).orderBy("file_id").collect()
     assert [(r["file_id"], r["end_s"], r["speaker"]) for r in back] == [("f", 1.5, "a_b"), ("g", 2.0, None)]
@@ -33,7 +38,9 @@ def test_turn_lines(spark, tmp_path):
 
 
 def test_aligned_tokens(spark):
-    rows = ["Acme|1|0.5|0.9||||['e1:ORG']|||", "Corp|1||||||['e1:ORG']|||", "said|1|1.2|||||[]|||", "Rome|2|2.0|||||['e2:LOC']|||", "short|1"]
+    rows = [
+        "Acme|1|0.5|0.9||||['e1:ORG']|||", "Corp|1||||||['e1:ORG']|||", "said|1|1.2|||||[]|||", "Rome|2|2.0|||||['e2:LOC']|||", "short|1",
+    ]
     df = spark.createDataFrame([("d", i, v) for i, v in enumerate(rows)], "document string, ord int, value string")
     got = {r["entity"]: (r["surface"], r["kind"], r["ts"], r["speaker"]) for r in lines.entity_mentions(lines.aligned_tokens(df)).collect()}
     assert got == {"e1": ("Acme Corp", "ORG", 0.5, "1"), "e2": ("Rome", "LOC", 2.0, "2")}
@@ -43,7 +50,10 @@ def test_aligned_tokens(spark):
 
 
 def test_responses(spark, tmp_path):
-    rows = [{"request_id": "a", "outcome": "error", "text": None}, {"request_id": "a", "outcome": "ok", "text": "one", "recorded_utc": "1"}, {"request_id": "b", "outcome": "error"}]
+    rows = [
+        {"request_id": "a", "outcome": "error", "text": None}, {"request_id": "a", "outcome": "ok", "text": "one", "recorded_utc": "1"},
+        {"request_id": "b", "outcome": "error"},
+    ]
     (tmp_path / "r1.jsonl").write_text("\n".join(map(json.dumps, rows)) + '\n{"request_id": "c", "outc')
     (tmp_path / "r2.jsonl").write_text(json.dumps({"request_id": "a", "outcome": "ok", "text": "two", "recorded_utc": "2"}) + "\n")
     got = lines.read_responses(spark, str(tmp_path))
@@ -73,7 +83,9 @@ def test_standoff_corpus(spark, tmp_path):
     assert [(r["meeting"], r["layers"], r["agents"]) for r in standoff.layers(files).collect()] == [("M1", ["segments", "topic", "words"], ["A"])]
     rows = standoff.elements(files).cache()
     words = standoff.words(rows.where("file = 'M1.A.words.xml'"))
-    assert [(r["id"], r["kind"], r["text"], r["start_s"]) for r in words.orderBy("ord").collect()] == [("w0", "w", "We", 0.0), ("w1", "w", "agree", 0.4), ("w2", "w", ".", 0.9), ("w3", "vocalsound", None, None), ("w4", "w", "Yes", 1.0)]
+    assert [(r["id"], r["kind"], r["text"], r["start_s"]) for r in words.orderBy("ord").collect()] == [
+        ("w0", "w", "We", 0.0), ("w1", "w", "agree", 0.4), ("w2", "w", ".", 0.9), ("w3", "vocalsound", None, None), ("w4", "w", "Yes", 1.0),
+    ]
     segments = standoff.holders(rows, "segment").withColumn("key", F.col("id"))
     found, orphans = standoff.expanded(segments, words.withColumnRenamed("id", "wid").withColumnRenamed("wid", "id"))
     got = {r["key"]: (r["text"], r["start_s"], r["end_s"], r["n_words"]) for r in standoff.rebuilt(found).collect()}
@@ -88,7 +100,9 @@ def test_standoff_corpus(spark, tmp_path):
 def test_evidence_links(spark):
     links = spark.createDataFrame([("d1", "s1"), ("d2", "s1"), ("d9", "s2")], "act_id string, sentence_id string")
     acts = spark.createDataFrame([("d1", "B"), ("d2", "A")], "act_id string, speaker string")
-    sentences = spark.createDataFrame([("s1", "actions", "Do it."), ("s2", "abstract", "Talk.")], "sentence_id string, section string, text string")
+    sentences = spark.createDataFrame(
+        [("s1", "actions", "Do it."), ("s2", "abstract", "Talk.")], "sentence_id string, section string, text string",
+    )
     good, missing = standoff.linked_evidence(links, acts, sentences)
     assert [(r["sentence_id"], r["acts"], r["speakers"]) for r in good.collect()] == [("s1", ["d1", "d2"], ["A", "B"])]
     assert [r["act_id"] for r in missing.collect()] == ["d9"]
@@ -99,10 +113,16 @@ def test_questions(spark, tmp_path):
     spans = {"data": [{"id": "a", "question": ["q"], "context": ["x", "red", "car", "y", "bus"], "labels": ["O", "B", "I", "O", "B"]}]}
     (tmp_path / "flat.json").write_text(json.dumps(flat))
     (tmp_path / "spans.json").write_text(json.dumps(spans))
-    rows = documents.answered(documents.read_questions(spark, str(tmp_path / "flat.json")), documents.read_spans(spark, str(tmp_path / "spans.json")))
-    assert {r["id"]: (r["answers"], r["answer_source"]) for r in rows.collect()} == {"a": (["red car", "bus"], "spans"), "b": (["flat"], "flat"), "c": ([], "unanswerable")}
+    rows = documents.answered(
+        documents.read_questions(spark, str(tmp_path / "flat.json")), documents.read_spans(spark, str(tmp_path / "spans.json")),
+    )
+    assert {r["id"]: (r["answers"], r["answer_source"]) for r in rows.collect()} == {
+        "a": (["red car", "bus"], "spans"), "b": (["flat"], "flat"), "c": ([], "unanswerable"),
+    }
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "M7.json").write_text(json.dumps({"meeting_transcripts": [{"speaker": "A", "content": "hi"}, {"speaker": "B", "content": "yo"}]}))
+    (tmp_path / "t" / "M7.json").write_text(
+        json.dumps({"meeting_transcripts": [{"speaker": "A", "content": "hi"}, {"speaker": "B", "content": "yo"}]})
+    )
     assert [tuple(r) for r in documents.read_transcripts(spark, str(tmp_path / "t")).orderBy("ord").collect()] == [("M7", 0, "A", "hi"), ("M7", 1, "B", "yo")]
 
 
@@ -142,7 +162,13 @@ def test_clips_and_mono(spark):
         return out.getvalue()
 
     stereo = made(32_000, 2, np.repeat([[1000, 3000]], 32_000, 0).ravel())
-    df = spark.createDataFrame([("a", bytearray(stereo), 0, 0.25, 0.75), ("a", bytearray(stereo), 1, 5.0, 6.0), ("b", bytearray(b"no wave"), 0, 0.0, 1.0), ("c", None, 0, 0.0, 1.0)], "name string, content binary, n int, s double, e double")
+    df = spark.createDataFrame(
+        [
+            ("a", bytearray(stereo), 0, 0.25, 0.75), ("a", bytearray(stereo), 1, 5.0, 6.0), ("b", bytearray(b"no wave"), 0, 0.0, 1.0),
+            ("c", None, 0, 0.0, 1.0),
+        ],
+        "name string, content binary, n int, s double, e double",
+    )
     rows = {(r["name"], r["n"]): r for r in documents.audio_clips(df, "content", "s", "e").collect()}
     clip = rows["a", 0]
     with wave.open(io.BytesIO(bytes(clip["clip"]))) as w:
@@ -155,10 +181,18 @@ def test_clips_and_mono(spark):
 def test_layouts_and_minutes(spark):
     files = spark.createDataFrame([("m1.A.words.xml",), ("m1.abssumm.xml",), ("odd.txt",)], "name string")
     layout = {".words.xml": "words", ".abssumm.xml": "abstractive"}
-    assert {r["name"]: (r["layer"], r["meeting"]) for r in standoff.placed(files, layout).collect()} == {"m1.A.words.xml": ("words", "m1"), "m1.abssumm.xml": ("abstractive", "m1"), "odd.txt": (None, "odd")}
-    rows = [("f", 0, 0, -1, "root", None, None), ("f", 1, 1, 0, "abstract", None, None), ("f", 2, 2, 1, "sentence", "s1", "First."), ("f", 3, 2, 1, "sentence", "s2", "Then."), ("f", 4, 1, 0, "decisions", None, None), ("f", 5, 2, 4, "sentence", "s3", "Do."), ("f", 6, 1, 0, "other", None, None), ("f", 7, 2, 6, "sentence", "s4", "x")]
+    assert {r["name"]: (r["layer"], r["meeting"]) for r in standoff.placed(files, layout).collect()} == {
+        "m1.A.words.xml": ("words", "m1"), "m1.abssumm.xml": ("abstractive", "m1"), "odd.txt": (None, "odd"),
+    }
+    rows = [
+        ("f", 0, 0, -1, "root", None, None), ("f", 1, 1, 0, "abstract", None, None), ("f", 2, 2, 1, "sentence", "s1", "First."),
+        ("f", 3, 2, 1, "sentence", "s2", "Then."), ("f", 4, 1, 0, "decisions", None, None), ("f", 5, 2, 4, "sentence", "s3", "Do."),
+        ("f", 6, 1, 0, "other", None, None), ("f", 7, 2, 6, "sentence", "s4", "x"),
+    ]
     df = spark.createDataFrame(rows, "file string, ord int, depth int, parent int, tag string, id string, text string")
-    assert [tuple(r) for r in standoff.minutes(df).orderBy("section", "place").collect()] == [("f", "abstract", 0, "s1", "First."), ("f", "abstract", 1, "s2", "Then."), ("f", "decisions", 0, "s3", "Do.")]
+    assert [tuple(r) for r in standoff.minutes(df).orderBy("section", "place").collect()] == [
+        ("f", "abstract", 0, "s1", "First."), ("f", "abstract", 1, "s2", "Then."), ("f", "decisions", 0, "s3", "Do."),
+    ]
 
 
 def test_slices_of_audio(spark):
@@ -193,15 +227,23 @@ def test_manifests(spark, tmp_path):
     registry = spark.createDataFrame([("m1", "dev"), ("m2", "dev"), ("m3", None), ("m3", "x")], "meeting string, role string")
     listed = spark.createDataFrame([("m1",), ("m9",)], "meeting string")
     got = sorted(tuple(r) for r in manifests.registry_breaks(registry, {"role": {"dev": 2, "test": 1, "x": 1}}, {"list": listed}).collect())
-    assert got == [("count", "role", "none 1"), ("count", "role", "test 0"), ("repeated", "registry", "m3"), ("uncovered", "list", "m2"), ("uncovered", "list", "m3"), ("unknown", "list", "m9")]
+    assert got == [
+        ("count", "role", "none 1"), ("count", "role", "test 0"), ("repeated", "registry", "m3"), ("uncovered", "list", "m2"),
+        ("uncovered", "list", "m3"), ("unknown", "list", "m9"),
+    ]
     files = spark.createDataFrame([("a.wav",)], "name string")
     assert [r["k"] for r in manifests.missing_files(df, "k", files, "{id}.wav").collect()] == ["b"]
 
 
 def test_section_texts(spark):
-    rows = [("m", "ACTIONS", 1, 0, "second"), ("m", "ACTIONS", 0, 1, "first b"), ("m", "ACTIONS", 0, 0, "first a"), ("m", "PROBLEMS", 0, 0, "p")]
+    rows = [
+        ("m", "ACTIONS", 1, 0, "second"), ("m", "ACTIONS", 0, 1, "first b"), ("m", "ACTIONS", 0, 0, "first a"),
+        ("m", "PROBLEMS", 0, 0, "p"),
+    ]
     df = spark.createDataFrame(rows, "meeting string, section string, seq int, n int, body string")
-    assert {r["section"]: (r["n"], r["text"]) for r in grammar.section_texts(df, "meeting", ["seq", "n"]).collect()} == {"ACTIONS": (3, "first a\nfirst b\nsecond"), "PROBLEMS": (1, "p")}
+    assert {r["section"]: (r["n"], r["text"]) for r in grammar.section_texts(df, "meeting", ["seq", "n"]).collect()} == {
+        "ACTIONS": (3, "first a\nfirst b\nsecond"), "PROBLEMS": (1, "p"),
+    }
 
 
 def test_episode_stream_equals_batch(spark, tmp_path):
@@ -221,7 +263,9 @@ def test_stream_of_deliveries_and_windows(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, t string").selectExpr("id", "cast(t as timestamp) as at")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    for name, made in (("first_copies", episodes.first_deliveries(stream, ["id"], "at")), ("hourly", episodes.windowed_counts(stream, "at", []))):
+    for name, made in (
+        ("first_copies", episodes.first_deliveries(stream, ["id"], "at")), ("hourly", episodes.windowed_counts(stream, "at", [])),
+    ):
         made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["id"] for r in spark.table("first_copies").collect()) == ["a", "b", "c"]
     assert sorted(r["n"] for r in spark.table("hourly").collect()) == [1, 2]

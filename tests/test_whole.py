@@ -15,7 +15,10 @@ def run(spark, folder, name, **tables):
     return all_plans().queries[name](spark, str(folder)).collect()
 
 
-TEXTS = ["The menu, one of 1,200", "It’s the café’s twenty\u00a0one — an “old” plan", "créa la the", "我们 needs three 页面。\u3000ten", "Straße, Ökonomie: an ÉA", "Speaker 2: naïve the", "naïve\u2003\u2003a", "", "🙂 five", None]
+TEXTS = [
+    "The menu, one of 1,200", "It’s the café’s twenty\u00a0one — an “old” plan", "créa la the", "我们 needs three 页面。\u3000ten",
+    "Straße, Ökonomie: an ÉA", "Speaker 2: naïve the", "naïve\u2003\u2003a", "", "🙂 five", None,
+]
 
 
 def answer(t):
@@ -42,16 +45,28 @@ def test_texts_in_any_script(spark, tmp_path):
 def test_claims_from_the_reference_threshold(spark, tmp_path):
     turns = [("u", 0, "s", "a b c d e f"), ("u", 1, "s", "k l m n o p q r")]
     segments = [("r", "u", 0, "a b x y z w"), ("r", "u", 1, "k l 1 2 3 4 5 6")]  # F1 of 1/3 and 1/4
-    got = run(spark, tmp_path, "claimed_turns", score_turns=(turns, "uniq_id string, turn_index int, speaker_id string, reference_text string"), transcribed_segments=(segments, "request_id string, uniq_id string, seg_ord int, text string"), speaker_roster=([], "uniq_id string, speaker_no int, display_name string, role_title string"))
+    got = run(
+        spark, tmp_path, "claimed_turns", score_turns=(turns, "uniq_id string, turn_index int, speaker_id string, reference_text string"),
+        transcribed_segments=(segments, "request_id string, uniq_id string, seg_ord int, text string"),
+        speaker_roster=([], "uniq_id string, speaker_no int, display_name string, role_title string"),
+    )
     assert [(r["meeting"], r["claims"], r["f1"]) for r in got] == [("r", 1, 0.333333)]
 
 
 def test_all_words_have_a_speaker(spark, tmp_path):
-    turns = [("u", 0, "Speaker 1", "a b"), ("u", 1, "Ana  Lund", "c d"), ("u", 2, None, "e f g"), ("u", 3, "S0", "h"), ("u", 3, "ANA LUND", "h"), ("u", 4, "unknown", "i j")]
-    segments = [("r", "u", 0, "[spk_1]:", "a b"), ("r", "u", 1, "S0", "c d"), ("r", "u", 2, "", "e f g"), ("r", "u", 3, "chair", "h"), ("r", "u", 4, "guest", "i x")]
+    turns = [
+        ("u", 0, "Speaker 1", "a b"), ("u", 1, "Ana  Lund", "c d"), ("u", 2, None, "e f g"), ("u", 3, "S0", "h"), ("u", 3, "ANA LUND", "h"),
+        ("u", 4, "unknown", "i j"),
+    ]
+    segments = [
+        ("r", "u", 0, "[spk_1]:", "a b"), ("r", "u", 1, "S0", "c d"), ("r", "u", 2, "", "e f g"), ("r", "u", 3, "chair", "h"),
+        ("r", "u", 4, "guest", "i x"),
+    ]
     roster = [("u", 0, "Ana Lund", "Chair"), ("u", 1, "Bo Ek", None)]
     got = run(
-        spark, tmp_path, "speaker_error_rates", score_turns=(turns, "uniq_id string, turn_index int, speaker_id string, reference_text string"),
-        transcribed_segments=(segments, "request_id string, uniq_id string, seg_ord int, speaker string, text string"), speaker_roster=(roster, "uniq_id string, speaker_no int, display_name string, role_title string"),
+        spark, tmp_path, "speaker_error_rates",
+        score_turns=(turns, "uniq_id string, turn_index int, speaker_id string, reference_text string"),
+        transcribed_segments=(segments, "request_id string, uniq_id string, seg_ord int, speaker string, text string"),
+        speaker_roster=(roster, "uniq_id string, speaker_no int, display_name string, role_title string"),
     )
     assert [(r["session"], r["errors"], r["ref_words"], r["hyp_words"]) for r in got] == [("r", 1, 10, 10)]
