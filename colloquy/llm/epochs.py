@@ -105,7 +105,10 @@ class EpochStore:
     def update(self, batch: DataFrame, id_column: str, epoch_column: str, rate: float | None = None) -> int:
         """Stores the ids of a batch that are new; the number of the generation, or the last one
         where there is none. ``rate``: the rate to freeze for new epochs, else the schedule's."""
-        seen = first_seen(batch, id_column, epoch_column).select(F.col("id").cast("string").alias("id"), F.col("epoch").cast("int").alias("epoch"), (F.lit(rate) if rate is not None else F.col("rate")).alias("rate"))
+        seen = first_seen(batch, id_column, epoch_column).select(
+            F.col("id").cast("string").alias("id"), F.col("epoch").cast("int").alias("epoch"),
+            (F.lit(rate) if rate is not None else F.col("rate")).alias("rate"),
+        )
         while True:
             known = self.generations()
             last = known[-1] if known else -1

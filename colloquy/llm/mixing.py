@@ -45,7 +45,9 @@ def prefix_sums(docs: DataFrame, seed: int = 0, bucket_docs: int = BUCKET_DOCS)
     slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
     sizes = sizes.drop("n").withColumnRenamed("source", "_s").withColumn("_slice", slices)
     keyed = docs.withColumn("key", random_key(seed, F.col("doc_id")))
-    keyed = keyed.join(sizes, keyed["source"].eqNullSafe(F.col("_s")) & (F.pmod("key", F.lit(SLICES)) == F.col("_slice"))).drop("_s", "_slice")
+    keyed = keyed.join(
+        sizes, keyed["source"].eqNullSafe(F.col("_s")) & (F.pmod("key", F.lit(SLICES)) == F.col("_slice")),
+    ).drop("_s", "_slice")
     keyed = keyed.withColumn("bucket", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("buckets"))).cast("long"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
     # The table (source, bucket) is smaller than the corpus by BUCKET_DOCS.
@@ -69,15 +71,24 @@ def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.join(totals, targets["source_name"] == totals["source"], "left").crossJoin(F.broadcast(corpus))  # one row
     own = F.coalesce(F.col("source_tokens"), F.lit(0))
     asked = F.floor(F.col("size_ratio") * F.col("corpus_tokens") * F.col("target_share")).cast("long")
-    budget = F.when(own > 0, F.least(asked, own * F.greatest(F.coalesce(F.col("max_repeats"), F.lit(0)), F.lit(0)))).otherwise(F.lit(0)).cast("long")
+    budget = F.when(
+        own > 0, F.least(asked, own * F.greatest(F.coalesce(F.col("max_repeats"), F.lit(0)), F.lit(0))),
+    ).otherwise(F.lit(0)).cast("long")
     return (
-        t.select("mix_name", F.col("source_name").alias("source"), "size_ratio", "target_share", "max_repeats", "corpus_tokens", own.alias("source_tokens"), asked.alias("asked"), budget.alias("budget"))
-        .withColumn("whole", F.when(F.col("source_tokens") > 0, F.floor(F.col("budget") / F.col("source_tokens"))).otherwise(F.lit(0)).cast("int"))
+        t.select(
+            "mix_name", F.col("source_name").alias("source"), "size_ratio", "target_share", "max_repeats", "corpus_tokens",
+            own.alias("source_tokens"), asked.alias("asked"), budget.alias("budget"),
+        )
+        .withColumn(
+            "whole", F.when(F.col("source_tokens") > 0, F.floor(F.col("budget") / F.col("source_tokens"))).otherwise(F.lit(0)).cast("int"),
+        )
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("source_tokens"))
     )
 
 
-def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+def mixed(
+    documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES,
+) -> DataFrame:
     """Documents of each mix: mix_name, doc_id, source, tokens, repeats (1 or more).
 
     Sources are whole epochs (all documents so many times) and the head, in hash order, of
@@ -93,7 +104,9 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: st
     return rows.select("mix_name", "doc_id", "source", "tokens", repeats.alias("repeats")).where(F.col("repeats") > 0)
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+def mix_report(
+    documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES,
+) -> DataFrame:
     """Per mix and target: asked and actual tokens, target and actual share, documents used,
     most repeats, and ``short`` where max_repeats or missing documents leave tokens undone."""
     docs = cut_lineage(sized(documents, tokenizer, folder))
@@ -111,6 +124,7 @@ def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenize
     used = F.when(F.col("budget") > 0, F.coalesce(F.col("docs"), F.lit(0))).otherwise(F.lit(0)).cast("long")
     most = F.when(F.col("budget") > 0, F.col("whole") + F.coalesce(F.col("more"), F.lit(0))).otherwise(F.lit(0)).cast("int")
     return rows.select(
-        "mix_name", "source", "target_share", F.round(share, 6).alias("actual_share"), F.col("asked").alias("asked_tokens"), F.col("tokens").alias("actual_tokens"),
+        "mix_name", "source", "target_share", F.round(share, 6).alias("actual_share"), F.col("asked").alias("asked_tokens"),
+        F.col("tokens").alias("actual_tokens"),
         used.alias("docs"), most.alias("most_repeats"), (F.col("budget") < F.col("asked")).alias("short"),
     )

@@ -13,7 +13,9 @@ from . import bpe, epochs, mixing, residue, splitting, transcripts, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(table(spark, sf_dir, "parse_results"), table(spark, sf_dir, "direction_scores")).select("record_kind", "record_id")
+    return truncation.truncated(
+        table(spark, sf_dir, "parse_results"), table(spark, sf_dir, "direction_scores"),
+    ).select("record_kind", "record_id")
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +23,9 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str, texts: bool) -> DataFrame:
-    return transcripts.transcript_turns(*(table(spark, sf_dir, t) for t in ("transcribed_segments", "score_turns", "speaker_roster")), texts=texts)
+    return transcripts.transcript_turns(
+        *(table(spark, sf_dir, t) for t in ("transcribed_segments", "score_turns", "speaker_roster")), texts=texts,
+    )
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +99,10 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_rates, p3_found, p3_turns, p4_found, p4_pieces, p4_faults, p6_dialogues, p6_inputs, p6_epochs, p7_ids, p7_counts, p8_mix, p8_shares, p9_found, p9_reasons, p9_corpus)
+    for f in (
+        p1_found, p1_rates, p3_found, p3_turns, p4_found, p4_pieces, p4_faults, p6_dialogues, p6_inputs, p6_epochs, p7_ids, p7_counts,
+        p8_mix, p8_shares, p9_found, p9_reasons, p9_corpus,
+    )
 }
 
 _OVERSIZED = """

@@ -56,47 +56,85 @@ FRAME_SLOTS, FRAME_SHARE = 2, 0.5
 EXAMPLES: dict[str, tuple[str, ...]] = {
     "error": (
         *(f"404 {x.phrase}" for x in HTTPStatus if x >= 400),
-        "404 page not found", "404 file not found", "resource not found", "404 page unavailable", "404 request entity too large", "404 unprocessable entity", "404 service temporarily unavailable",
-        "404 gateway time-out", "gateway timeout", "request timeout", "404 unauthorised", "forbidden", "unauthorized", "HTTP error 404", "HTTP status 404", "error 404", "error code: 404", "status code 404", "404. That's an error.",
-        "access denied", "permission denied", "you don't have permission to view this page", "you do not have access to this resource", "you are not authorized to view this page",
+        "404 page not found", "404 file not found", "resource not found", "404 page unavailable", "404 request entity too large",
+        "404 unprocessable entity", "404 service temporarily unavailable",
+        "404 gateway time-out", "gateway timeout", "request timeout", "404 unauthorised", "forbidden", "unauthorized", "HTTP error 404",
+        "HTTP status 404", "error 404", "error code: 404", "status code 404", "404. That's an error.",
+        "access denied", "permission denied", "you don't have permission to view this page", "you do not have access to this resource",
+        "you are not authorized to view this page",
         "your session has expired", "session expired, please sign in again", "please log in again to continue",
-        "the server encountered an unexpected condition", "the server encountered an internal error and was unable to complete your request", "the server is temporarily unable to service your request",
-        "internal server error", "the requested URL was not found on this server", "the requested recording could not be located", "the requested document does not exist", "the page you requested could not be found",
-        "the file could not be opened", "the transcript could not be loaded", "we can't find the page you are looking for", "we could not load the document", "unable to load the resource", "failed to load resource", "failed to fetch",
-        "this page has been removed", "this page does not exist", "this page is no longer available", "this page isn't working", "this content is not available", "this site can't be reached", "the link may be broken or the page may have been moved",
-        "something went wrong, reload the page", "an error occurred", "an unexpected error has occurred", "an error occurred while processing your request", "unknown error, error code", "fatal error", "unhandled exception",
-        "too many requests, you have been rate limited", "the service did not respond in time", "the service is unavailable", "service unavailable", "connection timed out", "the connection was reset", "connection refused",
-        "upstream unavailable", "upstream connect error", "no response from backend server", "please contact the administrator", "try reloading the page", "try again later", "not found", "contact the site administrator for help", "bad gateway", "ERR_CONNECTION_RESET", "ERR_CONNECTION_TIMED_OUT", "ERR_NAME_NOT_RESOLVED", "error message code 404", "database connection failed", "request failed with status code 404",
-        "Zugriff verweigert", "Ihre Sitzung ist abgelaufen", "Seite nicht gefunden", "die angeforderte Seite existiert nicht mehr", "die angeforderte Aufnahme wurde nicht gefunden", "interner Serverfehler", "bitte versuchen Sie es später erneut", "Fehler 404",
+        "the server encountered an unexpected condition",
+        "the server encountered an internal error and was unable to complete your request",
+        "the server is temporarily unable to service your request",
+        "internal server error", "the requested URL was not found on this server", "the requested recording could not be located",
+        "the requested document does not exist", "the page you requested could not be found",
+        "the file could not be opened", "the transcript could not be loaded", "we can't find the page you are looking for",
+        "we could not load the document", "unable to load the resource", "failed to load resource", "failed to fetch",
+        "this page has been removed", "this page does not exist", "this page is no longer available", "this page isn't working",
+        "this content is not available", "this site can't be reached", "the link may be broken or the page may have been moved",
+        "something went wrong, reload the page", "an error occurred", "an unexpected error has occurred",
+        "an error occurred while processing your request", "unknown error, error code", "fatal error", "unhandled exception",
+        "too many requests, you have been rate limited", "the service did not respond in time", "the service is unavailable",
+        "service unavailable", "connection timed out", "the connection was reset", "connection refused",
+        "upstream unavailable", "upstream connect error", "no response from backend server", "please contact the administrator",
+        "try reloading the page", "try again later", "not found", "contact the site administrator for help", "bad gateway",
+        "ERR_CONNECTION_RESET", "ERR_CONNECTION_TIMED_OUT", "ERR_NAME_NOT_RESOLVED", "error message code 404", "database connection failed",
+        "request failed with status code 404",
+        "Zugriff verweigert", "Ihre Sitzung ist abgelaufen", "Seite nicht gefunden", "die angeforderte Seite existiert nicht mehr",
+        "die angeforderte Aufnahme wurde nicht gefunden", "interner Serverfehler", "bitte versuchen Sie es später erneut", "Fehler 404",
         "Dienst nicht verfügbar", "Sie haben keine Berechtigung", "die Verbindung wurde unterbrochen", "es ist ein Fehler aufgetreten",
-        "accès refusé", "votre session a expiré", "page introuvable", "le document demandé n'existe pas ou a été déplacé", "erreur 404 : service momentanément indisponible", "erreur interne du serveur", "vous n'avez pas l'autorisation", "une erreur est survenue",
-        "acceso denegado", "la sesión ha caducado", "su sesión ha expirado", "página no encontrada", "el documento solicitado no existe", "error interno del servidor", "inténtelo de nuevo más tarde", "se ha producido un error", "servicio no disponible",
-        "página não encontrada", "acesso negado", "erro interno do servidor", "sessão expirada", "ocorreu um erro", "pagina non trovata", "accesso negato", "errore interno del server", "si è verificato un errore",
+        "accès refusé", "votre session a expiré", "page introuvable", "le document demandé n'existe pas ou a été déplacé",
+        "erreur 404 : service momentanément indisponible", "erreur interne du serveur", "vous n'avez pas l'autorisation",
+        "une erreur est survenue",
+        "acceso denegado", "la sesión ha caducado", "su sesión ha expirado", "página no encontrada", "el documento solicitado no existe",
+        "error interno del servidor", "inténtelo de nuevo más tarde", "se ha producido un error", "servicio no disponible",
+        "página não encontrada", "acesso negado", "erro interno do servidor", "sessão expirada", "ocorreu um erro", "pagina non trovata",
+        "accesso negato", "errore interno del server", "si è verificato un errore",
         "服务器内部错误，请稍后再试", "页面不存在", "页面找不到", "您访问的页面已被删除", "访问被拒绝，请重新登录", "请求超时", "请求已超时，请重试", "会话已过期", "服务暂时不可用", "服务器繁忙", "服务器没有响应",
     ),
     "scripts": (
-        "please enable JavaScript to view this page", "enable JavaScript to open this document", "this page needs JavaScript to play the video", "enable JavaScript to load this application", "to read this article, enable JavaScript", "client-side scripts are required", "we're sorry but this app doesn't work properly without JavaScript enabled", "you need to enable JavaScript to run this app", "enable JavaScript to continue", "enable JavaScript and cookies to continue", "enable cookies and JavaScript, then refresh",
-        "JavaScript is disabled in your browser", "JavaScript is required", "JavaScript required", "JavaScript must be enabled", "JavaScript seems to be disabled", "this site requires JavaScript", "this viewer requires scripts",
-        "this page needs JavaScript to work", "this player does not work without JavaScript enabled", "this application will not run without JavaScript", "your browser does not support scripts or they have been switched off",
-        "your browser does not support JavaScript", "your browser has scripting turned off", "turn on JavaScript and reload the page", "turn on JavaScript in your browser", "switch on JavaScript in your browser settings", "to continue, switch on JavaScript",
-        "allow scripts for this site", "noscript: scripts are blocked", "activate JavaScript in your browser", "checking your browser before accessing the site", "we need to verify that you are human", "verify you are human",
-        "bitte aktivieren Sie JavaScript in Ihrem Browser", "JavaScript ist deaktiviert", "diese Seite benötigt JavaScript", "veuillez activer JavaScript dans votre navigateur", "veuillez activer JavaScript pour afficher cette page", "JavaScript est désactivé", "ce site nécessite JavaScript",
-        "debe habilitar JavaScript en su navegador", "active JavaScript para continuar", "JavaScript está desactivado", "habilite JavaScript para ver esta página", "ative o JavaScript no seu navegador", "attiva JavaScript nel tuo browser",
+        "please enable JavaScript to view this page", "enable JavaScript to open this document",
+        "this page needs JavaScript to play the video", "enable JavaScript to load this application",
+        "to read this article, enable JavaScript", "client-side scripts are required",
+        "we're sorry but this app doesn't work properly without JavaScript enabled", "you need to enable JavaScript to run this app",
+        "enable JavaScript to continue", "enable JavaScript and cookies to continue", "enable cookies and JavaScript, then refresh",
+        "JavaScript is disabled in your browser", "JavaScript is required", "JavaScript required", "JavaScript must be enabled",
+        "JavaScript seems to be disabled", "this site requires JavaScript", "this viewer requires scripts",
+        "this page needs JavaScript to work", "this player does not work without JavaScript enabled",
+        "this application will not run without JavaScript", "your browser does not support scripts or they have been switched off",
+        "your browser does not support JavaScript", "your browser has scripting turned off", "turn on JavaScript and reload the page",
+        "turn on JavaScript in your browser", "switch on JavaScript in your browser settings", "to continue, switch on JavaScript",
+        "allow scripts for this site", "noscript: scripts are blocked", "activate JavaScript in your browser",
+        "checking your browser before accessing the site", "we need to verify that you are human", "verify you are human",
+        "bitte aktivieren Sie JavaScript in Ihrem Browser", "JavaScript ist deaktiviert", "diese Seite benötigt JavaScript",
+        "veuillez activer JavaScript dans votre navigateur", "veuillez activer JavaScript pour afficher cette page",
+        "JavaScript est désactivé", "ce site nécessite JavaScript",
+        "debe habilitar JavaScript en su navegador", "active JavaScript para continuar", "JavaScript está desactivado",
+        "habilite JavaScript para ver esta página", "ative o JavaScript no seu navegador", "attiva JavaScript nel tuo browser",
         "请启用JavaScript", "请启用浏览器的JavaScript功能", "请在浏览器中开启脚本", "需要启用脚本",
     ),
     "filler": (
-        "your text here", "your text goes here", "your title here", "your content goes here", "insert text here", "insert your content here", "enter text here", "enter a title",
-        "type your text here", "type a description", "write your summary here", "add your text here", "add a title", "add a heading", "add your bullet points here", "click to add title", "click to add text", "click to add notes", "click to edit",
-        "click here to enter text", "sample text", "sample paragraph for display only", "sample content for display purposes", "dummy text", "dummy content", "placeholder text", "placeholder paragraph", "this is placeholder text", "this is dummy content",
-        "filler text", "replace this text with your content", "replace this placeholder before publishing", "body copy goes here", "section content goes here", "description goes here", "heading goes here", "heading 1", "text to be replaced",
-        "dies ist ein Blindtext", "dies ist ein Platzhalter", "Platzhaltertext", "hier steht Ihr Text", "hier steht später der Inhalt", "hier Text eingeben", "Beispieltext",
-        "votre texte ici", "texte factice", "texte provisoire à remplacer", "texte de remplissage", "insérez votre texte ici", "cliquez pour ajouter un titre",
-        "su texto aquí", "texto de relleno", "texto de ejemplo", "sustituir por el contenido final", "haga clic para agregar título", "seu texto aqui", "testo di esempio",
+        "your text here", "your text goes here", "your title here", "your content goes here", "insert text here",
+        "insert your content here", "enter text here", "enter a title",
+        "type your text here", "type a description", "write your summary here", "add your text here", "add a title", "add a heading",
+        "add your bullet points here", "click to add title", "click to add text", "click to add notes", "click to edit",
+        "click here to enter text", "sample text", "sample paragraph for display only", "sample content for display purposes", "dummy text",
+        "dummy content", "placeholder text", "placeholder paragraph", "this is placeholder text", "this is dummy content",
+        "filler text", "replace this text with your content", "replace this placeholder before publishing", "body copy goes here",
+        "section content goes here", "description goes here", "heading goes here", "heading 1", "text to be replaced",
+        "dies ist ein Blindtext", "dies ist ein Platzhalter", "Platzhaltertext", "hier steht Ihr Text", "hier steht später der Inhalt",
+        "hier Text eingeben", "Beispieltext",
+        "votre texte ici", "texte factice", "texte provisoire à remplacer", "texte de remplissage", "insérez votre texte ici",
+        "cliquez pour ajouter un titre",
+        "su texto aquí", "texto de relleno", "texto de ejemplo", "sustituir por el contenido final", "haga clic para agregar título",
+        "seu texto aqui", "testo di esempio",
         "此处为占位文字", "占位文本", "示例文字", "点击此处添加标题", "请替换为正文内容", "在此输入文本",
     ),
     "lorem": (
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua", "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
-        "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur", "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
+        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+        "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
+        "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
+        "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
     ),
 }
 # Words that say nothing about the kind of a message, and everyday words that
@@ -108,10 +146,14 @@ FUNCTION = frozenset(
 )
 COMMON = frozenset("you your my please sorry here goes now only time again later new back no more one looking add type enter click write edit steht hier ihr bitte votre ici vous su aquí view read".split())
 SAID_OFTEN = frozenset("yeah yes yep okay well really very bye right sure thanks what come hello good great stop wait please sorry never more now here there".split())
-NEGATORS = frozenset("not cannot can't couldn't don't doesn't didn't isn't aren't won't wasn't nicht kein keine n'existe non não never".split())
+NEGATORS = frozenset(
+    "not cannot can't couldn't don't doesn't didn't isn't aren't won't wasn't nicht kein keine n'existe non não never".split()
+)
 
 INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f\\u007f]"
-_QUOTED = re.compile(r"(?<![^\s(])(?:\"[^\"\n]{2,60}\"|'[^'\n]{2,60}'|“[^”\n]{2,60}”|‘[^’\n]{2,60}’|„[^“\n]{2,60}“|«[^»\n]{2,60}»)(?=[\s.,;:!?)]|$)")
+_QUOTED = re.compile(
+    r"(?<![^\s(])(?:\"[^\"\n]{2,60}\"|'[^'\n]{2,60}'|“[^”\n]{2,60}”|‘[^’\n]{2,60}’|„[^“\n]{2,60}“|«[^»\n]{2,60}»)(?=[\s.,;:!?)]|$)"
+)
 _TAGS = re.compile(r"https?://\S+|</?[A-Za-z][A-Za-z0-9#]*(?:\s[^<>\n]*)?/?>")
 _TOKEN = re.compile(r"#e?|\*(?=\s|$)|[A-Z]{2,}(?:['’][A-Z]+)?(?![a-zà-ÿ])|[^\W\d_][^\W\d_A-Z]*(?:['’][^\W\d_]+)?|[^\W\d_]")
 _CODE = re.compile(r"(?<![\d.,:])[45]\d\d(?![.,:]?\d)")
@@ -291,7 +333,9 @@ def has_slot(text: str) -> bool:
     return any(sure for sure, _, _ in brackets_of(text))
 
 
-_BRACKETS = T.ArrayType(T.StructType([T.StructField("sure", T.BooleanType()), T.StructField("inside", T.StringType()), T.StructField("frame", T.StringType())]))
+_BRACKETS = T.ArrayType(
+    T.StructType([T.StructField("sure", T.BooleanType()), T.StructField("inside", T.StringType()), T.StructField("frame", T.StringType())])
+)
 
 
 @F.pandas_udf(_BRACKETS)
@@ -313,7 +357,9 @@ def slot_lines(parsed: DataFrame) -> DataFrame:
     found = parsed.where(F.size("brackets") > 0).select(*KEY, F.inline("brackets"))
     # a line of nothing but a bracket is no frame
     found = found.withColumn("frame", F.when(F.col("frame").rlike(r"\p{L}.*\p{L}.*\p{L}"), F.md5("frame")))
-    frames = found.groupBy("frame", "inside").agg(F.max("sure").alias("sure")).groupBy("frame").agg(F.count_if("sure").alias("n"), F.count(F.lit(1)).alias("of"))
+    frames = found.groupBy("frame", "inside").agg(F.max("sure").alias("sure")).groupBy("frame").agg(
+        F.count_if("sure").alias("n"), F.count(F.lit(1)).alias("of"),
+    )
     frames = frames.where((F.col("n") >= FRAME_SLOTS) & (F.col("n") >= FRAME_SHARE * F.col("of"))).select("frame")
     unsure = found.where("not sure")
     capitals = F.col("inside").rlike(r"^\p{Lu}[\p{Lu}_ ]{3,}$")
@@ -346,14 +392,18 @@ def tidied(rows: DataFrame, column: str) -> DataFrame:
     """Without invisible characters; white space but line ends as one space. Plain texts, the
     most, are only looked at; two steps, so that neither is computed twice."""
     text = F.col(column)
-    odd = F.when(text.rlike(INVISIBLE[:-1] + _BLANKS[1:-1]), F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), _BLANKS, " ")).otherwise(text)
+    odd = F.when(
+        text.rlike(INVISIBLE[:-1] + _BLANKS[1:-1]), F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), _BLANKS, " "),
+    ).otherwise(text)
     rows = rows.withColumn(column, odd)
     return rows.withColumn(column, F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
 
 
 def lines_of(documents: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_key, KEY and line, one row per line that is not blank."""
-    rows = documents.where(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("text_key"), F.explode(F.split(text, _BREAKS)).alias("line"))
+    rows = documents.where(F.col(text).isNotNull()).select(
+        "doc_id", F.xxhash64(text).alias("text_key"), F.explode(F.split(text, _BREAKS)).alias("line"),
+    )
     return rows.where(F.length(F.trim("line")) > 2).select("doc_id", "text_key", *hashes_of("line"), "line")
 
 
@@ -406,7 +456,9 @@ def _template(low: pd.Series, high: pd.Series, low_back: pd.Series, high_back: p
 def mined_templates(units: DataFrame) -> DataFrame:
     """Templates of distinct units (column unit): path, template and n, the units of each."""
     back = F.reverse("unit")
-    leaves = with_leaf(units).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
+    leaves = with_leaf(units).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"),
+    )
     return leaves.select("path", "n", _template("a", "b", "c", "d").alias("template"))
 
 
@@ -459,7 +511,9 @@ def company_lines(places: DataFrame, copies: DataFrame, condemned: DataFrame) ->
     ``places``: doc_id, text_key and KEY of each line; ``copies``: KEY and copies. Repeated
     texts count once towards COMPANY_TEXTS."""
     bad = condemned.groupBy("doc_id").agg(F.min("reason").alias("reason"))
-    inside = places.join(bad, "doc_id").groupBy(*KEY).agg(F.count_distinct("text_key").alias("texts"), F.count(F.lit(1)).alias("n"), F.min("reason").alias("reason"))
+    inside = places.join(bad, "doc_id").groupBy(*KEY).agg(
+        F.count_distinct("text_key").alias("texts"), F.count(F.lit(1)).alias("n"), F.min("reason").alias("reason"),
+    )
     return inside.where(F.col("texts") >= COMPANY_TEXTS).join(copies, KEY).where(F.col("n") >= COMPANY_SHARE * F.col("copies")).select(*KEY, "reason")
 
 

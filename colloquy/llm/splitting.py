@@ -76,7 +76,10 @@ def pieces_of(low: int, high: int, cuts: list[np.ndarray], most: int, overlap: i
 
 
 _PIECE = T.StructType(
-    [T.StructField("profile", T.StringType()), T.StructField("turn_index", T.IntegerType()), T.StructField("piece_no", T.IntegerType()), T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()), T.StructField("boundary", T.StringType())]
+    [
+        T.StructField("profile", T.StringType()), T.StructField("turn_index", T.IntegerType()), T.StructField("piece_no", T.IntegerType()),
+        T.StructField("start_us", T.LongType()), T.StructField("end_us", T.LongType()), T.StructField("boundary", T.StringType()),
+    ]
 )
 
 
@@ -122,14 +125,19 @@ def oversized(dialogues: DataFrame, good: DataFrame, limits: list[tuple[str, flo
     duration = F.when(~F.isnan("duration") & (F.abs("duration") < 1e9), F.col("duration"))
     listed = dialogues.where(F.col("uniq_id").isNotNull()).select("uniq_id", duration.alias("length"), F.lit(True).alias("listed"))
     last = good.groupBy("uniq_id").agg(F.max("end_s").alias("length")).withColumn("listed", F.lit(False))
-    whole = listed.unionByName(last).groupBy("uniq_id").agg(F.max("length").alias("length"), F.max("listed").alias("listed")).where("listed")
-    items = whole.select("uniq_id", F.lit(-1).alias("turn_index"), F.lit(0.0).alias("start_s"), F.col("length").alias("end_s")).unionByName(good)
+    whole = listed.unionByName(last).groupBy("uniq_id").agg(
+        F.max("length").alias("length"), F.max("listed").alias("listed"),
+    ).where("listed")
+    items = whole.select(
+        "uniq_id", F.lit(-1).alias("turn_index"), F.lit(0.0).alias("start_s"), F.col("length").alias("end_s"),
+    ).unionByName(good)
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(t).alias("target"), F.lit(a).alias("least"), F.lit(b).alias("most"), F.lit(o).alias("overlap")) for p, t, a, b, o in limits]))
     items = items.select("*", each.alias("l")).where(F.floor((F.col("end_s") - F.col("start_s") - F.col("l.most")) * _US + 1e-3) >= 1)
     start = _us(F.col("start_s"))
     item = F.struct(
         F.col("l.profile").alias("profile"), F.col("turn_index").cast("int").alias("turn_index"), start.alias("start_us"),
-        F.greatest(_us(F.col("end_s")), start + _us(F.col("l.most")) + 1).alias("end_us"), _us(F.col("l.most")).alias("max_us"), _us(F.col("l.overlap")).alias("overlap_us"),
+        F.greatest(_us(F.col("end_s")), start + _us(F.col("l.most")) + 1).alias("end_us"), _us(F.col("l.most")).alias("max_us"),
+        _us(F.col("l.overlap")).alias("overlap_us"),
         _us(F.col("l.target")).alias("target_us"), _us(F.col("l.least")).alias("min_us"),
     )
     return items.select("uniq_id", item.alias("item")).distinct()
@@ -161,13 +169,21 @@ def split_oversized(dialogues: DataFrame, turns: DataFrame, piece_limits: DataFr
     items = cut_lineage(oversized(dialogues, good, limits).groupBy("uniq_id").agg(F.collect_list("item").alias("items")))
     own = good.join(items.select("uniq_id"), "uniq_id", "left_semi")
     # Doubled milliseconds less one: turns that touch leave a gap of one half.
-    half = own.select("uniq_id", (F.floor(F.col("start_s") * 1000) * 2).cast("long").alias("s"), (F.ceil(F.col("end_s") * 1000) * 2 - 1).cast("long").alias("e"))
-    silences = periods_and_gaps(half, ["uniq_id"], "s", "e").where("kind = 'gap'").select("uniq_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    half = own.select(
+        "uniq_id", (F.floor(F.col("start_s") * 1000) * 2).cast("long").alias("s"),
+        (F.ceil(F.col("end_s") * 1000) * 2 - 1).cast("long").alias("e"),
+    )
+    silences = periods_and_gaps(half, ["uniq_id"], "s", "e").where("kind = 'gap'").select(
+        "uniq_id", F.col("start").alias("s"), F.col("end").alias("e"),
+    )
     ends = own.select("uniq_id", F.ceil(F.col("end_s") * 1000).cast("long").alias("s"), F.lit(None).cast("long").alias("e")).distinct()
     bounds = silences.unionByName(ends).groupBy("uniq_id").agg(F.collect_list(F.struct("s", "e")).alias("bounds"))
     rows = items.join(bounds, "uniq_id", "left")
     out = rows.select("uniq_id", F.explode(_pieces("items", "bounds")).alias("p"))
-    return out.select("p.profile", "uniq_id", "p.turn_index", "p.piece_no", (F.col("p.start_us") / _US).alias("start_s"), (F.col("p.end_us") / _US).alias("end_s"), "p.boundary")
+    return out.select(
+        "p.profile", "uniq_id", "p.turn_index", "p.piece_no", (F.col("p.start_us") / _US).alias("start_s"),
+        (F.col("p.end_us") / _US).alias("end_s"), "p.boundary",
+    )
 
 
 def piece_faults(pieces: DataFrame, limits: DataFrame) -> DataFrame:
@@ -180,7 +196,8 @@ def piece_faults(pieces: DataFrame, limits: DataFrame) -> DataFrame:
     before = F.lag(us("end_s")).over(order)
     overlap = F.least(F.greatest(us("overlap_s"), F.lit(0)), F.floor((us("max_s") - 1) / 2))
     rows = rows.select(
-        "profile", (F.col("piece_no") == 0).alias("first"), (us("end_s") - us("start_s") > us("max_s")).alias("long"), F.coalesce(before - us("start_s") != overlap, F.lit(False)).alias("off"),
+        "profile", (F.col("piece_no") == 0).alias("first"), (us("end_s") - us("start_s") > us("max_s")).alias("long"),
+        F.coalesce(before - us("start_s") != overlap, F.lit(False)).alias("off"),
         F.coalesce(us("end_s") <= before, F.lit(False)).alias("back"), (F.row_number().over(order) - 1 != F.col("piece_no")).alias("gap"),
     )
     return rows.groupBy("profile").agg(*[F.count_if(a).alias(b) for a, b in (("first", "items"), ("long", "too_long"), ("off", "wrong_overlap"), ("back", "not_advancing"), ("gap", "misnumbered"))])

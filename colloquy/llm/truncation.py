@@ -137,8 +137,10 @@ def _chain(words: Sequence[str]) -> Iterator[int]:
 
 _SHAPE = T.StructType(
     [
-        T.StructField("end", T.StringType()), T.StructField("marked", T.BooleanType()), T.StructField("parts", T.IntegerType()), T.StructField("last", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tail", T.ArrayType(T.StringType())),
-        T.StructField("words", T.StringType()), T.StructField("prefixes", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType())),
+        T.StructField("end", T.StringType()), T.StructField("marked", T.BooleanType()), T.StructField("parts", T.IntegerType()),
+        T.StructField("last", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tail", T.ArrayType(T.StringType())),
+        T.StructField("words", T.StringType()), T.StructField("prefixes", T.ArrayType(T.LongType())),
+        T.StructField("whole", T.ArrayType(T.LongType())),
         T.StructField("skeleton", T.StringType()),
     ]
 )
@@ -304,7 +306,9 @@ def with_next(rows: DataFrame, column: str, eligible: Column) -> DataFrame:
 
     Range partitions are sorted on their own; a partition's first eligible value is the next
     one of the last rows before it, so values with a common start are no one task's group."""
-    ranged = cut_lineage(rows.repartitionByRange(column).withColumn("_pid", F.spark_partition_id()).withColumn("_good", F.when(eligible, F.col(column))))
+    ranged = cut_lineage(
+        rows.repartitionByRange(column).withColumn("_pid", F.spark_partition_id()).withColumn("_good", F.when(eligible, F.col(column)))
+    )
     firsts = ranged.groupBy("_pid").agg(F.min("_good").alias("_first"))
     # one row a partition; frames that grow, as one that shrinks is summed up anew for each row
     behind = Window.partitionBy(F.lit(0)).orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -318,7 +322,9 @@ def longer_copies(texts: DataFrame) -> DataFrame:
     """Hashes (h) of skeletons (column skeleton) that go on in a longer text."""
     rows = with_next(texts.where("skeleton <> ''").select("skeleton").distinct(), "skeleton", F.lit(True))
     rest = F.substr("next", F.length("skeleton") + 1)
-    return rows.where(F.col("next").startswith(F.col("skeleton")) & rest.rlike(f"^[^{_END}]*[\\p{{L}}\\p{{N}}]")).select(F.md5("skeleton").alias("h"))
+    return rows.where(
+        F.col("next").startswith(F.col("skeleton")) & rest.rlike(f"^[^{_END}]*[\\p{{L}}\\p{{N}}]")
+    ).select(F.md5("skeleton").alias("h"))
 
 
 def broken_words(texts: DataFrame) -> DataFrame:
@@ -326,7 +332,10 @@ def broken_words(texts: DataFrame) -> DataFrame:
     of the corpus stands twice, or once and is longer than three letters, elsewhere than at an
     end that may be a cut."""
     plain = F.lower(F.when(F.col("text").rlike(_BRACKET.pattern), F.regexp_replace("text", _NOTE.pattern, " ")).otherwise(F.col("text")))
-    words = F.transform(F.regexp_extract_all(plain, F.lit(r"\d+(?:[.:,]\d+)*|\p{L}+(?:['’]\p{L}+)*"), F.lit(0)), lambda w: F.replace(w, F.lit("’"), F.lit("'")))
+    words = F.transform(
+        F.regexp_extract_all(plain, F.lit(r"\d+(?:[.:,]\d+)*|\p{L}+(?:['’]\p{L}+)*"), F.lit(0)),
+        lambda w: F.replace(w, F.lit("’"), F.lit("'")),
+    )
     counted = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     open_ = texts.where(~F.col("s.end").isin("closed", "none") & (F.size("s.tail") > 0))
     last = open_.groupBy(F.element_at("s.tail", -1).alias("w")).agg(F.count(F.lit(1)).alias("lasts"))
@@ -360,29 +369,46 @@ def judged(texts: DataFrame) -> DataFrame:
     distinct = texts.where(F.length(F.trim("text")) > 0).select("text").distinct()
     shaped = cut_lineage(distinct.withColumn("s", _shapes("text")))
     models = fitted_classifiers(shaped.select("text"))
-    rows = shaped.select(F.md5("text").alias("key"), (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("even"), "s.end", "s.marked", "s.parts", "s.last", "s.n", "s.tail", "s.words", F.md5("s.skeleton").alias("h"))
+    rows = shaped.select(
+        F.md5("text").alias("key"), (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("even"), "s.end", "s.marked", "s.parts", "s.last",
+        "s.n", "s.tail", "s.words", F.md5("s.skeleton").alias("h"),
+    )
     shown = rows.where(F.col("end").isin("marker", "note", "label")).select("key", F.col("end").alias("evidence"))
     open_ = rows.where("end = 'open'")
     # finished sentences elsewhere, by the hashes of their word prefixes; counted before the shuffle
     finished = (
-        shaped.select(F.explode(F.concat(F.transform("s.prefixes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("w"))), F.transform("s.whole", lambda h: F.struct(h.alias("h"), F.lit(1).alias("w"))))).alias("p"))
+        shaped.select(
+            F.explode(
+                F.concat(
+                    F.transform("s.prefixes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("w"))),
+                    F.transform("s.whole", lambda h: F.struct(h.alias("h"), F.lit(1).alias("w"))),
+                )
+            ).alias("p")
+        )
         .groupBy(F.col("p.h").alias("h")).agg(F.sum(1 - F.col("p.w")).alias("goes_on"), F.sum("p.w").alias("complete"))
     )
     asked = open_.where(F.col("last").isNotNull()).groupBy(F.col("last").alias("h")).agg(F.count(F.lit(1)).alias("finals"))
-    known = asked.join(finished, "h", "left").select(F.col("h").alias("last"), "finals", F.coalesce("goes_on", F.lit(0)).alias("goes_on"), F.coalesce("complete", F.lit(0)).alias("complete"))
+    known = asked.join(finished, "h", "left").select(
+        F.col("h").alias("last"), "finals", F.coalesce("goes_on", F.lit(0)).alias("goes_on"),
+        F.coalesce("complete", F.lit(0)).alias("complete"),
+    )
     totals = shaped.agg(F.sum(F.size("s.prefixes")).alias("p"), F.sum((F.col("s.end") == "open").cast("long")).alias("o")).first()
     rate = (totals["o"] or 0) / max(totals["p"] or 0, 1)  # cuts a word, if all open texts were cut
     known = known.withColumn("closes", (F.col("finals") >= CLOSING_TEXTS) & (F.col("finals") > CLOSING_TIMES * rate * F.col("goes_on")))
     copies = longer_copies(shaped.select("s.skeleton")).withColumn("copy", F.lit(True))
     broken = broken_words(shaped).withColumn("breaks", F.lit(True))
     open_ = cut_lineage(
-        open_.join(known, "last", "left").join(copies, "h", "left").withColumn("w", F.element_at(F.when(F.size("tail") > 0, F.col("tail")), -1)).join(broken, "w", "left")
+        open_.join(known, "last", "left").join(copies, "h", "left").withColumn(
+            "w", F.element_at(F.when(F.size("tail") > 0, F.col("tail")), -1),
+        ).join(broken, "w", "left")
         .withColumn("copy", F.coalesce("copy", F.lit(False))).withColumn("breaks", F.coalesce("breaks", F.lit(False))).drop("h", "w", "last")
     )
     # closing words at the end of texts without punctuation
     closing = open_.where(F.col("closes") & F.col("words").isNotNull()).select("words").distinct()
     suffix = lambda k: F.array_join(F.slice("tail", -k, k), " ")
-    ends_with = F.explode(F.array(*[F.when(F.size("tail") > k, F.struct(F.lit(k).alias("k"), suffix(k).alias("words"))) for k in range(1, CLOSING_WORDS + 1)])).alias("x")
+    ends_with = F.explode(
+        F.array(*[F.when(F.size("tail") > k, F.struct(F.lit(k).alias("k"), suffix(k).alias("words"))) for k in range(1, CLOSING_WORDS + 1)])
+    ).alias("x")
     own = open_.where(~F.array_contains("tail", "<s>")).select("key", ends_with).where("x is not null").select("key", "x.k", "x.words")
     own = own.join(closing, "words", "left_semi").groupBy("key").agg(F.collect_list("k").alias("closing"))
     open_ = open_.join(own, "key", "left").withColumn("ends", _judge(models)("tail", "even", "closing"))
@@ -391,7 +417,9 @@ def judged(texts: DataFrame) -> DataFrame:
     evidence = (
         # without punctuation, what follows in the longer copy may be another sentence; a
         # single sentence may be finished and begin others, too
-        F.when(F.col("copy") & (F.col("marked") | (F.col("ends") < LEAST_END)) & ((F.col("parts") > 1) | ~finished_elsewhere), F.lit("copy"))
+        F.when(
+            F.col("copy") & (F.col("marked") | (F.col("ends") < LEAST_END)) & ((F.col("parts") > 1) | ~finished_elsewhere), F.lit("copy"),
+        )
         .when(finished_elsewhere, F.lit(None))
         .when(F.coalesce(F.col("closes"), F.lit(False)) & (F.col("n") <= CLOSING_WORDS) & ~F.col("breaks"), F.lit(None))
         .when((on > 2) | ((on > 0) & (F.col("ends") < SURE_END)), F.lit("sentence"))
@@ -402,11 +430,16 @@ def judged(texts: DataFrame) -> DataFrame:
 
 
 def reply_rows(parse_results: DataFrame) -> DataFrame:
-    return parse_results.select(F.lit("reply").alias("record_kind"), F.col("request_id").cast("string").alias("record_id"), "source_name", F.col("raw_text").alias("text"))
+    return parse_results.select(
+        F.lit("reply").alias("record_kind"), F.col("request_id").cast("string").alias("record_id"), "source_name",
+        F.col("raw_text").alias("text"),
+    )
 
 
 def score_rows(direction_scores: DataFrame) -> DataFrame:
-    return direction_scores.select(F.lit("score").alias("record_kind"), F.col("delivery_id").cast("string").alias("record_id"), "source_name", "text")
+    return direction_scores.select(
+        F.lit("score").alias("record_kind"), F.col("delivery_id").cast("string").alias("record_id"), "source_name", "text",
+    )
 
 
 def truncated(parse_results: DataFrame, direction_scores: DataFrame) -> DataFrame:

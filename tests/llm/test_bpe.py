@@ -34,7 +34,10 @@ def test_equals_the_library_and_comes_back(encoder, library, text):
 
 def test_long_and_odd_texts(encoder, library):
     rng = random.Random(1)
-    for text in ("a" * 20_000, "会议" * 3_000, "".join(chr(rng.randrange(0x20, 0x3000)) for _ in range(20_000)), "<|endoftext|> x", " \n\n\t ", "x" * 49 + " " + "yz" * 40):
+    for text in (
+        "a" * 20_000, "会议" * 3_000, "".join(chr(rng.randrange(0x20, 0x3000)) for _ in range(20_000)), "<|endoftext|> x", " \n\n\t ",
+        "x" * 49 + " " + "yz" * 40,
+    ):
         ids = encoder.encode(text)
         assert ids == library.encode_ordinary(text) and encoder.decode(ids) == text
     assert encoder.encode(None) == encoder.encode("") == []

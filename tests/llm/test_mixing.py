@@ -36,7 +36,10 @@ def test_prefix_sums_against_brute_force(spark):
 
 def test_budgets_repeats_and_shares(spark):
     rows, df = corpus(spark)
-    targets = [("m", 0.5, "big", 0.5, 1), ("m", 0.5, "small", 0.4, 3), ("m", 0.5, "none", 0.05, 2), ("m", 0.5, "mid", 0.0, 1), ("x", 2.0, "single", 0.1, 5), ("x", 2.0, "mid", 0.01, None)]
+    targets = [
+        ("m", 0.5, "big", 0.5, 1), ("m", 0.5, "small", 0.4, 3), ("m", 0.5, "none", 0.05, 2), ("m", 0.5, "mid", 0.0, 1),
+        ("x", 2.0, "single", 0.1, 5), ("x", 2.0, "mid", 0.01, None),
+    ]
     t = spark.createDataFrame(targets, TARGETS)
     sizes = {r["doc_id"]: (r["source"], r["tokens"]) for r in mixing.sized(df).collect()}
     total = sum(n for _, n in sizes.values())

@@ -9,11 +9,15 @@ SLOTS = ["Dear {{first_name}},", "{{{room}}}", "on ${date}", "#{chair}", "%%DATE
 NO_SLOTS = ['The template field "{{client_name}}" will be renamed', "{x | x > 0}", '{"speaker": "a", "start": 3.2}', "[optional]", "<NA>", "{F um}", "[laughter]", "{breath}", "<noise>", "(page 15)", "(at least in Ellmoor)", "(not the old one)",
             "total of $40 [1]", '<vocalsound type="crosstalk"/>', "<html><head><title>x</title>", "[00:01:02]", "(10 min)", "a_b __init__x", "«Bonjour à tous»", "snake_case name"]
 BAD = ["404 Not Found", "HTTP 502 - Bad Gateway", "Status: 408 Request Timeout", "ERROR 502", "Access Denied", "Zugriff verweigert. Ihre Sitzung ist abgelaufen.", "Erreur 503 : service momentanément indisponible.", "429. That's an error.",
-       "Oops! We can't find the page you are looking for.", "java.lang.IllegalStateException: renderer failed", '{"error": {"code": 503, "message": "x"}}', "页面不存在。", "Please enable JavaScript to view this transcript.", "This viewer requires scripts.",
-       "Enable cookies and JavaScript, then refresh.", "Bitte aktivieren Sie JavaScript in Ihrem Browser, um das Protokoll anzuzeigen.", "To continue, switch on JS in your browser settings.", "Lorem ipsum vexil orbum", "xxx xxx xxx xxx xxx xxx", "Click to add title",
+       "Oops! We can't find the page you are looking for.", "java.lang.IllegalStateException: renderer failed",
+       '{"error": {"code": 503, "message": "x"}}', "页面不存在。", "Please enable JavaScript to view this transcript.",
+       "This viewer requires scripts.",
+       "Enable cookies and JavaScript, then refresh.", "Bitte aktivieren Sie JavaScript in Ihrem Browser, um das Protokoll anzuzeigen.",
+       "To continue, switch on JS in your browser settings.", "Lorem ipsum vexil orbum", "xxx xxx xxx xxx xxx xxx", "Click to add title",
        "Your text here. Your text here.", "此处为占位文字。", "请启用浏览器的JavaScript功能", "Heading 2", "Anna: 500 Internal Server Error", "We met. 404 Not Found", "507 Insufficient Storage", "Insufficient Storage (507)", "HTTP 423 - Locked", "Unprocessable Entity", "Gone (410)"]
 GOOD = ["Page 404 of the binder was not found in the archive.", "Error rates dropped to 500 per million.", "We discussed whether the viewer may require JavaScript; legal agreed.", "so users without scripts get a blank page, that was the complaint",
-        "The mock-up still showed lorem ipsum and nobody noticed.", "She asked why access was denied to the office.", "for everyone who gets 'service unavailable' in town", "Someone typed 'test test test' into the field.", "Menu", "Search",
+        "The mock-up still showed lorem ipsum and nobody noticed.", "She asked why access was denied to the office.",
+        "for everyone who gets 'service unavailable' in town", "Someone typed 'test test test' into the field.", "Menu", "Search",
         "Placeholder names in the forms, such as 'Your Name', should be grey.", "The internal server had an error on Monday, the minutes were typed by hand", "no no no wait", "um um um", "The script was read aloud.", "Problems", "Conflict", "Locked", "12 locked doors were found", "10 10 10 10 10 10"]
 
 
@@ -43,12 +47,20 @@ def test_documents(spark):
     assert clean.columns == df.columns and clean.count() == len(texts) - len(got)
 
 
-LINES = ["asdf, asdf, asdf", "blah blah blah", "at viewer.Render.run(Render.java:88)", "Sorry, we could not load that transcript", "请求已超时", "gateway time-out", "Verify that you are human", "Accès refusé", "Add a title"]
+LINES = [
+    "asdf, asdf, asdf", "blah blah blah", "at viewer.Render.run(Render.java:88)", "Sorry, we could not load that transcript", "请求已超时",
+    "gateway time-out", "Verify that you are human", "Accès refusé", "Add a title",
+]
 # None of these is among the classifier's examples.
 HELD_OUT = ["503 Backend fetch failed", "ERR_CONNECTION_REFUSED", "Verbindung zum Server fehlgeschlagen", "Errore 404: pagina non trovata", "Cette page nécessite JavaScript pour fonctionner.", "Il documento richiesto non è stato trovato sul server",
-            "Hier steht später der richtige Inhalt.", "foo bar baz foo bar baz foo bar baz", "Section text goes here", "Please activate JavaScript to load this page.", "HTTP 404 - document removed", "The service could not process your request.",
+            "Hier steht später der richtige Inhalt.", "foo bar baz foo bar baz foo bar baz", "Section text goes here",
+            "Please activate JavaScript to load this page.", "HTTP 404 - document removed", "The service could not process your request.",
             "Your connection has timed out, reload the page", "La página solicitada no existe", "Insert your title here", "<PLACEHOLDER>", "Dear [Placeholder],", "Server error. Please try again later."]
-ORDINARY = ["Yeah, yeah, yeah.", "Here is your coffee", "The server room is on the second floor.", "Please read the page again.", "Access to the building was denied to two visitors on Monday", "Your text was fine, thanks.", "Can we enable the heating by Friday?", "[sponsor]"]
+ORDINARY = [
+    "Yeah, yeah, yeah.", "Here is your coffee", "The server room is on the second floor.", "Please read the page again.",
+    "Access to the building was denied to two visitors on Monday", "Your text was fine, thanks.", "Can we enable the heating by Friday?",
+    "[sponsor]",
+]
 
 
 def test_single_lines(spark):
@@ -65,7 +77,10 @@ def test_held_out_lines(spark):
 
 
 def test_frames_and_capitals_make_slots(spark):
-    texts = ["Thanks to [INSERT NAME] for the lunch.", "Thanks to [Company Name] for the lunch.", "Thanks to [sponsor] for the lunch.", "Thanks [sponsor] and all.", "Lead: [PROJEKTLEITER]", "Ana: well [SIGHS] no", "Ana: so {sighs} no", "Next: [1]"]
+    texts = [
+        "Thanks to [INSERT NAME] for the lunch.", "Thanks to [Company Name] for the lunch.", "Thanks to [sponsor] for the lunch.",
+        "Thanks [sponsor] and all.", "Lead: [PROJEKTLEITER]", "Ana: well [SIGHS] no", "Ana: so {sighs} no", "Next: [1]",
+    ]
     got = {r["doc_id"]: r["reasons"] for r in rs.residue(docs(spark, texts)).collect()}
     assert got == {i: ["slot"] for i in (0, 1, 2, 4)}
 
@@ -78,7 +93,10 @@ def test_verdicts_go_on_by_documents(spark):
 
 
 def test_filler_latin_is_learnt(spark):
-    texts = ["Lorem ipsum vexil orbum corvin tantor", "Lorem ipsum tantor morabo vexil erudi", "Erudi vexil corvin tantor morabo orbum.", "Corvin met Ana in town on Monday."]
+    texts = [
+        "Lorem ipsum vexil orbum corvin tantor", "Lorem ipsum tantor morabo vexil erudi", "Erudi vexil corvin tantor morabo orbum.",
+        "Corvin met Ana in town on Monday.",
+    ]
     assert {r["doc_id"] for r in rs.residue(docs(spark, texts)).collect()} == {0, 1, 2}
 
 
@@ -88,7 +106,10 @@ def test_a_leaf_loses_nothing(spark):
 
 
 def test_a_template_speaks_for_its_units(spark):
-    kinds = spark.createDataFrame([(f"{w} the requested page could not be found on this server {v}",) for w, v in (("Zzz", "xylo"),)] + [(f"The requested page could not be found on {v} server",) for v in ("vectis", "qulor", "orbum")], "unit string")
+    kinds = spark.createDataFrame(
+        [(f"{w} the requested page could not be found on this server {v}",) for w, v in (("Zzz", "xylo"),)] + [(f"The requested page could not be found on {v} server",) for v in ("vectis", "qulor", "orbum")],
+        "unit string",
+    )
     got = {r["unit"] for r in rs.condemned_units(kinds, rs.Verdicts()).collect()}
     assert len(got) == 4
 
@@ -101,8 +122,12 @@ def test_rare_lines_in_a_crowded_leaf(spark):
 
 
 def test_templates_and_long_texts(spark):
-    units = spark.createDataFrame([(f"the meeting of the whole {i} group went on for # hours",) for i in "abcdef"] + [("another # went on",)], "unit string")
-    assert {(r["template"], r["n"]) for r in rs.mined_templates(units).collect()} == {("the meeting of the whole * group went on for # hours", 6), ("another # went on", 1)}
+    units = spark.createDataFrame(
+        [(f"the meeting of the whole {i} group went on for # hours",) for i in "abcdef"] + [("another # went on",)], "unit string",
+    )
+    assert {(r["template"], r["n"]) for r in rs.mined_templates(units).collect()} == {
+        ("the meeting of the whole * group went on for # hours", 6), ("another # went on", 1),
+    }
     long = "An ordinary sentence about nothing. " * 30_000
     assert {r["doc_id"] for r in rs.residue(docs(spark, [long, long + "\n403 Forbidden", long + "[INSERT DATE]"])).collect()} == {1, 2}
     assert rs.residue(docs(spark, [])).count() == 0

@@ -35,13 +35,21 @@ def test_prefers_the_higher_boundary():
 def tables(spark, dialogues, turns):
     d = spark.createDataFrame(dialogues, "uniq_id string, duration double")
     t = spark.createDataFrame(turns, "uniq_id string, turn_index int, start_s double, end_s double")
-    return d, t, spark.createDataFrame([("p", 8.0, 5.0, 10.0, 1.0), ("q", 80.0, 50.0, 100.0, 0.0), (None, 1.0, 1.0, 1.0, 0.0), ("z", 1.0, 1.0, None, 0.0)], LIMITS)
+    return d, t, spark.createDataFrame(
+        [("p", 8.0, 5.0, 10.0, 1.0), ("q", 80.0, 50.0, 100.0, 0.0), (None, 1.0, 1.0, 1.0, 0.0), ("z", 1.0, 1.0, None, 0.0)], LIMITS,
+    )
 
 
 def test_limits_and_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
-    dialogues = [("a", 10.0000000001), ("b", 10.000002), ("c", None), ("d", nan), ("e", inf), ("f", -1.0), ("a", 10.0000000001), (None, 50.0), ("g", 9.0)]
-    turns = [("c", 0, 0.0, 11.0), ("c", 0, 0.0, 11.0), ("d", 1, 3.0, 30.0), ("f", 0, 2.0, 1.0), ("f", 1, None, 90.0), ("g", 0, 0.0, 25.0), ("unlisted", 7, 0.0, 12.0), ("g", 1, nan, 90.0)]
+    dialogues = [
+        ("a", 10.0000000001), ("b", 10.000002), ("c", None), ("d", nan), ("e", inf), ("f", -1.0), ("a", 10.0000000001), (None, 50.0),
+        ("g", 9.0),
+    ]
+    turns = [
+        ("c", 0, 0.0, 11.0), ("c", 0, 0.0, 11.0), ("d", 1, 3.0, 30.0), ("f", 0, 2.0, 1.0), ("f", 1, None, 90.0), ("g", 0, 0.0, 25.0),
+        ("unlisted", 7, 0.0, 12.0), ("g", 1, nan, 90.0),
+    ]
     out = splitting.split_oversized(*tables(spark, dialogues, turns)).where("profile = 'p'").collect()
     found = {(r["uniq_id"], r["turn_index"]) for r in out}
     assert found == {("b", -1), ("c", -1), ("c", 0), ("d", -1), ("d", 1), ("g", -1), ("g", 0), ("unlisted", 7)}

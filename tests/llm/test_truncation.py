@@ -59,7 +59,10 @@ def test_against_planted_cuts(spark):
 
 def test_copies_rates_and_edge_cases(spark):
     long = "The cable tray came back with nine open points and everybody who was there"
-    rows = [(1, "a", long + " agreed on it."), (2, "a", long), (3, "b", long + " agreed on it."), (4, "b", None), (5, "b", " "), (6, None, "We met at noon."), (7, "a", long), (8, "a", long + " agreed on it")]
+    rows = [
+        (1, "a", long + " agreed on it."), (2, "a", long), (3, "b", long + " agreed on it."), (4, "b", None), (5, "b", " "),
+        (6, None, "We met at noon."), (7, "a", long), (8, "a", long + " agreed on it"),
+    ]
     scores = spark.createDataFrame(rows, "delivery_id bigint, source_name string, text string").selectExpr("*", "1 AS key", "2 AS evidence")
     replies = spark.createDataFrame([("r1", "a", "speaker_0|Fine.\nspeaker_")], "request_id string, source_name string, raw_text string")
     got = {(r["record_kind"], r["record_id"]): r["evidence"] for r in tc.truncated(replies, scores).collect()}
@@ -98,7 +101,11 @@ def test_any_longer_copy_counts(spark):
 
 def test_broken_words_by_all_words(spark):
     shape = lambda t, end: (t, (end, t.lower().split()))
-    rows = [shape("the menu and the mo", "open"), shape("the mo and more of it", "closed"), shape("we move on move", "open"), shape("the budg", "open"), shape("budgets of budgets", "closed"), shape("we met zz", "open"), shape("a moveme", "open"), shape("movement", "closed")]
+    rows = [
+        shape("the menu and the mo", "open"), shape("the mo and more of it", "closed"), shape("we move on move", "open"),
+        shape("the budg", "open"), shape("budgets of budgets", "closed"), shape("we met zz", "open"), shape("a moveme", "open"),
+        shape("movement", "closed"),
+    ]
     df = spark.createDataFrame(rows, "text string, s struct<end: string, tail: array<string>>")
     assert {r["w"] for r in tc.broken_words(df).collect()} == {"mo", "budg", "moveme"}
 
