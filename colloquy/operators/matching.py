@@ -184,6 +184,35 @@ def capped_block(rows: DataFrame, group: str, order: list[str], text: str, budge
     return kept.groupBy(group).agg(block.alias("block"), F.count(F.lit(1)).alias("n_lines"))
 
 
+def trimmed_sections(first: Column, second: Column, heads: tuple[str, str], empty: tuple[str, str], budget: int) -> Column:
+    """Two sections of lines (arrays, in order) as one text of at most ``budget`` tokens, at four
+    characters a token: struct of text, n_first, n_second and tokens.
+
+    Lines go from the end of the second section first, then of the first, until the text fits; a
+    section without lines has its ``empty`` line. Heads and empty lines are never dropped, so a
+    very small budget is passed by them alone. Null arrays are empty ones."""
+    a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in (first, second))
+
+    def body(lines: Column, n: Column, none: str) -> Column:
+        return F.when(n > 0, F.array_join(F.slice(lines, F.lit(1), n), "\n")).otherwise(F.lit(none))
+
+    def text(g: Column, s: Column) -> Column:
+        return F.concat(F.lit(heads[0] + "\n"), body(a, g, empty[0]), F.lit("\n\n" + heads[1] + "\n"), body(b, s, empty[1]))
+
+    steps = F.concat(
+        F.transform(F.sequence(F.size(b), F.lit(0)), lambda s: F.struct(F.size(a).alias("g"), s.alias("s"))),
+        F.when(F.size(a) > 0, F.transform(F.sequence(F.size(a) - 1, F.lit(0)), lambda g: F.struct(g.alias("g"), F.lit(0).alias("s")))).otherwise(
+            F.array().cast("array<struct<g:int,s:int>>")
+        ),
+    )
+    fits = F.filter(steps, lambda x: F.ceil(F.length(text(x["g"], x["s"])) / 4.0) <= budget)
+    chosen = F.coalesce(F.get(fits, F.lit(0)), F.struct(F.lit(0).alias("g"), F.lit(0).alias("s")))
+    return F.struct(
+        text(chosen["g"], chosen["s"]).alias("text"), chosen["g"].alias("n_first"), chosen["s"].alias("n_second"),
+        F.ceil(F.length(text(chosen["g"], chosen["s"])) / 4.0).alias("tokens"),
+    )
+
+
 def reconciled(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Planned against done rows per key: numbers of both and ``state`` (complete, missing,
     repeated or unplanned)."""

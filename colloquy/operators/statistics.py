@@ -88,3 +88,17 @@ def orc_bound(utterances: Column, words: Column) -> Column:
 def prompt_tokens(seconds: Column) -> Column:
     """Tokens of an audio prompt: 13 a second, a fixed part and four a second of answer."""
     return (F.floor(seconds) * 13 + 950 + F.ceil(seconds * 4)).cast("long")
+
+
+def device_seconds(wall: Column, utilization: Column) -> Column:
+    """Wall seconds times a utilization in percent, within 0 and 100; 0.0 without one."""
+    share = F.least(F.greatest(F.coalesce(utilization.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(100.0)) / 100
+    return F.greatest(wall.cast("double"), F.lit(0.0)) * share
+
+
+def attempt_seconds(attempts: Column) -> Column:
+    """Seconds of all attempts (array of structs with ``latency``); nulls add nothing."""
+    return F.aggregate(
+        F.coalesce(attempts, F.array().cast("array<struct<latency:double>>")), F.lit(0.0),
+        lambda n, x: n + F.coalesce(x["latency"].cast("double"), F.lit(0.0)),
+    )

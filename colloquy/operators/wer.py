@@ -6,6 +6,7 @@ distances are numpy dynamic programmes; speakers are assigned exactly.
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -14,8 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.manifests import content_hash
 from .diarization import assignment
 
+
+@dataclass(frozen=True)
+class Pins:
+    """What word error rates were computed with; ``pin_hash`` stands for all of it."""
+
+    collar_seconds: float = 5.0
+    word_timing: str = "character_based"
+    reference_sort: str = "segment"
+    hypothesis_sort: str = "segment"
+    method: str = "published definitions"
+
+    def pin_hash(self) -> str:
+        return content_hash(asdict(self))
+
+
 #: Largest number of cells of the assignment search that is tried; beyond it, refused.
 MOST_CELLS = 2_000_000_000
 

@@ -260,3 +260,48 @@ def legal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("entry").over(Window.partitionBy("file_id").orderBy("seq"))
     named = log.select("file_id", "manifest_batch", "entry", before.alias("before"))
     return named.join(broken.select("file_id", "manifest_batch", "entry"), ["file_id", "manifest_batch", "entry"], "left_semi")
+
+
+_HEADS = ("TERMS", "SPEAKERS")
+_EMPTY = ("(no terms)", "(no speakers)")
+
+
+def _supply_sql() -> str:
+    from .carry_plans import _UNITS
+
+    body = "CASE WHEN {n} > 0 THEN array_to_string(list_slice({l}, 1, {n}), chr(10)) ELSE '{e}' END"
+    text_ = (
+        f"'{_HEADS[0]}' || chr(10) || " + body.format(n="x.g", l="gl", e=_EMPTY[0]) + f" || chr(10) || chr(10) || '{_HEADS[1]}' || chr(10) || " + body.format(n="x.s", l="sp", e=_EMPTY[1])
+    )
+    return (
+        _UNITS
+        + f""", k AS (SELECT meeting, surface, count(*) AS evidence, min(position) AS first_seen FROM u GROUP BY ALL),
+    g AS (SELECT meeting AS uniq_id, list_slice(list('- ' || surface ORDER BY evidence DESC, first_seen, surface), 1, 8) AS gl FROM k GROUP BY meeting),
+    s AS (SELECT uniq_id, list('Speaker ' || speaker_no || ' - ' || display_name ORDER BY speaker_no) AS sp FROM speaker_roster WHERE display_name IS NOT NULL AND speaker_no IS NOT NULL GROUP BY uniq_id),
+    b AS (SELECT coalesce(g.uniq_id, s.uniq_id) AS uniq_id, coalesce(gl, []) AS gl, coalesce(sp, []) AS sp FROM g FULL JOIN s ON g.uniq_id = s.uniq_id),
+    c AS (SELECT uniq_id, gl, sp, unnest(list_concat(list_transform(range(len(sp), -1, -1), lambda n: {{'g': len(gl), 's': n}}), list_transform(range(len(gl) - 1, -1, -1), lambda n: {{'g': n, 's': 0::BIGINT}}))) AS x FROM b),
+    tx AS (SELECT uniq_id, x, {text_} AS text FROM c)
+    SELECT uniq_id, arg_min(text, (ceil(length(text) / 4.0) > 40, -x.g, -x.s)) AS text, CAST(arg_min(x.g, (ceil(length(text) / 4.0) > 40, -x.g, -x.s)) AS INT) AS n_first, CAST(arg_min(x.s, (ceil(length(text) / 4.0) > 40, -x.g, -x.s)) AS INT) AS n_second,
+      CAST(ceil(length(arg_min(text, (ceil(length(text) / 4.0) > 40, -x.g, -x.s))) / 4.0) AS BIGINT) AS tokens FROM tx GROUP BY uniq_id"""
+    )
+
+
+@registry.query("supply_blocks", _supply_sql())
+def supply_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best terms and the roster of each dialogue as a block of at most forty tokens: speakers
+    go first, then terms."""
+    from ..operators import carry
+    from .carry_plans import units
+
+    ranked = carry.ranked_terms(units(spark, sf_dir), 8)
+    terms = ranked.groupBy(F.col("meeting").alias("uniq_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "surface"))).alias("r"))
+    terms = terms.select("uniq_id", F.transform("r", lambda x: F.concat(F.lit("- "), x["surface"])).alias("gl"))
+    named = table(spark, sf_dir, "speaker_roster").where("display_name is not null and speaker_no is not null")
+    line = F.concat(F.lit("Speaker "), F.col("speaker_no").cast("string"), F.lit(" - "), F.col("display_name"))
+    people = named.groupBy("uniq_id").agg(
+        F.array_sort(F.collect_list(F.struct("speaker_no", line.alias("l")))).alias("r")
+    ).select("uniq_id", F.transform("r", lambda x: x["l"]).alias("sp"))
+    rows = terms.join(people, "uniq_id", "full")
+    return rows.select(
+        "uniq_id", matching.trimmed_sections(F.col("gl"), F.col("sp"), _HEADS, _EMPTY, 40).alias("x"),
+    ).select("uniq_id", "x.*")

@@ -367,6 +367,16 @@ def test_hashed_head(spark):
     assert sampling.hashed_head(df, "t", 40, 10).count() == 40 and sampling.hashed_head(df.limit(0), "t", 4, 0).count() == 0
 
 
+def test_seconds_and_pins(spark):
+    df = spark.createDataFrame(
+        [(10.0, 50.0, [(1.0,), (None,), (2.5,)]), (-1.0, 200.0, None), (10.0, None, [])],
+        "w double, u double, a array<struct<latency: double>>",
+    )
+    got = [(r["d"], r["s"]) for r in df.select(statistics.device_seconds(F.col("w"), F.col("u")).alias("d"), statistics.attempt_seconds(F.col("a")).alias("s")).collect()]
+    assert got == [(5.0, 3.5), (0.0, 0.0), (0.0, 0.0)]
+    assert wer.Pins().pin_hash() == wer.Pins().pin_hash() != wer.Pins(collar_seconds=0.0).pin_hash()
+
+
 def test_numbers_in_order(spark):
     df = spark.createDataFrame([(f"k{i:03}",) for i in range(57)], "k string").repartition(5)
     rows, n = statistics.numbered(df, "k")

@@ -85,3 +85,17 @@ def test_budgets_blocks_and_rotation(spark):
     assert {r["k"]: r["state"] for r in mt.reconciled(plan, done, ["k"]).collect()} == {
         "a": "repeated", "b": "complete", "c": "missing", "z": "unplanned",
     }
+
+
+def test_sections_are_trimmed_from_the_end(spark):
+    df = spark.createDataFrame([("a", ["t1", "t2"], ["s1", "s2"]), ("b", None, None)], "k string, t array<string>, s array<string>")
+
+    def made(budget):
+        rows = df.select(
+            "k", mt.trimmed_sections(F.col("t"), F.col("s"), ("T", "S"), ("-", "-"), budget).alias("x"),
+        ).select("k", "x.*").collect()
+        return {r["k"]: (r["text"], r["n_first"], r["n_second"], r["tokens"]) for r in rows}
+
+    assert made(99)["a"] == ("T\nt1\nt2\n\nS\ns1\ns2", 2, 2, 4) and made(99)["b"] == ("T\n-\n\nS\n-", 0, 0, 2)
+    assert made(3)["a"] == ("T\nt1\nt2\n\nS\n-", 2, 0, 3)
+    assert made(2)["a"][1:3] == (0, 0) and made(1)["a"] == ("T\n-\n\nS\n-", 0, 0, 2)
