@@ -71,6 +71,14 @@ def positional(left: DataFrame, right: DataFrame, key: str, order: str, other_or
     return placed(left, "a", order).join(placed(right, "b", other_order or order), [key, "place"], "full")
 
 
+def timed_by_place(segments: DataFrame, turns: DataFrame, bounds: DataFrame, key: str, order: str, turn_order: str) -> DataFrame:
+    """Segments of a key with the times (s, e) of the turn in the same place; surplus ones have the
+    bounds (low, high) of the key, if there are any. ``turns`` has key, turn_order, s and e."""
+    pairs = positional(segments, turns.select(key, turn_order, "s", "e"), key, order, turn_order).where("a is not null")
+    rows = pairs.join(bounds.select(key, "low", "high"), key, "left")
+    return rows.select(key, "a.*", F.coalesce("b.s", "low").alias("s"), F.coalesce("b.e", "high").alias("e"))
+
+
 def fuzzy_places(tokens: list[str], needle: list[str]) -> list[tuple[int, list[str], bool]]:
     """Where a needle of n tokens stands in a text, up to ceil(n / 2) - 1 token edits: start,
     the window, and whether the needle stands in it word for word.

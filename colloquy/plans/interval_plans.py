@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import diarization, overlaps, slicing
+from ..operators import diarization, matching, overlaps, slicing, speakers, wer
 from ..operators.periods import rounded_ms
 from ..session import cut_lineage, table
 from ..sources import lines
 from .data_quality import _PERIODS
 from .registry import Registry
+from .text_plans import TURNS
 
 registry = Registry()
 
@@ -274,40 +275,56 @@ def slice_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("uniq_id", "slice_no").agg(F.count(F.lit(1)).alias("turns"), F.sum(words).alias("words"), F.sum(ms).alias("ms"))
 
 
-@registry.query("confusion_costs")
-def confusion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four word error counts of each request against the turns of its dialogue that it covers:
-    turns and segments pair up by place, and segments take the times of their turns, surplus
-    ones those of the dialogue. Searches over 200,000 cells are refused, and say so (programmes
-    over streams are no SQL; compared with brute force in tests)."""
-    from ..operators import matching, speakers, wer
+def _said_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with text and times: uniq_id, turn_index, speaker, s, e, words."""
     from .text_plans import turns
 
-    said = turns(spark, sf_dir).where("said is not null")
     times = _turns_ms(spark, sf_dir).where("s2 < e2").groupBy("uniq_id", "turn_index").agg(F.min("s2").alias("s"), F.max("e2").alias("e"))
-    ref = said.join(times, ["uniq_id", "turn_index"]).select(
-        "uniq_id", "turn_index", "speaker", "s", "e", text.word_tokens(F.col("said")).alias("words"),
-    )
+    rows = turns(spark, sf_dir).where("said is not null").join(times, ["uniq_id", "turn_index"])
+    return rows.select("uniq_id", "turn_index", "speaker", "s", "e", text.word_tokens(F.col("said")).alias("words"))
+
+
+def _timed_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Segments of each request with the times of the turns in their places, and those turns."""
+    ref = _said_turns(spark, sf_dir)
     asked = table(spark, sf_dir, "transcribed_segments").where("text is not null and request_id is not null")
-    one = asked.groupBy("request_id", "seg_ord").agg(
-        F.min(F.struct("text", F.coalesce("speaker", F.lit("")).alias("label"), "uniq_id")).alias("m")
-    ).select("request_id", "seg_ord", "m.*")
-    hyp = speakers.resolved(one, table(spark, sf_dir, "speaker_roster"), "label").select(
-        "request_id", "seg_ord", "speaker", text.word_tokens(F.col("text")).alias("words"),
-    )
-    own = one.groupBy("request_id").agg(F.max("uniq_id").alias("uniq_id"), F.count(F.lit(1)).alias("n"))
-    bounds = ref.groupBy("uniq_id").agg(F.min("s").alias("low"), F.max("e").alias("high"))
-    placed = ref.join(own, "uniq_id").select("request_id", "turn_index", "speaker", "s", "e", "words")
-    pairs = matching.positional(hyp, placed, "request_id", "seg_ord", "turn_index").where("a is not null")
-    pairs = pairs.join(own.select("request_id", "uniq_id"), "request_id").join(bounds, "uniq_id", "left")
-    start, end = (F.coalesce(F.col(f"b.{x}"), F.col(y), F.lit(z)) / 1000.0 for x, y, z in (("s", "low", 0), ("e", "high", 1)))
-    segments = pairs.select(F.col("request_id").alias("session"), "a.speaker", start.alias("start_s"), end.alias("end_s"), "a.words")
-    covered = matching.positional(placed, hyp, "request_id", "turn_index", "seg_ord").where("a is not null and b is not null")
-    reference = covered.select(
-        F.col("request_id").alias("session"), "a.speaker", (F.col("a.s") / 1000.0).alias("start_s"), (F.col("a.e") / 1000.0).alias("end_s"),
-        "a.words",
+    least = F.min(F.struct("text", F.coalesce("speaker", F.lit("")).alias("label"), "uniq_id"))
+    one = asked.groupBy("request_id", "seg_ord").agg(least.alias("m")).select("request_id", "seg_ord", "m.*")
+    hyp = speakers.resolved(one, table(spark, sf_dir, "speaker_roster"), "label")
+    hyp = hyp.select("request_id", "seg_ord", "speaker", text.word_tokens(F.col("text")).alias("words"))
+    own = one.groupBy("request_id").agg(F.max("uniq_id").alias("uniq_id"))
+    placed = ref.join(own, "uniq_id").drop("uniq_id")
+    bounds = placed.groupBy("request_id").agg(F.min("s").alias("low"), F.max("e").alias("high"))
+    timed = matching.timed_by_place(hyp, placed, bounds, "request_id", "seg_ord", "turn_index")
+    covered = matching.positional(placed, hyp.select("request_id", "seg_ord"), "request_id", "turn_index", "seg_ord")
+    return timed, covered.where("a is not null and b is not null").select("request_id", "a.*")
+
+
+@registry.query(
+    "timed_segments",
+    f"WITH {TURNS}, "
+    + f"""{_TURNS_MS}, ti AS (SELECT uniq_id, turn_index, min(s2) AS s, max(e2) AS e FROM tt WHERE s2 < e2 GROUP BY ALL), re AS (SELECT t.uniq_id, t.turn_index, s, e FROM t JOIN ti USING (uniq_id, turn_index) WHERE said IS NOT NULL),
+    hy AS (SELECT request_id, seg_ord, arg_min(uniq_id, (text, coalesce(speaker, ''), uniq_id)) AS uniq_id FROM transcribed_segments WHERE text IS NOT NULL AND request_id IS NOT NULL GROUP BY ALL),
+    ow AS (SELECT request_id, max(uniq_id) AS uniq_id FROM hy GROUP BY request_id), pl AS (SELECT request_id, s, e, row_number() OVER (PARTITION BY request_id ORDER BY turn_index) AS k FROM re JOIN ow USING (uniq_id)),
+    bo AS (SELECT request_id, min(s) AS low, max(e) AS high FROM pl GROUP BY request_id), hk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seg_ord) AS k FROM hy)
+    SELECT hk.request_id, seg_ord, coalesce(s, low) AS start_ms, coalesce(e, high) AS end_ms FROM hk LEFT JOIN pl ON pl.request_id = hk.request_id AND pl.k = hk.k LEFT JOIN bo ON bo.request_id = hk.request_id""",
+)
+def timed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the times of the turns in their places, surplus ones with those of all."""
+    return _timed_segments(spark, sf_dir)[0].select("request_id", "seg_ord", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+
+
+@registry.query("confusion_costs")
+def confusion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four word error counts of each request against the turns of its dialogue that it covers,
+    with times by place. Searches over 200,000 cells are refused, and say so (programmes over
+    streams are no SQL; compared with brute force in tests)."""
+    timed, covered = _timed_segments(spark, sf_dir)
+    seconds = lambda c, none: (F.coalesce(c, F.lit(none)) / 1000.0)
+    side = lambda df: df.select(
+        F.col("request_id").alias("session"), "speaker", seconds(F.col("s"), 0).alias("start_s"), seconds(F.col("e"), 1).alias("end_s"), "words"
     )
-    return wer.session_scores(reference, segments, 5.0, 200_000)
+    return wer.session_scores(side(covered), side(timed), 5.0, 200_000)
 
 
 @registry.query(
