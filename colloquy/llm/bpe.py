@@ -15,7 +15,8 @@ from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,8 @@ class BytePairEncoder:
 
     @classmethod
     def load(cls, name: str, folder: str = VOCABULARIES) -> BytePairEncoder:
-        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        path = os.path.join(folder, f"{name}.tiktoken")
+        with open(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken"), "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
     def merge(self, piece: bytes) -> list[int]:
@@ -101,6 +103,18 @@ def encoder(name: str, folder: str) -> BytePairEncoder:
     return BytePairEncoder.load(name, folder)
 
 
+def ship(name: str, folder: str) -> None:
+    """Give a vocabulary file to the workers of a cluster, once a context: they need no folder of
+    their own."""
+    spark, path = SparkSession.getActiveSession(), os.path.join(folder, f"{name}.tiktoken")
+    if spark is None or spark.sparkContext.master.startswith("local") or not os.path.exists(path):
+        return
+    shipped = spark.sparkContext.__dict__.setdefault("_colloquy_vocabularies", set())
+    if path not in shipped:
+        spark.sparkContext.addFile(path)
+        shipped.add(path)
+
+
 def ids_of(text: Column, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> Column:
     """ARRAY<INT> of token ids, empty for empty and null texts."""
 
@@ -110,6 +124,7 @@ def ids_of(text: Column, name: str = "byte_bpe_50k", folder: str = VOCABULARIES)
         for batch in texts:
             yield batch.map(own.encode)
 
+    ship(name, folder)
     return encode(text)
 
 
@@ -122,6 +137,7 @@ def token_count(text: Column, name: str = "byte_bpe_50k", folder: str = VOCABULA
         for batch in texts:
             yield batch.map(lambda t: len(own.encode(t)))
 
+    ship(name, folder)
     return count(text)
 
 
@@ -134,6 +150,7 @@ def text_of(ids: Column, name: str = "byte_bpe_50k", folder: str = VOCABULARIES)
         for batch in batches:
             yield batch.map(own.decode)
 
+    ship(name, folder)
     return decode(ids)
 
 

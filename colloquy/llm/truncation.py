@@ -109,8 +109,9 @@ def punctuated(text: str) -> bool:
     return bool(re.search(r"[.?!](?:\s|$|[\"'])", text)) or text != text.lower()
 
 
-def sentences(text: str) -> tuple[list[list[str]], bool]:
-    """Sentences of a text as words, and whether the last one is closed."""
+def sentences(text: str, end: str | None = None) -> tuple[list[list[str]], bool]:
+    """Sentences of a text as words, and whether the last one is closed; ``end`` is what
+    shown_by_end says of it, if it is known."""
     out = []
     for line in text.split("\n"):
         line = LABEL.sub("", line.strip(), count=1) if LABEL.match(line.strip()) else line
@@ -118,7 +119,7 @@ def sentences(text: str) -> tuple[list[list[str]], bool]:
             for part in _UNSTOPPED.split(s):
                 if w := words_of(part):
                     out.append(w)
-    return out, shown_by_end(text) == "closed"
+    return out, (end or shown_by_end(text)) == "closed"
 
 
 @lru_cache(maxsize=200_000)
@@ -173,7 +174,7 @@ def _shape(text: str) -> tuple:
     end = shown_by_end(text)
     if end == "none":
         return end, False, 0, None, 0, [], None, [], [], ""
-    parts, closed = sentences(text)
+    parts, closed = sentences(text, end)
     marked = punctuated(text)
     prefixes, whole = [], []
     last = words = None

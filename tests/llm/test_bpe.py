@@ -52,3 +52,12 @@ def test_columns(spark, encoder):
     assert {r["doc_id"]: r["t"] for r in back} == {1: "Hello <|endoftext|> wörld", 2: "", 3: "", 4: "Hello"}
     assert {r["doc_id"]: r["n"] for r in back} == {i: len(x) for i, x in rows.items()}
     assert bpe.encoded_corpus(df.limit(0)).count() == 0
+
+
+def test_workers_need_no_folder(spark, encoder, monkeypatch):
+    """Where there is no folder, the file that was given to the context is read."""
+    spark.sparkContext.addFile(os.path.join(bpe.VOCABULARIES, "byte_bpe_50k.tiktoken"))
+    assert bpe.BytePairEncoder.load("byte_bpe_50k", "/nowhere").encode("a shipped file") == encoder.encode("a shipped file")
+    df = spark.createDataFrame([("some words",), (None,)], "t string")
+    got = [r["n"] for r in df.select(bpe.token_count(F.col("t"), "byte_bpe_50k", "/nowhere").alias("n")).collect()]
+    assert got == [len(encoder.encode("some words")), 0]
