@@ -139,6 +139,7 @@ def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms:
     steps = rows.groupBy("meeting_id", "tile", "at").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in kinds]
     )
+    steps = cut_lineage(steps)  # read for the tiles and for the sums within them
     # one row a tile with events: what is open at its start, and the first event after it
     tiles = steps.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), *[F.sum(k).alias(k) for k in kinds])
     along = Window.partitionBy("meeting_id").orderBy("tile")

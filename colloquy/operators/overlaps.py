@@ -35,7 +35,8 @@ def overlap_join(
     ``left`` has key, s and e, ``right`` key, s2 and e2, both any further columns (of
     different names). Each pair comes once: in the bucket in which the later one starts.
     Null keys match nothing; empty and reversed intervals match nothing. Very long intervals
-    are joined in wider buckets, so that none becomes more than LEVEL rows.
+    are joined in wider buckets, so that none becomes more than LEVEL rows. Both sides are read
+    twice: materialise what is dear.
     """
     s, e, s2, e2 = names
     a, b = _buckets(left, s, e, width, "_b"), _buckets(right, s2, e2, width, "_c").withColumnRenamed(key, "_key2")
@@ -53,7 +54,12 @@ def overlap_join(
         )
         return joined.drop("_b", "_c", "_bl", "_cl", "_key2")
 
-    return of(0).unionByName(of(1)).unionByName(of(2))
+    # one small job says which levels there are: nearly always the first one only
+    levels = {r[0] for r in a.select("_bl").unionByName(b.select(F.col("_cl").alias("_bl"))).distinct().collect()}
+    out = of(0)
+    for level in sorted(levels - {0}):
+        out = out.unionByName(of(level))
+    return out
 
 
 def clipped(rows: DataFrame, names: tuple[str, str, str, str] = ("s", "e", "s2", "e2")) -> DataFrame:

@@ -30,7 +30,7 @@ def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM x a JOIN x b ON a.meeting_id = b.meeting_id AND a.s < b.e AND b.s < a.e WHERE a.side = 'ref' AND b.side = 'hyp' GROUP BY ALL""",
 )
 def speaker_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diarization.speaker_overlap(_periods(spark, sf_dir))
+    return diarization.speaker_overlap(cut_lineage(_periods(spark, sf_dir)))
 
 
 _SWEEP = _SIDES + """, ev AS (SELECT meeting_id, s AS moment, CASE WHEN side = 'ref' THEN 1 ELSE 0 END AS dr, CASE WHEN side = 'hyp' THEN 1 ELSE 0 END AS dh, 0 AS dc FROM x
