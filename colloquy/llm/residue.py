@@ -114,7 +114,7 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
         "请启用JavaScript", "请启用浏览器的JavaScript功能", "请在浏览器中开启脚本", "需要启用脚本",
     ),
     "filler": (
-        "your text here", "your text goes here", "your title here", "your content goes here", "insert text here",
+        "foo bar baz", "your text here", "your text goes here", "your title here", "your content goes here", "insert text here",
         "insert your content here", "enter text here", "enter a title",
         "type your text here", "type a description", "write your summary here", "add your text here", "add a title", "add a heading",
         "add your bullet points here", "click to add title", "click to add text", "click to add notes", "click to edit",
@@ -216,8 +216,14 @@ def repeats(words: list[str]) -> bool:
         if run == 5:
             return True
     for period in range(1, 5):
-        if len(words) >= 3 * period and words[period:] == words[:-period]:
-            one = words[:period]
+        run = longest = end = 0
+        for i in range(period, len(words)):
+            run = run + 1 if words[i] == words[i - period] else 0
+            if run > longest:
+                longest, end = run, i
+        # the rest, a fifth at most, may be something else
+        if longest and longest + period >= max(3 * period, 0.8 * len(words)):
+            one = words[end - period + 1 : end + 1]
             return not SAID_OFTEN.issuperset(one) and any(len(w) > 2 and w[0].isalpha() for w in one)
     return False
 
