@@ -9,17 +9,22 @@ meeting is many tiles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored_table
 from .overlaps import overlap_join
 from .periods import speaking_periods
 
 TILE_MS = 1 << 20
+#: Shared times: periods and speakers of a block, least width of a tile, tiles of a meeting.
+BLOCK_PERIODS, BLOCK_SPEAKERS = 1 << 16, 512
+SHARE_MS, MOST_TILES = 1 << 22, 64
 
 
 def side_periods(segments: DataFrame) -> DataFrame:
@@ -29,14 +34,118 @@ def side_periods(segments: DataFrame) -> DataFrame:
     )
 
 
-def speaker_overlap(periods: DataFrame) -> DataFrame:
-    """Milliseconds that each reference and hypothesis speaker of a meeting share."""
-    ref = periods.where("side = 'ref'").select("meeting_id", F.col("speaker").alias("ref_speaker"), "s", "e")
-    hyp = periods.where("side = 'hyp'").select(
-        "meeting_id", F.col("speaker").alias("hyp_speaker"), F.col("s").alias("s2"), F.col("e").alias("e2"),
+def numbered_speakers(periods: DataFrame) -> DataFrame:
+    """meeting_id, side, speaker, ``no`` from 0 in the order of names, and ``block``: the speakers
+    of a side in parts of about BLOCK_PERIODS periods, at most BLOCK_SPEAKERS speakers each.
+    Meetings without an id have no speakers to compare."""
+    counts = periods.where("meeting_id is not null").groupBy("meeting_id", "side", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("meeting_id", "side").orderBy("speaker")
+    weight = F.greatest("n", F.lit(BLOCK_PERIODS // BLOCK_SPEAKERS))
+    before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(
+        "meeting_id", "side", "speaker", (F.row_number().over(order) - 1).alias("no"),
+        F.floor(before / BLOCK_PERIODS).cast("int").alias("block"),
     )
-    both = overlap_join(ref, hyp, "meeting_id")
-    return both.groupBy("meeting_id", "ref_speaker", "hyp_speaker").agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("ms"))
+
+
+_CELLS = T.ArrayType(
+    T.StructType([T.StructField("r", T.IntegerType()), T.StructField("h", T.ArrayType(T.IntegerType())), T.StructField("ms", T.ArrayType(T.LongType()))])
+)
+
+
+def shared_times(no: np.ndarray, s: np.ndarray, e: np.ndarray, no2: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each speaker of one side (number, starts and ends of disjoint periods) the speakers of
+    the other it shares time with, and the times.
+
+    What a speaker has said until a moment grows by one within periods, so a period of the
+    other side shares what was added between its bounds: no pair of periods is formed."""
+    if not len(no) or not len(no2):
+        return
+    order, order2 = np.lexsort((s, no)), np.lexsort((s2, no2))
+    no, s, e = no[order], s[order], e[order]
+    no2, s2, e2 = no2[order2], s2[order2], e2[order2]
+    at, at2 = np.flatnonzero(np.append(True, no[1:] != no[:-1])), np.flatnonzero(np.append(True, no2[1:] != no2[:-1]))
+    others = no2[at2]
+    origin = min(s[0], s.min(), s2.min())  # exact below 2**53 milliseconds of span
+    low, high = (s2 - origin).astype(float), (e2 - origin).astype(float)
+    for i, j in zip(at, np.append(at[1:], len(no))):
+        bounds = np.empty(2 * (j - i))
+        bounds[::2], bounds[1::2] = s[i:j] - origin, e[i:j] - origin
+        said = np.zeros_like(bounds)
+        said[1::2] = np.cumsum(bounds[1::2] - bounds[::2])
+        said[2::2] = said[1:-1:2]
+        ms = np.add.reduceat(np.interp(high, bounds, said) - np.interp(low, bounds, said), at2).astype(np.int64)
+        some = np.flatnonzero(ms)
+        if len(some):
+            yield int(no[i]), others[some], ms[some]
+
+
+@F.arrow_udf(_CELLS)
+def _shared(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    def columns(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        flat = lists.flatten()
+        return lists.offsets.to_numpy() - lists.offsets[0].as_py(), [flat.field(n).to_numpy(zero_copy_only=False) for n in ("no", "s", "e")]
+
+    (a, left), (b, right) = columns(refs), columns(hyps)
+    rows, cells, numbers, hs, times = [0], [0], [], [], []
+    for i in range(len(refs)):
+        for r, h, ms in shared_times(*[x[a[i] : a[i + 1]] for x in left], *[x[b[i] : b[i + 1]] for x in right]):
+            numbers.append(r)
+            hs.append(h)
+            times.append(ms)
+            cells.append(cells[-1] + len(h))
+        rows.append(len(numbers))
+    joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
+    lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(cells, pa.int32()), joined(parts, kind))
+    fields = [pa.array(numbers, pa.int32()), lists(hs, pa.int32()), lists(times, pa.int64())]
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(fields, ["r", "h", "ms"]))
+
+
+def shared_rows(periods: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Times that speakers share: meeting_id, r, and arrays h and ms. A row holds part of what
+    a reference speaker shares: that with one block of speakers in one tile of time.
+
+    A task's group is two blocks of a meeting in a tile, so a meeting of thousands of speakers
+    is many tasks. Tiles are at least SHARE_MS wide, and so wide that a meeting has about
+    MOST_TILES of them: a very long period is that many rows at most."""
+    limits = periods.where("meeting_id is not null").groupBy("meeting_id").agg(F.min("s").alias("_low"), F.max("e").alias("_high"))
+    blocks = numbered.groupBy("meeting_id").pivot("side", ["ref", "hyp"]).agg(F.max("block"))
+    span = F.greatest((F.col("_high") - F.col("_low")) / F.lit(float(SHARE_MS * MOST_TILES)), F.lit(1.0))
+    width = (F.lit(SHARE_MS) * F.pow(F.lit(2.0), F.ceil(F.log2(span)))).cast("long")
+    meetings = limits.join(blocks.where("ref is not null and hyp is not null"), "meeting_id").select("meeting_id", width.alias("_w"), F.col("ref").alias("_ref"), F.col("hyp").alias("_hyp"))
+    rows = periods.join(numbered, ["meeting_id", "side", "speaker"]).join(meetings, "meeting_id")
+    w = F.col("_w")
+    tile = F.explode(F.sequence(F.floor(F.col("s") / w), F.floor((F.col("e") - 1) / w)))
+    rows = rows.select("meeting_id", "side", "no", "block", "s", "e", "_w", "_ref", "_hyp", tile.alias("tile"))
+    item = F.struct("no", F.greatest(F.col("s"), F.col("tile") * w).alias("s"), F.least(F.col("e"), (F.col("tile") + 1) * w).alias("e"))
+    parts = rows.groupBy("meeting_id", "side", "block", "tile").agg(F.collect_list(item).alias("own"), F.first("_ref").alias("_ref"), F.first("_hyp").alias("_hyp"))
+
+    def side(name: str, other: str, own: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(f"_{other}"))).alias(f"_b{other}")
+        return parts.where(F.col("side") == name).select("meeting_id", "tile", F.col("block").alias(f"_b{name}"), every, F.col("own").alias(own))
+
+    both = side("ref", "hyp", "_r").join(side("hyp", "ref", "_h"), ["meeting_id", "tile", "_bref", "_bhyp"])
+    return both.select("meeting_id", F.inline(_shared("_r", "_h")))
+
+
+def _names(numbered: DataFrame, side: str, number: str, name: str) -> DataFrame:
+    return numbered.where(F.col("side") == side).select("meeting_id", F.col("no").alias(number), F.col("speaker").alias(name))
+
+
+def shared(periods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``numbered_speakers`` and ``shared_rows``."""
+    numbered = cut_lineage(numbered_speakers(periods))
+    return numbered, shared_rows(periods, numbered)
+
+
+def speaker_overlap(periods: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Milliseconds that each reference and hypothesis speaker of a meeting share. ``known``:
+    what ``shared`` gives, if it is there."""
+    numbered, rows = known or shared(periods)
+    cells = rows.select("meeting_id", "r", F.inline(F.arrays_zip("h", "ms")))
+    cells = cells.groupBy("meeting_id", "r", "h").agg(F.sum("ms").alias("ms"))
+    named = cells.join(_names(numbered, "ref", "r", "ref_speaker"), ["meeting_id", "r"]).join(_names(numbered, "hyp", "h", "hyp_speaker"), ["meeting_id", "h"])
+    return named.select("meeting_id", "ref_speaker", "hyp_speaker", "ms")
 
 
 def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
@@ -76,31 +185,62 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) if turned else (i, j) for i, j in pairs)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("r", T.StringType()), T.StructField("h", T.StringType())])))
-def _mapped(cells: pd.Series) -> pd.Series:
-    out = []
-    for own in cells:
-        rows = sorted({c["r"] for c in own})
-        columns = sorted({c["h"] for c in own})
-        at_r, at_h = {r: i for i, r in enumerate(rows)}, {h: i for i, h in enumerate(columns)}
-        w = np.zeros((len(rows), len(columns)))
-        for c in own:
-            w[at_r[c["r"]], at_h[c["h"]]] = c["ms"]
-        out.append([{"r": rows[i], "h": columns[j]} for i, j in assignment(w)])
-    return pd.Series(out)
-
-
-def speaker_mapping(overlap: DataFrame) -> DataFrame:
+def mapped_numbers(r: list[int], h: list[np.ndarray], ms: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Mapped pairs of one meeting from rows of ``shared_rows``."""
+    rows, at = np.unique(r, return_inverse=True)
+    columns = np.unique(np.concatenate(h))
+    w = np.zeros((len(rows), len(columns)))
+    for i, own, times in zip(at, h, ms):
+        w[i, np.searchsorted(columns, own)] += times
+    return [(int(rows[i]), int(columns[j])) for i, j in assignment(w)]
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``shared_rows`` in the order of meetings to meeting_id, r and h."""
+    now, held = None, ([], [], [])
+    out: tuple[list, list, list] = ([], [], [])
+
+    def close() -> None:
+        if held[0]:
+            for i, j in mapped_numbers(*held):
+                for x, value in zip(out, (now, i, j)):
+                    x.append(value)
+        for x in held:
+            x.clear()
+
+    def made() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["meeting_id", "r", "h"])
+        for x in out:
+            x.clear()
+        return batch
+
+    for batch in batches:
+        lists = [batch.column(n) for n in ("h", "ms")]
+        starts = lists[0].offsets.to_numpy()
+        h, ms = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+        shift = lists[1].offsets[0].as_py() - starts[0] if len(batch) else 0
+        for k, (meeting, r) in enumerate(zip(batch.column("meeting_id").to_pylist(), batch.column("r").to_pylist())):
+            if meeting != now:
+                close()
+                now = meeting
+            held[0].append(r)
+            held[1].append(h[starts[k] : starts[k + 1]])
+            held[2].append(ms[starts[k] + shift : starts[k + 1] + shift])
+        yield made()
+    close()
+    yield made()
+
+
+def speaker_mapping(periods: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One-to-one speaker mapping of the largest shared time per meeting: meeting_id,
     ref_speaker, hyp_speaker. Speakers are matched on whole segments whatever is scored.
 
-    One row a meeting holds its speaker pairs that share time, not its segments."""
-    cells = overlap.groupBy("meeting_id").agg(
-        F.collect_list(F.struct(F.col("ref_speaker").alias("r"), F.col("hyp_speaker").alias("h"), "ms")).alias("c")
-    )
-    return cells.select("meeting_id", F.inline(_mapped("c"))).select(
-        "meeting_id", F.col("r").alias("ref_speaker"), F.col("h").alias("hyp_speaker"),
-    )
+    Meetings pass through a task one after the other, as rows of numbers; it holds the times
+    that the speakers of one meeting share, and neither names nor segments."""
+    numbered, rows = known or shared(periods)
+    pairs = rows.repartition("meeting_id").sortWithinPartitions("meeting_id").mapInArrow(_mapped, "meeting_id string, r int, h int")
+    named = pairs.join(_names(numbered, "ref", "r", "ref_speaker"), ["meeting_id", "r"]).join(_names(numbered, "hyp", "h", "hyp_speaker"), ["meeting_id", "h"])
+    return named.select("meeting_id", "ref_speaker", "hyp_speaker")
 
 
 def matched_spans(periods: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -136,12 +276,17 @@ def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms:
     for p in parts[1:]:
         rows = rows.unionByName(p)
     kinds = ("ref", "hyp", "match", "collar")
-    steps = rows.groupBy("meeting_id", "tile", "at").agg(
+    # one exchange for the sums of a moment and along a tile
+    steps = rows.repartition("meeting_id", "tile").groupBy("meeting_id", "tile", "at").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in kinds]
     )
-    steps = cut_lineage(steps)  # read for the tiles and for the sums within them
+    order = Window.partitionBy("meeting_id", "tile").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select("meeting_id", "tile", "at", F.lead("at").over(order).alias("then"), *[F.sum(k).over(upto).alias(k) for k in kinds])
+    steps = stored_table(steps, "steps")  # read for the tiles and for what is in them; packed, as it is wide
     # one row a tile with events: what is open at its start, and the first event after it
-    tiles = steps.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), *[F.sum(k).alias(k) for k in kinds])
+    last = F.col("then").isNull()
+    tiles = steps.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), *[F.max(F.when(last, F.col(k))).alias(k) for k in kinds])
     along = Window.partitionBy("meeting_id").orderBy("tile")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     tiles = tiles.select(
@@ -149,10 +294,8 @@ def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms:
         *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in kinds],
     )
     rows = steps.join(tiles, F.col("meeting_id").eqNullSafe(F.col("_m")) & (F.col("tile") == F.col("_t")))
-    order = Window.partitionBy("meeting_id", "tile").orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ms = F.coalesce(F.lead("at").over(order), F.col("_then")) - F.col("at")
-    rows = rows.select("meeting_id", ms.alias("ms"), *[(F.col(f"_{k}") + F.sum(k).over(upto)).alias(f"n_{k}") for k in kinds])
+    ms = F.coalesce("then", "_then") - F.col("at")
+    rows = rows.select("meeting_id", ms.alias("ms"), *[(F.col(f"_{k}") + F.col(k)).alias(f"n_{k}") for k in kinds])
     return rows.where("ms > 0 and (n_ref > 0 or n_hyp > 0)")
 
 
@@ -185,8 +328,8 @@ def meeting_scores(
     collars = {c for _, c, _ in conventions if c}
     if len(collars) > 1:
         raise ValueError("conventions with different collars need a sweep each")
-    periods = cut_lineage(side_periods(segments))  # read for the mapping and for the sweep
-    matched = matched_spans(periods, speaker_mapping(speaker_overlap(periods)))
+    periods = stored_table(side_periods(segments), "periods")  # read for the mapping and for the sweep
+    matched = matched_spans(periods, cut_lineage(speaker_mapping(periods)))
     elements = elementary(periods, matched, max(collars, default=0))
     r, h, m, ms = (F.col(c) for c in ("n_ref", "n_hyp", "n_match", "ms"))
     kinds = {
@@ -212,9 +355,10 @@ def pooled(scores: DataFrame) -> DataFrame:
 def jaccard_errors(segments: DataFrame) -> DataFrame:
     """Per meeting the unweighted mean over reference speakers of one minus the Jaccard index
     with the mapped speaker; 1.0 for an unmapped one."""
-    periods = cut_lineage(side_periods(segments))
-    overlap = cut_lineage(speaker_overlap(periods))
-    mapping = speaker_mapping(overlap)
+    periods = stored_table(side_periods(segments), "periods")
+    numbered, rows = shared(periods)
+    known = numbered, stored_table(rows, "shared")  # read for the mapping and for the times
+    overlap, mapping = speaker_overlap(periods, known), speaker_mapping(periods, known)
     length = periods.groupBy("meeting_id", "side", "speaker").agg(F.sum(F.col("e") - F.col("s")).alias("ms"))
     ref = length.where("side = 'ref'").select("meeting_id", F.col("speaker").alias("ref_speaker"), F.col("ms").alias("r_ms"))
     hyp = length.where("side = 'hyp'").select("meeting_id", F.col("speaker").alias("hyp_speaker"), F.col("ms").alias("h_ms"))

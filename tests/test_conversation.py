@@ -419,3 +419,54 @@ def test_faults(spark):
         "ok": (True, False, False, False, False), "zero": (False, True, False, False, False), "pair": (False, False, True, False, False),
         "back": (False, False, False, False, True), "rev": (False, False, False, True, False),
     }
+
+
+def _shared_by_pairs(periods):
+    out: dict = {}
+    for m, side, a, s, e in periods:
+        for m2, side2, b, s2, e2 in periods:
+            if (m, side, side2) == (m2, "ref", "hyp") and (ms := min(e, e2) - max(s, s2)) > 0:
+                out[m, a, b] = out.get((m, a, b), 0) + ms
+    return out
+
+
+def test_shared_times_in_blocks_and_tiles(spark, monkeypatch):
+    """Blocks of few speakers and narrow tiles give what comparing all pairs gives."""
+    rng = random.Random(11)
+    rows = []
+    for m, n, span in (("m", 9, 50_000), ("n", 2, 10**13), (None, 3, 1_000)):
+        for side in ("ref", "hyp"):
+            for k in range(n):
+                at = sorted(rng.sample(range(span), 12))
+                rows += [(m, side, f"{side}{k}", s, e) for s, e in zip(at[::2], at[1::2])]
+    rows.append(("only", "ref", "A", 0, 5))
+    df = spark.createDataFrame(rows, "meeting_id string, side string, speaker string, s bigint, e bigint")
+    monkeypatch.setattr(diarization, "BLOCK_PERIODS", 16)
+    monkeypatch.setattr(diarization, "BLOCK_SPEAKERS", 2)
+    monkeypatch.setattr(diarization, "SHARE_MS", 1 << 10)
+    assert {r["block"] for r in diarization.numbered_speakers(df).collect()} > {0, 1, 2}
+    want = _shared_by_pairs([r for r in rows if r[0] is not None])
+    got = {(r["meeting_id"], r["ref_speaker"], r["hyp_speaker"]): r["ms"] for r in diarization.speaker_overlap(df).collect()}
+    assert got == want
+    for m in ("m", "n"):
+        refs, hyps = (sorted({r[2] for r in rows if r[:2] == (m, side)}) for side in ("ref", "hyp"))
+        w = np.array([[want.get((m, a, b), 0) for b in hyps] for a in refs], float)
+        best = sum(w[i, j] for i, j in diarization.assignment(w))
+        pairs = [r for r in diarization.speaker_mapping(df).collect() if r["meeting_id"] == m]
+        assert sum(want[m, r["ref_speaker"], r["hyp_speaker"]] for r in pairs) == best
+        assert len({r["ref_speaker"] for r in pairs}) == len({r["hyp_speaker"] for r in pairs}) == len(pairs)
+
+
+def test_a_meeting_of_many_speakers_is_never_a_row(spark):
+    """A meeting in which 400 speakers a side all share time: rows of shared times hold one
+    reference speaker each, and the mapping is a bijection of most time."""
+    n = 400
+    seats = spark.range(n).selectExpr("'m' meeting_id", "id", "concat('seat', id) speaker")
+    ref = seats.selectExpr("meeting_id", "'ref' side", "speaker", "id s", "id + 1000 e")
+    hyp = seats.selectExpr("meeting_id", "'hyp' side", "speaker", "id s", "id + 1000 e")
+    periods = ref.unionByName(hyp)
+    _, rows = diarization.shared(periods)
+    sizes = rows.selectExpr("r", "size(h) n").collect()
+    assert len(sizes) == n and max(r["n"] for r in sizes) <= n
+    pairs = diarization.speaker_mapping(periods).collect()
+    assert len(pairs) == n and all(r["ref_speaker"] == r["hyp_speaker"] for r in pairs)
