@@ -470,3 +470,32 @@ def test_a_meeting_of_many_speakers_is_never_a_row(spark):
     assert len(sizes) == n and max(r["n"] for r in sizes) <= n
     pairs = diarization.speaker_mapping(periods).collect()
     assert len(pairs) == n and all(r["ref_speaker"] == r["hyp_speaker"] for r in pairs)
+
+
+def test_pair_distances_are_distances(monkeypatch):
+    """All pairs at once, in parts, give what each pair gives, free and within the collar."""
+    rng = random.Random(13)
+    for cells in (1, 1 << 22):
+        monkeypatch.setattr(wer, "PAIR_CELLS", cells)
+        for _ in range(20):
+            ref, hyp = ([[rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(rng.randrange(4))] for _ in range(2))
+            times = tuple([[(t, t + 1.0) for t in sorted(rng.uniform(0, 20) for _ in own)] for own in side] for side in (ref, hyp))
+            got = wer.pair_distances(ref, hyp, times, 1.5)
+            for i, a in enumerate(ref):
+                for j, b in enumerate(hyp):
+                    near = wer.within_collar(times[0][i], times[1][j], 1.5)
+                    assert (got[0, i, j], got[1, i, j]) == (wer.distance(a, b), wer.distance(a, b, near))
+    table = np.array([[rng.randrange(50) for _ in range(300)] for _ in range(11)])
+    want = np.minimum.accumulate(table, axis=0)
+    wer.running_least(table)
+    assert (table == want).all()
+
+
+def test_session_scores_do_not_depend_on_partitions(spark):
+    """Segments of the same times are taken in the order of their ordinals."""
+    schema = "session string, ordinal int, speaker string, start_s double, end_s double, words array<string>"
+    rows = [("p", i, "A", 0.0, 9.0, [w]) for i, w in enumerate("dbca")]
+    ref = spark.createDataFrame(rows, schema)
+    for way in (rows, rows[::-1]):
+        r = wer.session_scores(ref, spark.createDataFrame(way, schema).repartition(3)).first()
+        assert (r["cp"], r["tcp"], r["orc"], r["tcorc"]) == (0, 0, 0, 0)
