@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sampling import hashed_head
-from ..session import cut_lineage
+from ..session import cut_lineage, stored_table
 
 TAGS = ("speaker", "timestamp", "annotation", "filler", "speech")
 #: Hidden states: one a tag, and ``pause``, what is not speech within a spoken aside.
@@ -40,8 +39,6 @@ CLASSES = (
     "in_open", "in_close", "in_note", "in_said", "in_function", "in_new", "in_verbal", "in_sound", "in_group",
 )
 _INSIDE = frozenset(c for c in CLASSES if c.startswith("in_"))
-#: Rows the tagger's parameters are estimated on, at most (the least distinct texts by hash).
-SAMPLE_ROWS = 20_000
 #: Log odds from which a word counts as one of notes, or of running text.
 CLEAR_ODDS = 1.0
 #: Ordinals of one record that one window handles; longer records are joined in a second step.
@@ -65,6 +62,7 @@ LEXER = re.compile(
     r"|(?P<word>[^\s\[\]{}<>()♪]+|[\[\]{}<>()♪])"
 )
 _NOTES = re.compile(r"\(\([^()\n]*\)\)|\([^()\n]*\)|\[\[?[^\[\]\n]*\]?\]|\{[^{}\n]*\}|<[^<>\n]*>|\*[^*\n]{1,40}\*|♪[^♪\n]*♪")
+_ROUND = re.compile(r"\([^()\n]*\)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _EDGES = re.compile(r"^\W+|\W+$")
 _PIECE = re.compile(r"\S+")
@@ -135,11 +133,13 @@ class Words:
         self.odds = odds or {}
         self._outside: dict[str, str] = {}
 
-    @classmethod
-    def of(cls, texts: Iterable[str]) -> Words:
-        """Counted in brackets that hold notes only, and outside of any."""
+    @staticmethod
+    def counts(texts: Iterable[str]) -> tuple[Counter[str], Counter[str], set[str]]:
+        """Words in brackets that hold notes only, words outside of any, and the words that stand
+        in round brackets: only of these is the evidence ever asked for."""
         notes: Counter[str] = Counter()
         said: Counter[str] = Counter()
+        asked: set[str] = set()
         for text in texts:
             at = 0
             for found in _NOTES.finditer(text):
@@ -148,8 +148,21 @@ class Words:
                     notes.update(_WORD.findall(found.group(0).lower()))
                 at = found.end()
             said.update(_WORD.findall(text[at:].lower()))
-        n, m = sum(notes.values()) + 100, sum(said.values()) + 100
-        return cls({w: math.log((notes[w] + 0.1) / n) - math.log((said[w] + 0.1) / m) for w in notes.keys() | said.keys()})
+            for inner in _ROUND.findall(text):
+                asked.update(_WORD.findall(inner.lower().replace("’", "'")))
+        return notes, said, asked
+
+    @classmethod
+    def weighed(cls, counted: Iterable[tuple[str, int, int]], in_notes: int, in_text: int) -> Words:
+        """From words with their two counts, and the totals of all words."""
+        n, m = in_notes + 100, in_text + 100
+        return cls({w: math.log((a + 0.1) / n) - math.log((b + 0.1) / m) for w, a, b in counted})
+
+    @classmethod
+    def of(cls, texts: Iterable[str]) -> Words:
+        """Counted in brackets that hold notes only, and outside of any."""
+        notes, said, _ = cls.counts(texts)
+        return cls.weighed(((w, notes[w], said[w]) for w in notes.keys() | said.keys()), sum(notes.values()), sum(said.values()))
 
     def outside(self, token: str) -> str:
         """Class of a token of running text."""
@@ -319,21 +332,31 @@ class Tagger:
         kept: they are what makes a bracket one thing."""
         model, counted = self, Counter(tuple(s) for s in sequences)
         for _ in range(rounds):
-            follows, emits = np.exp(self.transition) * weight, np.exp(self.emission) * weight * 4
-            for s, n in counted.items():
-                tags = model.decode(s)
-                for i, (c, t) in enumerate(zip(s, tags)):
-                    if t >= 0:
-                        emits[t, CLASSES.index(c)] += n
-                        if i and tags[i - 1] >= 0 and self.step(s[i - 1], c) is self.transition:
-                            follows[tags[i - 1], t] += n
-            # runs of words are one observation, so the way from speech to speech is undercounted:
-            # it is at least as frequent as all others
-            speech = STATES.index("speech")
-            follows[speech, speech] = max(follows[speech, speech], follows[speech].sum() - follows[speech, speech])
-            model = Tagger(self._rows(follows), self.inside, self._emission(emits), self.words)
+            model = self.estimated(*model.tallies(counted.items()), weight)
         return model
 
+    def tallies(self, counted: Iterable[tuple[Sequence[str], int]]) -> tuple[np.ndarray, np.ndarray]:
+        """How often states follow each other and emit classes in what is decoded of sequences,
+        each with its number. Tallies of parts add up to those of the whole."""
+        follows, emits = np.zeros_like(self.transition), np.zeros_like(self.emission)
+        for s, n in counted:
+            tags = self.decode(s)
+            for i, (c, t) in enumerate(zip(s, tags)):
+                if t >= 0:
+                    emits[t, CLASSES.index(c)] += n
+                    if i and tags[i - 1] >= 0 and self.step(s[i - 1], c) is self.transition:
+                        follows[tags[i - 1], t] += n
+        return follows, emits
+
+    def estimated(self, follows: np.ndarray, emits: np.ndarray, weight: float = 50.0) -> Tagger:
+        """The tagger of tallies, with this one as the prior."""
+        follows, emits = follows + np.exp(self.transition) * weight, emits + np.exp(self.emission) * weight * 4
+        # runs of words are one observation, so the way from speech to speech is undercounted:
+        # it is at least as frequent as all others
+        speech = STATES.index("speech")
+        follows[speech, speech] = max(follows[speech, speech], follows[speech].sum() - follows[speech, speech])
+        return Tagger(self._rows(follows), self.inside, self._emission(emits), self.words)
+
 
 def collapsed(classes: Sequence[str]) -> tuple[tuple[str, ...], list[int]]:
     """Runs of a class outside brackets as one, and for each token its run."""
@@ -421,12 +444,57 @@ def _said_column(tagger: Tagger):
     return column
 
 
-def fitted_tagger(rows: DataFrame) -> Tagger:
-    """The tagger with word evidence and parameters from at most SAMPLE_ROWS distinct texts,
-    the least by hash."""
-    sample = [r["text"] for r in hashed_head(rows.where(F.length("text") > 0).select("text"), "text", SAMPLE_ROWS, rows.count()).collect()]
-    words = Words.of(sample)
-    return Tagger.prior(words).fitted(collapsed([t[2] for t in lex(text, Roster(()), words)])[0] for text in sample)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        notes, said, asked = Words.counts(batch.column("text").to_pylist())
+        words = list(notes.keys() | said.keys() | asked)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (notes, said)), pa.array([w in asked for w in words], pa.bool_())],
+            ["word", "notes", "said", "asked"],
+        )
+
+
+def _sequences(odds: dict[str, float]):
+    def lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, nobody = Words(odds), Roster(())
+        for batch in batches:
+            found = Counter(" ".join(collapsed([t[2] for t in lex(text, nobody, words)])[0]) for text in batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["classes", "n"])
+
+    return lexed
+
+
+def _tallied(tables: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Tagger(*tables)
+        follows, emits = np.zeros_like(model.transition), np.zeros_like(model.emission)
+        for batch in batches:
+            f, e = model.tallies((s.split(), n) for s, n in zip(batch.column("classes").to_pylist(), batch.column("n").to_pylist()))
+            follows, emits = follows + f, emits + e
+        yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for x in (follows, emits)], ["follows", "emits"])
+
+    return tallies
+
+
+def fitted_tagger(rows: DataFrame, rounds: int = 2) -> Tagger:
+    """The tagger with word evidence and parameters from all distinct texts.
+
+    Words and sequences of classes are counted, and sequences decoded, where the texts are; the
+    driver gets the words that stand in round brackets, and one pair of tables a task."""
+    texts = stored_table(rows.where(F.length("text") > 0).select("text").distinct(), "texts")
+    counts = texts.mapInArrow(_word_counts, "word string, notes bigint, said bigint, asked boolean")
+    counts = cut_lineage(counts.groupBy("word").agg(F.sum("notes").alias("notes"), F.sum("said").alias("said"), F.max("asked").alias("asked")))
+    total = counts.agg(F.coalesce(F.sum("notes"), F.lit(0)), F.coalesce(F.sum("said"), F.lit(0))).first()
+    asked = counts.where("asked and notes + said > 0").select("word", "notes", "said").collect()
+    words = Words.weighed(asked, *total)
+    found = texts.mapInArrow(_sequences(words.odds), "classes string, n bigint").groupBy("classes").agg(F.sum("n").alias("n"))
+    found = stored_table(found, "sequences")  # read in each round
+    prior = model = Tagger.prior(words)
+    for _ in range(rounds):
+        parts = found.mapInArrow(_tallied((model.transition, model.inside, model.emission)), "follows array<double>, emits array<double>").collect()
+        follows, emits = (sum((np.array(p[k]).reshape(x.shape) for p in parts), np.zeros_like(x)) for k, x in (("follows", prior.transition), ("emits", prior.emission)))
+        model = prior.estimated(follows, emits)
+    return model
 
 
 def one_rendering(rows: DataFrame) -> DataFrame:

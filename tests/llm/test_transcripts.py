@@ -153,3 +153,22 @@ def test_edge_cases(spark):
     assert tr.clean_turns(rows_of(spark, []), rosters(spark, [])).count() == 0
     long = "word " * 50_000 + "\nS1: " + "um " * 1_000 + "end"
     assert words(long, "S0") == [(0, 50_000), (1, 1)]
+
+
+def test_the_tagger_is_fitted_on_every_text(spark):
+    """Counts, evidence and tables are those of all distinct texts, however many there are."""
+    rng = random.Random(7)
+    notes, spoken = ["door", "creaks", "laughs", "music"], ["the", "plan", "was", "cheaper", "um"]
+    texts = [
+        f"{' '.join(rng.choices(spoken, k=4))} t{i} [{rng.choice(notes)}] ({' '.join(rng.choices(notes + spoken, k=2))} w{i % 7}) 10:{i % 60:02d}" for i in range(25_000)
+    ]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], "", None]], "text string").repartition(5)
+    got = tr.fitted_tagger(rows)
+    distinct = sorted(set(texts))
+    words = tr.Words.of(distinct)
+    assert all(got.words.odds[w] == pytest.approx(words.odds[w]) for w in got.words.odds)
+    assert {"door", "music", "plan", "cheaper"} <= got.words.odds.keys()
+    want = tr.Tagger.prior(words).fitted(tr.collapsed([t[2] for t in tr.lex(text, tr.Roster(()), words)])[0] for text in distinct)
+    for a, b in ((got.transition, want.transition), (got.inside, want.inside), (got.emission, want.emission)):
+        assert a == pytest.approx(b)
+    assert tr.fitted_tagger(rows.limit(0)).words.odds == {}
