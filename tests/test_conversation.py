@@ -499,3 +499,13 @@ def test_session_scores_do_not_depend_on_partitions(spark):
     for way in (rows, rows[::-1]):
         r = wer.session_scores(ref, spark.createDataFrame(way, schema).repartition(3)).first()
         assert (r["cp"], r["tcp"], r["orc"], r["tcorc"]) == (0, 0, 0, 0)
+
+
+def test_full_errors_of_a_crowded_meeting(spark):
+    """Speakers in several blocks: the totals are those of the best mapping, whatever the names."""
+    n = 700
+    rows = [("m", "ref", f"r{i}", float(i % 7), float(i % 7 + 5)) for i in range(n)] + [("m", "hyp", f"h{i}", float(i % 7), float(i % 7 + 5)) for i in range(n)]
+    segments = _segments(spark, rows)
+    blocks = diarization.numbered_speakers(diarization.side_periods(segments)).select("block").distinct().count()
+    r = diarization.meeting_scores(segments, (("full", 0, False),)).first()
+    assert blocks == 2 and (r["total_ms"], r["correct_ms"], r["der"]) == (n * 5000, n * 5000, 0.0)
