@@ -509,3 +509,5 @@ def test_full_errors_of_a_crowded_meeting(spark):
     blocks = diarization.numbered_speakers(diarization.side_periods(segments)).select("block").distinct().count()
     r = diarization.meeting_scores(segments, (("full", 0, False),)).first()
     assert blocks == 2 and (r["total_ms"], r["correct_ms"], r["der"]) == (n * 5000, n * 5000, 0.0)
+    pool = diarization.pooled(diarization.meeting_scores(segments, (("full", 0, False),))).first()
+    assert (pool["meetings"], pool["correct_ms"], pool["der"]) == (1, n * 5000, 0.0)
