@@ -9,7 +9,10 @@ meeting is many tiles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import mmap
+import os
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ TILE_MS = 1 << 20
 #: Shared times: periods and speakers of a block, least width of a tile, tiles of a meeting.
 BLOCK_PERIODS, BLOCK_SPEAKERS = 1 << 16, 512
 SHARE_MS, MOST_TILES = 1 << 22, 64
+#: Mapping: bytes of shared times in a worker's memory, rows that bid, bids a row and raise.
+HELD_BYTES, LEAST_BIDDERS, MOST_BIDS = 1 << 24, 32, 32
 
 
 def side_periods(segments: DataFrame) -> DataFrame:
@@ -148,65 +153,152 @@ def speaker_overlap(periods: DataFrame, known: tuple[DataFrame, DataFrame] | Non
     return named.select("meeting_id", "ref_speaker", "hyp_speaker", "ms")
 
 
-def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of the largest total weight, each row and column at most once
-    (shortest augmenting paths). Pairs of no weight are left out."""
-    turned = weights.shape[0] > weights.shape[1]
-    w = weights.T if turned else weights
-    n, m = w.shape
+def _assigned(load: Callable[[int, np.ndarray], None], n: int, largest: float) -> np.ndarray:
+    """The column of each row in an assignment of largest total weight, n rows to n columns.
+    ``load`` writes a row into an array, so only prices of rows and columns are held.
+
+    Rows, if many, bid for columns with a raise that falls to 1 (an auction); that gives prices
+    near the best ones. Rows whose column isn't exactly their best at these prices are assigned anew
+    along shortest augmenting paths, which makes the result exact. Bids are bounded, as the
+    paths lead to the end from any prices."""
+    row, v, owner = np.empty(n), np.zeros(n), np.full(n, -1)
+    raises = [1.0] if n >= LEAST_BIDDERS else []
+    while raises and raises[-1] * 32 <= largest:
+        raises.append(raises[-1] * 8)
+    for raise_ in reversed(raises):
+        owner, free, bids = np.full(n, -1), list(range(n)), 0
+        while free and bids < MOST_BIDS * n:
+            i = free.pop()
+            load(i, row)
+            np.subtract(row, v, out=row)
+            j, bids = int(row.argmax()), bids + 1
+            best, row[j] = row[j], -np.inf
+            v[j] += best - row.max() + raise_
+            if owner[j] >= 0:
+                free.append(int(owner[j]))
+            owner[j] = i
+    u, column = np.zeros(n), np.full(n, -1)
+    column[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    free = []  # what is not exactly best
+    for i in range(n):
+        load(i, row)
+        np.subtract(row, v, out=row)
+        u[i] = row.max()
+        if column[i] >= 0 and row[column[i]] < u[i]:
+            owner[column[i]] = column[i] = -1
+        if column[i] < 0:
+            free.append(i)
+    least, way, slack, better = np.empty(n), np.empty(n, int), np.empty(n), np.empty(n, bool)
+    for first in free:
+        least.fill(np.inf)
+        left, passed, at = v.copy(), [], []
+        i, low = first, 0.0
+        while True:
+            load(i, row)
+            np.subtract(left, row, out=slack)
+            slack += low + u[i]
+            np.less(slack, least, out=better)
+            np.copyto(least, slack, where=better)
+            way[better] = i
+            j = int(least.argmin())
+            low = least[j]
+            if owner[j] < 0:
+                break
+            passed.append(j)
+            at.append(low)
+            left[j] = least[j] = np.inf
+            i = int(owner[j])
+        u[first] -= low
+        if passed:
+            u[owner[passed]] -= low - np.array(at)
+            v[passed] += low - np.array(at)
+        i = -1
+        while i != first:
+            i = int(way[j])
+            owner[j] = i
+            j, column[i] = int(column[i]), j
+    return column
+
+
+def _pairs(rows: Sequence[np.ndarray], width: int) -> list[tuple[int, int]]:
+    """``assignment`` of rows that may end early; what is missing has no weight."""
+    n = max(len(rows), width) if len(rows) and width else 0
     if not n:
         return []
-    cost = np.zeros((n + 1, m + 1))
-    cost[1:, 1:] = w.max() - w
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while match[j0]:
-            used[j0] = True
-            i0 = match[j0]
-            slack = cost[i0] - u[i0] - v
-            better = ~used & (slack < least)
-            better[0] = False
-            least[better], way[better] = slack[better], j0
-            free = np.where(used, np.inf, least)
-            free[0] = np.inf
-            j1 = int(free.argmin())
-            step = free[j1]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j0 = j1
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] and w[match[j] - 1, j - 1] > 0]
-    return sorted((j, i) if turned else (i, j) for i, j in pairs)
-
-
-def mapped_numbers(r: list[int], h: list[np.ndarray], ms: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Mapped pairs of one meeting from rows of ``shared_rows``."""
-    rows, at = np.unique(r, return_inverse=True)
-    columns = np.unique(np.concatenate(h))
-    w = np.zeros((len(rows), len(columns)))
-    for i, own, times in zip(at, h, ms):
-        w[i, np.searchsorted(columns, own)] += times
-    return [(int(rows[i]), int(columns[j])) for i, j in assignment(w)]
+
+    def load(i: int, out: np.ndarray) -> None:
+        size = len(rows[i]) if i < len(rows) else 0
+        if size:
+            out[:size] = rows[i]
+        out[size:] = 0
+
+    column = _assigned(load, n, max(float(x.max()) for x in rows if len(x)))
+    return [(i, int(j)) for i, (x, j) in enumerate(zip(rows, column)) if j < len(x) and x[j] > 0]
+
+
+def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Row and column pairs of the largest total weight, each row and column at most once.
+    Pairs of no weight are left out."""
+    return _pairs(weights, weights.shape[1])
+
+
+class _Times:
+    """Times that the speakers of one meeting share, a row a reference speaker. Beyond
+    HELD_BYTES rows are in files of the worker's scratch folder, mapped and not read in."""
+
+    def __init__(self) -> None:
+        self.numbers: list[int] = []
+        self.rows: list[np.ndarray] = []
+        self.width = self.held = self.stored = 0
+        self.own = np.zeros(0, np.int64)
+
+    def add(self, number: int, h: np.ndarray, ms: np.ndarray) -> None:
+        """Part of the times of a speaker; those of a speaker follow each other."""
+        if not self.numbers or self.numbers[-1] != number:
+            self._end()
+            self.numbers.append(number)
+        most = int(h.max()) + 1
+        if most > len(self.own):
+            self.own = np.append(self.own, np.zeros(max(most, 2 * len(self.own)) - len(self.own), np.int64))
+        self.own[h] += ms
+        self.width = max(self.width, most)
+
+    def _end(self) -> None:
+        if len(self.rows) == len(self.numbers):
+            return
+        own = self.own[: self.width]
+        self.rows.append(own.astype(np.uint32 if own.max() < 1 << 32 else np.int64))
+        self.own[:] = 0
+        self.held += self.rows[-1].nbytes
+        if self.held > HELD_BYTES:
+            self._store()
+
+    def _store(self) -> None:
+        with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as f:
+            for x in self.rows[self.stored :]:
+                f.write(x.data)
+            f.flush()
+            mapped, at = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0
+        for k in range(self.stored, len(self.rows)):
+            x = self.rows[k]
+            self.rows[k] = np.frombuffer(mapped, x.dtype, len(x), at)
+            at += x.nbytes
+        self.stored, self.held = len(self.rows), 0
+
+    def mapping(self) -> list[tuple[int, int]]:
+        self._end()
+        return [(self.numbers[i], j) for i, j in _pairs(self.rows, self.width)]
 
 
 def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``shared_rows`` in the order of meetings to meeting_id, r and h."""
-    now, held = None, ([], [], [])
+    """Rows of ``shared_rows`` in the order of meetings and reference speakers to meeting_id, r and h."""
+    now, times = None, _Times()
     out: tuple[list, list, list] = ([], [], [])
 
     def close() -> None:
-        if held[0]:
-            for i, j in mapped_numbers(*held):
-                for x, value in zip(out, (now, i, j)):
-                    x.append(value)
-        for x in held:
-            x.clear()
+        for i, j in times.mapping():
+            for x, value in zip(out, (now, i, j)):
+                x.append(value)
 
     def made() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["meeting_id", "r", "h"])
@@ -222,10 +314,8 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (meeting, r) in enumerate(zip(batch.column("meeting_id").to_pylist(), batch.column("r").to_pylist())):
             if meeting != now:
                 close()
-                now = meeting
-            held[0].append(r)
-            held[1].append(h[starts[k] : starts[k + 1]])
-            held[2].append(ms[starts[k] + shift : starts[k + 1] + shift])
+                now, times = meeting, _Times()
+            times.add(r, h[starts[k] : starts[k + 1]], ms[starts[k] + shift : starts[k + 1] + shift])
         yield made()
     close()
     yield made()
@@ -235,10 +325,11 @@ def speaker_mapping(periods: DataFrame, known: tuple[DataFrame, DataFrame] | Non
     """One-to-one speaker mapping of the largest shared time per meeting: meeting_id,
     ref_speaker, hyp_speaker. Speakers are matched on whole segments whatever is scored.
 
-    Meetings pass through a task one after the other, as rows of numbers; it holds the times
-    that the speakers of one meeting share, and neither names nor segments."""
+    Meetings pass through a task one after the other, a reference speaker at a time, as rows
+    of numbers; it holds a bounded part of the times that the speakers of one meeting share,
+    and neither names nor segments."""
     numbered, rows = known or shared(periods)
-    pairs = rows.repartition("meeting_id").sortWithinPartitions("meeting_id").mapInArrow(_mapped, "meeting_id string, r int, h int")
+    pairs = rows.repartition("meeting_id").sortWithinPartitions("meeting_id", "r").mapInArrow(_mapped, "meeting_id string, r int, h int")
     named = pairs.join(_names(numbered, "ref", "r", "ref_speaker"), ["meeting_id", "r"]).join(_names(numbered, "hyp", "h", "hyp_speaker"), ["meeting_id", "h"])
     return named.select("meeting_id", "ref_speaker", "hyp_speaker")
 

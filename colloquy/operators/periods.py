@@ -167,9 +167,8 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     )
     # edges: the first and last run of each tile, and the aligned spans
     first_last = F.when(F.col("_n") > 1, F.array(F.element_at("_runs", 1), F.element_at("_runs", -1))).otherwise(F.col("_runs"))
-    rows = runs.select(*names, F.col("_t"), F.concat(F.transform(first_last, lambda r: kind("edge", r["s"], r["e"])), inner).alias("_x"))
-    rows = rows.select(*names, "_t", F.inline("_x"))
-    edges = rows.where("kind = 'edge'").select(*names, "_t", "s", "e").unionByName(
+    rows = runs.where("_n > 1").select(*names, F.inline(inner))
+    edges = runs.select(*names, "_t", F.inline(first_last)).unionByName(
         whole.select(*names, F.lit(None).cast("long").alias("_t"), edge(F.col("_t")).alias("s"), edge(F.col("_until")).alias("e"))
     )
     order = Window.partitionBy(*names).orderBy("s", F.col("e").desc())
@@ -185,7 +184,7 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     gap = F.col("_f._reach").isNotNull() & ~F.coalesce(F.col("_f._t") == F.col("_f._t0"), F.lit(False))
     both = F.array(F.when(gap, kind("gap", F.col("_f._reach"), F.col("_f.s"))), kind("period", F.col("s"), F.col("e")))
     crossing = joined.select(*names, F.inline(F.filter(both, lambda x: x.isNotNull())))
-    out = rows.where("kind <> 'edge'").select(*names, "kind", "s", "e").unionByName(crossing)
+    out = rows.unionByName(crossing)
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "kind", F.col("s").alias("start"), F.col("e").alias("end"))
 
 

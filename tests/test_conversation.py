@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.operators import carry, diarization, overlaps, sampling, scoring, slicing, statistics, wer
@@ -511,3 +513,29 @@ def test_full_errors_of_a_crowded_meeting(spark):
     assert blocks == 2 and (r["total_ms"], r["correct_ms"], r["der"]) == (n * 5000, n * 5000, 0.0)
     pool = diarization.pooled(diarization.meeting_scores(segments, (("full", 0, False),))).first()
     assert (pool["meetings"], pool["correct_ms"], pool["der"]) == (1, n * 5000, 0.0)
+
+
+def test_the_mapping_of_a_crowded_meeting_holds_no_matrix(monkeypatch):
+    """Shared times of 1,200 speakers a side, a row a reference speaker and block, take less
+    memory than a quarter of their matrix, and the mapping is the best one."""
+    n, parts = 1200, 3
+    rng = np.random.default_rng(5)
+    hidden, held = rng.permutation(n), 1 << 18
+    monkeypatch.setattr(diarization, "HELD_BYTES", held, raising=False)
+
+    def batches():
+        for i in range(n):
+            ms = rng.integers(1, 1000, n)
+            ms[hidden[i]] = 5000
+            h = np.array_split(np.arange(n, dtype=np.int32), parts)
+            columns = [pa.array(["m"] * parts), pa.array([i] * parts, pa.int32()), pa.array(h, pa.list_(pa.int32())), pa.array(np.array_split(ms, parts), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["meeting_id", "r", "h", "ms"])
+
+    tracemalloc.start()
+    try:
+        rows = [x for b in diarization._mapped(batches()) for x in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {(x["meeting_id"], x["r"], x["h"]) for x in rows} == {("m", i, int(hidden[i])) for i in range(n)} and len(rows) == n
+    assert peak < n * n * 8 / 4
