@@ -539,3 +539,37 @@ def test_the_mapping_of_a_crowded_meeting_holds_no_matrix(monkeypatch):
         tracemalloc.stop()
     assert {(x["meeting_id"], x["r"], x["h"]) for x in rows} == {("m", i, int(hidden[i])) for i in range(n)} and len(rows) == n
     assert peak < n * n * 8 / 4
+
+
+def test_crowded_and_small_meetings_of_one_task(monkeypatch):
+    """Meetings that pass through one task, as for the pooled rate: each has its best mapping,
+    whatever is in files, in parts of time, beyond 32 bits or without a partner."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(diarization, "HELD_BYTES", 1 << 14, raising=False)
+    shapes = {"a": (5, 9), "b": (800, 640), "c": (640, 800), "d": (7, 3)}
+    weights = {m: rng.integers(0, 50, s) for m, s in shapes.items()}
+    weights["b"][::3, :5] += 1 << 33
+    kind = [pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def batches():
+        for m, w in weights.items():
+            for i in range(len(w)):
+                cells = [np.flatnonzero(x) for x in (w[i] // 2, w[i] - w[i] // 2)]  # two tiles of time
+                times = [w[i][cells[0]] // 2, (w[i] - w[i] // 2)[cells[1]]]
+                own = [(h.astype(np.int32), x) for h, x in zip(cells, times) if len(h)]
+                if own:
+                    columns = [pa.array([m] * len(own)), pa.array([i] * len(own), pa.int32()), *[pa.array(list(x), k) for x, k in zip(zip(*own), kind)]]
+                    yield pa.RecordBatch.from_arrays(columns, ["meeting_id", "r", "h", "ms"])
+
+    tracemalloc.start()
+    try:
+        rows = [x for b in diarization._mapped(batches()) for x in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for m, w in weights.items():
+        pairs = [(x["r"], x["h"]) for x in rows if x["meeting_id"] == m]
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        flipped = diarization.assignment(np.ascontiguousarray(w.T))
+        assert sum(w[i, j] for i, j in pairs) == sum(w[i, j] for j, i in flipped)
+    assert peak < 800 * 640 * 8 / 2
