@@ -1,10 +1,11 @@
 """Diarization scores from reference and hypothesis segments.
 
 Speakers' segments become disjoint periods first. Counts of active speakers come from a
-sweep: +1 at each start, -1 at each end, summed along time within tiles of 2**20 ms; what
+sweep: +1 at each start, -1 at each end, summed along time within tiles of 2**17 ms; what
 a tile begins with, and where the next event after it is, comes from one row a tile. No set
 of speakers is ever built, no period is blown up, however long, and a long or crowded
-meeting is many tiles.
+meeting is many tiles. Events are sorted, not gathered by moment: a sort spills, a table of
+all moments of a crowded tile has to be held.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage, stored_table
 from .overlaps import overlap_join
 from .periods import speaking_periods
 
-TILE_MS = 1 << 20
+TILE_MS = 1 << 17
 #: Shared times: periods and speakers of a block, least width of a tile, tiles of a meeting.
 BLOCK_PERIODS, BLOCK_SPEAKERS = 1 << 16, 512
 SHARE_MS, MOST_TILES = 1 << 22, 64
+#: Shared times that a worker gathers before it hands them on, and those of one block more.
+SHARED_CELLS = 1 << 18
 #: Mapping: bytes of shared times in a worker's memory, rows that bid, bids a row and raise.
 HELD_BYTES, LEAST_BIDDERS, MOST_BIDS = 1 << 24, 32, 32
 
@@ -53,11 +55,6 @@ def numbered_speakers(periods: DataFrame) -> DataFrame:
     )
 
 
-_CELLS = T.ArrayType(
-    T.StructType([T.StructField("r", T.IntegerType()), T.StructField("h", T.ArrayType(T.IntegerType())), T.StructField("ms", T.ArrayType(T.LongType()))])
-)
-
-
 def shared_times(no: np.ndarray, s: np.ndarray, e: np.ndarray, no2: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each speaker of one side (number, starts and ends of disjoint periods) the speakers of
     the other it shares time with, and the times.
@@ -85,25 +82,39 @@ def shared_times(no: np.ndarray, s: np.ndarray, e: np.ndarray, no2: np.ndarray,
             yield int(no[i]), others[some], ms[some]
 
 
-@F.arrow_udf(_CELLS)
-def _shared(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks (meeting_id and lists _r and _h) to rows of ``shared_rows``. What is found
+    is handed on pair by pair, small ones together, and never held for a batch."""
+
     def columns(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         flat = lists.flatten()
         return lists.offsets.to_numpy() - lists.offsets[0].as_py(), [flat.field(n).to_numpy(zero_copy_only=False) for n in ("no", "s", "e")]
 
-    (a, left), (b, right) = columns(refs), columns(hyps)
-    rows, cells, numbers, hs, times = [0], [0], [], [], []
-    for i in range(len(refs)):
-        for r, h, ms in shared_times(*[x[a[i] : a[i + 1]] for x in left], *[x[b[i] : b[i + 1]] for x in right]):
-            numbers.append(r)
-            hs.append(h)
-            times.append(ms)
-            cells.append(cells[-1] + len(h))
-        rows.append(len(numbers))
-    joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
-    lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(cells, pa.int32()), joined(parts, kind))
-    fields = [pa.array(numbers, pa.int32()), lists(hs, pa.int32()), lists(times, pa.int64())]
-    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(fields, ["r", "h", "ms"]))
+    meetings, numbers, cells, hs, times = [], [], [0], [], []
+
+    def made() -> pa.RecordBatch:
+        joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
+        lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(cells, pa.int32()), joined(parts, kind))
+        fields = [pa.array(meetings, pa.string()), pa.array(numbers, pa.int32()), lists(hs, pa.int32()), lists(times, pa.int64())]
+        for x in (meetings, numbers, hs, times):
+            x.clear()
+        cells[:] = [0]
+        return pa.RecordBatch.from_arrays(fields, ["meeting_id", "r", "h", "ms"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        (a, left), (b, right) = columns(batch.column("_r")), columns(batch.column("_h"))
+        for i, meeting in enumerate(batch.column("meeting_id").to_pylist()):
+            for r, h, ms in shared_times(*[x[a[i] : a[i + 1]] for x in left], *[x[b[i] : b[i + 1]] for x in right]):
+                meetings.append(meeting)
+                numbers.append(r)
+                hs.append(h)
+                times.append(ms)
+                cells.append(cells[-1] + len(h))
+            if cells[-1] >= SHARED_CELLS:
+                yield made()
+    yield made()
 
 
 def shared_rows(periods: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -130,7 +141,7 @@ def shared_rows(periods: DataFrame, numbered: DataFrame) -> DataFrame:
         return parts.where(F.col("side") == name).select("meeting_id", "tile", F.col("block").alias(f"_b{name}"), every, F.col("own").alias(own))
 
     both = side("ref", "hyp", "_r").join(side("hyp", "ref", "_h"), ["meeting_id", "tile", "_bref", "_bhyp"])
-    return both.select("meeting_id", F.inline(_shared("_r", "_h")))
+    return both.select("meeting_id", "_r", "_h").mapInArrow(_shared, "meeting_id string, r int, h array<int>, ms array<bigint>")
 
 
 def _names(numbered: DataFrame, side: str, number: str, name: str) -> DataFrame:
@@ -344,50 +355,54 @@ def matched_spans(periods: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.select("meeting_id", "ref_speaker", F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
 
 
-def _changes(spans: DataFrame, name: str) -> DataFrame:
-    """+1 and -1 of spans (meeting_id, s, e): meeting_id, tile, at, kind, d."""
-    ends = F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d"))))
-    rows = spans.where(F.col("s") < F.col("e")).select("meeting_id", ends)
-    return rows.select("meeting_id", F.floor(F.col("at") / TILE_MS).cast("long").alias("tile"), "at", "d", F.lit(name).alias("kind"))
+def _changes(spans: DataFrame) -> DataFrame:
+    """What spans (meeting_id, kind, s, e) open and close: meeting_id, tile, at, and by how much
+    the counts change, packed: ref and hyp in ``sides``, match and collar in ``marks``."""
+    unit = lambda high, low: F.when(F.col("kind") == high, F.lit(1 << 32)).when(F.col("kind") == low, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    sides, marks = unit("ref", "hyp"), unit("match", "collar")
+    end = lambda at, way: F.struct(F.col(at).alias("at"), (way * sides).alias("sides"), (way * marks).alias("marks"))
+    rows = spans.select("meeting_id", F.inline(F.array(end("s", 1), end("e", -1))))
+    return rows.select("meeting_id", F.floor(F.col("at") / TILE_MS).cast("long").alias("tile"), "at", "sides", "marks")
 
 
 def elementary(periods: DataFrame, matched: DataFrame | None = None, collar_ms: int = 0) -> DataFrame:
     """Elementary intervals of each meeting: ms, n_ref and n_hyp speakers active, n_match
-    matched pairs active, and n_collar reference boundaries within the collar."""
-    parts = [_changes(periods.where(F.col("side") == side), side) for side in ("ref", "hyp")]
+    matched pairs active, and n_collar collars of reference boundaries (collars of one period
+    that meet are one).
+
+    Events of one moment stay rows of their own: time passes after the last of them only."""
+    spans = periods.where("side in ('ref', 'hyp')").select("meeting_id", F.col("side").alias("kind"), "s", "e")
     if matched is not None:
-        parts.append(_changes(matched, "match"))
+        spans = spans.unionByName(matched.select("meeting_id", F.lit("match").alias("kind"), "s", "e"))
+    spans = stored_table(spans.where("s < e"), "spans")  # read for the tiles and for what is in them
     if collar_ms:
-        ref = periods.where("side = 'ref'")
-        bounds = ref.select("meeting_id", F.explode(F.array("s", "e")).alias("at")).distinct()
-        parts.append(
-            _changes(bounds.select("meeting_id", (F.col("at") - collar_ms).alias("s"), (F.col("at") + collar_ms).alias("e")), "collar")
-        )
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    kinds = ("ref", "hyp", "match", "collar")
-    # one exchange for the sums of a moment and along a tile
-    steps = rows.repartition("meeting_id", "tile").groupBy("meeting_id", "tile", "at").agg(
-        *[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in kinds]
-    )
-    order = Window.partitionBy("meeting_id", "tile").orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.select("meeting_id", "tile", "at", F.lead("at").over(order).alias("then"), *[F.sum(k).over(upto).alias(k) for k in kinds])
-    steps = stored_table(steps, "steps")  # read for the tiles and for what is in them; packed, as it is wide
+        near = lambda low, high: F.struct((F.col(low) - collar_ms).alias("s"), (F.col(high) + collar_ms).alias("e"))
+        apart = F.col("e") - F.col("s") > 2 * collar_ms
+        collars = F.inline(F.when(apart, F.array(near("s", "s"), near("e", "e"))).otherwise(F.array(near("s", "e"))))
+        spans = spans.unionByName(spans.where("kind = 'ref'").select("meeting_id", F.lit("collar").alias("kind"), collars))
+    changes = _changes(spans)
     # one row a tile with events: what is open at its start, and the first event after it
-    last = F.col("then").isNull()
-    tiles = steps.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), *[F.max(F.when(last, F.col(k))).alias(k) for k in kinds])
+    tiles = changes.groupBy("meeting_id", "tile").agg(F.min("at").alias("_first"), F.sum("sides").alias("_sides"), F.sum("marks").alias("_marks"))
     along = Window.partitionBy("meeting_id").orderBy("tile")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     tiles = tiles.select(
-        F.col("meeting_id").alias("_m"), F.col("tile").alias("_t"), F.lead("_first").over(along).alias("_then"),
-        *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in kinds],
+        "meeting_id", "tile", "_first", F.lead("_first").over(along).alias("_then"), before("_sides").alias("_sides"), before("_marks").alias("_marks"),
+    )
+    none = F.lit(0).cast("long")
+    bounds = F.array(
+        F.struct(F.col("_first").alias("at"), F.col("_sides").alias("sides"), F.col("_marks").alias("marks")),
+        F.struct(F.col("_then").alias("at"), none.alias("sides"), none.alias("marks")),
+    )
+    rows = changes.unionByName(tiles.select("meeting_id", "tile", F.inline(bounds)).where("at is not null"))
+    order = Window.partitionBy("meeting_id", "tile").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ms = F.lead("at").over(order) - F.col("at")
+    steps = rows.select("meeting_id", ms.alias("ms"), F.sum("sides").over(upto).alias("sides"), F.sum("marks").over(upto).alias("marks")).where("ms > 0")
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    steps = steps.select(
+        "meeting_id", "ms", high("sides").alias("n_ref"), low("sides").alias("n_hyp"), high("marks").alias("n_match"), low("marks").alias("n_collar"),
     )
-    rows = steps.join(tiles, F.col("meeting_id").eqNullSafe(F.col("_m")) & (F.col("tile") == F.col("_t")))
-    ms = F.coalesce("then", "_then") - F.col("at")
-    rows = rows.select("meeting_id", ms.alias("ms"), *[(F.col(f"_{k}") + F.col(k)).alias(f"n_{k}") for k in kinds])
-    return rows.where("ms > 0 and (n_ref > 0 or n_hyp > 0)")
+    return steps.where("n_ref > 0 or n_hyp > 0")
 
 
 def error_times(elements: DataFrame, skip_overlap: bool = False, keys: tuple[str, ...] = ("meeting_id",)) -> DataFrame:

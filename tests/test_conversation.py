@@ -573,3 +573,67 @@ def test_crowded_and_small_meetings_of_one_task(monkeypatch):
         flipped = diarization.assignment(np.ascontiguousarray(w.T))
         assert sum(w[i, j] for i, j in pairs) == sum(w[i, j] for j, i in flipped)
     assert peak < 800 * 640 * 8 / 2
+
+
+def _swept(spans, collar):
+    """Times of each state of (ref, hyp, match, within a collar), moment by moment."""
+    out: dict = {}
+    for m in {x[0] for x in spans}:
+        own = [x[1:] for x in spans if x[0] == m]
+        own += [("collar", b - collar, b + collar) for k, s, e in own if k == "ref" and collar for b in (s, e)]
+        at = sorted({b for _, s, e in own for b in (s, e)})
+        for low, high in zip(at, at[1:]):
+            n = [sum(k == kind and s <= low and high <= e for k, s, e in own) for kind in ("ref", "hyp", "match", "collar")]
+            if n[0] or n[1]:
+                state = (m, *n[:3], n[3] > 0)
+                out[state] = out.get(state, 0) + high - low
+    return out
+
+
+def test_a_sweep_stores_spans_and_no_moments(spark, monkeypatch):
+    """Events of one moment, tiles without events, times before 0 and meetings without an id:
+    the states are those of a sweep by hand, and what is stored is at most a row a span."""
+    rng = random.Random(17)
+    rows = []
+    for m, n, span in (("m", 40, 3_000), ("n", 20, 10**9), (None, 9, 400_000)):
+        for side in ("ref", "hyp"):
+            for k in range(n // 4 + 1):
+                at = sorted(rng.sample(range(-span // 3, span), 8))
+                rows += [(m, side, f"{side}{k}", s, e) for s, e in zip(at[::2], at[1::2])]
+    matched = [(m, who, s, (s + e) // 2 + 1) for m, side, who, s, e in rows if side == "ref" and s % 2]
+    periods = spark.createDataFrame(rows, "meeting_id string, side string, speaker string, s bigint, e bigint")
+    pairs = spark.createDataFrame(matched, "meeting_id string, ref_speaker string, s bigint, e bigint")
+    stored, keep = [], diarization.stored_table
+
+    def counted(df, *names):
+        out = keep(df, *names)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(diarization, "stored_table", counted)
+    spans = [(m, side, s, e) for m, side, _, s, e in rows] + [(m, "match", s, e) for m, _, s, e in matched]
+    for collar in (0, 250):
+        got: dict = {}
+        for r in diarization.elementary(periods, pairs, collar).collect():
+            state = (r["meeting_id"], r["n_ref"], r["n_hyp"], r["n_match"], r["n_collar"] > 0)
+            got[state] = got.get(state, 0) + r["ms"]
+        assert got == _swept(spans, collar)
+    assert stored and max(stored) <= len(spans)
+
+
+def test_shared_times_of_many_blocks_are_handed_on(monkeypatch):
+    """Of a batch of 24 pairs of blocks, in which 128 speakers a side all share time, no more is
+    held than one pair and SHARED_CELLS; small pairs go on together."""
+    n, pairs, most = 128, 24, 1 << 12
+    monkeypatch.setattr(diarization, "SHARED_CELLS", most, raising=False)
+    item = pa.struct([("no", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])
+
+    def batch(n):
+        own = pa.array([[{"no": k, "s": k, "e": k + 1000} for k in range(n)]] * pairs, pa.list_(item))
+        return pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(pairs)]), own, own], ["meeting_id", "_r", "_h"])
+
+    parts = [x for x in diarization._shared(iter([batch(n)])) if len(x)]
+    assert len(parts) == pairs and max(len(x.column("h").flatten()) for x in parts) <= most + n * n
+    seen = [(x["meeting_id"], x["r"], len(x["h"]), sum(x["ms"])) for p in parts for x in p.to_pylist()]
+    assert sorted(seen) == sorted((f"m{i}", k, n, sum(1000 - abs(k - j) for j in range(n))) for i in range(pairs) for k in range(n))
+    assert [len(x) for x in diarization._shared(iter([batch(2), batch(0)]))] == [2 * pairs]
