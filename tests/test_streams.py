@@ -23,13 +23,14 @@ def _stream(rng, parts, words, start=0.0):
     return out
 
 
-@pytest.mark.parametrize(("held", "few", "many"), [(1 << 26, 24, 512), (0, 1, 1), (1 << 26, 1, 2)])
-def test_least_errors_against_brute_force(monkeypatch, held, few, many):
+@pytest.mark.parametrize(("held", "few", "many", "often"), [(1 << 26, 24, 512, 16), (0, 1, 1, 0), (1 << 26, 1, 2, 1)])
+def test_least_errors_against_brute_force(monkeypatch, held, few, many, often):
     """All assignments, free and within a collar, with and without tables of moves, however few
     assignments are looked at together."""
     monkeypatch.setattr(streams, "MOVE_BYTES", held)
     monkeypatch.setattr(streams, "FEW", few)
     monkeypatch.setattr(streams, "MANY", many)
+    monkeypatch.setattr(streams, "OFTEN", often)
     rng = random.Random(5)
     code = lambda words: np.array(["abc".index(w) for w in words], np.int64)
     for _ in range(150):
